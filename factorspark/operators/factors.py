@@ -27,11 +27,12 @@ RANKED_INPUTS = [name.lstrip("-") for parts in SCORE_WEIGHTS.values() for name i
 def assemble(prices: DataFrame, flow: DataFrame, security: DataFrame, start=None, end=None) -> DataFrame:
     """Indicators over the whole history joined with flow and security attributes.
 
+    asset_type is a property of the symbol, so index rows are dropped before any window.
     Both window stages are laid out by symbol, and so is the join between them. The
     date range is cut after the windows; only the exponential average, which needs
     no later row, runs on the joined rows in the same layout.
     """
-    price_rows = price_indicators(stocks_only(adjust_prices(normalise_prices(prices))))
+    price_rows = price_indicators(adjust_prices(stocks_only(normalise_prices(prices))))
     flow_rows = flow_indicators(normalise_flow(flow))
     attributes = [c for c in ["symbol", "name", "market_segment", "industry", "list_date", "status"] if c in security.columns]
     joined = price_rows.join(flow_rows, ["symbol", "trade_date"], "left")

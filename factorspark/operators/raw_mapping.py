@@ -51,22 +51,26 @@ def _numbers(frame, names) -> list[Column]:
     return [_present(frame, [n], n) for n in names]
 
 
-def _security_master(frame):
-    return frame.select(
+def security_columns() -> list:
+    """security_master columns but the status."""
+    return [
         F.col("ts_code").alias("symbol"),
         F.col("symbol").cast("string").alias("raw_symbol"),
         exchange_of().alias("exchange"),
         F.lit("stock").alias("asset_type"),
-        "name",
-        "market",
+        F.col("name"),
+        F.col("market"),
         market_segment().alias("market_segment"),
         market_segment_name().alias("market_segment_name"),
-        "area",
-        "industry",
+        F.col("area"),
+        F.col("industry"),
         compact_date("list_date").alias("list_date"),
         compact_date("delist_date").alias("delist_date"),
-        F.lit("active").alias("status"),
-    )
+    ]
+
+
+def _security_master(frame):
+    return frame.select(*security_columns(), F.lit("active").alias("status"))
 
 
 def _trading_calendar(frame):

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.columns import growth
+from ..operators.raw_mapping import security_columns
 from ..plans.runtime import prepare
 
 _EXCHANGES = [".SH", ".SZ", ".BJ"]
@@ -41,8 +42,14 @@ def index_symbol() -> Column:
     return F.coalesce(F.get(codes, F.col("r_regionkey")), F.concat(F.lit("IDX_"), F.col("r_name")))
 
 
-def _money(column: Column) -> Column:
-    return column.cast("decimal(18,2)")
+def _hundredths(column: Column) -> Column:
+    """Two-decimal amount as an exact whole number of hundredths; whole-number sums
+    do not depend on the order in which partial sums meet."""
+    return F.rint(column * F.lit(100.0)).cast("bigint")
+
+
+def _units(name: str) -> Column:
+    return F.col(name) / F.lit(100.0)
 
 
 _SUMS = ["amount_", "volume_", "open_amount_", "open_volume_", "inflow_", "profit_volume_"]
@@ -73,12 +80,12 @@ class MarketTables:
             .withColumn("trade_date", F.date_trunc("week", "l_shipdate").cast("date"))
             .groupBy("l_suppkey", "trade_date")
             .agg(
-                F.sum(_money(price)).alias("amount_"),
-                F.sum(_money(quantity)).alias("volume_"),
-                F.sum(F.when(opening, _money(price))).alias("open_amount_"),
-                F.sum(F.when(opening, _money(quantity))).alias("open_volume_"),
-                F.sum(_money(signed)).alias("inflow_"),
-                F.sum(F.when(F.col("l_discount") >= 0.02, _money(quantity)).otherwise(_money(F.lit(0.0)))).alias("profit_volume_"),
+                F.sum(_hundredths(price)).alias("amount_"),
+                F.sum(_hundredths(quantity)).alias("volume_"),
+                F.sum(F.when(opening, _hundredths(price))).alias("open_amount_"),
+                F.sum(F.when(opening, _hundredths(quantity))).alias("open_volume_"),
+                F.sum(_hundredths(signed)).alias("inflow_"),
+                F.sum(F.when(F.col("l_discount") >= 0.02, _hundredths(quantity)).otherwise(F.lit(0))).alias("profit_volume_"),
                 F.max(price / quantity).alias("high"),
                 F.min(price / quantity).alias("low"),
                 F.max("l_tax").alias("max_tax_"),
@@ -88,30 +95,28 @@ class MarketTables:
 
     @staticmethod
     def _bar_columns() -> list[Column]:
-        d = lambda name: F.col(name).cast("double")
         return [
-            (d("open_amount_") / d("open_volume_")).alias("open"),
+            (_units("open_amount_") / _units("open_volume_")).alias("open"),
             F.col("high"),
             F.col("low"),
-            (d("amount_") / d("volume_")).alias("close"),
-            d("volume_").alias("volume"),
-            d("amount_").alias("amount"),
+            (_units("amount_") / _units("volume_")).alias("close"),
+            _units("volume_").alias("volume"),
+            _units("amount_").alias("amount"),
         ]
 
     @cached_property
     def stock_bars(self) -> DataFrame:
         tiny = F.col("max_quantity_") < 3
-        d = lambda name: F.col(name).cast("double")
         return self.partial_bars.select(
             security_symbol("l_suppkey").alias("symbol"),
             "trade_date",
             *self._bar_columns(),
             F.when(~tiny, F.lit(1.0) + F.col("max_tax_")).alias("adj_factor"),
             tiny.alias("is_suspended"),
-            F.when(F.col("max_tax_") > 0.01, d("volume_") / F.lit(100.0)).alias("turnover_rate"),
-            d("inflow_").alias("main_net_inflow"),
-            (d("inflow_") / d("amount_") * F.lit(100.0)).alias("main_net_inflow_rate"),
-            (d("profit_volume_") / d("volume_") * F.lit(100.0)).alias("close_profit_ratio"),
+            F.when(F.col("max_tax_") > 0.01, _units("volume_") / F.lit(100.0)).alias("turnover_rate"),
+            _units("inflow_").alias("main_net_inflow"),
+            (_units("inflow_") / _units("amount_") * F.lit(100.0)).alias("main_net_inflow_rate"),
+            (_units("profit_volume_") / _units("volume_") * F.lit(100.0)).alias("close_profit_ratio"),
         )
 
     def _rolled_up(self, dimension: DataFrame, code: Column, code_name: str) -> DataFrame:
@@ -136,20 +141,30 @@ class MarketTables:
     def index_bars(self) -> DataFrame:
         return self._rolled_up(self.geography, index_symbol(), "symbol")
 
+    @staticmethod
+    def _with_previous_close(bars: DataFrame, key: str) -> DataFrame:
+        order = Window.partitionBy(key).orderBy("trade_date")
+        return bars.withColumn("pre_close", F.lag("close").over(order)).withColumn(
+            "pct_change", growth(F.col("close"), F.col("pre_close")) * F.lit(100.0)
+        )
+
     @cached_property
     def prices(self) -> DataFrame:
-        """daily_prices: stock and index rows with the previous close beside them."""
+        """daily_prices: stock and index rows with the previous close beside them.
+
+        Each kind is windowed before the union, so a filter on asset_type drops the
+        other branch from the plan.
+        """
         stocks = self.stock_bars.drop("main_net_inflow", "main_net_inflow_rate", "close_profit_ratio")
-        rows = stocks.withColumn("asset_type", F.lit("stock")).unionByName(
-            self.index_bars.withColumn("asset_type", F.lit("index")), allowMissingColumns=True
-        )
-        by_symbol = Window.partitionBy("symbol").orderBy("trade_date")
-        return (
-            rows.withColumn("pre_close", F.lag("close").over(by_symbol))
-            .withColumn("pct_change", growth(F.col("close"), F.col("pre_close")) * F.lit(100.0))
-            .withColumn("limit_up", F.when(F.col("asset_type") == "stock", F.col("pre_close") * F.lit(1.1)))
-            .withColumn("limit_down", F.when(F.col("asset_type") == "stock", F.col("pre_close") * F.lit(0.9)))
+        stocks = self._with_previous_close(stocks, "symbol").withColumns(
+            {
+                "asset_type": F.lit("stock"),
+                "limit_up": F.col("pre_close") * F.lit(1.1),
+                "limit_down": F.col("pre_close") * F.lit(0.9),
+            }
         )
+        indexes = self._with_previous_close(self.index_bars, "symbol").withColumn("asset_type", F.lit("index"))
+        return stocks.unionByName(indexes, allowMissingColumns=True)
 
     @cached_property
     def flow(self) -> DataFrame:
@@ -191,19 +206,8 @@ class MarketTables:
 
     @cached_property
     def security(self) -> DataFrame:
-        from ..operators.raw_mapping import map_raw
-
-        listed = self.raw_security
-        status = listed.select(
-            F.col("ts_code").alias("symbol"),
-            F.when(F.col("s_acctbal") < 0, "inactive").otherwise("active").alias("listing_status"),
-        )
-        return (
-            map_raw(listed, "security_master")
-            .drop("status")
-            .join(status, "symbol")
-            .withColumnRenamed("listing_status", "status")
-        )
+        listed = F.when(F.col("s_acctbal") < 0, "inactive").otherwise("active")
+        return self.raw_security.select(*security_columns(), listed.alias("status"))
 
     @cached_property
     def calendar(self) -> DataFrame:
@@ -234,12 +238,7 @@ class MarketTables:
         bars = self._rolled_up(
             self.geography, F.concat(F.lit("I"), F.col("n_nationkey").cast("string")), "index_code"
         )
-        by_code = Window.partitionBy("index_code").orderBy("trade_date")
-        return (
-            bars.withColumn("pre_close", F.lag("close").over(by_code))
-            .withColumn("pct_change", growth(F.col("close"), F.col("pre_close")) * F.lit(100.0))
-            .withColumn("industry_name", F.lit(None).cast("string"))
-        )
+        return self._with_previous_close(bars, "index_code").withColumn("industry_name", F.lit(None).cast("string"))
 
     @cached_property
     def cross_section_rows(self) -> int:

@@ -10,8 +10,8 @@ from ..operators import evaluation, factors, indicators, portfolio, signals, tra
 from ..operators.ranking import average_rank, group_count
 from ..sources.weekly_bars import MarketTables
 from . import sql
-from .registry import near, registered
-from .sql import near_all
+from .registry import near, registered, signed_log
+from .sql import log_all, near_all
 
 R = "symbol, trade_date"
 
@@ -224,9 +224,6 @@ def _(m):
     return near(last_signal_ranking(m).drop("reason", "macd_golden_cross"), SIGNAL, 5)
 
 
-_PARTS_SQL = "main_net_inflow_rate, close_profit_ratio, return_20d"
-
-
 def _factor_value_numbers(frame):
     """The figures inside the factor_value text, read back from it."""
     def figure(name):
@@ -236,16 +233,15 @@ def _factor_value_numbers(frame):
 
 
 @registered("j3_explained_ranking", f"""
-SELECT place AS rank, symbol, trade_date AS signal_date, recommend_trade_date, {sql.near('main_net_inflow_rate', 2)} AS shown_main_net_inflow_rate,
-  {sql.near('close_profit_ratio', 2)} AS shown_close_profit_ratio, {sql.near('return_20d', 4)} AS shown_return_20d, TRUE AS names_cross
+SELECT place AS rank, symbol, trade_date AS signal_date, recommend_trade_date, {sql.near('main_net_inflow_rate', 4)} AS shown_main_net_inflow_rate,
+  {sql.near('close_profit_ratio', 4)} AS shown_close_profit_ratio, {sql.near('return_20d', 6)} AS shown_return_20d, TRUE AS names_cross
 FROM rankedsignals JOIN successors USING (trade_date) WHERE place <= 10""")
 def _(m):
     rows = signals.explained_ranking(signal_rows(m), signals.date_successors(m.calendar), 10)
-    shown = rows.select(
+    return rows.select(
         "rank", "symbol", "signal_date", "recommend_trade_date", *_factor_value_numbers(rows),
         F.contains("factor_value", F.lit("macd_golden_cross=true")).alias("names_cross"),
     )
-    return near(near(shown, ["shown_main_net_inflow_rate", "shown_close_profit_ratio"], 2), ["shown_return_20d"], 4)
 
 
 @registered("j4_pass_table", f"""
@@ -362,10 +358,23 @@ _L_KEYS = {
     "l5_volatility_sharpe": ["annual_volatility", "sharpe_ratio"],
     "l6_drawdown_calmar": ["max_drawdown", "calmar_ratio"],
 }
+# compounded figures, compared on a log scale
+COMPOUNDED = {"total_return", "annual_return", "sharpe_ratio", "calmar_ratio", "benchmark_return", "excess_return"}
+
+
+def compare_all(names) -> str:
+    plain, logs = [n for n in names if n not in COMPOUNDED], [n for n in names if n in COMPOUNDED]
+    return ", ".join(part for part in [near_all(plain), log_all(logs)] if part)
+
+
+def comparable(frame, names):
+    return near(signed_log(frame, [n for n in names if n in COMPOUNDED]), names)
+
+
 for _key, _names in _L_KEYS.items():
-    @registered(_key, f"SELECT period_count, {near_all(_names)} FROM ({sql.return_statistics('portfolio', '(252.0::DOUBLE / 20)')})")
+    @registered(_key, f"SELECT period_count, {compare_all(_names)} FROM ({sql.return_statistics('portfolio', '(252.0::DOUBLE / 20)')})")
     def _(m, names=_names):
-        return near(portfolio.return_metrics(signal_portfolio(m), 20).select("period_count", *names), names)
+        return comparable(portfolio.return_metrics(signal_portfolio(m), 20).select("period_count", *names), names)
 
 
 def _turnover(key, name, sql_value):
@@ -407,10 +416,10 @@ BENCHMARK_MEASURES = ["benchmark_return", "excess_return", "tracking_error", "in
 def _benchmark_query(key, frame, table, exits_part, days, symbols):
     select = sql.benchmark_statistics(table, exits_part, f"(252.0::DOUBLE / {days})", portfolio.benchmark_list(symbols))
 
-    @registered(key, f"SELECT benchmark_symbol, position, missing_dates, {near_all(BENCHMARK_MEASURES)} FROM ({select})")
+    @registered(key, f"SELECT benchmark_symbol, position, missing_dates, {compare_all(BENCHMARK_MEASURES)} FROM ({select})")
     def _(m):
         rows = portfolio.benchmark_metrics(_matched(m, frame(m), days, symbols), days)
-        return near(rows, BENCHMARK_MEASURES)
+        return comparable(rows, BENCHMARK_MEASURES)
 
 
 _benchmark_query("l11_benchmark_relative", signal_portfolio, "portfolio", "exits20", 20, None)
@@ -447,7 +456,7 @@ _BACKTEST_MEASURES = TRADE_MEASURES + RETURN_MEASURES + ["turnover_proxy", "hold
 def _backtest_query(key, made, trades_part, portfolio_part, exits_part, days):
     per_year = f"(252.0::DOUBLE / {days})"
     select = f"""
-SELECT trade_count, signal_dates, period_count, benchmark_symbol, position, missing_dates, {near_all(_BACKTEST_MEASURES)}
+SELECT trade_count, signal_dates, period_count, benchmark_symbol, position, missing_dates, {compare_all(_BACKTEST_MEASURES)}
 FROM (SELECT {_TRADE_METRICS} FROM {trades_part}) JOIN ({sql.return_statistics(portfolio_part, per_year)}) ON TRUE
 JOIN (SELECT avg(1 - len(list_intersect(symbols, before)) / len(symbols)) AS turnover_proxy,
   avg(len(list_intersect(symbols, before)) / len(list_distinct(list_concat(symbols, before)))) AS holding_overlap
@@ -456,7 +465,7 @@ JOIN ({sql.benchmark_statistics(portfolio_part, exits_part, per_year, [fv.DEFAUL
 
     @registered(key, select)
     def _(m):
-        return near(backtest(m, made(m), days), _BACKTEST_MEASURES)
+        return comparable(backtest(m, made(m), days), _BACKTEST_MEASURES)
 
 
 _backtest_query("l13_signal_backtest", signal_trades, "trades", "portfolio", "exits20", 20)
@@ -472,10 +481,10 @@ _SWEEP_PORTFOLIO = f"(SELECT holding_days, top, trade_date, avg(forward_return)
 
 
 @registered("l14_parameter_sweep", f"""
-SELECT holding_days, top, period_count, {near_all(RETURN_MEASURES)}
-FROM ({sql.return_statistics(_SWEEP_PORTFOLIO, '(252.0::DOUBLE / holding_days)', 'holding_days, top, ').replace('SELECT *, CASE', 'SELECT *, CASE')})""")
+SELECT holding_days, top, period_count, {compare_all(RETURN_MEASURES)}
+FROM ({sql.return_statistics(_SWEEP_PORTFOLIO, '(252.0::DOUBLE / holding_days)', 'holding_days, top, ')})""")
 def _(m):
-    return near(portfolio.sweep(signal_rows(m), m.prices, _SWEEP_DAYS, _SWEEP_TOPS), RETURN_MEASURES)
+    return comparable(portfolio.sweep(signal_rows(m), m.prices, _SWEEP_DAYS, _SWEEP_TOPS), RETURN_MEASURES)
 
 
 # --- M ------------------------------------------------------------------------

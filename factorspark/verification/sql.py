@@ -32,6 +32,10 @@ def near_all(names, digits: int = 6) -> str:
     return ", ".join(f"{near(n, digits)} AS {n}" for n in names)
 
 
+def log_all(names, digits: int = 6) -> str:
+    return ", ".join(f"{near(f'sign({n}) * ln(1 + abs({n}))', digits)} AS {n}" for n in names)
+
+
 PARTS: dict[str, str] = {}
 
 
