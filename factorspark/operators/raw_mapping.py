@@ -70,39 +70,39 @@ def security_columns() -> list:
 
 
 def _security_master(frame):
-    return frame.select(*security_columns(), F.lit("active").alias("status"))
+    return [*security_columns(), F.lit("active").alias("status")]
 
 
 def _trading_calendar(frame):
-    return frame.select(
+    return [
         F.lit(fv.CALENDAR_ID).alias("calendar_id"),
         compact_date("cal_date").alias("trade_date"),
         (F.col("is_open").try_cast("bigint") == 1).alias("is_trading_day"),
         compact_date("pretrade_date").alias("previous_trade_date"),
         F.lit(None).cast("date").alias("next_trade_date"),
-    )
+    ]
 
 
 def _bars(frame, asset_type):
-    return frame.select(
+    return [
         *_key_columns(),
         F.lit(asset_type).alias("asset_type"),
         *_numbers(frame, ["open", "high", "low", "close", "pre_close"]),
         _present(frame, ["vol"], "volume"),
         _present(frame, ["amount"], "amount"),
         _present(frame, ["pct_chg"], "pct_change"),
-    )
+    ]
 
 
 def _price_columns(renames: dict[str, str]):
     def project(frame):
-        return frame.select(*_key_columns(), *[lenient_double(raw).alias(name) for raw, name in renames.items()])
+        return [*_key_columns(), *[lenient_double(raw).alias(name) for raw, name in renames.items()]]
 
     return project
 
 
 def _suspensions(frame):
-    return frame.select(*_key_columns(), (F.col("suspend_type") == "S").alias("is_suspended"))
+    return [*_key_columns(), (F.col("suspend_type") == "S").alias("is_suspended")]
 
 
 def suspension_events(frame: DataFrame) -> DataFrame:
@@ -119,12 +119,12 @@ def suspension_events(frame: DataFrame) -> DataFrame:
 
 
 def _money_flow(frame):
-    return frame.select(
+    return [
         *_key_columns(),
         lenient_double("net_amount").alias("main_net_inflow"),
         lenient_double("net_amount_rate").alias("main_net_inflow_rate"),
         F.lit(fv.FLOW_METHOD).alias("data_method"),
-    )
+    ]
 
 
 def _chips(frame):
@@ -133,21 +133,21 @@ def _chips(frame):
         method = F.when(
             F.col("provider_status") == "not_found", F.lit(f"{fv.CHIP_METHOD}:not_found")
         ).otherwise(method)
-    return frame.select(
+    return [
         *_key_columns(), lenient_double("winner_rate").alias("close_profit_ratio"), method.alias("data_method")
-    )
+    ]
 
 
 def _classification(frame):
     system = F.col("src") if "src" in frame.columns else F.lit(fv.CLASSIFICATION_SYSTEM)
-    return frame.select(
+    return [
         "index_code", "industry_name", "level", system.alias("source_system"),
         _present(frame, ["parent_code"], "parent_code", "string"),
-    )
+    ]
 
 
 def _industry_bars(frame):
-    return frame.select(
+    return [
         F.col("ts_code").alias("index_code"),
         compact_date("trade_date").alias("trade_date"),
         _present(frame, ["name"], "industry_name", "string"),
@@ -155,7 +155,7 @@ def _industry_bars(frame):
         _present(frame, ["pct_change", "pct_chg"], "pct_change"),
         _present(frame, ["vol"], "volume"),
         _present(frame, ["amount"], "amount"),
-    )
+    ]
 
 
 _PROJECTIONS = {
@@ -174,10 +174,11 @@ _PROJECTIONS = {
 }
 
 
-def map_raw(frame: DataFrame, dataset: str) -> DataFrame:
+def map_raw(frame: DataFrame, dataset: str, keep: list[str] = ()) -> DataFrame:
+    """One projection; `keep` carries landing columns such as the batch id along."""
     if dataset not in _PROJECTIONS:
         raise ValueError(f"unsupported raw dataset mapping: {dataset}")
-    return _PROJECTIONS[dataset](frame)
+    return frame.select(*_PROJECTIONS[dataset](frame), *keep)
 
 
 def missing_expected_fields(frame: DataFrame, api: str) -> list[str]:

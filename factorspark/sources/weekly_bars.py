@@ -19,6 +19,7 @@ from ..functions import fixed_values as fv
 from ..functions.columns import growth
 from ..operators.raw_mapping import security_columns
 from ..plans.runtime import prepare
+from .schemas import RAW_TARGET
 
 _EXCHANGES = [".SH", ".SZ", ".BJ"]
 
@@ -52,6 +53,11 @@ def _units(name: str) -> Column:
     return F.col(name) / F.lit(100.0)
 
 
+def _curated_target() -> Column:
+    pairs = [F.lit(v) for entry in RAW_TARGET.items() for v in entry]
+    return F.create_map(*pairs)[F.col("dataset_name")]
+
+
 _SUMS = ["amount_", "volume_", "open_amount_", "open_volume_", "inflow_", "profit_volume_"]
 
 
@@ -240,6 +246,167 @@ class MarketTables:
         )
         return self._with_previous_close(bars, "index_code").withColumn("industry_name", F.lit(None).cast("string"))
 
+    # --- provider-shaped batches ------------------------------------------------
+
+    @cached_property
+    def raw_daily(self) -> DataFrame:
+        """Overlapping price batches: one per line status, F landed before O.
+
+        `open` is the price of returned lines, so either batch leaves gaps in it.
+        """
+        price, quantity = F.col("l_extendedprice"), F.col("l_quantity")
+        returned = F.col("l_returnflag") == "R"
+        return (
+            self.raw("lineitem")
+            .groupBy("l_linestatus", "l_suppkey", F.date_trunc("week", "l_shipdate").cast("date").alias("week_"))
+            .agg(
+                F.sum(_hundredths(price)).alias("amount_"),
+                F.sum(_hundredths(quantity)).alias("volume_"),
+                F.sum(F.when(returned, _hundredths(price))).alias("open_amount_"),
+                F.sum(F.when(returned, _hundredths(quantity))).alias("open_volume_"),
+                F.max(price / quantity).alias("high"),
+                F.min(price / quantity).alias("low"),
+            )
+            .select(
+                F.concat(F.lit("batch_"), "l_linestatus").alias("batch_id"),
+                security_symbol("l_suppkey").alias("ts_code"),
+                F.date_format("week_", "yyyyMMdd").alias("trade_date"),
+                *self._bar_columns()[:4],
+                F.lit(None).cast("double").alias("pre_close"),
+                _units("volume_").alias("vol"),
+                _units("amount_").alias("amount"),
+                F.lit(None).cast("double").alias("pct_chg"),
+            )
+        )
+
+    def _raw_per_bar(self, *columns: Column) -> DataFrame:
+        return self.partial_bars.select(
+            security_symbol("l_suppkey").alias("ts_code"),
+            F.date_format("trade_date", "yyyyMMdd").alias("trade_date"),
+            *columns,
+        )
+
+    @cached_property
+    def raw_adj_factor(self) -> DataFrame:
+        """Factors as text; a zero tax reads 'n/a'."""
+        text = (F.lit(1.0) + F.col("max_tax_")).cast("string")
+        return self._raw_per_bar(F.when(F.col("max_tax_") > 0, text).otherwise("n/a").alias("adj_factor"))
+
+    @cached_property
+    def raw_daily_basic(self) -> DataFrame:
+        return self._raw_per_bar((_units("volume_") / F.lit(100.0)).cast("string").alias("turnover_rate"))
+
+    @cached_property
+    def raw_limits(self) -> DataFrame:
+        return self._raw_per_bar(
+            (F.col("high") * F.lit(1.1)).alias("up_limit"), (F.col("low") * F.lit(0.9)).alias("down_limit")
+        )
+
+    @cached_property
+    def raw_suspensions(self) -> DataFrame:
+        return self._raw_per_bar(F.when(F.col("max_quantity_") < 3, "S").otherwise("R").alias("suspend_type"))
+
+    @cached_property
+    def raw_money_flow(self) -> DataFrame:
+        return self._raw_per_bar(
+            _units("inflow_").alias("net_amount"),
+            (_units("inflow_") / _units("amount_") * F.lit(100.0)).alias("net_amount_rate"),
+        )
+
+    @cached_property
+    def raw_chips(self) -> DataFrame:
+        held = F.col("profit_volume_") > 0
+        return self._raw_per_bar(
+            F.when(held, _units("profit_volume_") / _units("volume_") * F.lit(100.0)).alias("winner_rate"),
+            F.when(held, "found").otherwise("not_found").alias("provider_status"),
+        )
+
+    @cached_property
+    def raw_calendar(self) -> DataFrame:
+        """Every order date; Mondays are open."""
+        day = F.col("day_")
+        monday = F.date_trunc("week", day).cast("date")
+        return (
+            self.raw("orders").select(F.col("o_orderdate").cast("date").alias("day_")).distinct()
+            .select(
+                F.lit("SSE").alias("exchange"),
+                F.date_format(day, "yyyyMMdd").alias("cal_date"),
+                F.when(day == monday, "1").otherwise("0").alias("is_open"),
+                F.when(day == monday, F.date_format(F.date_sub(monday, 7), "yyyyMMdd")).otherwise("").alias("pretrade_date"),
+            )
+        )
+
+    @cached_property
+    def raw_classification(self) -> DataFrame:
+        return self.classification.filter(F.col("level") == "L1").drop("source_system")
+
+    @cached_property
+    def raw_industry_bars(self) -> DataFrame:
+        names = self.classification.select("index_code", F.col("industry_name").alias("name"))
+        return self.industry_daily.drop("industry_name").join(names, "index_code").select(
+            F.col("index_code").alias("ts_code"), "name", F.date_format("trade_date", "yyyyMMdd").alias("trade_date"),
+            "close", F.col("pct_change").alias("pct_chg"), F.col("volume").alias("vol"), "amount",
+        )
+
+    @cached_property
+    def raw_index_bars(self) -> DataFrame:
+        return self.index_bars.select(
+            F.col("symbol").alias("ts_code"), F.date_format("trade_date", "yyyyMMdd").alias("trade_date"),
+            "open", "high", "low", "close",
+        )
+
+    # --- run and version records --------------------------------------------------
+
+    @cached_property
+    def batches(self) -> DataFrame:
+        """An order is a landed batch, its lines are the batch's rows."""
+        datasets = _literals(list(RAW_TARGET))
+        lines = self.raw("lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("row_count"))
+        return (
+            self.raw("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+            .select(
+                F.concat(F.lit("batch_"), F.col("o_orderkey").cast("string")).alias("batch_id"),
+                F.col("o_orderpriority").alias("source"),
+                F.get(datasets, F.pmod("o_custkey", F.lit(len(RAW_TARGET))).cast("int")).alias("dataset_name"),
+                F.col("o_orderdate").cast("date").alias("retrieved_at"),
+                F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "failed")
+                .otherwise("running").alias("status"),
+                F.coalesce("row_count", F.lit(0)).alias("row_count"),
+                F.concat(F.col("o_orderpriority"), F.lit("-"), F.col("o_totalprice").cast("string")).alias("schema_hash"),
+                F.concat(F.lit("S"), F.col("o_custkey").cast("string")).alias("customer"),
+            )
+        )
+
+    @cached_property
+    def version_batches(self) -> DataFrame:
+        """A curated version per dataset and day holds that day's batches."""
+        return self.batches.select(
+            "batch_id", "retrieved_at", "row_count", _curated_target().alias("dataset_id"),
+        ).withColumn(
+            "curated_version_id", F.concat_ws("_", "dataset_id", F.date_format("retrieved_at", "yyyyMMdd"))
+        )
+
+    @cached_property
+    def versions(self) -> DataFrame:
+        version = F.col("curated_version_id")
+        return self.version_batches.groupBy("curated_version_id", "dataset_id", F.col("retrieved_at").alias("created_at")).agg(
+            F.sum("row_count").alias("row_count"), F.count(F.lit(1)).alias("batch_count")
+        ).withColumns(
+            {
+                "schema_version_id": F.concat("dataset_id", F.lit("_v001")),
+                "path": F.concat(F.lit("/curated/"), version), "checksum": F.sha2(version, 256),
+                "as_of_date": F.col("created_at").cast("string"),
+            }
+        )
+
+    @cached_property
+    def snapshot_versions(self) -> DataFrame:
+        """A snapshot per month refers to the versions made in it."""
+        return self.versions.select(
+            F.concat(F.lit("snapshot_"), F.date_format("created_at", "yyyyMM"), F.lit("01_001")).alias("snapshot_id"),
+            "curated_version_id",
+        )
+
     @cached_property
     def cross_section_rows(self) -> int:
         """Exact bound of the rows one date can hold: the securities that traded.
