@@ -78,7 +78,7 @@ def theme_sql(column: str) -> str:
 
 PARTS["pools"] = f"""
 SELECT trade_date, place AS rank, symbol, name, industry AS industry_l1, {theme_sql('industry')} AS theme,
-  coalesce(nullif(array_to_string(list_filter([{', '.join(f"CASE WHEN {s} >= 0.7::DOUBLE THEN {text(t)} END" for s, t in fv.REASON_LABELS)}], x -> x IS NOT NULL), '、'), ''), {text(fv.REASON_FALLBACK)}) AS reason_summary,
+  coalesce(nullif(array_to_string(list_filter([{', '.join(f"CASE WHEN {s} >= 0.7::DOUBLE THEN {text(t)} END" for s, t in fv.REASON_LABELS)}], lambda x: x IS NOT NULL), '、'), ''), {text(fv.REASON_FALLBACK)}) AS reason_summary,
   CASE WHEN risk_score < 0.35::DOUBLE THEN 'weak_risk_score' ELSE 'none' END AS risk_summary, total_score
 FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY total_score DESC, symbol) AS place FROM factors WHERE tradable_flag) WHERE place <= 10"""
 PARTS["poolchanges"] = """
@@ -205,7 +205,7 @@ SELECT t.trade_date, array_to_string(list_slice(list_filter([CASE WHEN status <>
   CASE WHEN len(list_intersect(two, {text_list(fv.GROWTH_INDEXES)})) > 0 OR list_contains(weak_themes, {text(fv.GROWTH_THEME)}) THEN 'growth_pressure' END,
   CASE WHEN len(list_intersect(two, {text_list(fv.SMALL_CAP_INDEXES)})) > 0 THEN 'small_cap_pressure' END,
   CASE WHEN spread >= 2 THEN 'sector_divergence' END,
-  CASE WHEN len(list_filter(weak_themes, x -> x = weak_themes[1])) >= 2 THEN 'weak_theme_concentration' END], x -> x IS NOT NULL), 1, 3), ',') AS risks
+  CASE WHEN len(list_filter(weak_themes, lambda x: x = weak_themes[1])) >= 2 THEN 'weak_theme_concentration' END], lambda x: x IS NOT NULL), 1, 3), ',') AS risks
 FROM states t LEFT JOIN (SELECT trade_date, avg(CAST(return_1d < 0 AS DOUBLE)) AS idown, list_slice(list(symbol ORDER BY return_1d, position), 1, 2) AS two
   FROM indexmetrics GROUP BY 1) i ON t.trade_date = i.trade_date LEFT JOIN cards c ON t.trade_date = c.trade_date"""
 
@@ -300,7 +300,7 @@ def violations_sql(column: str) -> str:
     terms = [f"CASE WHEN contains(lower({column}), {text(t)}) THEN {text('prohibited wording: ' + t)} END" for t in fv.PROHIBITED_TERMS]
     terms += [f"CASE WHEN contains(lower({column}), {text(t)}) THEN {text('forbidden sensitive field: ' + t)} END" for t in fv.SENSITIVE_TERMS]
     terms.append(f"CASE WHEN regexp_matches(lower({column}), {text(fv.LOCAL_PATH_PATTERN)}) THEN 'forbidden local absolute path' END")
-    return f"array_to_string(list_filter([{', '.join(terms)}], x -> x IS NOT NULL), '; ')"
+    return f"array_to_string(list_filter([{', '.join(terms)}], lambda x: x IS NOT NULL), '; ')"
 
 
 @registered("p10_wording_documents", f"SELECT doc_id, {violations_sql('text')} AS violations FROM documents")
@@ -346,7 +346,7 @@ _FINGERPRINT = """sha256('{"trade_date":"' || strftime(trade_date, '%Y-%m-%d') |
 
 @registered("p13_unpublished", f"""
 SELECT trade_date, bundle_hash FROM (SELECT trade_date, {_FINGERPRINT} AS bundle_hash FROM pools GROUP BY trade_date)
-WHERE trade_date > (SELECT max(trade_date) FROM signals)""".replace("(SELECT max(trade_date) FROM signals)", "DATE '2001-06-30'"))
+WHERE trade_date > DATE '2001-06-30'""")
 def _(m):
     """Pools up to a date count as published; the rest is still to be sent."""
     item = F.struct("rank", "symbol")
