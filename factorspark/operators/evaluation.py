@@ -6,8 +6,9 @@ and dates are evaluated by the same aggregates instead of one at a time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.arrow_tasks import MOMENT_COLUMNS, pair_moments
 from ..functions.columns import pair_correlation, ratio
 from ..functions.fixed_values import EVALUATED_FACTORS
 from .ranking import long_average_rank, ordinal_rank, unpivot
@@ -82,20 +83,40 @@ def coverage(factors: DataFrame, columns=EVALUATED_FACTORS) -> DataFrame:
 
 
 def correlation(factors: DataFrame, columns=EVALUATED_FACTORS) -> DataFrame:
-    """Pairwise-complete correlation, long form, from one aggregate over the factor table.
+    """Pairwise-complete correlation, long form, from one pass over the factor table.
 
-    Each unordered pair is computed once and written for both orders.
+    Every task reduces its rows to one line per pair (counts, means, centred sums); the
+    lines are then combined the way variances of parts are. As SQL this takes some 800
+    aggregation buffers per row, which is beyond generated code. Constant sides give null.
     """
+    columns = list(columns)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    wide = factors.agg(
-        *[pair_correlation(F.col(a), F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
+    schema = ", ".join(f"{c} {'int' if c == 'pair' else 'double'}" for c in MOMENT_COLUMNS)
+    parts = factors.select(*[F.col(c).cast("double").alias(c) for c in columns]).mapInArrow(
+        pair_moments(columns), schema
     )
-    entries = [
-        F.struct(F.lit(x).alias("factor"), F.lit(y).alias("other"), F.col(f"p{i}").alias("correlation"))
-        for i, (a, b) in enumerate(pairs)
-        for x, y in dict.fromkeys([(a, b), (b, a)])
+    # centre each part on the mean of its pair, so that large means do not cancel out
+    pair = Window.partitionBy("pair")
+    n = F.col("n")
+    gap_x, gap_y = [
+        F.col(c) - F.sum(n * F.col(c)).over(pair) / F.sum("n").over(pair) for c in ("mean_x", "mean_y")
     ]
-    return wide.select(F.inline(F.array(*entries)))
+    centred = parts.withColumns({"gap_x": gap_x, "gap_y": gap_y})
+    between = lambda own, s, t: F.sum(F.col(own) + n * F.col(s) * F.col(t))
+    summed = centred.groupBy("pair").agg(
+        between("sxx", "gap_x", "gap_x").alias("sxx"), between("syy", "gap_y", "gap_y").alias("syy"),
+        between("sxy", "gap_x", "gap_y").alias("sxy"),
+        (F.min("min_x") == F.max("max_x")).alias("flat_x"), (F.min("min_y") == F.max("max_y")).alias("flat_y"),
+    )
+    spread = F.sqrt("sxx") * F.sqrt("syy")
+    value = F.when(~F.col("flat_x") & ~F.col("flat_y"), ratio(F.col("sxy"), spread))
+    found = summed.select("pair", value.alias("correlation"))
+    # both orders of every pair, also of pairs without a common row
+    named = factors.sparkSession.createDataFrame(
+        [(i, a, b) for i, p in enumerate(pairs) for a, b in dict.fromkeys([p, p[::-1]])],
+        "pair int, factor string, other string",
+    )
+    return named.join(found, "pair", "left").select("factor", "other", "correlation")
 
 
 def correlation_matrix(factors: DataFrame, columns=EVALUATED_FACTORS) -> DataFrame:

@@ -21,6 +21,7 @@ CROSS_WEIGHT = 0.10
 TOTAL_WEIGHTS = {
     "momentum_score": 0.30, "flow_score": 0.25, "chip_score": 0.15, "risk_score": 0.15, "liquidity_score": 0.15,
 }
+EXCLUSION_INPUTS = ["status", "is_suspended", "close", "limit_up", "list_date"]
 RANKED_INPUTS = [name.lstrip("-") for parts in SCORE_WEIGHTS.values() for name in parts]
 
 
@@ -104,7 +105,8 @@ def exclusion_reason() -> Column:
 
 def score(assembled: DataFrame, group_rows: int | None, **ranking) -> DataFrame:
     """Ranks use every row of the date, also the ones excluded afterwards."""
-    ranked = wide_average_ranks(assembled, RANKED_INPUTS, group_rows=group_rows, **ranking)
+    wanted = [c for c in assembled.columns if c in fv.FACTOR_COLUMNS or c in EXCLUSION_INPUTS]
+    ranked = wide_average_ranks(assembled.select(*wanted), RANKED_INPUTS, group_rows=group_rows, **ranking)
     return (
         composite_scores(ranked)
         .withColumn("exclusion_reason", exclusion_reason())

@@ -8,11 +8,9 @@ grows with the number of securities.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..functions.arrow_tasks import MACD_COLUMNS, macd_of_one_symbol
 from ..functions.columns import by_symbol, growth, ratio, rolling
 
 
@@ -78,30 +76,6 @@ def flow_indicators(flow: DataFrame) -> DataFrame:
 
 # --- exponential averages ---------------------------------------------------
 
-MACD_COLUMNS = ["ema12", "ema26", "dif", "dea", "prev_dif", "prev_dea"]
-
-
-def ema(values: np.ndarray, span: int) -> np.ndarray:
-    """Recursive average seeded with the first value; a gap stays a gap but ages the past."""
-    smoothed = pd.Series(values).ewm(span=span, adjust=False, ignore_na=False).mean().to_numpy()
-    return np.where(np.isnan(values), np.nan, smoothed)
-
-
-def _shifted(values: np.ndarray) -> np.ndarray:
-    return np.concatenate(([np.nan], values[:-1]))
-
-
-def _macd_of_one_symbol(rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by("trade_date")
-    price = rows.column("adj_close").to_numpy(zero_copy_only=False).astype("float64")
-    fast, slow = ema(price, 12), ema(price, 26)
-    dif = fast - slow
-    dea = ema(dif, 9)
-    for name, values in zip(MACD_COLUMNS, [fast, slow, dif, dea, _shifted(dif), _shifted(dea)]):
-        rows = rows.append_column(name, pa.array(values, pa.float64(), from_pandas=True))
-    return rows
-
-
 def with_macd(adjusted: DataFrame) -> DataFrame:
     """ema12, ema26, dif, dea and the golden cross.
 
@@ -115,7 +89,7 @@ def with_macd(adjusted: DataFrame) -> DataFrame:
     crossed = (F.col("prev_dif") <= F.col("prev_dea")) & (F.col("dif") > F.col("dea"))
     return (
         adjusted.groupBy("symbol")
-        .applyInArrow(_macd_of_one_symbol, schema)
+        .applyInArrow(macd_of_one_symbol, schema)
         .withColumn("macd_golden_cross", crossed)
         .drop("prev_dif", "prev_dea")
     )

@@ -91,12 +91,19 @@ def wide_average_ranks(
     frame: DataFrame, columns: list[str], day: str = "trade_date", key: str = "symbol",
     group_rows: int | None = None, task_rows: int = GROUP_ROWS_PER_TASK,
 ) -> DataFrame:
-    """Adds <column>__rank and <column>__n for each column, ranked per date."""
+    """Adds <column>__rank and <column>__n for each column, ranked per date.
+
+    In the window plan the columns that are not ranked travel as one struct: each of
+    the sorts then copies a single field instead of some twenty.
+    """
     if group_rows is not None and group_rows <= task_rows:
-        return frame.withColumns(
+        rest = [c for c in frame.columns if c not in {key, day, *columns}]
+        packed = frame.select(key, day, *columns, F.struct(*rest).alias("rest_")) if rest else frame
+        ranked = packed.withColumns(
             {f"{c}__rank": average_rank(F.col(c), [day]) for c in columns}
             | {f"{c}__n": group_count(F.col(c), [day]) for c in columns}
         )
+        return ranked.select("*", "rest_.*").drop("rest_") if rest else ranked
     base = materialise(frame, "cross-section")
     ranked = long_average_rank(
         unpivot(base, columns, [key, day]), ["factor", day], "value", [key], None, task_rows

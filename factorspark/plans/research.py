@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from dataclasses import dataclass
 
@@ -80,13 +79,13 @@ def measure(made: DataFrame, prices: DataFrame, holding_days: int, benchmark_sym
 def metrics_row(result: Backtest, primary_only: bool = True) -> DataFrame:
     """Every metric of a backtest beside each other, one row per benchmark (or the primary one)."""
     benchmarks = result.benchmarks.filter("position = 1") if primary_only else result.benchmarks
-    parts = [result.trade_metrics, result.return_metrics, result.turnover, benchmarks]
-    # single-row tables meet on a constant key
-    keyed = [p.withColumn("one_", F.lit(1)) for p in parts]
-    joined = keyed[0]
-    for other in keyed[1:]:
-        joined = joined.join(other, "one_")
-    return joined.drop("one_")
+    single = {"trade_": result.trade_metrics, "return_": result.return_metrics, "turnover_": result.turnover}
+    # one-row tables come in as scalar subqueries
+    whole = benchmarks.withColumns({
+        name: frame.select(F.struct(*frame.columns).alias("row")).scalar() for name, frame in single.items()
+    })
+    columns = [F.col(f"{name}.{c}") for name, frame in single.items() for c in frame.columns]
+    return whole.select(*columns, *benchmarks.columns)
 
 
 def backtest_candidate_001(data: Inputs, holding_days: int = 20, top: int = 10, benchmark_symbol=None) -> Backtest:
@@ -211,7 +210,3 @@ def refresh_quotes(ws: Workspace, symbols: list[str], trade_date: str | None = N
     watch_list = ws.spark.createDataFrame([(s,) for s in watched], "symbol string")
     return publishing.latest_quotes(watch_list, ws.current("daily_prices"), trade_date)
 
-
-def describe(result: Backtest) -> str:
-    """The metrics row as JSON text."""
-    return json.dumps(metrics_row(result).first().asDict(), sort_keys=True, default=str)

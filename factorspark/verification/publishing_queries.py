@@ -13,7 +13,7 @@ from ..sources import artifacts
 from ..sources.weekly_bars import MarketTables, security_symbol
 from . import sql
 from .registry import near, registered
-from .research_queries import SCORES, factor_run
+from .research_queries import SCORES, factor_run, stored_factors
 from .sql import PARTS, near_all, text, text_list
 
 
@@ -94,7 +94,7 @@ PARTS["lastpools"] = "SELECT * FROM poolchanges WHERE trade_date = (SELECT max(t
 SELECT place AS rank, symbol, name, trade_date, {near_all(['total_score', *SCORES], 8)}, exclusion_reason FROM (
   SELECT *, row_number() OVER (ORDER BY total_score DESC, symbol) AS place FROM factors WHERE tradable_flag AND trade_date = (SELECT max(trade_date) FROM factors)) WHERE place <= 20""")
 def _(m):
-    return near(research.rank_candidate_002(factor_run(m)), ["total_score", *SCORES], 8)
+    return near(research.rank_candidate_002(stored_factors(m)), ["total_score", *SCORES], 8)
 
 
 def all_pools(m) -> DataFrame:
@@ -115,7 +115,7 @@ def history(m) -> DataFrame:
 
 def _last_two(m) -> tuple[DataFrame, DataFrame]:
     """Pools of the newest date and of the one before it."""
-    run = factor_run(m)
+    run = stored_factors(m)
     newest = run.agg(F.max("trade_date").alias("d")).scalar()
     before = date_successors(m.calendar)
     dated = pools.pool_rows(run, 10).select("trade_date", "symbol", "rank").join(before, "trade_date", "left")
@@ -287,7 +287,7 @@ SELECT a.symbol, coalesce(tradable_flag, FALSE) AS in_latest_candidate_pool, CAS
 FROM (SELECT symbol FROM security UNION SELECT {sql._symbol('c_custkey')} FROM customer) a LEFT JOIN (SELECT * FROM factors WHERE trade_date = (SELECT max(trade_date) FROM factors)) f ON a.symbol = f.symbol""")
 def _(m):
     asked = m.security.select("symbol").union(m.raw("customer").select(security_symbol("c_custkey")))
-    rows = publishing.analyse_securities(asked, factor_run(m))
+    rows = publishing.analyse_securities(asked, stored_factors(m))
     shown = rows.select(
         "symbol", "in_latest_candidate_pool", "exclusion_reason", "total_score",
         F.size(F.filter("factor_values", lambda v: v["missing_data"])).alias("missing_values"),

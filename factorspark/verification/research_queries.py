@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.columns import rolling
 from ..operators import evaluation, factors, indicators, portfolio, signals, trades
 from ..operators.ranking import average_rank, group_count
+from ..plans import research
+from ..plans.runtime import materialise
 from ..sources.weekly_bars import MarketTables
 from . import sql
 from .registry import near, registered, signed_log
@@ -16,6 +20,7 @@ from .sql import log_all, near_all
 R = "symbol, trade_date"
 
 
+@lru_cache
 def adjusted(m: MarketTables) -> DataFrame:
     return indicators.adjust_prices(m.prices)
 
@@ -109,10 +114,12 @@ def _(m):
 
 # --- I ------------------------------------------------------------------------
 
+@lru_cache
 def factor_run(m: MarketTables) -> DataFrame:
     return factors.daily_factors(m.prices, m.flow, m.security, group_rows=m.cross_section_rows)
 
 
+@lru_cache
 def assembled(m: MarketTables) -> DataFrame:
     return factors.assemble(m.prices, m.flow, m.security)
 
@@ -189,6 +196,7 @@ def _(m):
 SIGNAL = ["close", "main_net_inflow_rate", "close_profit_ratio", "return_20d"]
 
 
+@lru_cache
 def signal_rows(m: MarketTables) -> DataFrame:
     return signals.candidates(m.prices, m.flow, m.security)
 
@@ -313,8 +321,13 @@ def _(m):
     return trades.rebalance_dates(m.raw("orders").select(F.col("o_orderdate").cast("date").alias("trade_date")), "weekly")
 
 
+def stored_factors(m: MarketTables) -> DataFrame:
+    """The factor run written once, for plans that read it more than once."""
+    return materialise(factor_run(m), "factor-run")
+
+
 def factor_trades(m: MarketTables, rebalance: str) -> DataFrame:
-    return trades.factor_trades(factor_run(m), m.prices, rebalance, 10)
+    return trades.factor_trades(stored_factors(m), m.prices, rebalance, 10)
 
 
 for _rebalance in ("weekly", "daily"):
@@ -427,29 +440,6 @@ _benchmark_query("l12_multi_benchmark", signal_portfolio, "portfolio", "exits20"
                  ["399006.SZ", "000852.SH", "399006.SZ", "899050.BJ", "000688.SH"])
 
 
-def backtest(m: MarketTables, made: DataFrame, holding_days: int) -> DataFrame:
-    """Trade, return, turnover and primary-benchmark metrics in one row per benchmark.
-
-    The trades are written once; five aggregates read them.
-    """
-    from ..plans.runtime import materialise
-
-    kept = materialise(made.select("symbol", "trade_date", "forward_return"), "trades")
-    series = portfolio.portfolio_returns(kept)
-    parts = [
-        portfolio.trade_metrics(kept),
-        portfolio.return_metrics(series, holding_days),
-        portfolio.turnover(series),
-        portfolio.benchmark_metrics(_matched(m, series, holding_days, None), holding_days),
-    ]
-    # one-row tables beside each other: an equi-join on a constant key
-    keyed = [p.withColumn("one_", F.lit(1)) for p in parts]
-    joined = keyed[0]
-    for other in keyed[1:]:
-        joined = joined.join(other, "one_")
-    return joined.drop("one_")
-
-
 _BACKTEST_MEASURES = TRADE_MEASURES + RETURN_MEASURES + ["turnover_proxy", "holding_overlap"] + BENCHMARK_MEASURES
 
 
@@ -465,7 +455,8 @@ JOIN ({sql.benchmark_statistics(portfolio_part, exits_part, per_year, [fv.DEFAUL
 
     @registered(key, select)
     def _(m):
-        return comparable(backtest(m, made(m), days), _BACKTEST_MEASURES)
+        result = research.measure(made(m), m.prices, days)
+        return comparable(research.metrics_row(result), _BACKTEST_MEASURES)
 
 
 _backtest_query("l13_signal_backtest", signal_trades, "trades", "portfolio", "exits20", 20)
@@ -536,4 +527,4 @@ def _(m):
     return near(evaluation.ic_summary(evaluation.ic_by_date(pairs(m), m.cross_section_rows)), _SUMMARY)
 
 
-# m7 (evaluation of a stored run) is registered with the publishing queries: it reads a written factor run.
+# m7, the evaluation of a stored run, is registered with the publishing queries.

@@ -378,3 +378,23 @@ def test_latest_factor_run_of_the_family(spark):
         "factor_run_id string, factor_version string, end_date string, created_at string",
     )
     assert catalog.latest_factor_run(runs).first().factor_run_id == "r2"
+
+
+def test_browsing_a_promoted_batch(spark, workspace):
+    from factorspark.plans import browse
+
+    with pytest.raises(ValueError):
+        browse.list_runs(workspace)
+    batch = promotion.land_batch(workspace, "tushare", "daily_prices", daily(spark, ("A.SH", "20260428", 2.0)), "2026-04-28")
+    promotion.promote_batch(workspace, "tushare", "daily_prices")
+    snapshot = promotion.create_snapshot(workspace, "2026-04-28")
+    runs = browse.list_runs(workspace).collect()
+    assert [(r.batch_id, r.row_count, r.total_runs) for r in runs] == [(batch, 1, 1)] and runs[0].schema_hash.endswith("...")
+    lineage = browse.inspect_run(workspace, batch).collect()
+    assert [(r.batch_id, r.snapshot_id) for r in lineage] == [(batch, snapshot)]
+    version = browse.inspect_curated(workspace, "daily_prices").first()
+    assert version.matches and version.actual_row_count == 1
+    assert browse.preview_curated(workspace, "daily_prices", columns=["symbol", "close"]).first().close == 2.0
+    assert browse.inspect_snapshot(workspace, snapshot).first().dataset_id == "daily_prices"
+    with pytest.raises(ValueError):
+        browse.preview_curated(workspace, "risk_events")

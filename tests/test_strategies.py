@@ -370,3 +370,40 @@ def test_latest_factor_date_prefers_tradable(spark):
     )
     assert pools.latest_factor_date(rows).first().trade_date == date(2026, 4, 27)
     assert pools.latest_factor_date(rows.filter("not tradable_flag")).first().trade_date == LAST
+
+
+def test_correlation_of_pairs_with_gaps_and_constants(spark):
+    import numpy as np
+    import pandas as pd
+
+    generator = np.random.default_rng(11)
+    frame = pd.DataFrame({
+        "a": generator.normal(size=500) + 1e6, "b": generator.normal(size=500), "flat": 0.1,
+        "sparse": np.where(np.arange(500) % 50 == 0, generator.normal(size=500), np.nan), "never": np.nan,
+    })
+    frame.loc[::7, "b"] = np.nan
+    rows = spark.createDataFrame(
+        [tuple(None if v != v else float(v) for v in row) for row in frame.itertuples(index=False)],
+        ", ".join(f"{c} double" for c in frame.columns),
+    ).repartition(6)
+    got = {(r.factor, r.other): r.correlation for r in evaluation.correlation(rows, list(frame.columns)).collect()}
+    assert len(got) == 25
+    expected = frame.corr()
+    for pair in (("a", "b"), ("b", "a"), ("a", "sparse"), ("b", "sparse"), ("a", "a")):
+        assert got[pair] == pytest.approx(expected.loc[pair], abs=1e-9)
+    assert all(v is None for k, v in got.items() if "flat" in k or "never" in k)
+
+
+def test_workers_do_not_need_the_package():
+    """The tasks unpickle in a process that cannot import the package."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from factorspark.functions import arrow_tasks
+
+    for task in (arrow_tasks.macd_of_one_symbol, arrow_tasks.pair_moments(["a"])):
+        code = "import sys, pickle; pickle.loads(sys.stdin.buffer.read()); assert 'factorspark' not in sys.modules"
+        done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(task), cwd="/", timeout=120)
+        assert done.returncode == 0
