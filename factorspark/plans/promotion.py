@@ -10,7 +10,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.catalog import next_number, snapshot_manifest
-from ..operators.enforcement import add_lineage, conform, missing_required, validate
+from ..operators.enforcement import add_lineage, conform, missing_required
 from ..operators.merging import coalescing_merge, only_known_keys, overlap_summary, with_version_status
 from ..operators.quality import promotion_warnings, report, table_issues
 from ..operators.raw_mapping import map_raw, suspension_events
@@ -75,18 +75,18 @@ def merge_into_current(
     table = TABLES[name]
     current = ws.current(name)
     key = list(table.key)
-    shaped = declared_columns(incoming, name)
-    overlap = overlap_summary(current, incoming, key).first().asDict()
+    # the batch is parsed once: its keys, its partitions and its rows are read below
+    shaped = materialise(declared_columns(incoming, name), f"incoming-{name}")
+    overlap = overlap_summary(current, shaped, key).first().asDict()
     touched = current
     if current is not None and table.partitions:
         parts = list(table.partitions)
-        touched = current.join(incoming.select(*parts).distinct(), parts, "left_semi")
+        touched = current.join(shaped.select(*parts).distinct(), parts, "left_semi")
     merged = coalescing_merge(touched, shaped, key, order)
     absent = missing_required(merged, table)
     if absent:
         raise ValueError("missing columns: " + ", ".join(absent))
     kept = materialise(conform(merged, table), f"merged-{name}")
-    validate(kept, table)
     rows, checksum = _fingerprint_after(ws, name, touched, kept)
     if table.partitions:
         curated.overwrite_partitions(kept, ws.root, name)
@@ -112,7 +112,7 @@ def _fingerprint_after(ws: Workspace, name: str, touched: DataFrame | None, kept
     The checksum is an xor of row hashes, so the replaced rows cancel out of the
     previous version's value.
     """
-    rows, checksum = curated.fingerprint(kept, name)
+    rows, checksum = curated.fingerprint(kept, name, required=True)
     if touched is None or not TABLES[name].partitions:
         return rows, checksum
     before_rows, before = curated.fingerprint(conform(touched, TABLES[name]), name)

@@ -50,11 +50,20 @@ def overwrite_partitions(frame: DataFrame, root: str, name: str) -> None:
     ).parquet(table_path(root, name))
 
 
-def fingerprint(frame: DataFrame, name: str) -> tuple[int, int]:
-    """(rows, order-free checksum) of rows in the table's schema."""
+def fingerprint(frame: DataFrame, name: str, required: bool = False) -> tuple[int, int]:
+    """(rows, order-free checksum) of rows in the table's schema.
+
+    With `required`, nulls in required columns are looked for in the same pass and
+    are an error."""
+    table = TABLES[name]
+    must = [c for c in table.columns if c in table.required] if required else []
     row = frame.agg(
-        F.count(F.lit(1)).alias("n"), content_checksum(TABLES[name].columns).alias("checksum")
+        F.count(F.lit(1)).alias("n"), content_checksum(table.columns).alias("checksum"),
+        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in must],
     ).first()
+    offending = [c for c in must if row[f"null_{c}"]]
+    if offending:
+        raise ValueError("non-nullable columns contain nulls: " + ", ".join(offending))
     return row["n"], int(row["checksum"])
 
 
