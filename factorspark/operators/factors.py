@@ -21,7 +21,6 @@ CROSS_WEIGHT = 0.10
 TOTAL_WEIGHTS = {
     "momentum_score": 0.30, "flow_score": 0.25, "chip_score": 0.15, "risk_score": 0.15, "liquidity_score": 0.15,
 }
-EXCLUSION_INPUTS = ["status", "is_suspended", "close", "limit_up", "list_date"]
 RANKED_INPUTS = [name.lstrip("-") for parts in SCORE_WEIGHTS.values() for name in parts]
 
 
@@ -79,13 +78,13 @@ def _weighted(parts: dict[str, float], value) -> Column:
 
 
 def composite_scores(ranked: DataFrame) -> DataFrame:
+    """Scores from the ranks; chip_score is already there, it needs none."""
     def of(name):
         return rank_score(name.lstrip("-"), inverse=name.startswith("-"))
 
     scores = {target: _weighted(parts, of) for target, parts in SCORE_WEIGHTS.items()}
     crossed = F.coalesce(F.col("macd_signal"), F.lit(False)).cast("double")
     scores["momentum_score"] = scores["momentum_score"] + crossed * F.lit(CROSS_WEIGHT)
-    scores["chip_score"] = chip_score()
     return ranked.withColumns(scores).withColumn("total_score", _weighted(TOTAL_WEIGHTS, F.col))
 
 
@@ -104,12 +103,16 @@ def exclusion_reason() -> Column:
 
 
 def score(assembled: DataFrame, group_rows: int | None, **ranking) -> DataFrame:
-    """Ranks use every row of the date, also the ones excluded afterwards."""
-    wanted = [c for c in assembled.columns if c in fv.FACTOR_COLUMNS or c in EXCLUSION_INPUTS]
-    ranked = wide_average_ranks(assembled.select(*wanted), RANKED_INPUTS, group_rows=group_rows, **ranking)
+    """Ranks use every row of the date, also the ones excluded.
+
+    What does not depend on a rank is settled first, so that fewer columns go
+    through the exchange by date and the sorts behind it.
+    """
+    settled = assembled.withColumns({"exclusion_reason": exclusion_reason(), "chip_score": chip_score()})
+    wanted = [c for c in settled.columns if c in fv.FACTOR_COLUMNS]
+    ranked = wide_average_ranks(settled.select(*wanted), RANKED_INPUTS, group_rows=group_rows, **ranking)
     return (
         composite_scores(ranked)
-        .withColumn("exclusion_reason", exclusion_reason())
         .withColumn("tradable_flag", F.col("exclusion_reason") == "none")
         .withColumn("factor_version", F.lit(fv.FACTOR_VERSION))
         .select(*fv.FACTOR_COLUMNS)
