@@ -110,6 +110,10 @@ def preview(
         frame = frame.filter(F.col(day) >= F.lit(start).cast(dict(frame.dtypes)[day]))
     if day and end:
         frame = frame.filter(F.col(day) <= F.lit(end).cast(dict(frame.dtypes)[day]))
+    # the year partitions follow from the date range, so whole folders are skipped
+    for bound, keep in ((start, ">="), (end, "<=")):
+        if bound and day and f"{day.split('_')[0]}_year" in frame.columns:
+            frame = frame.filter(f"{day.split('_')[0]}_year {keep} {int(bound[:4])}")
     wanted = columns or _PREVIEW.get(dataset, frame.columns[:8])
     attributes = [c for c in _SECURITY_ATTRIBUTES if c in wanted and c not in frame.columns]
     if attributes and security is not None and "symbol" in frame.columns:

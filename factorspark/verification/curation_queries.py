@@ -558,8 +558,9 @@ def _(m):
 
 
 @registered("e9_quality_report", f"""
-SELECT 'daily_prices' AS dataset_id, {len(_ABSENT) + 1} + 2 + 1 AS issue_count, 0 AS warning_count, FALSE AS passed
-WHERE (SELECT count(*) FROM lineitem) > 0""")
+SELECT 'daily_prices' AS dataset_id, n AS issue_count, 0 AS warning_count, n = 0 AS passed FROM (
+  SELECT {len(_ABSENT) + 1} + (SELECT CAST(count(*) > count(trade_date) AS INTEGER) + CAST(count(*) > count(asset_type) AS INTEGER) + CAST(count(*) = 0 AS INTEGER) FROM {_DAMAGED})
+    + (SELECT CAST(count(*) > 0 AS INTEGER) FROM (SELECT 1 FROM {_DAMAGED} GROUP BY symbol, trade_date HAVING count(*) > 1)) AS n)""")
 def _(m):
     rows = damaged_prices(m)
     issues = quality.table_issues(rows, TABLES["daily_prices"])

@@ -324,7 +324,8 @@ def _bundles(m):
 
 
 @registered("p11_payload_checks", f"""
-SELECT trade_date, 'complete' AS status, n AS stock_count, '' AS errors FROM (SELECT trade_date, count(*) AS n FROM pools GROUP BY 1)""")
+SELECT p.trade_date, s.status, n AS stock_count, '' AS errors FROM (SELECT trade_date, count(*) AS n FROM pools GROUP BY 1) p
+JOIN states s ON p.trade_date = s.trade_date""")
 def _(m):
     return _bundles(m).select(
         "trade_date", F.col("market_status.status").alias("status"),

@@ -396,5 +396,9 @@ def test_browsing_a_promoted_batch(spark, workspace):
     assert version.matches and version.actual_row_count == 1
     assert browse.preview_curated(workspace, "daily_prices", columns=["symbol", "close"]).first().close == 2.0
     assert browse.inspect_snapshot(workspace, snapshot).first().dataset_id == "daily_prices"
+    in_2025 = browse.preview_curated(workspace, "daily_prices", start="2025-01-01", end="2025-12-31")
+    assert in_2025.count() == 0
+    assert "trade_year" in in_2025._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:200]
+    assert browse.preview_curated(workspace, "daily_prices", start="2026-01-01", end="2026-12-31").count() == 1
     with pytest.raises(ValueError):
         browse.preview_curated(workspace, "risk_events")
