@@ -28,26 +28,28 @@ def assemble(prices: DataFrame, flow: DataFrame, security: DataFrame, start=None
     """Indicators over the whole history joined with flow and security attributes.
 
     asset_type is a property of the symbol, so index rows are dropped before any window.
-    Both window stages are laid out by symbol, and so is the join between them. The
-    date range is cut after the windows; only the exponential average, which needs
-    no later row, runs on the joined rows in the same layout.
+    Prices, flow and securities are each exchanged once, by symbol; the windows, both
+    joins and the exponential average run in that layout. The average comes last
+    because rows returned from Python have no known layout. The date range is cut
+    after everything that looks back.
     """
     price_rows = price_indicators(adjust_prices(stocks_only(normalise_prices(prices))))
     flow_rows = flow_indicators(normalise_flow(flow))
     attributes = [c for c in ["symbol", "name", "market_segment", "industry", "list_date", "status"] if c in security.columns]
-    joined = price_rows.join(flow_rows, ["symbol", "trade_date"], "left")
-    wanted = [
-        c for c in joined.columns
-        if c not in ("open", "high", "low", "pre_close", "volume", "pct_change", "turnover_rate", "adj_factor",
-                     "limit_down", "asset_type", "adj_open", "daily_return")
-    ]
-    rows = with_macd(joined.select(*wanted)).withColumnRenamed("macd_golden_cross", "macd_signal")
-    rows = rows.drop("ema12", "ema26", "dif", "dea")
+    joined = price_rows.join(flow_rows, ["symbol", "trade_date"], "left").join(
+        security.select(*attributes), "symbol", "left"
+    )
+    unused = {
+        "open", "high", "low", "pre_close", "volume", "pct_change", "turnover_rate", "adj_factor", "limit_down",
+        "asset_type", "adj_open", "daily_return", "amount",
+    }
+    rows = with_macd(joined.select(*[c for c in joined.columns if c not in unused]))
+    rows = rows.withColumnRenamed("macd_golden_cross", "macd_signal").drop("ema12", "ema26", "dif", "dea", "adj_close")
     if start is not None:
         rows = rows.filter(F.col("trade_date") >= F.lit(start).cast("date"))
     if end is not None:
         rows = rows.filter(F.col("trade_date") <= F.lit(end).cast("date"))
-    return default_factor_inputs(rows.join(security.select(*attributes), "symbol", "left"))
+    return default_factor_inputs(rows)
 
 
 def rank_score(column: str, inverse: bool = False) -> Column:

@@ -245,6 +245,21 @@ def test_scores_do_not_depend_on_the_ranking_plan(factor_inputs):
         assert small[name].tolist() == pytest.approx(large[name].tolist())
 
 
+def test_factor_run_exchanges_each_input_once(spark, factor_inputs):
+    """Without broadcasts: three exchanges by symbol, one by date, none for the joins."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = factors.daily_factors(factor_inputs.prices, factor_inputs.flow, factor_inputs.security, group_rows=10)
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len([e for e in exchanges if "hashpartitioning(symbol" in e]) == 3
+    assert len([e for e in exchanges if "hashpartitioning(trade_date" in e]) == 1
+    assert len(exchanges) == 4
+
+
 def test_rank_002_is_tradable_only(factor_run):
     _, run = factor_run
     assert [r.symbol for r in research.rank_candidate_002(run, "2026-03-31", 5).collect()] == ["600519.SH"]
