@@ -34,7 +34,9 @@ def test_result_equals_sql(spark, database, key):
 
 def test_every_query_has_a_statement_duckdb_accepts(database):
     statements = entry_points.oracle_sql()
-    assert set(statements) == set(entry_points.queries())
+    # Only the training-data operators may lack a statement; tests/llm compares them with brute force.
+    assert all(key == "pipeline" or key.startswith("op") for key in set(entry_points.queries()) - set(statements))
+    assert set(statements) <= set(entry_points.queries())
     for statement in statements.values():
         database.execute("EXPLAIN " + statement)
 
