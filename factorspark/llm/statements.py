@@ -12,8 +12,8 @@ def _found(order: int, kind: str, pattern: str, group: int, least: int) -> str:
     value = f"regexp_extract_all(text, '{pattern}', {group})"
     return f"""
     SELECT number, doc_id, source, {order} AS ord, '{kind}' AS kind, gap, whole, value,
-           sum(length(gap) + length(whole)) OVER (PARTITION BY number ORDER BY at) AS stop, length(value) >= {least} AS holds
-    FROM (SELECT number, doc_id, source, unnest(range(len(wholes))) AS at, unnest(wholes) AS whole, unnest(vals) AS value,
+           sum(length(gap) + length(whole)) OVER (PARTITION BY number ORDER BY nth) AS stop, length(value) >= {least} AS holds
+    FROM (SELECT number, doc_id, source, unnest(range(len(wholes))) AS nth, unnest(wholes) AS whole, unnest(vals) AS value,
                  unnest(gaps[1:len(wholes)]) AS gap
           FROM (SELECT number, doc_id, source, regexp_extract_all(text, '{pattern}') AS wholes, {value} AS vals,
                        string_split_regex(text, '{pattern}') AS gaps FROM docs))"""
