@@ -7,6 +7,7 @@ pyarrow but not this package on its executors.
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,25 +22,42 @@ MOMENT_COLUMNS = [
 ]
 
 
-def ema(values: np.ndarray, span: int) -> np.ndarray:
-    """Recursive average seeded with the first value; a gap stays a gap but ages the past."""
-    smoothed = pd.Series(values).ewm(span=span, adjust=False, ignore_na=False).mean().to_numpy()
-    return np.where(np.isnan(values), np.nan, smoothed)
+def _averages(first: np.ndarray, price: np.ndarray) -> pd.DataFrame:
+    """MACD_COLUMNS of whole symbols; `first` marks where one begins.
 
+    The averages are recursive and seeded with the first value; a gap stays a gap but ages the past.
+    """
+    symbol = np.cumsum(first)
 
-def _shifted(values: np.ndarray) -> np.ndarray:
-    return np.concatenate(([np.nan], values[:-1]))
+    def ema(values: np.ndarray, span: int) -> np.ndarray:
+        smoothed = pd.Series(values).groupby(symbol).ewm(span=span, adjust=False, ignore_na=False).mean()
+        return np.where(np.isnan(values), np.nan, smoothed.to_numpy())
 
+    def shifted(values: np.ndarray) -> np.ndarray:
+        return np.where(first, np.nan, np.concatenate(([np.nan], values[:-1])))
 
-def macd_of_one_symbol(rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by("trade_date")
-    price = rows.column("adj_close").to_numpy(zero_copy_only=False).astype("float64")
     fast, slow = ema(price, 12), ema(price, 26)
     dif = fast - slow
     dea = ema(dif, 9)
-    for name, values in zip(MACD_COLUMNS, [fast, slow, dif, dea, _shifted(dif), _shifted(dea)]):
-        rows = rows.append_column(name, pa.array(values, pa.float64(), from_pandas=True))
-    return rows
+    return pd.DataFrame(dict(zip(MACD_COLUMNS, [fast, slow, dif, dea, shifted(dif), shifted(dea)])))
+
+
+def macd_of_symbols(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Rows in order of (symbol, date): their place in the symbol and the price.
+
+    A symbol whose rows may go on in the next batch waits for it.
+    """
+    places, prices = np.zeros(0, "int64"), np.zeros(0)
+    for place, price in batches:
+        places = np.concatenate([places, place.to_numpy("int64")])
+        prices = np.concatenate([prices, price.to_numpy("float64")])
+        starts = np.flatnonzero(places == 1)
+        cut = starts[-1] if len(starts) else 0
+        if cut:
+            yield _averages(places[:cut] == 1, prices[:cut])
+            places, prices = places[cut:], prices[cut:]
+    if len(places):
+        yield _averages(places == 1, prices)
 
 
 def pair_moments(columns: list[str]):

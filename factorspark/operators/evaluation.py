@@ -32,10 +32,10 @@ def paired(factors: DataFrame, prices: DataFrame, forward_days: int, columns=EVA
     return unpivot(joined, list(columns), ["symbol", "trade_date", "forward_return"])
 
 
-def ic_by_date(pairs: DataFrame, group_rows: int | None = None, **ranking) -> DataFrame:
+def ic_by_date(pairs: DataFrame, stored: bool = False) -> DataFrame:
     """Pearson and rank correlation per factor and date; dates with too few pairs are left out."""
-    ranked = ordinal_rank(pairs, _GROUP, "value", ["symbol"], "value_rank", group_rows, **ranking)
-    ranked = ordinal_rank(ranked, _GROUP, "forward_return", ["symbol"], "return_rank", group_rows, **ranking)
+    ranked = ordinal_rank(pairs, _GROUP, "value", ["symbol"], "value_rank", stored)
+    ranked = ordinal_rank(ranked, _GROUP, "forward_return", ["symbol"], "return_rank", stored=True)
     rank = lambda name: F.col(name).cast("double")
     return (
         ranked.groupBy(*_GROUP)
@@ -60,11 +60,11 @@ def ic_only(pairs: DataFrame) -> DataFrame:
     )
 
 
-def group_returns(pairs: DataFrame, groups: int, group_rows: int | None = None, **ranking) -> DataFrame:
+def group_returns(pairs: DataFrame, groups: int, stored: bool = False) -> DataFrame:
     """Mean forward return per factor and quantile group over all dates."""
     if groups < 2:
         raise ValueError("groups must be >= 2")
-    ranked = long_average_rank(pairs, _GROUP, "value", ["symbol"], group_rows, **ranking)
+    ranked = long_average_rank(pairs, _GROUP, "value", ["symbol"], stored)
     share = (F.col("avg_rank") - F.lit(1.0)) / F.col("group_size") * F.lit(groups)
     bucket = F.least(F.greatest(F.floor(share), F.lit(0)), F.lit(groups - 1))
     return ranked.groupBy("factor", bucket.alias("group")).agg(

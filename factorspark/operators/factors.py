@@ -104,15 +104,14 @@ def exclusion_reason() -> Column:
     )
 
 
-def score(assembled: DataFrame, group_rows: int | None, **ranking) -> DataFrame:
+def score(assembled: DataFrame) -> DataFrame:
     """Ranks use every row of the date, also the ones excluded.
 
-    What does not depend on a rank is settled first, so that fewer columns go
-    through the exchange by date and the sorts behind it.
+    What does not depend on a rank is settled first, so that fewer columns are stored.
     """
     settled = assembled.withColumns({"exclusion_reason": exclusion_reason(), "chip_score": chip_score()})
     wanted = [c for c in settled.columns if c in fv.FACTOR_COLUMNS]
-    ranked = wide_average_ranks(settled.select(*wanted), RANKED_INPUTS, group_rows=group_rows, **ranking)
+    ranked = wide_average_ranks(settled.select(*wanted), RANKED_INPUTS)
     return (
         composite_scores(ranked)
         .withColumn("tradable_flag", F.col("exclusion_reason") == "none")
@@ -121,6 +120,6 @@ def score(assembled: DataFrame, group_rows: int | None, **ranking) -> DataFrame:
     )
 
 
-def daily_factors(prices, flow, security, start=None, end=None, group_rows: int | None = None) -> DataFrame:
-    """The whole factor run as one lazy plan."""
-    return score(assemble(prices, flow, security, start, end), group_rows)
+def daily_factors(prices, flow, security, start=None, end=None) -> DataFrame:
+    """The whole factor run."""
+    return score(assemble(prices, flow, security, start, end))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.arrow_tasks import MACD_COLUMNS, macd_of_one_symbol
+from ..functions.arrow_tasks import MACD_COLUMNS, macd_of_symbols
 from ..functions.columns import by_symbol, growth, ratio, rolling
 
 
@@ -79,24 +79,23 @@ def flow_indicators(flow: DataFrame) -> DataFrame:
 def with_macd(adjusted: DataFrame) -> DataFrame:
     """ema12, ema26, dif, dea and the golden cross.
 
-    The average is a recurrence, which SQL windows cannot express; one ordered pass
-    per symbol over Arrow columns does. Groups are bounded by the calendar, and the
-    input is already laid out by symbol, so this adds no shuffle.
+    The average is a recurrence, which SQL windows cannot express. Python sees two columns
+    of the rows as the window by symbol leaves them, many symbols per Arrow batch; the other
+    columns stay in the JVM and the layout by symbol is kept.
     """
-    schema = T.StructType(
-        adjusted.schema.fields + [T.StructField(c, T.DoubleType()) for c in MACD_COLUMNS]
-    )
-    crossed = (F.col("prev_dif") <= F.col("prev_dea")) & (F.col("dif") > F.col("dea"))
-    return (
-        adjusted.groupBy("symbol")
-        .applyInArrow(macd_of_one_symbol, schema)
-        .withColumn("macd_golden_cross", crossed)
-        .drop("prev_dif", "prev_dea")
+    averages = F.pandas_udf(macd_of_symbols, T.StructType([T.StructField(c, T.DoubleType()) for c in MACD_COLUMNS]))
+    rows = (
+        adjusted.withColumn("place_", F.row_number().over(by_symbol()))
+        .sortWithinPartitions("symbol", "trade_date")  # the window's own order: no further sort
+        .withColumn("macd_", averages.asNondeterministic()("place_", "adj_close"))
     )
+    crossed = (F.col("macd_.prev_dif") <= F.col("macd_.prev_dea")) & (F.col("macd_.dif") > F.col("macd_.dea"))
+    shown = [F.col(f"macd_.{c}").alias(c) for c in MACD_COLUMNS if not c.startswith("prev_")]
+    return rows.select(*adjusted.columns, *shown, crossed.alias("macd_golden_cross"))
 
 
-def period_return(rows: DataFrame, days: int, key: str = "symbol") -> DataFrame:
-    """(key, trade_date, period_return): change over the last `days` rows, in percent.
+def change_within(days: int, key: str = "symbol") -> Column:
+    """Change over the last `days` rows, in percent.
 
     `days` rows span days - 1 intervals; fewer than two rows give null. A missing
     close counts as zero.
@@ -104,6 +103,9 @@ def period_return(rows: DataFrame, days: int, key: str = "symbol") -> DataFrame:
     frame = Window.partitionBy(key).orderBy("trade_date").rowsBetween(1 - days, Window.currentRow)
     close = F.coalesce(F.col("close"), F.lit(0.0))
     change = growth(F.last(close).over(frame), F.first(close).over(frame)) * F.lit(100.0)
-    return rows.select(
-        key, "trade_date", F.when(F.count(F.lit(1)).over(frame) >= 2, change).alias("period_return")
-    )
+    return F.when(F.count(F.lit(1)).over(frame) >= 2, change)
+
+
+def period_return(rows: DataFrame, days: int, key: str = "symbol") -> DataFrame:
+    """(key, trade_date, period_return)."""
+    return rows.select(key, "trade_date", change_within(days, key).alias("period_return"))

@@ -1,106 +1,85 @@
-"""Cross-sectional ranks that also hold when one group is most of the data.
-
-A window ranks a group inside one task. That is the fastest plan while the largest
-group is known to be small, so callers pass a proven bound (`group_rows`). Beyond
-GROUP_ROWS_PER_TASK the same ranks come from range partitions:
-
-1. rows are range-partitioned on (group, value, tie-break); the tie-break makes the
-   order total, so a value shared by a third of the rows still splits;
-2. the layout is written once with its partition number, so all later steps agree
-   on it even if an executor is lost;
-3. the ordinal is the position inside the partition plus the group's rows in
-   earlier partitions, a table of at most (groups + partitions) rows;
-4. the average rank is the mean ordinal of equal values (combined before the shuffle).
+"""Cross-sectional ranks, one plan for every size.
+
+A window would rank a group inside one task, however large the group. Here rows are
+range-partitioned on (group, value, tie-break), which splits a group with most of the
+rows, and a value shared by a third of them, over tasks:
+
+1. the sorted layout is written once with a running number, so all later steps agree on
+   it even if an executor is lost; the number of parts follows from the counted rows;
+2. a table with a row per group and part says where each group starts in a part and how
+   many of its rows lie in earlier parts; with it, the running number gives the ordinal;
+3. the average rank of a value that occurs more than once is the mean ordinal of its
+   rows (combined before the shuffle).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..plans.runtime import GROUP_ROWS_PER_TASK, materialise
-
-
-def average_rank(column: Column, group: list[str]) -> Column:
-    """Mean rank of ties, over the non-null values of the group; null stays null."""
-    ordered = Window.partitionBy(*group).orderBy(column.asc_nulls_last())
-    # peers of a row = rows sharing its value: the default RANGE frame ends at the last peer
-    last_peer = F.count(column).over(ordered)
-    return F.when(column.isNotNull(), (F.rank().over(ordered) + last_peer) / F.lit(2.0))
-
-
-def group_count(column: Column, group: list[str]) -> Column:
-    return F.count(column).over(Window.partitionBy(*group))
-
-
-def _range_layout(rows: DataFrame, group: list[str], value: str, tie_break: list[str]) -> DataFrame:
-    return materialise(
-        rows.repartitionByRange(*[F.col(c) for c in [*group, value, *tie_break]])
-        .withColumn("part_", F.spark_partition_id()),
-        "range-layout",
-    )
-
-
-def _ordinals(rows: DataFrame, group: list[str], value: str, tie_break: list[str], name: str) -> DataFrame:
-    laid_out = _range_layout(rows, group, value, tie_break)
-    earlier = (
-        Window.partitionBy(*group).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        laid_out.groupBy(*group, "part_").agg(F.count(F.lit(1)).alias("rows_"))
-        .withColumn("before_", F.coalesce(F.sum("rows_").over(earlier), F.lit(0)))
-        .drop("rows_")
+from ..plans.runtime import materialise
+
+PART_ROWS = 250_000
+
+
+def _laid_out(rows: DataFrame, group: list[str], value: str, tie_break: list[str]) -> DataFrame:
+    """Rows in rank order with ordinal_ and group_size of their group. `rows` is read twice."""
+    keys = [F.col(c) for c in [*group, value, *tie_break]]
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // PART_ROWS))
+    laid_out = materialise(
+        rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+        .withColumn("place_", F.monotonically_increasing_id()),
+        "rank-layout",
+    ).withColumn("part_", F.shiftright("place_", 33))
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per group and part it touches: at most groups + parts rows
+    starts = materialise(
+        laid_out.groupBy(*group, "part_").agg(F.count(F.lit(1)).alias("rows_"), F.min("place_").alias("first_"))
+        .select(
+            *group, "part_", (F.coalesce(F.sum("rows_").over(earlier), F.lit(0)) + 1 - F.col("first_")).alias("shift_"),
+            F.sum("rows_").over(whole).alias("group_size"),
+        ),
+        "rank-starts",
     )
-    inside = Window.partitionBy(*group, "part_").orderBy(value, *tie_break)
     return (
-        laid_out.withColumn("inside_", F.row_number().over(inside))
-        .join(offsets, [*group, "part_"])
-        .withColumn(name, F.col("inside_") + F.col("before_"))
-        .drop("inside_", "before_", "part_")
+        laid_out.join(starts, [*group, "part_"]).withColumn("ordinal_", F.col("place_") + F.col("shift_"))
+        .drop("place_", "part_", "shift_")
     )
 
 
 def ordinal_rank(
-    rows: DataFrame, group: list[str], value: str, tie_break: list[str], name: str,
-    group_rows: int | None = None, task_rows: int = GROUP_ROWS_PER_TASK,
+    rows: DataFrame, group: list[str], value: str, tie_break: list[str], name: str, stored: bool = False
 ) -> DataFrame:
-    """1..n by (value, tie_break) in each group. `value` must not be null."""
-    if group_rows is not None and group_rows <= task_rows:
-        order = Window.partitionBy(*group).orderBy(value, *tie_break)
-        return rows.withColumn(name, F.row_number().over(order))
-    return _ordinals(rows, group, value, tie_break, name)
+    """1..n by (value, tie_break) in each group. `value` must not be null.
+
+    `stored` rows are cheap to read again; others are written once first."""
+    rows = rows if stored else materialise(rows, "rank-input")
+    return _laid_out(rows, group, value, tie_break).withColumnRenamed("ordinal_", name).drop("group_size")
 
 
 def long_average_rank(
-    rows: DataFrame, group: list[str], value: str, tie_break: list[str],
-    group_rows: int | None = None, task_rows: int = GROUP_ROWS_PER_TASK,
+    rows: DataFrame, group: list[str], value: str, tie_break: list[str], stored: bool = False
 ) -> DataFrame:
-    """Adds avg_rank and group_size to long rows whose `value` is not null."""
-    if group_rows is not None and group_rows <= task_rows:
-        return rows.withColumns(
-            {"avg_rank": average_rank(F.col(value), group), "group_size": group_count(F.col(value), group)}
-        )
-    ranked = _ordinals(rows, group, value, tie_break, "ordinal_")
-    ties = ranked.groupBy(*group, value).agg(
-        ((F.min("ordinal_") + F.max("ordinal_")) / F.lit(2.0)).alias("avg_rank")
+    """Adds avg_rank (ties share their mean rank) and group_size to long rows whose `value` is not null."""
+    rows = rows if stored else materialise(rows, "rank-input")
+    ranked = _laid_out(rows, group, value, tie_break)
+    ties = (
+        ranked.groupBy(*group, value).agg(
+            F.count(F.lit(1)).alias("times_"), ((F.min("ordinal_") + F.max("ordinal_")) / F.lit(2.0)).alias("shared_"),
+        ).filter(F.col("times_") > 1).drop("times_")
+    )
+    return (
+        ranked.join(ties, [*group, value], "left")
+        .withColumn("avg_rank", F.coalesce("shared_", F.col("ordinal_").cast("double"))).drop("shared_", "ordinal_")
     )
-    sizes = rows.groupBy(*group).agg(F.count(value).alias("group_size"))
-    return rows.join(ties, [*group, value]).join(sizes, group)
 
 
-def wide_average_ranks(
-    frame: DataFrame, columns: list[str], day: str = "trade_date", key: str = "symbol",
-    group_rows: int | None = None, task_rows: int = GROUP_ROWS_PER_TASK,
-) -> DataFrame:
-    """Adds <column>__rank and <column>__n for each column, ranked per date."""
-    if group_rows is not None and group_rows <= task_rows:
-        return frame.withColumns(
-            {f"{c}__rank": average_rank(F.col(c), [day]) for c in columns}
-            | {f"{c}__n": group_count(F.col(c), [day]) for c in columns}
-        )
+def wide_average_ranks(frame: DataFrame, columns: list[str], day: str = "trade_date", key: str = "symbol") -> DataFrame:
+    """Adds <column>__rank and <column>__n for each column, ranked per date.
+
+    Only (key, date, factor, value) goes through the sort: the wide rows wait in storage."""
     base = materialise(frame, "cross-section")
-    ranked = long_average_rank(
-        unpivot(base, columns, [key, day]), ["factor", day], "value", [key], None, task_rows
-    )
+    ranked = long_average_rank(unpivot(base, columns, [key, day]), ["factor", day], "value", [key], stored=True)
     chosen = [F.col("factor") == F.lit(c) for c in columns]
     wide = ranked.groupBy(key, day).agg(
         *[F.max(F.when(hit, F.col("avg_rank"))).alias(f"{c}__rank") for hit, c in zip(chosen, columns)]

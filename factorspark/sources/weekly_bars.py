@@ -406,11 +406,3 @@ class MarketTables:
             F.concat(F.lit("snapshot_"), F.date_format("created_at", "yyyyMM"), F.lit("01_001")).alias("snapshot_id"),
             "curated_version_id",
         )
-
-    @cached_property
-    def cross_section_rows(self) -> int:
-        """Exact bound of the rows one date can hold: the securities that traded.
-
-        One column of lineitem, combined before the shuffle.
-        """
-        return self.raw("lineitem").select("l_suppkey").distinct().count()

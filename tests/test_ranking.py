@@ -30,26 +30,25 @@ def by_pandas(values):
     return frame.set_index("symbol")
 
 
-@pytest.mark.parametrize("group_rows", [None, 10_000])
-def test_ranks_of_a_hot_group_with_a_hot_value(spark, group_rows):
+@pytest.mark.parametrize("part_rows", [100, 250_000])
+def test_ranks_of_a_hot_group_with_a_hot_value(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(ranking, "PART_ROWS", part_rows)
     values = skewed()
     expected = by_pandas(values)
     frame = rows_of(spark, values)
-    ordinal = ranking.ordinal_rank(frame, ["g"], "value", ["symbol"], "n", group_rows).toPandas().set_index("symbol")
+    ordinal = ranking.ordinal_rank(frame, ["g"], "value", ["symbol"], "n").toPandas().set_index("symbol")
     assert (ordinal.n.sort_index() == expected.ordinal.sort_index()).all()
-    average = ranking.long_average_rank(frame, ["g"], "value", ["symbol"], group_rows).toPandas().set_index("symbol")
+    average = ranking.long_average_rank(frame, ["g"], "value", ["symbol"]).toPandas().set_index("symbol")
     assert np.allclose(average.avg_rank.sort_index(), expected.avg.sort_index())
     assert (average.group_size.sort_index() == expected.groupby("g").value.transform("size").sort_index()).all()
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.sampled_from("ab"), st.sampled_from([0.0, 1.0, -2.5, 3.25])), min_size=1, max_size=40))
-def test_both_plans_agree(spark, values):
+def test_ranks_equal_pandas(spark, values):
     frame = rows_of(spark, values)
-    small = ranking.long_average_rank(frame, ["g"], "value", ["symbol"], 100).orderBy("symbol").toPandas()
-    large = ranking.long_average_rank(frame, ["g"], "value", ["symbol"], None).orderBy("symbol").toPandas()
-    assert small.avg_rank.tolist() == large.avg_rank.tolist()
-    assert small.avg_rank.tolist() == by_pandas(values).avg.sort_index().tolist()
+    got = ranking.long_average_rank(frame, ["g"], "value", ["symbol"]).orderBy("symbol").toPandas()
+    assert got.avg_rank.tolist() == by_pandas(values).avg.sort_index().tolist()
 
 
 def test_wide_ranks_agree_and_ignore_nulls(spark):
@@ -59,15 +58,11 @@ def test_wide_ranks_agree_and_ignore_nulls(spark):
         for i in range(200)
     ]
     frame = spark.createDataFrame(rows, "symbol string, trade_date string, x double, y double")
-    results = [
-        ranking.wide_average_ranks(frame, ["x", "y"], group_rows=bound).orderBy("symbol").toPandas()
-        for bound in (1000, None)
-    ]
+    got = ranking.wide_average_ranks(frame, ["x", "y"]).orderBy("symbol").toPandas()
     pandas = pd.DataFrame(rows, columns=["symbol", "trade_date", "x", "y"]).sort_values("symbol").reset_index()
-    for got in results:
-        for name in ("x", "y"):
-            assert np.allclose(got[f"{name}__rank"].astype(float), pandas.groupby("trade_date")[name].rank(), equal_nan=True)
-            assert (got[f"{name}__n"] == pandas.groupby("trade_date")[name].transform("count")).all()
+    for name in ("x", "y"):
+        assert np.allclose(got[f"{name}__rank"].astype(float), pandas.groupby("trade_date")[name].rank(), equal_nan=True)
+        assert (got[f"{name}__n"] == pandas.groupby("trade_date")[name].transform("count")).all()
 
 
 def test_top_per_group_limits_before_the_shuffle(spark):
