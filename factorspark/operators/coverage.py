@@ -134,12 +134,33 @@ def work_list(datasets: list[str], days: DataFrame, symbols: DataFrame, batch_si
     )
 
 
-def with_not_found(results: DataFrame, requested: DataFrame, key: list[str]) -> DataFrame:
-    """Results plus one placeholder per requested key without any result."""
+def span_work_list(dataset: str, start: str | None, end: str | None, symbols: DataFrame, batch_size: int) -> DataFrame:
+    """Requests over a span of dates without a date of their own: one per range of symbols."""
+    if batch_size <= 0:
+        raise ValueError("batch_size must be positive")
+    one = symbols.agg(F.count(F.lit(1)).alias("n_"))
+    starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("n_") - 1, F.lit(0)), F.lit(batch_size).cast("bigint"))
+    ranges = one.select("n_", F.explode(starts).alias("symbol_start")).filter("symbol_start < n_")
+    return ranges.select(
+        F.lit(dataset).alias("dataset"), F.lit(start).cast("date").alias("start_date"), F.lit(end).cast("date").alias("end_date"),
+        "symbol_start", F.least(F.col("symbol_start") + batch_size, F.col("n_")).alias("symbol_end"),
+    )
+
+
+def span_not_found(requested: DataFrame, results: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    """Results plus one row per requested ts_code without any, dated at the end of the window asked for."""
+    compact = lambda day: F.date_format(F.lit(day).cast("date"), "yyyyMMdd")
+    until = compact(end or start)
+    window = {"trade_date": until, "request_start_date": compact(start), "request_end_date": until}
+    return with_not_found(results, requested.select("ts_code").distinct(), ["ts_code"], window)
+
+
+def with_not_found(results: DataFrame, requested: DataFrame, key: list[str], noted: dict | None = None) -> DataFrame:
+    """Results plus one placeholder per requested key without any result; `noted` columns are set on these."""
     found = results.withColumn("provider_status", F.lit("found")) if "provider_status" not in results.columns else results
     empty = (
         requested.join(results.select(*key), key, "left_anti")
-        .withColumns({"provider_status": F.lit("not_found"), "provider_message": F.lit("empty_result")})
+        .withColumns({"provider_status": F.lit("not_found"), "provider_message": F.lit("empty_result"), **(noted or {})})
     )
     return found.unionByName(empty, allowMissingColumns=True)
 

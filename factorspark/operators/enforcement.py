@@ -78,8 +78,8 @@ def validate(frame: DataFrame, table: CuratedTable) -> None:
         raise ValueError("non-nullable columns contain nulls: " + ", ".join(sorted(offending)))
 
 
-def conform(frame: DataFrame, table: CuratedTable) -> DataFrame:
-    """Schema order and types; text that does not parse becomes null."""
+def conform(frame: DataFrame, table: CuratedTable, keep: list[str] = ()) -> DataFrame:
+    """Schema order and types (and the columns to `keep`); text that does not parse becomes null."""
     from pyspark.sql import types as T
 
     filled = add_missing_nullable(frame, table)
@@ -92,7 +92,7 @@ def conform(frame: DataFrame, table: CuratedTable) -> DataFrame:
             return F.col(field.name)
         return F.col(field.name).try_cast(field.dataType).alias(field.name)
 
-    return filled.select(*[typed(f) for f in table.schema.fields])
+    return filled.select(*[typed(f) for f in table.schema.fields], *keep)
 
 
 def normalise_prices(frame: DataFrame) -> DataFrame:

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def coalescing_merge(existing: DataFrame | None, incoming: DataFrame, key: list[str], order: list[str] = ()) -> DataFrame:
+def coalescing_merge(
+    existing: DataFrame | None, incoming: DataFrame, key: list[str], order: list[str] = (), counted: bool = False
+) -> DataFrame:
     """Per key and column the last non-null value; a later null never erases.
 
     Rows of `incoming` follow all rows of `existing`; among themselves they follow the
     `order` columns (a batch number, say), which are not kept. Equal order falls back
     to the larger value, so the result does not depend on row order, which Spark does
     not have. The aggregate combines before its shuffle: a key repeated in a third of
-    the rows arrives as one row per task.
+    the rows arrives as one row per task. `counted` adds in_ (incoming rows of the key) and
+    had_ (whether it existed), from which `overlap_of` is summed.
     """
     later = incoming.withColumn("side_", F.lit(1))
     rows = later
@@ -25,8 +28,20 @@ def coalescing_merge(existing: DataFrame | None, incoming: DataFrame, key: list[
         ranked = F.struct(*position, F.col(name).alias("kept_"))
         return F.max(F.when(F.col(name).isNotNull(), ranked))["kept_"].alias(name)
 
-    merged = rows.groupBy(*key).agg(*[last_known(c) for c in columns])
-    return merged.select(*[c for c in rows.columns if c not in {*order, "side_"}])
+    sides = [F.sum("side_").alias("in_"), F.min("side_").alias("new_")] if counted else []
+    merged = rows.groupBy(*key).agg(*[last_known(c) for c in columns], *sides)
+    kept = merged.select(*[c for c in rows.columns if c not in {*order, "side_"}], *[s for s in ("in_", "new_") if counted])
+    return kept.withColumn("had_", F.col("new_") == 0).drop("new_") if counted else kept
+
+
+def overlap_of(counted: str = "in_", had: str = "had_") -> list[Column]:
+    """The aggregates of `overlap_summary` over the rows of a counted merge."""
+    incoming, there = F.col(counted), F.col(had)
+    return [
+        F.coalesce(F.sum(incoming), F.lit(0)).alias("incoming_rows"),
+        F.count_if(incoming > 1).alias("incoming_duplicate_keys"),
+        F.count_if((incoming > 0) & there).alias("overlap_keys"),
+    ]
 
 
 def only_known_keys(incoming: DataFrame, current: DataFrame | None, key: list[str]) -> DataFrame:

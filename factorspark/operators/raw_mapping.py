@@ -105,7 +105,7 @@ def _suspensions(frame):
     return [*_key_columns(), (F.col("suspend_type") == "S").alias("is_suspended")]
 
 
-def suspension_events(frame: DataFrame) -> DataFrame:
+def suspension_events(frame: DataFrame, keep: list[str] = ()) -> DataFrame:
     """suspend_d seen as risk events."""
     halted = F.col("suspend_type") == "S"
     return frame.select(
@@ -115,6 +115,7 @@ def suspension_events(frame: DataFrame) -> DataFrame:
         F.when(halted, "blocker").otherwise("info").alias("severity"),
         halted.alias("is_active"),
         F.concat(F.lit("Tushare suspend_d suspend_type="), F.col("suspend_type")).alias("description"),
+        *keep,
     )
 
 

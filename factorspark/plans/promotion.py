@@ -7,17 +7,17 @@ import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.catalog import next_number, snapshot_manifest
 from ..operators.enforcement import add_lineage, conform, missing_required
-from ..operators.merging import coalescing_merge, only_known_keys, overlap_summary, with_version_status
+from ..operators.merging import coalescing_merge, only_known_keys, overlap_of, with_version_status
 from ..operators.quality import promotion_warnings, report, table_issues
 from ..operators.raw_mapping import map_raw, suspension_events
 from ..sources import curated_tables as curated
 from ..sources import raw_batches as raw
 from ..sources.schemas import RAW_TARGET, SUPPLEMENTAL, TABLES
-from .runtime import materialise
+from .runtime import materialise, scratch
 
 
 @dataclass(frozen=True)
@@ -57,7 +57,7 @@ def land_batch(ws: Workspace, source: str, dataset: str, frame: DataFrame, as_of
         number = row["next_number"] if row else 1
     batch_id = f"{prefix}_{number:03d}"
     path = raw.write_batch(frame, ws.raw_root, source, dataset, as_of_date, batch_id)
-    landed = raw.read_file(ws.spark, path, frame.columns)
+    landed = raw.read_file(ws.spark, path, frame.columns)  # what lies there now, not the frame again
     curated.append_metadata(
         raw.batch_record(landed, source, dataset, as_of_date, batch_id, path), ws.root, "data_batches"
     )
@@ -65,66 +65,77 @@ def land_batch(ws: Workspace, source: str, dataset: str, frame: DataFrame, as_of
 
 
 def merge_into_current(
-    ws: Workspace, name: str, incoming: DataFrame, order: list[str], batch_ids: list[str], as_of_date: str, noted: dict
+    ws: Workspace, name: str, incoming: DataFrame, order: list[str], batches: DataFrame, as_of_date: str, noted: dict
 ) -> dict:
     """Coalescing merge into the current table, touching only partitions with new rows.
 
     The merged partitions are written to the shared folder first: the table cannot be
     read and replaced in one job, and a lost executor must not find half of it gone.
+    Rows, checksum and overlap come from one pass over them. `batches` (batch_id,
+    position) are recorded as lineage.
+
+    A promotion that failed anywhere can be run again: the merge is idempotent, partitions
+    are announced before they are replaced, and announced ones without a later record
+    are counted anew.
     """
     table = TABLES[name]
-    current = ws.current(name)
-    key = list(table.key)
-    # the batch is parsed once: its keys, its partitions and its rows are read below
-    shaped = materialise(declared_columns(incoming, name), f"incoming-{name}")
-    overlap = overlap_summary(current, shaped, key).first().asDict()
-    touched = current
-    if current is not None and table.partitions:
-        parts = list(table.partitions)
-        touched = current.join(shaped.select(*parts).distinct(), parts, "left_semi")
-    merged = coalescing_merge(touched, shaped, key, order)
-    absent = missing_required(merged, table)
-    if absent:
-        raise ValueError("missing columns: " + ", ".join(absent))
-    kept = materialise(conform(merged, table), f"merged-{name}")
-    rows, checksum = _fingerprint_after(ws, name, touched, kept)
-    if table.partitions:
-        curated.overwrite_partitions(kept, ws.root, name)
-    else:
-        curated.overwrite_table(kept, ws.root, name)
+    key, parts = list(table.key), list(table.partitions)
+    with scratch(ws.spark):
+        current = ws.current(name)
+        # the batch is parsed once: its partitions and its rows are read below
+        shaped = materialise(declared_columns(incoming, name), f"incoming-{name}")
+        touched = current
+        if current is not None and parts:
+            touched = current.join(shaped.select(*parts).distinct(), parts, "left_semi")
+        merged = coalescing_merge(touched, shaped, key, order, counted=True)
+        absent = missing_required(merged, table)
+        if absent:
+            raise ValueError("missing columns: " + ", ".join(absent))
+        kept = materialise(conform(merged, table, keep=["in_", "had_"]), f"merged-{name}")
+        facts = curated.partition_facts(kept, name, *overlap_of()).collect()
+        offending = sorted({c for f in facts for c in f["null_columns"]})
+        if offending:
+            raise ValueError("non-nullable columns contain nulls: " + ", ".join(offending))
+        curated.record_partitions(ws.spark, ws.root, name, "replacing", [(f["partition"], None, None) for f in facts])
+        if parts:
+            curated.overwrite_partitions(kept, ws.root, name)
+        else:
+            curated.overwrite_table(kept, ws.root, name)
+        rows, checksum = _recorded_after(ws, name, facts)
+    overlap = {c: sum(f[c] for f in facts) for c in ("incoming_rows", "incoming_duplicate_keys", "overlap_keys")}
     version_id = f"{name}_{uuid.uuid4().hex[:12]}"
+    edges = batches.select(
+        F.lit(version_id).alias("curated_version_id"), F.lit(name).alias("dataset_id"), "batch_id", F.col("position").cast("int"),
+    )
+    curated.append_metadata(edges, ws.root, "version_batches")
     notes = json.dumps({**noted, "last_promote_overlap": overlap}, sort_keys=True)
     record = curated.version_record(
         ws.spark, name, version_id, curated.table_path(ws.root, name), as_of_date, rows, checksum, notes
     )
     curated.append_metadata(record, ws.root, "curated_versions")
-    edges = ws.spark.createDataFrame(
-        [(version_id, name, b, i) for i, b in enumerate(batch_ids)],
-        "curated_version_id string, dataset_id string, batch_id string, position int",
-    )
-    curated.append_metadata(edges, ws.root, "version_batches")
     return {"dataset_id": name, "curated_version_id": version_id, **overlap}
 
 
-def _fingerprint_after(ws: Workspace, name: str, touched: DataFrame | None, kept: DataFrame) -> tuple[int, int]:
-    """Count and checksum of the whole table after the merge, reading only what changes.
+def _recorded_after(ws: Workspace, name: str, facts: list) -> tuple[int, int]:
+    """Count and checksum of the whole table from its partition records, brought up to date.
 
-    The checksum is an xor of row hashes, so the replaced rows cancel out of the
-    previous version's value.
+    Partitions without a sound record (a promotion failed while it replaced them, or the
+    table is older than the records) are counted from their rows.
     """
-    rows, checksum = curated.fingerprint(kept, name, required=True)
-    if touched is None or not TABLES[name].partitions:
-        return rows, checksum
-    before_rows, before = curated.fingerprint(conform(touched, TABLES[name]), name)
-    versions = ws.versions()
-    last = None if versions is None else versions.filter(
-        (F.col("dataset_id") == name) & (F.col("status") == "active")
-    ).first()
-    if last is None:
-        whole_rows, whole = curated.fingerprint(conform(ws.current(name), TABLES[name]), name)
-    else:
-        whole_rows, whole = last["row_count"], int(last["checksum"])
-    return whole_rows - before_rows + rows, whole ^ before ^ checksum
+    fresh = {f["partition"]: (f["partition"], f["row_count"], f["checksum"]) for f in facts}
+    known = curated.recorded_partitions(ws.spark, ws.root, name)
+    sound = {p for p, r in known.items() if r["state"] != "replacing"} | set(fresh)
+    partition = curated.partition_of(TABLES[name])
+    current = ws.current(name)
+    there = [] if current is None else current.select(partition.alias("p")).distinct().collect()
+    stale = [r["p"] for r in there if r["p"] not in sound]
+    if stale:
+        rows = conform(current.filter(partition.isin(stale)), TABLES[name])
+        fresh |= {f["partition"]: (f["partition"], f["row_count"], f["checksum"]) for f in curated.partition_facts(rows, name).collect()}
+    curated.record_partitions(ws.spark, ws.root, name, "replaced", list(fresh.values()))
+    others = [(r["row_count"], r["checksum"]) for p, r in known.items() if p not in fresh and r["state"] != "replacing"]
+    whole = [(count, checksum) for _, count, checksum in fresh.values()] + others
+    return sum(count for count, _ in whole), sum(int(checksum) for _, checksum in whole)
 
 
 def declared_columns(frame: DataFrame, name: str) -> DataFrame:
@@ -155,46 +166,85 @@ def promote_batch(
 ) -> list[dict]:
     """Map one landed batch and merge it. Suspensions update prices and risk events."""
     batch = _batch(ws, source, dataset, as_of_date, batch_id)
-    landed = raw.read_file(ws.spark, batch["raw_path"], raw.header(ws.spark, batch["raw_path"]))
-    day, stamp = batch["business_date"], _now()
+    one = ws.metadata("data_batches").filter(F.col("batch_id") == batch["batch_id"]).withColumn("position", F.lit(0))
     noted = {"last_promoted_batch_id": batch["batch_id"], "last_promoted_raw_dataset": dataset}
+    return promote_recorded(ws, dataset, one, batch["business_date"], noted)
+
 
-    def merge(mapped, name):
-        ready = add_lineage(mapped, TABLES[name], source, batch["batch_id"], day, stamp)
-        return merge_into_current(ws, name, ready, [], [batch["batch_id"]], day, noted)
+def promote_recorded(ws: Workspace, dataset: str, batches: DataFrame, day: str, noted: dict, stamp: str | None = None) -> list[dict]:
+    """Map and merge recorded batches of one dataset in one pass; a later `position` wins over an earlier one."""
+    if dataset not in RAW_TARGET:
+        raise ValueError(f"no curated mapping for raw dataset: {dataset}")
+    stamp = stamp or _now()
+    landed = raw.read_recorded(ws.spark, ws.raw_root, batches)
+    carried = ["source", "batch_id", "position"]
+
+    def merge(mapped: list[DataFrame], name: str) -> dict:
+        rows = raw.stack_batches(mapped).withColumnsRenamed({"batch_id": "source_batch_id", "position": "position_order"})
+        ready = add_lineage(rows, TABLES[name], "", "", day, stamp)
+        return merge_into_current(ws, name, ready, ["position_order"], batches.select("batch_id", "position"), day, noted)
 
     name = RAW_TARGET[dataset]
-    mapped = map_raw(landed, dataset)
+    mapped = [map_raw(rows, dataset, carried) for rows in landed]
     if dataset in SUPPLEMENTAL or dataset == "suspend_d":
-        mapped = only_known_keys(mapped, ws.current(name), ["symbol", "trade_date"])
+        mapped = [only_known_keys(rows, ws.current(name), ["symbol", "trade_date"]) for rows in mapped]
     if dataset == "suspend_d":
-        results = [merge(suspension_events(landed), "risk_events")]
+        results = [merge([suspension_events(rows, carried) for rows in landed], "risk_events")]
         return results if ws.current(name) is None else [merge(mapped, name), *results]
     return [merge(mapped, name)]
 
 
-def promote_run(ws: Workspace, source: str, dataset: str, batch_ids: list[str]) -> list[dict]:
-    """All batches of a run in one pass; later batches win over earlier ones."""
-    known = ws.metadata("data_batches").filter(F.col("batch_id").isin(batch_ids))
-    found = {r["batch_id"]: r for r in known.collect()}
-    ordered = [b for b in batch_ids if b in found]
-    if dataset == "suspend_d":
-        return [result for b in ordered for result in promote_batch(ws, source, dataset, batch_id=b)]
-    name, stamp = RAW_TARGET[dataset], _now()
-    day = found[ordered[-1]]["business_date"]
-    frames = []
-    for place, batch_id in enumerate(ordered):
-        path = found[batch_id]["raw_path"]
-        mapped = map_raw(raw.read_file(ws.spark, path, raw.header(ws.spark, path)), dataset)
-        frames.append(
-            add_lineage(mapped, TABLES[name], source, batch_id, day, stamp).withColumn("batch_order", F.lit(place))
-        )
-    noted = {
-        "last_promoted_run_id": f"{source}_{dataset}", "last_promoted_raw_dataset": dataset,
-        "last_promoted_batch_count": len(ordered),
-    }
-    incoming = raw.stack_batches(frames)
-    return [merge_into_current(ws, name, incoming, ["batch_order"], ordered, day, noted)]
+#: Tasks of a provider run: each fetched one batch.
+TASK_SCHEMA = (
+    "run_id string, task_id string, dataset_name string, trade_date string, symbol_start_offset bigint, status string, batch_id string"
+)
+
+
+def record_tasks(ws: Workspace, tasks: DataFrame) -> None:
+    """Note what a run's tasks did; columns as in TASK_SCHEMA."""
+    names = [c.split()[0] for c in TASK_SCHEMA.split(", ")]
+    curated.append_metadata(tasks.select(*names).to(ws.spark.createDataFrame([], TASK_SCHEMA).schema), ws.root, "run_tasks")
+
+
+def run_batches(ws: Workspace, run_id: str, dataset: str | None = None) -> DataFrame:
+    """Successful batches of a run's successful tasks with their position per dataset: by date, offset, batch id.
+
+    A task that names a batch without a record is an error."""
+    tasks, known = ws.metadata("run_tasks"), ws.metadata("data_batches")
+    if tasks is None or known is None:
+        raise ValueError(f"raw run batches not found: {run_id}")
+    done = tasks.filter((F.col("run_id") == run_id) & (F.col("status") == "success") & F.col("batch_id").isNotNull())
+    if dataset:
+        done = done.filter(F.col("dataset_name") == dataset)
+    lost = done.join(known, "batch_id", "left_anti").select("batch_id").distinct().orderBy("batch_id").collect()
+    if lost:
+        raise ValueError("run names batches without a record: " + ", ".join(r["batch_id"] for r in lost))
+    place = F.min(F.struct(
+        F.coalesce("trade_date", F.lit("")).alias("trade_date"), F.coalesce("symbol_start_offset", F.lit(-1)).alias("offset"), "batch_id",
+    )).alias("place_")
+    ordered = Window.partitionBy("dataset_name").orderBy("place_")  # rows of one run's batches of a dataset
+    batches = known.filter(F.col("status") == "success").join(done.groupBy("batch_id").agg(place), "batch_id")
+    return batches.withColumn("position", F.row_number().over(ordered) - 1).drop("place_")
+
+
+def promote_run(ws: Workspace, run_id: str, dataset: str | None = None) -> list[dict]:
+    """All batches of a run, one merge per dataset whatever the number of batches."""
+    with scratch(ws.spark):
+        batches = materialise(run_batches(ws, run_id, dataset), "run-batches")
+        per_dataset = batches.groupBy("dataset_name").agg(
+            F.max_by("business_date", "position").alias("day"), F.count(F.lit(1)).alias("batches")
+        ).orderBy("dataset_name").collect()
+        if not per_dataset:
+            raise ValueError(f"raw run batches not found: {run_id}/{dataset or 'all'}")
+        results = []
+        for row in per_dataset:
+            noted = {
+                "last_promoted_run_id": run_id, "last_promoted_raw_dataset": row["dataset_name"],
+                "last_promoted_batch_count": row["batches"],
+            }
+            mine = batches.filter(F.col("dataset_name") == row["dataset_name"])
+            results += promote_recorded(ws, row["dataset_name"], mine, row["day"], noted)
+    return results
 
 
 def import_csv(ws: Workspace, name: str, path: str, source: str = "manual_csv", as_of_date: str | None = None) -> DataFrame:
@@ -208,9 +258,11 @@ def import_csv(ws: Workspace, name: str, path: str, source: str = "manual_csv",
     if absent:
         raise ValueError("missing columns: " + ", ".join(absent))
     written = curated.overwrite_table(ready, ws.root, name)
+    facts = [(f["partition"], f["row_count"], f["checksum"]) for f in curated.partition_facts(written, name).collect()]
+    curated.record_partitions(ws.spark, ws.root, name, "whole", facts)
     record = curated.version_record(
         ws.spark, name, f"{name}_{uuid.uuid4().hex[:12]}", curated.table_path(ws.root, name), as_of_date or stamp[:10],
-        *curated.fingerprint(written, name),
+        sum(f[1] for f in facts), sum(int(f[2]) for f in facts),
     )
     curated.append_metadata(record, ws.root, "curated_versions")
     return written
@@ -242,9 +294,11 @@ def check_quality(ws: Workspace, names: list[str] | None = None) -> tuple[DataFr
 def create_snapshot(ws: Workspace, as_of_date: str, config_version: str = "manual_config_v001") -> str:
     """Freeze the active versions under the next id of the date; refused on quality issues."""
     issues, _ = check_quality(ws)
-    failing = issues.filter("severity = 'issue'").limit(20).collect()
+    # at most a few per table and declared column
+    failing = issues.filter("severity = 'issue'").orderBy("dataset_id", "check_name", "column_name").collect()
     if failing:
-        raise ValueError("snapshot refused: " + "; ".join(f"{r['dataset_id']} {r['check_name']}" for r in failing))
+        named = [" ".join(str(r[c]) for c in ("dataset_id", "check_name", "column_name", "detail") if r[c] is not None) for r in failing]
+        raise ValueError("snapshot refused: " + "; ".join(named))
     versions = ws.versions()
     if versions is None:
         raise ValueError("no current curated versions found")

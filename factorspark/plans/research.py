@@ -13,7 +13,7 @@ from ..operators.publishing import analyse_securities
 from ..sources import artifacts
 from ..sources.curated_tables import snapshot_paths
 from .promotion import Workspace
-from .runtime import largest_group, materialise, prepare
+from .runtime import materialise, prepare
 
 REQUIRED = ["security_master", "daily_prices", "capital_flow_or_chip"]
 
@@ -27,11 +27,6 @@ class Inputs:
     security: DataFrame
     calendar: DataFrame
 
-    @property
-    def group_rows(self) -> int:
-        """Rows of the largest date: a scan of one column, combined before the shuffle."""
-        return largest_group(self.prices, ["trade_date"])
-
 
 def snapshot_inputs(ws: Workspace, snapshot_id: str) -> Inputs:
     prepare(ws.spark)
@@ -106,7 +101,7 @@ def research_candidate_001(data: Inputs, holding_days: int = 20, top: int = 10)
     latest = signals.on_latest_price_date(rows, data.prices)
     successors = signals.date_successors(data.calendar)
     return Report(
-        signals.pass_table(latest, successors, data.group_rows),
+        signals.pass_table(latest, successors),
         signals.explained_ranking(latest, successors, top),
         measure(trades.signal_trades(rows, data.prices, holding_days, top), data.prices, holding_days),
     )
@@ -129,7 +124,7 @@ def compute_daily_factors(
 ) -> str:
     """Compute and store a factor run."""
     run_id = run_id or f"factor_exploration_{uuid.uuid4().hex[:12]}"
-    frame = factors.daily_factors(data.prices, data.flow, data.security, start, end, data.group_rows)
+    frame = factors.daily_factors(data.prices, data.flow, data.security, start, end)
     artifacts.write_factor_run(frame, ws.root, run_id)
     artifacts.write_run_record(
         ws.spark, ws.root, run_id, snapshot_id=snapshot_id, factor_version=fv.FACTOR_VERSION, start_date=start, end_date=end
@@ -141,12 +136,11 @@ def evaluate_factors(run: DataFrame, prices: DataFrame, forward_days: int = 20,
     """Evaluation tables of a factor run; the paired long rows are written once."""
     if groups < 2:
         raise ValueError("groups must be >= 2")
-    bound = largest_group(run, ["trade_date"])
     pairs = materialise(evaluation.paired(run, prices, forward_days), "factor-pairs")
-    by_date = evaluation.ic_by_date(pairs, bound)
+    by_date = evaluation.ic_by_date(pairs, stored=True)
     return {
         "ic_by_date": by_date,
-        "group_returns": evaluation.group_returns(pairs, groups, bound),
+        "group_returns": evaluation.group_returns(pairs, groups, stored=True),
         "coverage": evaluation.coverage(run),
         "correlation": evaluation.correlation_matrix(run),
         "summary": evaluation.ic_summary(by_date),
@@ -192,11 +186,38 @@ def build_candidate_pool(run: DataFrame, trade_date: str | None = None, previous
     return current, changes, pools.diff_summary(changes)
 
 
-def build_daily_bundle(run: DataFrame, prices, industry_daily, classification, top: int = 10) -> DataFrame:
-    """Bundle of the newest factor date that has a tradable row."""
-    day = pools.latest_factor_date(run).scalar()
-    status = market.market_status(run.select("trade_date").filter(F.col("trade_date") == day), prices, industry_daily, classification)
-    return publishing.daily_bundles(status, pools.pool_rows(run.filter(F.col("trade_date") == day), top))
+def build_daily_bundle(
+    run: DataFrame, prices, industry_daily, classification, top: int = 10, trade_date: str | None = None,
+    previous: DataFrame | None = None, previous_version_id: str | None = None, snapshot_id: str | None = None,
+) -> DataFrame:
+    """The checked bundle of one date, by default the newest factor date with a tradable row.
+
+    `previous` are the stocks of the pool before (symbol, rank). A bundle with errors is refused."""
+    day = F.lit(trade_date).cast("date") if trade_date else pools.latest_factor_date(run).scalar()
+    factors_of_day = run.filter(F.col("trade_date") == day)
+    status = market.market_status(factors_of_day.select("trade_date"), prices, industry_daily, classification)
+    pool = materialise(pools.pool_rows(factors_of_day, top), "pool")
+    before = previous if previous is not None else pool.limit(0)
+    version = previous_version_id or ("previous" if previous is not None else None)
+    dates = pool.agg(F.max("trade_date").alias("d")).scalar()
+    changes = pools.compare_pools(pool, before).withColumns(
+        {"trade_date": dates, "previous_version_id": F.lit(version).cast("string")}
+    )
+    payloads = publishing.candidate_payloads(pool, changes, snapshot_id)
+    bundle = materialise(publishing.with_bundle_errors(publishing.with_bundle_hash(
+        publishing.daily_bundles(publishing.market_payloads(status), payloads, snapshot_id))), "bundle")
+    wrong = bundle.filter(F.size("errors") > 0).select(F.array_join("errors", "; ")).first()  # one date, one row
+    if wrong:
+        raise ValueError(f"daily bundle failed validation: {wrong[0]}")
+    return bundle.drop("errors")
+
+
+def write_bundles(bundles: DataFrame, root: str) -> str:
+    """One JSON object per date under its date's folder."""
+    path = f"{root.rstrip('/')}/daily_bundles"
+    bundles.withColumn("day", F.date_format("trade_date", "yyyyMMdd")).drop("trade_date").write.mode("append").partitionBy(
+        "day").json(path)
+    return path
 
 
 def analyze_stock(run: DataFrame, symbols: list[str], trade_date: str | None = None) -> DataFrame:

@@ -1,15 +1,13 @@
-"""Shared storage, lineage cuts and size checks."""
+"""Shared storage and lineage cuts."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-# A window group up to this many rows is sorted inside one task. Larger groups
-# are ranked over range partitions instead (operators/ranking.py).
-GROUP_ROWS_PER_TASK = 2_000_000
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
 
@@ -41,8 +39,27 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[context.applicationId]
 
 
+#: Innermost last: the paths made inside each open `scratch`.
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Paths made inside are removed at the end; nothing read from them may leave it."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
 
 
 def materialise(frame: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -56,8 +73,3 @@ def materialise(frame: DataFrame, label: str, partition_by: list[str] | None = N
     writer.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
-
-def largest_group(frame: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest key group (combined before the shuffle)."""
-    row = frame.groupBy(*keys).count().agg(F.max("count")).first()
-    return int(row[0] or 0)

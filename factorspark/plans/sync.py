@@ -29,17 +29,32 @@ def covered_dates(tables: dict[str, DataFrame | None], benchmarks: list[str]) ->
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
+def fetch_start(calendar: DataFrame, end: str, lookback_days: int = 45) -> DataFrame:
+    """First date the provider calendar has to be asked for; the look-back alone without local dates."""
+    fallback = F.date_sub(F.lit(end).cast("date"), lookback_days)
+    return coverage.calendar_fetch_start(calendar, end, lookback_days).select(
+        F.coalesce("fetch_start", fallback).alias("fetch_start")
+    )
+
+
 def plan_sync(
     raw_calendar: DataFrame, tables: dict[str, DataFrame | None], datasets: list[str] | None = None,
-    start: str | None = None, benchmarks: list[str] | None = None,
+    start: str | None = None, benchmarks: list[str] | None = None, end: str | None = None, lookback_days: int = 45,
 ) -> DataFrame:
-    """(dataset, trade_date) still to be fetched up to the last open date of the provider calendar."""
+    """(dataset, trade_date) still to be fetched up to the last open date of the provider calendar.
+
+    With an end date the provider calendar counts from `fetch_start` to that date."""
+    if lookback_days <= 0:
+        raise ValueError("lookback_days must be positive")
     wanted = datasets or SYNC_DATASETS
     unknown = sorted(set(wanted) - set(SYNC_DATASETS))
     if unknown:
         raise ValueError("unsupported sync datasets: " + ", ".join(unknown))
     opened = coverage.provider_open_dates(raw_calendar)
     local = tables.get("trading_calendar")
+    if end is not None:
+        since = F.date_sub(F.lit(end).cast("date"), lookback_days) if local is None else fetch_start(local, end, lookback_days).scalar()
+        opened = opened.filter((F.col("trade_date") <= F.lit(end).cast("date")) & (F.col("trade_date") >= since))
     days = opened if local is None else coverage.calendar_union(coverage.local_open_dates(local), opened)
     latest = opened.agg(F.max("trade_date").alias("d")).scalar()
     days = days.filter(F.col("trade_date") <= latest)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.enforcement import conform, validate
@@ -50,21 +52,59 @@ def overwrite_partitions(frame: DataFrame, root: str, name: str) -> None:
     ).parquet(table_path(root, name))
 
 
-def fingerprint(frame: DataFrame, name: str, required: bool = False) -> tuple[int, int]:
-    """(rows, order-free checksum) of rows in the table's schema.
+def partition_of(table: CuratedTable) -> Column:
+    """The partition of a row as text; an unpartitioned table is one partition."""
+    return F.concat_ws("/", *table.partitions) if table.partitions else F.lit("")
+
 
-    With `required`, nulls in required columns are looked for in the same pass and
-    are an error."""
+def partition_facts(frame: DataFrame, name: str, *more: Column) -> DataFrame:
+    """Per partition: rows, order-free checksum, nulls in required columns (and `more` aggregates), in one pass."""
     table = TABLES[name]
-    must = [c for c in table.columns if c in table.required] if required else []
-    row = frame.agg(
-        F.count(F.lit(1)).alias("n"), content_checksum(table.columns).alias("checksum"),
-        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in must],
-    ).first()
-    offending = [c for c in must if row[f"null_{c}"]]
-    if offending:
-        raise ValueError("non-nullable columns contain nulls: " + ", ".join(offending))
-    return row["n"], int(row["checksum"])
+    must = [c for c in table.columns if c in table.required]
+    return frame.groupBy(partition_of(table).alias("partition")).agg(
+        F.count(F.lit(1)).alias("row_count"), content_checksum(table.columns).alias("checksum"),
+        F.array_compact(F.array(*[F.when(F.count_if(F.col(c).isNull()) > 0, F.lit(c)) for c in must])).alias("null_columns"),
+        *more,
+    )
+
+
+def totals(facts: list) -> tuple[int, int]:
+    """(rows, checksum) of all partitions together."""
+    return sum(f["row_count"] for f in facts), sum(int(f["checksum"]) for f in facts)
+
+
+def fingerprint(frame: DataFrame, name: str) -> tuple[int, int]:
+    """(rows, checksum) of rows in the table's schema."""
+    return totals(partition_facts(frame, name).collect())
+
+
+PARTITION_RECORD = (
+    "dataset_id string, partition string, row_count bigint, checksum string, state string, recorded_ns bigint"
+)
+
+
+def record_partitions(spark: SparkSession, root: str, name: str, state: str, facts: list[tuple]) -> None:
+    """`facts`: (partition, rows, checksum). A record replaces the earlier ones of its partition.
+
+    'replacing' is written before a partition is touched, 'replaced' after it; 'whole' starts
+    the table anew.
+    """
+    now = time.time_ns()
+    rows = [(name, partition, count, checksum, state, now) for partition, count, checksum in facts]
+    append_metadata(spark.createDataFrame(rows, PARTITION_RECORD), root, "partition_records")
+
+
+def recorded_partitions(spark: SparkSession, root: str, name: str) -> dict[str, dict]:
+    """The newest record of each partition (a month or so each)."""
+    rows = read_metadata(spark, root, "partition_records")
+    if rows is None:
+        return {}
+    rows = rows.filter(F.col("dataset_id") == name)
+    since = rows.agg(F.max(F.when(F.col("state") == "whole", F.col("recorded_ns"))).alias("n")).scalar()
+    newest = rows.filter(F.col("recorded_ns") >= F.coalesce(since, F.lit(0))).groupBy("partition").agg(
+        F.max_by(F.struct("row_count", "checksum", "state"), "recorded_ns").alias("newest")
+    )
+    return {r["partition"]: r["newest"].asDict() for r in newest.collect()}
 
 
 def version_record(

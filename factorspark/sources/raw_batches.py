@@ -6,6 +6,7 @@ pruning; values are read as text and typed by the mapping that follows.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -41,6 +42,22 @@ def read_batches(spark: SparkSession, root: str, columns: list[str], **selected)
     return rows
 
 
+def read_recorded(spark: SparkSession, root: str, batches: DataFrame) -> list[DataFrame]:
+    """The rows of recorded batches, one frame per column layout among them.
+
+    `batches` are rows of the batch records; what else they hold (an order, say) is joined to
+    the rows. One partitioned read per layout, whatever the number of batches: the join on
+    the partition columns prunes the folders.
+    """
+    keys = {"source": "source", "dataset_name": "dataset", "business_date": "as_of_date", "batch_id": "batch_id"}
+    wanted = batches.drop("raw_path", "format", "row_count", "schema_hash", "content_checksum", "status").withColumnsRenamed(keys)
+    layouts = [row["columns"] for row in batches.select("columns").distinct().collect()]  # few, set by the provider
+    return [
+        read_batches(spark, root, json.loads(layout)).join(wanted.filter(F.col("columns") == layout).drop("columns"), PARTITIONS)
+        for layout in sorted(layouts)
+    ]
+
+
 def read_file(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     return spark.read.schema(schema).option("header", True).csv(path)
@@ -61,8 +78,13 @@ def schema_hash(columns: list[str]):
 
 
 def content_checksum(columns: list[str]):
-    """Order-free fingerprint of the rows, as an aggregate: partial results combine."""
-    return F.coalesce(F.bit_xor(F.xxhash64(*columns)), F.lit(0)).cast("string")
+    """Order-free fingerprint of the rows, as an aggregate: partial results combine.
+
+    An exact sum, in which equal rows do not cancel; which values are null is hashed too,
+    as a hash over columns skips them."""
+    nulls = F.concat(*[F.when(F.col(c).isNull(), F.lit("1")).otherwise(F.lit("0")) for c in columns])
+    row = F.xxhash64(nulls, *columns).cast("decimal(20,0)")
+    return F.coalesce(F.sum(row), F.lit(0)).cast("string")
 
 
 def batch_record(batch: DataFrame, source: str, dataset: str, as_of_date: str, batch_id: str, path: str) -> DataFrame:
@@ -75,4 +97,12 @@ def batch_record(batch: DataFrame, source: str, dataset: str, as_of_date: str, b
         F.current_timestamp().alias("retrieved_at"), F.lit(as_of_date).alias("business_date"),
         F.lit(path).alias("raw_path"), F.lit("csv").alias("format"), "row_count",
         schema_hash(columns).alias("schema_hash"), "content_checksum", F.lit("success").alias("status"),
+        F.lit(json.dumps(columns)).alias("columns"),
     )
+
+
+#: The records as they are stored, for streams.
+RECORD_SCHEMA = (
+    "batch_id string, source string, dataset_name string, retrieved_at timestamp, business_date string, raw_path string, "
+    "format string, row_count bigint, schema_hash string, content_checksum string, status string, columns string"
+)

@@ -6,13 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
-_TYPES = {
-    "s": T.StringType(), "d": T.DoubleType(), "i": T.IntegerType(),
-    "b": T.BooleanType(), "dt": T.DateType(), "ts": T.TimestampType(),
+_TYPE_OF = {
+    "STRING": T.StringType(), "DOUBLE": T.DoubleType(), "INT": T.IntegerType(), "BOOLEAN": T.BooleanType(),
+    "DATE": T.DateType(), "TIMESTAMP": T.TimestampType(),
 }
 
-_LINEAGE = [("source", "s"), ("source_batch_id", "s"), ("data_version", "s"), ("created_at", "ts")]
-
 
 @dataclass(frozen=True)
 class CuratedTable:
@@ -36,55 +34,60 @@ class CuratedTable:
 
 
 def _table(name, key, required, columns, partitions=()):
-    """`columns` is 'name:type' text; keys, partitions and lineage are always required."""
-    fields = [tuple(item.split(":")) for item in columns.split()]
-    fields += [(p, "i") for p in partitions] + _LINEAGE
-    must = frozenset(key) | frozenset(required) | frozenset(partitions) | {n for n, _ in _LINEAGE}
-    schema = T.StructType([T.StructField(n, _TYPES[t], n not in must) for n, t in fields])
+    """Keys, partitions and lineage are always required; the rest may be null unless listed."""
+    must = frozenset(key) | frozenset(required) | frozenset(partitions) | frozenset(LINEAGE_COLUMNS)
+    declared = ", ".join([columns, *(f"{p} INT" for p in partitions), LINEAGE])  # read without a session
+    fields = [field.split() for field in declared.split(",")]
+    schema = T.StructType([T.StructField(n, _TYPE_OF[t], n not in must) for n, t in fields])
     return CuratedTable(name, tuple(key), must, schema, tuple(partitions))
 
 
-_BY_TRADE_MONTH = ("trade_year", "trade_month")
+# The columns of the curated tables, in their order, with keys, required columns and date parts
+LINEAGE = "source STRING, source_batch_id STRING, data_version STRING, created_at TIMESTAMP"
+LINEAGE_COLUMNS = ["source", "source_batch_id", "data_version", "created_at"]
+
+SECURITY_MASTER = """
+    symbol STRING, raw_symbol STRING, exchange STRING, asset_type STRING, name STRING, market STRING,
+    market_segment STRING, market_segment_name STRING, area STRING, industry STRING, list_date DATE,
+    delist_date DATE, status STRING
+"""
+TRADING_CALENDAR = """
+    calendar_id STRING, trade_date DATE, is_trading_day BOOLEAN, previous_trade_date DATE, next_trade_date DATE
+"""
+DAILY_PRICES = """
+    symbol STRING, trade_date DATE, asset_type STRING, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE,
+    pre_close DOUBLE, volume DOUBLE, amount DOUBLE, pct_change DOUBLE, turnover_rate DOUBLE, adj_factor DOUBLE,
+    is_suspended BOOLEAN, limit_up DOUBLE, limit_down DOUBLE
+"""
+CAPITAL_FLOW_OR_CHIP = """
+    symbol STRING, trade_date DATE, main_force_holding_ratio DOUBLE, close_profit_ratio DOUBLE, main_net_inflow DOUBLE,
+    main_net_inflow_rate DOUBLE, retail_net_inflow DOUBLE, chip_concentration DOUBLE, data_method STRING
+"""
+RISK_EVENTS = """
+    symbol STRING, event_date DATE, event_type STRING, severity STRING, is_active BOOLEAN, description STRING
+"""
+INDUSTRY_CLASSIFICATION = """
+    index_code STRING, industry_name STRING, level STRING, source_system STRING, parent_code STRING
+"""
+INDUSTRY_DAILY = """
+    index_code STRING, trade_date DATE, industry_name STRING, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE,
+    pre_close DOUBLE, pct_change DOUBLE, volume DOUBLE, amount DOUBLE
+"""
+BY_TRADE_MONTH = ("trade_year", "trade_month")
 
 TABLES: dict[str, CuratedTable] = {
     table.name: table
     for table in [
+        _table("security_master", ["symbol"], ["asset_type", "status"], SECURITY_MASTER),
+        _table("trading_calendar", ["calendar_id", "trade_date"], ["is_trading_day"], TRADING_CALENDAR),
+        _table("daily_prices", ["symbol", "trade_date"], ["asset_type"], DAILY_PRICES, BY_TRADE_MONTH),
+        _table("capital_flow_or_chip", ["symbol", "trade_date"], [], CAPITAL_FLOW_OR_CHIP, BY_TRADE_MONTH),
         _table(
-            "security_master", ["symbol"], ["asset_type", "status"],
-            "symbol:s raw_symbol:s exchange:s asset_type:s name:s market:s market_segment:s "
-            "market_segment_name:s area:s industry:s list_date:dt delist_date:dt status:s",
-        ),
-        _table(
-            "trading_calendar", ["calendar_id", "trade_date"], ["is_trading_day"],
-            "calendar_id:s trade_date:dt is_trading_day:b previous_trade_date:dt next_trade_date:dt",
-        ),
-        _table(
-            "daily_prices", ["symbol", "trade_date"], ["asset_type"],
-            "symbol:s trade_date:dt asset_type:s open:d high:d low:d close:d pre_close:d volume:d "
-            "amount:d pct_change:d turnover_rate:d adj_factor:d is_suspended:b limit_up:d limit_down:d",
-            _BY_TRADE_MONTH,
-        ),
-        _table(
-            "capital_flow_or_chip", ["symbol", "trade_date"], [],
-            "symbol:s trade_date:dt main_force_holding_ratio:d close_profit_ratio:d main_net_inflow:d "
-            "main_net_inflow_rate:d retail_net_inflow:d chip_concentration:d data_method:s",
-            _BY_TRADE_MONTH,
-        ),
-        _table(
-            "risk_events", ["symbol", "event_date", "event_type"], ["severity", "is_active"],
-            "symbol:s event_date:dt event_type:s severity:s is_active:b description:s",
+            "risk_events", ["symbol", "event_date", "event_type"], ["severity", "is_active"], RISK_EVENTS,
             ("event_year", "event_month"),
         ),
-        _table(
-            "industry_classification", ["index_code"], ["industry_name", "level", "source_system"],
-            "index_code:s industry_name:s level:s source_system:s parent_code:s",
-        ),
-        _table(
-            "industry_daily", ["index_code", "trade_date"], [],
-            "index_code:s trade_date:dt industry_name:s open:d high:d low:d close:d pre_close:d "
-            "pct_change:d volume:d amount:d",
-            _BY_TRADE_MONTH,
-        ),
+        _table("industry_classification", ["index_code"], ["industry_name", "level", "source_system"], INDUSTRY_CLASSIFICATION),
+        _table("industry_daily", ["index_code", "trade_date"], [], INDUSTRY_DAILY, BY_TRADE_MONTH),
     ]
 }
 

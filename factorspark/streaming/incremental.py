@@ -1,51 +1,39 @@
 """Continuous promotion of landed batches.
 
-New files of the landing zone are mapped and merged into the current table. The
-checkpoint records which files were taken; the merge is keyed and keeps the last
-non-null value, so a batch replayed after a failure changes nothing and a late
-batch needs no watermark.
+The stream is the batch records: one small file per landed batch, written when the batch
+is complete. A trigger reads the named batches by partition, so a batch is never split,
+and merges them in order of landing. Triggers follow the order of the record files, which
+is that of landing too, so the table does not depend on how many batches a trigger takes.
+The merge is idempotent: a batch replayed after a failure changes nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..operators.enforcement import add_lineage
-from ..operators.raw_mapping import map_raw
-from ..plans.promotion import Workspace, merge_into_current
-from ..sources.raw_batches import text_schema
-from ..sources.schemas import RAW_TARGET, TABLES
+from ..plans.promotion import Workspace, promote_recorded
+from ..plans.runtime import materialise, scratch
+from ..sources.raw_batches import RECORD_SCHEMA
 
 
-def promote_stream(ws: Workspace, dataset: str, columns: list[str], checkpoint: str, created_at: str, files_per_batch: int = 1000):
-    """Start a query that takes everything landed for `dataset` and stops.
-
-    Within one micro-batch later batch ids win over earlier ones.
-    """
-    name = RAW_TARGET[dataset]
-    landed = (
-        ws.spark.readStream.schema(text_schema(columns)).option("header", True)
-        .option("maxFilesPerTrigger", files_per_batch).csv(ws.raw_root)
-        .filter(F.col("dataset") == dataset)
+def promote_stream(ws: Workspace, dataset: str, checkpoint: str, created_at: str, batches_per_trigger: int | None = None):
+    """Start a query that takes everything landed for `dataset` and stops."""
+    reader = ws.spark.readStream.schema(RECORD_SCHEMA)
+    if batches_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", batches_per_trigger)
+    landed = reader.parquet(f"{ws.root.rstrip('/')}/metadata/data_batches").filter(
+        (F.col("dataset_name") == dataset) & (F.col("status") == "success")
     )
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        if batch.isEmpty():
-            return
-        stamped = (
-            map_raw(batch, dataset, ["source", "batch_id", "as_of_date"])
-            .withColumn("batch_order", F.col("batch_id"))
-            .withColumnRenamed("batch_id", "source_batch_id")
-            .withColumnRenamed("as_of_date", "data_version")
-        )
-        ready = add_lineage(stamped, TABLES[name], "", "", "", created_at)
-        merge_into_current(
-            ws, name, ready, ["batch_order"], [f"stream-epoch-{epoch}"], created_at[:10],
-            {"last_promoted_run_id": f"stream-{dataset}-{epoch}"},
-        )
+    def merge(records: DataFrame, epoch: int) -> None:
+        with scratch(ws.spark):
+            by_landing = Window.orderBy("retrieved_at", "batch_id")  # the records of one trigger
+            batches = materialise(records.withColumn("position", F.row_number().over(by_landing) - 1), "stream-batches")
+            last = batches.agg(F.max_by("business_date", "position").alias("day")).first()["day"]
+            if last is not None:
+                promote_recorded(ws, dataset, batches, last, {"last_promoted_run_id": f"stream-{dataset}-{epoch}"}, created_at)
 
     return (
         landed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
-

@@ -181,13 +181,99 @@ def test_run_promotion_takes_all_batches(spark, workspace):
         promotion.land_batch(workspace, "tushare", "daily_prices", daily(spark, (c, "20260428", p)), "2026-04-28")
         for c, p in (("A.SH", 1.0), ("B.SH", 2.0), ("A.SH", 5.0))
     ]
-    promotion.promote_run(workspace, "tushare", "daily_prices", ids)
+    tasks = [("r", f"t{i}", "daily_prices", "20260428", i, "success", b) for i, b in enumerate(ids)]
+    tasks += [("r", "t8", "daily_prices", "20260429", None, "failed", None), ("other", "t9", "daily_prices", "20260429", 0, "success", ids[0])]
+    promotion.record_tasks(workspace, spark.createDataFrame(tasks, promotion.TASK_SCHEMA))
+    promotion.promote_run(workspace, "r")
     got = {r.symbol: (r.close, r.source_batch_id) for r in workspace.current("daily_prices").collect()}
     assert got == {"A.SH": (5.0, ids[2]), "B.SH": (2.0, ids[1])}
     edges = workspace.metadata("version_batches").orderBy("position").collect()
     assert [e.batch_id for e in edges] == ids
 
 
+def test_run_of_unknown_batches_is_refused(spark, workspace):
+    batch = promotion.land_batch(workspace, "tushare", "daily_prices", daily(spark, ("A.SH", "20260428", 1.0)), "2026-04-28")
+    tasks = [("r", "t1", "daily_prices", "20260428", 0, "success", batch), ("r", "t2", "daily_prices", "20260428", 1, "success", "nope_001")]
+    promotion.record_tasks(workspace, spark.createDataFrame(tasks, promotion.TASK_SCHEMA))
+    with pytest.raises(ValueError, match="nope_001"):
+        promotion.promote_run(workspace, "r")
+    with pytest.raises(ValueError, match="not found"):
+        promotion.promote_run(workspace, "absent")
+    assert workspace.current("daily_prices") is None
+
+
+def test_run_takes_batches_of_different_columns(spark, workspace):
+    wide = daily(spark, ("A.SH", "20260428", 1.0)).withColumn("extra", F.lit("x"))
+    ids = [promotion.land_batch(workspace, "tushare", "daily_prices", frame, "2026-04-28") for frame in (
+        wide.select(*reversed(wide.columns)), daily(spark, ("B.SH", "20260428", 2.0)))]
+    tasks = [("r", f"t{i}", "daily_prices", "20260428", i, "success", b) for i, b in enumerate(ids)]
+    promotion.record_tasks(workspace, spark.createDataFrame(tasks, promotion.TASK_SCHEMA))
+    promotion.promote_run(workspace, "r")
+    assert {r.symbol: r.close for r in workspace.current("daily_prices").collect()} == {"A.SH": 1.0, "B.SH": 2.0}
+
+
+@pytest.mark.parametrize("broken", ["partition_records", "version_batches", "curated_versions"])
+def test_failed_promotion_can_be_run_again(spark, workspace, monkeypatch, broken):
+    """Failure between the replaced partitions and any of the records that follow them."""
+    def land(day, close):
+        return promotion.land_batch(workspace, "tushare", "daily_prices", daily(spark, ("A.SH", day, close)), "2026-04-28")
+
+    land("20260331", 1.0)
+    promotion.promote_batch(workspace, "tushare", "daily_prices")
+    lost = land("20260428", 2.0)
+    append = curated_tables.append_metadata
+    written = []
+
+    def failing(rows, root, name):
+        written.append(name)
+        if name == broken and (name != "partition_records" or written.count(name) == 2):
+            raise OSError("lost")
+        append(rows, root, name)
+
+    monkeypatch.setattr(curated_tables, "append_metadata", failing)
+    with pytest.raises(OSError):
+        promotion.promote_batch(workspace, "tushare", "daily_prices", batch_id=lost)
+    monkeypatch.setattr(curated_tables, "append_metadata", append)
+    land("20260529", 3.0)  # another month first: the lost one is counted from its rows
+    promotion.promote_batch(workspace, "tushare", "daily_prices")
+    promotion.promote_batch(workspace, "tushare", "daily_prices", batch_id=lost)
+    active = workspace.versions().filter("status = 'active'").first()
+    assert (active.row_count, int(active.checksum)) == curated_tables.fingerprint(
+        enforcement.conform(workspace.current("daily_prices"), TABLES["daily_prices"]), "daily_prices")
+    assert active.row_count == 3 and all(r.passed for r in promotion.check_quality(workspace)[1].collect())
+
+
+def test_checksum_tells_repeats_and_nulls(spark):
+    def checksum(*rows):
+        frame = spark.createDataFrame(rows, "a string, b string")
+        return frame.agg(raw_batches.content_checksum(["a", "b"])).first()[0]
+
+    assert len({checksum(), checksum(("x", "y"), ("x", "y")), checksum(("x", None)), checksum((None, "x")), checksum(("x", "y"))}) == 5
+    assert checksum(("x", "y"), (None, "z")) == checksum((None, "z"), ("x", "y"))
+
+
+def land_as(spark, workspace, batch_id, *rows):
+    """A batch under an id of its own, with its record."""
+    frame = daily(spark, *rows)
+    path = raw_batches.write_batch(frame, workspace.raw_root, "s", "daily_prices", "2026-04-28", batch_id)
+    record = raw_batches.batch_record(frame, "s", "daily_prices", "2026-04-28", batch_id, path)
+    curated_tables.append_metadata(record, workspace.root, "data_batches")
+
+
+@pytest.mark.parametrize("per_trigger", [1, None])
+def test_stream_follows_the_landing_order(spark, workspace, tmp_path, per_trigger):
+    """The batch with the higher id landed first, so the other one wins, whatever a trigger takes."""
+    records = ["b_002", "b_001"]
+    for batch, close in zip(records, (2.0, 1.0)):
+        land_as(spark, workspace, batch, ("A.SH", "20260428", close))
+    for _ in range(2):
+        promote_stream(workspace, "daily_prices", str(tmp_path / "checkpoint"), "2026-04-29 00:00:00", per_trigger).awaitTermination()
+    rows = workspace.current("daily_prices").collect()
+    assert [(r.close, r.source_batch_id) for r in rows] == [(1.0, "b_001")]
+    assert {r.batch_id for r in workspace.metadata("version_batches").collect()} == set(records)
+    assert workspace.versions().count() == (2 if per_trigger else 1)
+
+
 def test_flow_and_chip_share_one_row(spark, workspace):
     promotion.land_batch(workspace, "tushare", "moneyflow_dc", spark.createDataFrame(
         [("A.SH", "20260428", 10.0, 1.5)], "ts_code string, trade_date string, net_amount double, net_amount_rate double"), "2026-04-28")
@@ -274,14 +360,10 @@ def test_field_catalogue(spark):
 
 def test_stream_promotes_each_batch_once(spark, workspace):
     def land(batch_id, *rows):
-        raw_batches.write_batch(daily(spark, *rows), workspace.raw_root, "tushare", "daily_prices", "2026-04-28", batch_id)
-
-    columns = daily(spark).columns
+        land_as(spark, workspace, batch_id, *rows)
 
     def run():
-        promote_stream(
-            workspace, "daily_prices", columns, workspace.root + "/checkpoint", "2026-04-28 16:00:00"
-        ).awaitTermination()
+        promote_stream(workspace, "daily_prices", workspace.root + "/checkpoint", "2026-04-28 16:00:00").awaitTermination()
 
     land("b1", ("A.SH", "20260427", 1.0), ("B.SH", "20260427", 2.0))
     run()
