@@ -119,3 +119,17 @@ STOCK_ANALYSIS_VERSION = "stock_app_stock_analysis_v001"
 NO_RISK_NOTE = "No blocking risk flag in the selected factor run."
 WEAK_RISK_NOTE = "Recent volatility or drawdown score is weak."
 NO_EVIDENCE_NOTE = "No current factor evidence is available for this symbol."
+
+# Texts of the signal strategy
+RANKING_REASON = "net_amount_rate>0; MACD golden cross; winner_rate="
+DETAILED_REASON = "main_net_inflow_rate>0; MACD golden cross; close_profit_ratio>80; exclude ST/*ST; close_profit_ratio="
+RANKING_COLUMNS = [
+    "rank", "symbol", "name", "signal_date", "recommend_trade_date", "close",
+    "main_net_inflow_rate", "close_profit_ratio", "return_20d", "macd_golden_cross", "reason",
+]
+PASS_COLUMNS = [
+    "factor_rank", "symbol", "name", "signal_date", "recommend_trade_date", "close",
+    "main_net_inflow_rate", "pass_main_net_inflow_rate", "macd_golden_cross", "pass_macd_golden_cross",
+    "close_profit_ratio", "pass_close_profit_ratio", "return_20d", "pass_exclude_st", "factor_pass",
+    "factor_value", "reason",
+]

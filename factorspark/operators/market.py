@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv
-from .indicators import period_return
+from ..plans.runtime import materialise
+from .indicators import change_within
 from .pools import theme_of
 from .ranking import top_per_group
 
@@ -24,10 +25,11 @@ def index_metrics(prices: DataFrame) -> DataFrame:
     codes = [code for code, _ in fv.BROAD_INDEXES]
     roles = F.create_map(*[F.lit(v) for entry in fv.BROAD_INDEXES for v in entry])
     rows = prices.filter((F.col("asset_type") == "index") & F.col("symbol").isin(codes))
-    frame = lambda n: period_return(rows, n).withColumnRenamed("period_return", f"return_{n}d")
     return (
-        rows.select("symbol", "trade_date", F.coalesce("pct_change", F.lit(0.0)).alias("return_1d"))
-        .join(frame(5), ["symbol", "trade_date"]).join(frame(20), ["symbol", "trade_date"])
+        rows.select(
+            "symbol", "trade_date", F.coalesce("pct_change", F.lit(0.0)).alias("return_1d"),
+            change_within(5).alias("return_5d"), change_within(20).alias("return_20d"),
+        )
         .withColumn("role", roles[F.col("symbol")])
         .withColumn("position", F.array_position(F.array(*[F.lit(c) for c in codes]), F.col("symbol")))
     )
@@ -162,8 +164,12 @@ def status(days: DataFrame, metrics: DataFrame, sectors: DataFrame) -> DataFrame
 
 
 def market_status(days: DataFrame, prices: DataFrame, industry_daily: DataFrame, classification: DataFrame) -> DataFrame:
-    """One row per date with everything above."""
-    metrics, sectors = index_metrics(prices), sector_metrics(industry_daily, classification)
+    """One row per date with everything above.
+
+    Indexes and sectors, a few rows per date, are derived once and written for the steps that share them.
+    """
+    metrics = materialise(index_metrics(prices), "index-metrics")
+    sectors = materialise(sector_metrics(industry_daily, classification), "sector-metrics")
     cards = sector_cards(sector_extremes(sectors))
     states = status(days, metrics, sectors)
     return (

@@ -61,9 +61,10 @@ def pool_rows(factors: DataFrame, top: int) -> DataFrame:
     )
 
 
-def change_status(rank: Column, previous: Column) -> Column:
+def change_status(rank: Column, previous: Column, was_there: Column) -> Column:
+    """A symbol that was there without a rank has not moved: it is retained."""
     return (
-        F.when(previous.isNull(), "newly_added")
+        F.when(was_there.isNull(), "newly_added")
         .when(previous - rank >= MOVED_RANKS, "upgraded")
         .when(rank - previous >= MOVED_RANKS, "downgraded")
         .otherwise("retained")
@@ -72,11 +73,12 @@ def change_status(rank: Column, previous: Column) -> Column:
 
 def compare_pools(current: DataFrame, previous: DataFrame, key: list[str] = ("symbol",)) -> DataFrame:
     """Every symbol of either pool with its ranks and what became of it."""
-    old = previous.select(*key, F.col("rank").alias("previous_rank"))
-    status = F.when(F.col("rank").isNull(), "removed").otherwise(
-        change_status(F.col("rank"), F.col("previous_rank"))
+    old = previous.select(*key, F.col("rank").alias("previous_rank"), F.lit(True).alias("was_there_"))
+    now = current.select(*key, "rank", F.lit(True).alias("is_there_"))
+    status = F.when(F.col("is_there_").isNull(), "removed").otherwise(
+        change_status(F.col("rank"), F.col("previous_rank"), F.col("was_there_"))
     )
-    return current.select(*key, "rank").join(old, list(key), "full_outer").withColumn("change_status", status)
+    return now.join(old, list(key), "full_outer").withColumn("change_status", status).drop("was_there_", "is_there_")
 
 
 def removed_from(current: DataFrame, previous: DataFrame) -> DataFrame:
@@ -92,6 +94,15 @@ def pool_history(pools: DataFrame, successors: DataFrame) -> DataFrame:
     return compare_pools(pools, carried, ["trade_date", "symbol"])
 
 
+def with_previous_version(changes: DataFrame, pools: DataFrame, successors: DataFrame) -> DataFrame:
+    """The changes of `pool_history` with the version of the pool they refer to."""
+    before = pools.select("trade_date").distinct().join(successors, "trade_date").filter("recommend_trade_date IS NOT NULL").select(
+        F.col("recommend_trade_date").alias("trade_date"),
+        F.concat(F.lit("candidate_pool_"), F.date_format("trade_date", "yyyyMMdd"), F.lit("_001")).alias("previous_version_id"),
+    )
+    return changes.join(before, "trade_date", "left")
+
+
 def diff_summary(changes: DataFrame, per: list[str] = ()) -> DataFrame:
     # Change states
     states = ["newly_added", "retained", "upgraded", "downgraded", "removed"]

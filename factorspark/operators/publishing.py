@@ -38,29 +38,24 @@ def analyse_securities(requested: DataFrame, factors: DataFrame, trade_date=None
     )
 
 
-def wording_violations(text) -> Column:
-    """Every forbidden term in the whole text, in the order of the lists."""
-    lowered = F.lower(F.col(text) if isinstance(text, str) else text)
+def with_wording_violations(frame: DataFrame, text: Column, name: str) -> DataFrame:
+    """Adds every forbidden term in the whole text, in the order of the lists.
+
+    The text is lowered once, in a projection of its own, and each term looked for in that."""
+    lowered = F.col("lowered_")
     found = [F.when(F.contains(lowered, F.lit(t)), F.lit(f"prohibited wording: {t}")) for t in fv.PROHIBITED_TERMS]
     found += [F.when(F.contains(lowered, F.lit(t)), F.lit(f"forbidden sensitive field: {t}")) for t in fv.SENSITIVE_TERMS]
     found.append(F.when(lowered.rlike(fv.LOCAL_PATH_PATTERN), F.lit("forbidden local absolute path")))
-    return F.array_compact(F.array(*found))
-
-
-def payload_errors(sections: list[str], version_column: str, version: str) -> Column:
-    """Absent sections and an unknown version of a payload row."""
-    found = [F.when(F.col(s).isNull(), F.lit(f"missing section: {s}")) for s in sections]
-    wrong = F.coalesce(F.col(version_column), F.lit("")) != version
-    found.append(F.when(wrong, F.lit(f"unsupported version: {version_column}")))
-    return F.array_compact(F.array(*found))
+    terms = frame.withColumn("lowered_", F.lower(text)).withColumn(name, F.array(*found)).drop("lowered_")
+    return terms.withColumn(name, F.filter(name, lambda term: term.isNotNull()))
 
 
 def latest_quotes(watch_list: DataFrame, prices: DataFrame, trade_date=None) -> DataFrame:
     """Newest close and change per watched symbol; symbols without a price are left out."""
     rows = prices if trade_date is None else prices.filter(F.col("trade_date") == F.lit(trade_date).cast("date"))
     newest = F.max(F.struct("trade_date", "close", "pct_change"))
-    quotes = rows.groupBy("symbol").agg(newest.alias("q_"))
-    return watch_list.select("symbol").distinct().join(quotes, "symbol").select(
+    watched = rows.join(watch_list.select("symbol").distinct(), "symbol", "left_semi")
+    return watched.groupBy("symbol").agg(newest.alias("q_")).select(
         "symbol", F.col("q_.trade_date").alias("quote_date"),
         F.coalesce("q_.close", F.lit(0.0)).alias("last_price"),
         F.coalesce("q_.pct_change", F.lit(0.0)).alias("change_percent"),
@@ -76,27 +71,113 @@ def unpublished(bundles: DataFrame, published: DataFrame) -> DataFrame:
     return bundles.join(published.select("trade_date", "bundle_hash"), ["trade_date", "bundle_hash"], "left_anti")
 
 
-def pool_payload(pools: DataFrame) -> DataFrame:
-    """One payload per date; a pool has at most `top` items."""
-    item = F.struct("rank", "symbol", "theme", "reason_summary", "risk_summary")
-    return pools.groupBy("trade_date").agg(F.array_sort(F.collect_list(item)).alias("top_stocks"))
+# The sections a payload must have and the states of a pool's stocks
+MARKET_SECTIONS = ["market_status_metadata", "index_markets", "sectors", "structural_risks"]
+POOL_SECTIONS = ["candidate_pool_metadata", "strategy", "summary", "top_stocks", "diff"]
+BUNDLE_SECTIONS = ["bundle_metadata", "market_status", "candidate_pool"]
+CHANGES = ["newly_added", "retained", "upgraded", "downgraded", "removed"]
+MARKET_SOURCES = ["tushare.index_daily", "tushare.index_classify", "tushare.sw_daily"]
 
 
-def daily_bundles(market: DataFrame, pools: DataFrame) -> DataFrame:
-    """Market status and candidate pool of each date, versioned, fingerprinted, checked."""
-    joined = market.join(pool_payload(pools), "trade_date")
-    payload = joined.select(
-        "trade_date",
-        F.lit(fv.MARKET_STATUS_VERSION).alias("market_version"),
-        F.lit(fv.CANDIDATE_POOL_VERSION).alias("pool_version"),
-        F.struct("status", "strongest", "weakest", "strongest_sectors", "weakest_sectors", "sector_summary", "risks").alias("market_status"),
-        F.struct("top_stocks").alias("candidate_pool"),
+def _texts(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
+def numbered_version(prefix: str, day="trade_date") -> Column:
+    return F.concat(F.lit(f"{prefix}_"), F.date_format(day, "yyyyMMdd"), F.lit("_001"))
+
+
+def market_payloads(status: DataFrame) -> DataFrame:
+    """(trade_date, market_status) from the rows of market.market_status."""
+    card = lambda side: F.struct(
+        F.col(side).alias("symbol"), F.col(f"{side}_return").alias("return_1d"), F.col(f"{side}_reason").alias("reason")
     )
-    hashed = payload.withColumn("bundle_hash", fingerprint(["trade_date", "market_status", "candidate_pool"]))
-    text = F.to_json(F.struct("market_status", "candidate_pool"))
-    errors = F.concat(
-        payload_errors(["market_status"], "market_version", fv.MARKET_STATUS_VERSION),
-        payload_errors(["candidate_pool"], "pool_version", fv.CANDIDATE_POOL_VERSION),
-        wording_violations(text),
+    return status.select("trade_date", F.struct(
+        F.struct(
+            F.lit(fv.MARKET_STATUS_VERSION).alias("schema_version"), "trade_date", "status",
+            _texts(MARKET_SOURCES).alias("data_sources"), "warnings",
+        ).alias("market_status_metadata"),
+        F.struct(card("strongest").alias("strongest"), card("weakest").alias("weakest")).alias("index_markets"),
+        F.struct(
+            F.col("strongest_sectors").alias("strongest"), F.col("weakest_sectors").alias("weakest"),
+            F.col("sector_summary").alias("summary"),
+        ).alias("sectors"),
+        F.col("risks").alias("structural_risks"),
+    ).alias("market_status"))
+
+
+def candidate_payloads(pools: DataFrame, changes: DataFrame, snapshot_id: str | None = None) -> DataFrame:
+    """(trade_date, candidate_pool): the stocks of each date, what became of those of the pool before.
+
+    `changes` are rows of compare_pools by date with previous_version_id. A pool has at most
+    `top` items, so the gathered arrays are bounded."""
+    shown = pools.join(changes.select("trade_date", "symbol", "previous_rank", "change_status"), ["trade_date", "symbol"])
+    item = F.struct("rank", "symbol", "theme", "reason_summary", "risk_summary", "change_status", "previous_rank")
+    stocks = shown.groupBy("trade_date").agg(F.array_sort(F.collect_list(item)).alias("top_stocks"))
+    state = F.col("change_status")
+    of = lambda name: F.array_sort(F.collect_list(F.when(state == name, F.col("symbol")))).alias(name)
+    diff = changes.groupBy("trade_date").agg(
+        F.max("previous_version_id").alias("previous_version_id"), *[of(name) for name in CHANGES]
     )
-    return hashed.withColumn("errors", errors)
+    compared = F.col("previous_version_id").isNotNull()
+    counts = [F.size(name).alias(name) for name in CHANGES]
+    return stocks.join(diff, "trade_date").select("trade_date", F.struct(
+        F.struct(
+            F.lit(fv.CANDIDATE_POOL_VERSION).alias("schema_version"), numbered_version("candidate_pool").alias("version_id"),
+            "trade_date", F.lit("candidate_002").alias("source_strategy"), F.lit(fv.FACTOR_VERSION).alias("strategy_version"),
+            F.lit(snapshot_id).cast("string").alias("source_snapshot_id"), "previous_version_id",
+            F.when(compared, "complete").otherwise("no_previous_version").alias("status"),
+        ).alias("candidate_pool_metadata"),
+        F.struct(F.lit("candidate_002").alias("strategy_id")).alias("strategy"),
+        F.struct(*counts, F.size("top_stocks").alias("total")).alias("summary"),
+        "top_stocks",
+        F.struct(
+            F.when(compared, "compared").otherwise("no_previous_version").alias("status"), "previous_version_id", *CHANGES
+        ).alias("diff"),
+    ).alias("candidate_pool"))
+
+
+def daily_bundles(market_status: DataFrame, candidate_pools: DataFrame, snapshot_id: str | None = None) -> DataFrame:
+    """Both payloads of each date, versioned; `with_bundle_hash` completes them."""
+    return market_status.join(candidate_pools, "trade_date").select(
+        "trade_date",
+        F.struct(
+            F.lit(fv.DAILY_BUNDLE_VERSION).alias("schema_version"), numbered_version("daily_bundle").alias("bundle_id"),
+            "trade_date", F.lit(snapshot_id).cast("string").alias("source_snapshot_id"),
+            F.lit(None).cast("string").alias("bundle_hash"),
+            _texts([fv.MARKET_STATUS_VERSION, fv.CANDIDATE_POOL_VERSION]).alias("contains"),
+        ).alias("bundle_metadata"),
+        "market_status", "candidate_pool",
+    )
+
+
+def bundle_hash() -> Column:
+    """SHA-256 of the bundle's JSON without the hash itself."""
+    bare = F.col("bundle_metadata").dropFields("bundle_hash").alias("bundle_metadata")
+    return F.sha2(F.to_json(F.struct(bare, "market_status", "candidate_pool")), 256)
+
+
+def with_bundle_hash(bundles: DataFrame) -> DataFrame:
+    return bundles.withColumn("bundle_metadata", F.col("bundle_metadata").withField("bundle_hash", bundle_hash()))
+
+
+def with_bundle_errors(bundles: DataFrame) -> DataFrame:
+    """Adds what is wrong with each bundle: absent sections, versions, hash, wording in the whole payload."""
+    def missing(names: list[str], owner: str | None = None) -> list[Column]:
+        return [F.when(F.col(f"{owner}.{n}" if owner else n).isNull(), F.lit(f"missing section: {n}")) for n in names]
+
+    def version(path: str, wanted: str, name: str) -> Column:
+        return F.when(F.coalesce(F.col(path), F.lit("")) != wanted, F.lit(f"unsupported {name} schema_version"))
+
+    known = F.col("bundle_metadata.bundle_hash")
+    found = [
+        *missing(BUNDLE_SECTIONS), version("bundle_metadata.schema_version", fv.DAILY_BUNDLE_VERSION, "bundle"),
+        F.when(known.isNotNull() & (known != bundle_hash()), F.lit("bundle_hash mismatch")),
+        *missing(MARKET_SECTIONS, "market_status"),
+        version("market_status.market_status_metadata.schema_version", fv.MARKET_STATUS_VERSION, "market_status"),
+        *missing(POOL_SECTIONS, "candidate_pool"),
+        version("candidate_pool.candidate_pool_metadata.schema_version", fv.CANDIDATE_POOL_VERSION, "candidate_pool"),
+    ]
+    whole = F.to_json(F.struct(*BUNDLE_SECTIONS))
+    checked = with_wording_violations(bundles.withColumn("found_", F.array_compact(F.array(*found))), whole, "wording_")
+    return checked.withColumn("errors", F.concat("found_", "wording_")).drop("found_", "wording_")

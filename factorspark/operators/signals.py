@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import fixed_values as fv
 from ..functions.columns import is_st_name
 from .indicators import adjust_prices, change_over, with_macd
 from .ranking import ordinal_rank, top_per_group
@@ -66,16 +67,11 @@ def on_latest_price_date(rows: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def reason() -> Column:
-    return F.concat(
-        F.lit("net_amount_rate>0; MACD golden cross; winner_rate="), _fixed(F.col("close_profit_ratio"), 2)
-    )
+    return F.concat(F.lit(fv.RANKING_REASON), _fixed(F.col("close_profit_ratio"), 2))
 
 
 def detailed_reason() -> Column:
-    return F.concat(
-        F.lit("main_net_inflow_rate>0; MACD golden cross; close_profit_ratio>80; exclude ST/*ST; close_profit_ratio="),
-        _fixed(F.col("close_profit_ratio"), 2),
-    )
+    return F.concat(F.lit(fv.DETAILED_REASON), _fixed(F.col("close_profit_ratio"), 2))
 
 
 def _fixed(value: Column, digits: int) -> Column:
@@ -103,10 +99,7 @@ def ranking(rows: DataFrame, successors: DataFrame, top: int) -> DataFrame:
         best.join(successors, "trade_date", "left")
         .withColumn("reason", reason())
         .withColumnRenamed("trade_date", "signal_date")
-        .select(
-            "rank", "symbol", "name", "signal_date", "recommend_trade_date", "close",
-            "main_net_inflow_rate", "close_profit_ratio", "return_20d", "macd_golden_cross", "reason",
-        )
+        .select(*fv.RANKING_COLUMNS)
     )
 
 
@@ -118,7 +111,7 @@ def explained_ranking(rows: DataFrame, successors: DataFrame, top: int) -> DataF
     )
 
 
-def pass_table(rows: DataFrame, successors: DataFrame, group_rows: int | None = None) -> DataFrame:
+def pass_table(rows: DataFrame, successors: DataFrame) -> DataFrame:
     """All passing rows of each date with one flag per condition, ranked without a cut."""
     inverted = rows.withColumns(
         {
@@ -130,7 +123,7 @@ def pass_table(rows: DataFrame, successors: DataFrame, group_rows: int | None =
             )
         }
     )
-    ranked = ordinal_rank(inverted, ["trade_date"], "order_", ["symbol"], "factor_rank", group_rows)
+    ranked = ordinal_rank(inverted, ["trade_date"], "order_", ["symbol"], "factor_rank")
     return (
         ranked.drop("order_").join(successors, "trade_date", "left")
         .withColumns(
@@ -145,10 +138,5 @@ def pass_table(rows: DataFrame, successors: DataFrame, group_rows: int | None =
             }
         )
         .withColumnRenamed("trade_date", "signal_date")
-        .select(
-            "factor_rank", "symbol", "name", "signal_date", "recommend_trade_date", "close",
-            "main_net_inflow_rate", "pass_main_net_inflow_rate", "macd_golden_cross", "pass_macd_golden_cross",
-            "close_profit_ratio", "pass_close_profit_ratio", "return_20d", "pass_exclude_st", "factor_pass",
-            "factor_value", "reason",
-        )
+        .select(*fv.PASS_COLUMNS)
     )
