@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.columns import compact_date, short_hash
@@ -49,22 +49,48 @@ def _(m):
     return near(mapped.select("batch_id", *KEY, *BAR), BAR, 4)
 
 
-@registered("a11_multi_batch_scan", bars_sql("rawdaily", "batch_id, "))
+_PREFIX = "lines_daily_prices_20020101"
+
+
+def _landed_batches(m, ws):
+    return [
+        promotion.land_batch(ws, "lines", "daily_prices", m.raw_daily.filter(F.col("batch_id") == b).select(*RAW_COLUMNS), DAY)
+        for b in ("batch_F", "batch_O")
+    ]
+
+
+def _record_run(ws, run_id, tasks):
+    """Tasks of a run: (dataset, trade date, offset, status, batch id)."""
+    rows = [(run_id, f"task_{i}", *task) for i, task in enumerate(tasks)]
+    promotion.record_tasks(ws, ws.spark.createDataFrame(rows, promotion.TASK_SCHEMA))
+
+
+@registered("a11_multi_batch_scan", f"""
+SELECT CASE batch_id WHEN 'batch_F' THEN '{_PREFIX}_001' ELSE '{_PREFIX}_002' END AS batch_id, CASE batch_id WHEN 'batch_F' THEN 1 ELSE 0 END AS position,
+  ts_code AS symbol, trade_date, {near_all(BAR, 4)} FROM rawdaily""")
 def _(m):
-    rows = raw_batches.read_batches(m.spark, landed(m), RAW_COLUMNS, dataset="daily_prices")
-    mapped = map_raw(rows, "daily_prices", ["batch_id"])
-    return near(mapped.select("batch_id", *KEY, *BAR), BAR, 4)
+    """The successful batches of a run, in the order of its tasks."""
+    ws = workspace(m)
+    first, second = _landed_batches(m, ws)
+    _record_run(ws, "run_1", [
+        ("daily_prices", "20020102", None, "success", first), ("daily_prices", "20020101", 5, "success", second),
+        ("daily_prices", "20020103", None, "failed", None), ("daily_prices", "20020104", None, "failed", first),
+    ])
+    _record_run(ws, "run_2", [("daily_prices", "20020101", None, "success", first)])
+    frames = raw_batches.read_recorded(m.spark, ws.raw_root, promotion.run_batches(ws, "run_1"))
+    mapped = map_raw(raw_batches.stack_batches(frames), "daily_prices", ["batch_id", "position"])
+    return near(mapped.select("batch_id", "position", *KEY, *BAR), BAR, 4)
 
 
 @registered("a09_raw_batch_sink", f"""
-SELECT batch_id, count(*) AS row_count, {text('csv')} AS format, {text('success')} AS status,
-  sha256({text(','.join(RAW_COLUMNS))}) AS schema_hash FROM rawdaily GROUP BY 1""")
-def _(m):
-    root = landed(m)
-    rows = raw_batches.read_batches(m.spark, root, RAW_COLUMNS)
-    return rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("row_count")).select(
-        "batch_id", "row_count", F.lit("csv").alias("format"), F.lit("success").alias("status"),
-        raw_batches.schema_hash(RAW_COLUMNS).alias("schema_hash"),
+SELECT CASE batch_id WHEN 'batch_F' THEN '{_PREFIX}_001' ELSE '{_PREFIX}_002' END AS batch_id, {text('lines')} AS source, {text('daily_prices')} AS dataset_name,
+  {text(DAY)} AS business_date, count(*) AS row_count, {text('csv')} AS format, {text('success')} AS status, sha256({text(','.join(RAW_COLUMNS))}) AS schema_hash
+FROM rawdaily GROUP BY 1, batch_id""")
+def _(m):
+    ws = workspace(m)
+    _landed_batches(m, ws)
+    return ws.metadata("data_batches").select(
+        "batch_id", "source", "dataset_name", "business_date", "row_count", "format", "status", "schema_hash"
     )
 
 
@@ -100,11 +126,10 @@ def stored_prices(m: MarketTables) -> tuple[str, DataFrame]:
     return root, curated_tables.overwrite_table(current_prices(m), root, "daily_prices")
 
 
-@registered("a03_curated_scan", f"SELECT symbol, trade_date, {near_all(['close', 'amount'], 4)} FROM merged WHERE year(trade_date) = 1997 AND month(trade_date) = 5")
+@registered("a03_curated_scan", f"SELECT symbol, trade_date, {near_all(['close', 'amount'], 4)} FROM merged")
 def _(m):
     _, rows = stored_prices(m)
-    chosen = rows.filter((F.col("trade_year") == 1997) & (F.col("trade_month") == 5))
-    return near(chosen.select(*KEY, "close", "amount"), ["close", "amount"], 4)
+    return near(rows.select(*KEY, "close", "amount"), ["close", "amount"], 4)
 
 
 @registered("a04_count_only_scan", "SELECT count(*) AS row_count FROM merged")
@@ -245,9 +270,10 @@ def mapped_f(m):
 
 
 @registered("c1_lineage_columns", f"""
-SELECT ts_code AS symbol, trade_date, 'lines' AS source, batch_id AS source_batch_id, {text(DAY)} AS data_version, year(trade_date)::INTEGER AS trade_year FROM batchf""")
+SELECT ts_code AS symbol, trade_date, 'lines' AS source, batch_id AS source_batch_id, {text(DAY)} AS data_version, year(trade_date)::INTEGER AS trade_year FROM rawdaily""")
 def _(m):
-    rows = enforcement.add_lineage(mapped_f(m), TABLES["daily_prices"], "lines", "batch_F", DAY, STAMP)
+    mapped = map_raw(m.raw_daily, "daily_prices", ["batch_id"])
+    rows = enforcement.add_lineage(mapped, TABLES["daily_prices"], "lines", F.col("batch_id"), DAY, STAMP)
     return rows.select(*KEY, "source", "source_batch_id", "data_version", "trade_year")
 
 
@@ -314,40 +340,6 @@ _BATCH_APIS = {
 }
 
 
-@registered("c7_expected_fields", " UNION ALL ".join(
-    f"SELECT {text(api)} AS api, {text('pct_change' if api == 'sw_daily' else '')} AS missing, (SELECT count(*) FROM {table}) AS row_count"
-    for api, table in {
-        "stock_basic": "security", "trade_cal": "rawcalendar", "daily": "rawdaily", "adj_factor": "maxima", "index_daily": "indexbars",
-        "daily_basic": "stockbars", "stk_limit": "stockbars", "suspend_d": "maxima", "moneyflow_dc": "flow", "cyq_perf": "flow",
-        "index_classify": "nation", "sw_daily": "industrydaily"}.items()))
-def _(m):
-    rows = None
-    for api, name in _BATCH_APIS.items():
-        batch = getattr(m, name)
-        one = batch.agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(api).alias("api"), F.lit(",".join(missing_expected_fields(batch, api))).alias("missing"), "row_count"
-        )
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
-
-
-@registered("c8_field_catalogue", """
-SELECT 'daily_prices' AS dataset_id, 'symbol' AS field_name, TRUE AS is_primary_key, count(*) AS distinct_values FROM (SELECT DISTINCT symbol FROM merged)
-UNION ALL SELECT 'daily_prices', 'trade_date', TRUE, count(*) FROM (SELECT DISTINCT trade_date FROM merged)
-UNION ALL SELECT 'daily_prices', 'trade_year', FALSE, count(*) FROM (SELECT DISTINCT year(trade_date) FROM merged)
-UNION ALL SELECT 'daily_prices', 'trade_month', FALSE, count(*) FROM (SELECT DISTINCT month(trade_date) FROM merged)""")
-def _(m):
-    """Key and partition fields of the catalogue with their distinct values in the data."""
-    fields = enforcement.field_catalogue(m.spark, TABLES).filter(
-        (F.col("dataset_id") == "daily_prices") & (F.col("is_primary_key") | F.col("is_partition_key"))
-    ).select("dataset_id", "field_name", "is_primary_key")
-    names = ["symbol", "trade_date", "trade_year", "trade_month"]
-    counted = current_prices(m).agg(*[F.countDistinct(c).alias(c) for c in names]).select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("field_name"), F.col(c).alias("distinct_values")) for c in names
-    ])))
-    return fields.join(counted, "field_name")
-
-
 # --- D ------------------------------------------------------------------------
 
 def _two_batches(m):
@@ -385,19 +377,9 @@ def _(m):
     return merging.duplicate_key_count(m.raw("lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-def _landed_batches(m, ws):
-    return [
-        promotion.land_batch(ws, "lines", "daily_prices", m.raw_daily.filter(F.col("batch_id") == b).select(*RAW_COLUMNS), DAY)
-        for b in ("batch_F", "batch_O")
-    ]
-
-
 _STORED = near_all([*BAR], 4)
 
 
-_PREFIX = "lines_daily_prices_20020101"
-
-
 @registered("d5_promote_batch", f"""
 SELECT symbol, trade_date, 'lines_adj_factor_20020101_001' AS source_batch_id, {_STORED},
   CASE WHEN max_tax > 0 THEN floor((1 + max_tax) * 1e6 + 0.5001) / 1e6 END AS adj_factor
@@ -414,11 +396,19 @@ def _(m):
     return near(near(rows, BAR, 4), ["adj_factor"])
 
 
-@registered("d6_promote_run", f"SELECT symbol, trade_date, CASE source_batch_id WHEN 'batch_F' THEN '{_PREFIX}_001' ELSE '{_PREFIX}_002' END AS source_batch_id, {_STORED} FROM merged")
+@registered("d6_promote_run", f"""
+SELECT symbol, trade_date, 'lines_suspend_d_20020101_001' AS source_batch_id, max_quantity < 3 AS is_suspended, {_STORED} FROM merged JOIN maxima USING (symbol, trade_date)""")
 def _(m):
+    """A run over two datasets: two price batches, then suspensions of the rows they made."""
     ws = workspace(m)
-    promotion.promote_run(ws, "lines", "daily_prices", _landed_batches(m, ws))
-    return near(ws.current("daily_prices").select(*KEY, "source_batch_id", *BAR), BAR, 4)
+    first, second = _landed_batches(m, ws)
+    halts = promotion.land_batch(ws, "lines", "suspend_d", m.raw_suspensions, DAY)
+    _record_run(ws, "run_1", [
+        ("daily_prices", "20020101", 0, "success", first), ("daily_prices", "20020101", 1000, "success", second),
+        ("suspend_d", "20020101", None, "success", halts), ("suspend_d", "20020102", None, "failed", None),
+    ])
+    promotion.promote_run(ws, "run_1")
+    return near(ws.current("daily_prices").select(*KEY, "source_batch_id", "is_suspended", *BAR), BAR, 4)
 
 
 @registered("d7_dual_target", """
@@ -512,16 +502,6 @@ def _(m):
 _ABSENT = [c for c in TABLES["daily_prices"].columns if c not in ("symbol", "trade_date", "asset_type", "close")]
 
 
-@registered("e5_column_issues", " UNION ALL ".join(
-    [f"SELECT 'missing_column' AS check_name, {text(c)} AS column_name, (SELECT count(*) FROM lineitem) AS row_count" for c in _ABSENT]
-    + ["SELECT 'extra_column', 'line_status', (SELECT count(*) FROM lineitem)"]))
-def _(m):
-    rows = damaged_prices(m)
-    found = quality.column_issues(m.spark, rows.columns, TABLES["daily_prices"], "daily_prices")
-    counted = rows.agg(F.count(F.lit(1)).alias("row_count")).scalar()
-    return found.select("check_name", "column_name").withColumn("row_count", counted)
-
-
 @registered("e6_null_issues", f"""
 SELECT * FROM (SELECT 'trade_date' AS column_name, count(*) - count(trade_date) AS detail FROM {_DAMAGED}
 UNION ALL SELECT 'asset_type', count(*) - count(asset_type) FROM {_DAMAGED}) WHERE detail > 0""")
@@ -702,9 +682,11 @@ def _(m):
 
 
 @registered("g6_benchmark_coverage", """
-SELECT 'index_daily' AS dataset, trade_date FROM prices WHERE symbol IN ('000852.SH', '000300.SH', '000905.SH') GROUP BY trade_date HAVING count(DISTINCT symbol) = 3""")
+SELECT 'index_daily' AS dataset, trade_date FROM prices WHERE symbol IN ('000852.SH', '000300.SH', '000905.SH') AND NOT (symbol = '000905.SH' AND day(trade_date) <= 10) GROUP BY trade_date HAVING count(DISTINCT symbol) = 3""")
 def _(m):
-    return coverage.benchmark_coverage(m.prices, ["000852.SH", "000300.SH", "000905.SH"])
+    """On some days one of the three benchmarks has no row."""
+    held = ~((F.col("symbol") == "000905.SH") & (F.dayofmonth("trade_date") <= 10))
+    return coverage.benchmark_coverage(m.prices.filter(held), ["000852.SH", "000300.SH", "000905.SH"])
 
 
 _WANTED = ["daily_prices", "adj_factor", "stk_limit", "cyq_perf", "sw_daily"]
@@ -744,6 +726,29 @@ def _(m):
     return requests.withColumns({c: F.col(c).cast("double") for c in ("symbol_start", "symbol_end")})
 
 
+@registered("g11_span_work_list", """
+SELECT 'cyq_perf' AS dataset, DATE '2001-01-01' AS start_date, DATE '2001-06-30' AS end_date, s AS symbol_start, least(s + 7, n) AS symbol_end
+FROM (SELECT count(DISTINCT symbol) AS n FROM security WHERE status = 'active'), LATERAL (SELECT unnest(range(0, n, 7)) AS s)""")
+def _(m):
+    return coverage.span_work_list("cyq_perf", "2001-01-01", "2001-06-30", coverage.active_symbols(m.security), 7)
+
+
+@registered("g12_span_not_found", f"""
+SELECT s.symbol AS ts_code, coalesce(strftime(f.trade_date, '%Y%m%d'), '20010630') AS trade_date, {sql.near('f.close_profit_ratio')} AS winner_rate,
+  CASE WHEN f.symbol IS NULL THEN '20010101' END AS request_start_date, CASE WHEN f.symbol IS NULL THEN '20010630' END AS request_end_date,
+  CASE WHEN f.symbol IS NULL THEN 'not_found' ELSE 'found' END AS provider_status, CASE WHEN f.symbol IS NULL THEN 'empty_result' END AS provider_message
+FROM (SELECT DISTINCT symbol FROM security) s LEFT JOIN (SELECT * FROM flow WHERE trade_date BETWEEN DATE '2001-01-01' AND DATE '2001-06-30'
+  AND close_profit_ratio > 0 AND ascii(right(symbol, 4)) % 2 = 0) f ON f.symbol = s.symbol""")
+def _(m):
+    """Symbols without a chip row in the span asked for; those of an odd last digit have none at all."""
+    span = F.col("trade_date").between(F.lit("2001-01-01").cast("date"), F.lit("2001-06-30").cast("date"))
+    digit = F.ascii(F.right("symbol", F.lit(4))) % 2 == 0
+    results = m.flow.filter(span & (F.col("close_profit_ratio") > 0) & digit).select(
+        F.col("symbol").alias("ts_code"), F.date_format("trade_date", "yyyyMMdd").alias("trade_date"), F.col("close_profit_ratio").alias("winner_rate"))
+    requested = m.security.select(F.col("symbol").alias("ts_code"))
+    return near(coverage.span_not_found(requested, results, "2001-01-01", "2001-06-30"), ["winner_rate"])
+
+
 @registered("g12_not_found_rows", f"""
 SELECT symbol, trade_date, {sql.near('winner_rate')} AS winner_rate, CASE WHEN winner_rate IS NULL THEN 'not_found' ELSE 'found' END AS provider_status,
   CASE WHEN winner_rate IS NULL THEN 'empty_result' END AS provider_message
@@ -764,25 +769,58 @@ def _(m):
 @registered("g14_error_classes", f"""
 SELECT conv_id, turn, CASE WHEN limited THEN 'rate_limit' WHEN denied THEN 'permission_denied' ELSE 'unknown' END AS reason, limited AS retryable
 FROM (SELECT conv_id, turn, {' OR '.join(f'contains(lower(text), {text(w)})' for w in fv.RATE_LIMIT_WORDS)} AS limited,
-  {' OR '.join(f'contains(lower(text), {text(w)})' for w in fv.PERMISSION_WORDS)} AS denied FROM conversations)""")
+  {' OR '.join(f'contains(lower(text), {text(w)})' for w in fv.PERMISSION_WORDS)} AS denied
+  FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'No permission: ' || text ELSE text END AS text FROM conversations))""")
 def _(m):
+    """Every second turn speaks of permissions; some of these mention rates too."""
     reason, retryable = coverage.classify_error("text")
-    return m.raw("conversations").select("conv_id", "turn", reason.alias("reason"), retryable.alias("retryable"))
+    rows = m.raw("conversations").withColumn(
+        "text", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("No permission: "), "text")).otherwise(F.col("text")))
+    return rows.select("conv_id", "turn", reason.alias("reason"), retryable.alias("retryable"))
 
 
 # --- S ------------------------------------------------------------------------
 
-@registered("s1_streaming_promotion", f"SELECT symbol, trade_date, source_batch_id, {near_all(BAR, 4)} FROM merged")
-def _(m):
-    """Both landed batches through the stream; a second run finds nothing new."""
+def _streamed(m, per_trigger):
+    """Both batches through the stream, the later one landed first; a second run finds nothing new."""
     from ..streaming.incremental import promote_stream
 
     ws = workspace(m)
-    raw_batches.write_batches(
-        m.raw_daily.withColumns({"source": F.lit("lines"), "dataset": F.lit("daily_prices"), "as_of_date": F.lit(DAY)}),
-        ws.raw_root,
-    )
-    checkpoint = f"{ws.root}/stream-checkpoint"
+    for batch in ("batch_O", "batch_F"):
+        promotion.land_batch(ws, "lines", "daily_prices", m.raw_daily.filter(F.col("batch_id") == batch).select(*RAW_COLUMNS), DAY)
     for _run in range(2):
-        promote_stream(ws, "daily_prices", RAW_COLUMNS, checkpoint, STAMP).awaitTermination()
-    return near(ws.current("daily_prices").select(*KEY, "source_batch_id", *BAR), BAR, 4)
+        promote_stream(ws, "daily_prices", f"{ws.root}/stream-checkpoint", STAMP, per_trigger).awaitTermination()
+    return ws
+
+
+_LATER = f"coalesce(f.{{0}}, o.{{0}})"
+
+
+@registered("s1_streaming_promotion", f"""
+SELECT setting, coalesce(f.ts_code, o.ts_code) AS symbol, coalesce(f.trade_date, o.trade_date) AS trade_date,
+  CASE WHEN f.ts_code IS NULL THEN '{_PREFIX}_001' ELSE '{_PREFIX}_002' END AS source_batch_id, {", ".join(sql.near(_LATER.format(c), 4) + " AS " + c for c in BAR)}
+FROM batchf f FULL JOIN batcho o ON f.ts_code = o.ts_code AND f.trade_date = o.trade_date CROSS JOIN (VALUES ('one'), ('all')) s(setting)""")
+def _(m):
+    """One batch per trigger and all at once give the same table."""
+    tables = [
+        _streamed(m, count).current("daily_prices").select(F.lit(setting).alias("setting"), *KEY, "source_batch_id", *BAR)
+        for setting, count in (("one", 1), ("all", None))
+    ]
+    return near(tables[0].unionByName(tables[1]), BAR, 4)
+
+
+@registered("s1_stream_lineage", f"""
+SELECT * FROM (VALUES ('one', '{_PREFIX}_001', 1), ('one', '{_PREFIX}_002', 2), ('all', '{_PREFIX}_001', 1), ('all', '{_PREFIX}_002', 1)) v(setting, batch_id, version)
+JOIN (SELECT count(*) AS row_count FROM merged) ON true WHERE version = 2 OR setting = 'all'
+UNION ALL SELECT 'one', '{_PREFIX}_001', 1, count(*) FROM batcho""")
+def _(m):
+    """Which versions each streamed batch went into, with the recorded rows."""
+    parts = []
+    for setting, count in (("one", 1), ("all", None)):
+        ws = _streamed(m, count)
+        order = F.dense_rank().over(Window.orderBy("created_at")).cast("int").alias("version")
+        versions = ws.versions().select("curated_version_id", "row_count", order)
+        parts.append(catalog.run_lineage(ws.metadata("data_batches"), ws.metadata("version_batches"), ws.spark.createDataFrame(
+            [], "snapshot_id string, curated_version_id string")).join(versions, "curated_version_id").select(
+            F.lit(setting).alias("setting"), "batch_id", "version", "row_count"))
+    return parts[0].unionByName(parts[1])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as fv
@@ -52,7 +54,10 @@ def _(m):
 @registered("m7_evaluate_factor_run", f"""
 SELECT 'ic' AS part, factor, CAST(count(*) AS BIGINT) AS rows, {sql.near('avg(rank_ic)')} AS figure FROM icbydate GROUP BY 2
 UNION ALL SELECT 'coverage', factor, count(*), {sql.near('count(*)::DOUBLE / (SELECT count(*) FROM factors)')} FROM longfactors GROUP BY 2
-UNION ALL SELECT 'groups', factor, count(*), {sql.near('avg(forward_return)')} FROM evaluated GROUP BY 2""")
+UNION ALL SELECT 'groups', factor, count(*), {sql.near('avg(forward_return)')} FROM evaluated GROUP BY 2
+UNION ALL SELECT 'mean_ic', factor, count(*), {sql.near('avg(ic)')} FROM icbydate GROUP BY 2
+UNION ALL SELECT 'icir', factor, count(*), {sql.near('avg(ic) / nullif(stddev_samp(ic), 0)')} FROM icbydate GROUP BY 2
+UNION ALL {" UNION ALL ".join(f"SELECT 'with_mom_20', '{c}', (SELECT count(*) FROM factors), {sql.near(sql.pearson_sql('a', 'b'))} FROM (SELECT mom_20 AS a, {c} AS b FROM factors WHERE mom_20 IS NOT NULL AND {c} IS NOT NULL)" for c in fv.EVALUATED_FACTORS)}""")
 def _(m):
     """Evaluation of a stored run: IC, coverage and group returns summarised per factor."""
     _, run = stored_run(m)
@@ -61,10 +66,14 @@ def _(m):
     cover = tables["coverage"].select("factor", F.col("non_null_count").alias("rows"), F.col("coverage").alias("figure"))
     weighted = F.sum(F.col("avg_forward_return") * F.col("sample_count")) / F.sum("sample_count")
     groups = tables["group_returns"].groupBy("factor").agg(F.sum("sample_count").alias("rows"), weighted.alias("figure"))
-    labelled = [
-        frame.withColumn("part", F.lit(part)) for part, frame in (("ic", ic), ("coverage", cover), ("groups", groups))
-    ]
-    return near(labelled[0].unionByName(labelled[1]).unionByName(labelled[2]), ["figure"])
+    summary = materialise(tables["summary"], "summary")
+    measure = lambda name: summary.select("factor", F.col("date_count").alias("rows"), F.col(name).alias("figure"))
+    related = tables["correlation"].select("factor", run.agg(F.count(F.lit(1)).alias("n")).scalar().alias("rows"), F.col("mom_20").alias("figure"))
+    parts = {
+        "ic": ic, "coverage": cover, "groups": groups, "mean_ic": measure("mean_ic"), "icir": measure("icir"), "with_mom_20": related,
+    }
+    whole = reduce(DataFrame.unionByName, [frame.withColumn("part", F.lit(part)) for part, frame in parts.items()])
+    return near(whole, ["figure"])
 
 
 # --- N ----------------------------------------------------------------------------
@@ -266,6 +275,18 @@ def _(m):
     return market.status(_days(m), market.index_metrics(m.prices), _sectors(m)).select("trade_date", "status")
 
 
+@registered("p8_partial_status", """
+SELECT d.trade_date, CASE WHEN i.trade_date IS NULL AND s.trade_date IS NULL THEN 'unavailable' WHEN i.trade_date IS NULL OR s.trade_date IS NULL THEN 'partial' ELSE 'complete' END AS status,
+  concat_ws('; ', CASE WHEN i.trade_date IS NULL THEN 'missing broad index rows' END, CASE WHEN s.trade_date IS NULL THEN 'missing sector rows' END) AS warnings
+FROM alldays d LEFT JOIN (SELECT DISTINCT trade_date FROM indexmetrics WHERE year(trade_date) <> 1996) i ON d.trade_date = i.trade_date
+LEFT JOIN (SELECT DISTINCT trade_date FROM sectors WHERE year(trade_date) NOT IN (1997, 1998)) s ON d.trade_date = s.trade_date""")
+def _(m):
+    """Years without index rows, and others without sector rows."""
+    metrics = market.index_metrics(m.prices).filter(F.year("trade_date") != 1996)
+    states = market.status(_days(m), metrics, _sectors(m).filter(~F.year("trade_date").isin(1997, 1998)))
+    return states.select("trade_date", "status", F.array_join("warnings", "; ").alias("warnings"))
+
+
 @registered("p8_market_status", f"""
 SELECT t.trade_date, status, strongest, weakest, sector_summary, risks, array_to_string(strong_names, ',') AS strongest_sectors, array_to_string(weak_names, ',') AS weakest_sectors
 FROM states t LEFT JOIN extremes e ON t.trade_date = e.trade_date LEFT JOIN summary s ON t.trade_date = s.trade_date LEFT JOIN risks r ON t.trade_date = r.trade_date
@@ -276,24 +297,32 @@ def _(m):
     return rows.withColumns(joined).select("trade_date", "status", "strongest", "weakest", "sector_summary", *joined)
 
 
-_MISSING = " + ".join(f"CAST({c} IS NULL AS INTEGER)" for c in fv.ANALYSIS_FACTORS)
+_EARLY = "(SELECT max(trade_date) FROM factors WHERE year(trade_date) = 1992)"
+_ASKED = f"(SELECT symbol FROM security UNION SELECT {sql._symbol('c_custkey')} FROM customer)"
 
 
 @registered("p9_security_analysis", f"""
-SELECT a.symbol, coalesce(tradable_flag, FALSE) AS in_latest_candidate_pool, CASE WHEN f.symbol IS NULL THEN 'not_found_in_factor_run' ELSE exclusion_reason END AS exclusion_reason,
-  {sql.near('total_score', 8)} AS total_score, CASE WHEN f.symbol IS NULL THEN 0 ELSE {_MISSING} END AS missing_values,
+SELECT a.symbol, f.name, f.industry, f.market_segment AS market, coalesce(tradable_flag, FALSE) AS in_latest_candidate_pool,
+  CASE WHEN f.symbol IS NULL THEN 'not_found_in_factor_run' ELSE exclusion_reason END AS exclusion_reason,
+  {sql.near('total_score', 8)} AS total_score, {", ".join(sql.near(f'coalesce({c}, 0)', 8) + f' AS {c}' for c in ('momentum_score', 'flow_score', 'risk_score'))},
   CASE WHEN f.symbol IS NULL THEN {text(fv.NO_EVIDENCE_NOTE)} WHEN exclusion_reason = 'none' AND risk_score >= 0.35::DOUBLE THEN {text(fv.NO_RISK_NOTE)}
     ELSE concat_ws('; ', CASE WHEN exclusion_reason <> 'none' THEN exclusion_reason END, CASE WHEN risk_score < 0.35::DOUBLE THEN {text(fv.WEAK_RISK_NOTE)} END) END AS risk_notes
-FROM (SELECT symbol FROM security UNION SELECT {sql._symbol('c_custkey')} FROM customer) a LEFT JOIN (SELECT * FROM factors WHERE trade_date = (SELECT max(trade_date) FROM factors)) f ON a.symbol = f.symbol""")
+FROM {_ASKED} a LEFT JOIN (SELECT * FROM factors WHERE trade_date = (SELECT max(trade_date) FROM factors)) f ON a.symbol = f.symbol""")
 def _(m):
     asked = m.security.select("symbol").union(m.raw("customer").select(security_symbol("c_custkey")))
     rows = publishing.analyse_securities(asked, stored_factors(m))
-    shown = rows.select(
-        "symbol", "in_latest_candidate_pool", "exclusion_reason", "total_score",
-        F.size(F.filter("factor_values", lambda v: v["missing_data"])).alias("missing_values"),
-        F.array_join("risk_notes", "; ").alias("risk_notes"),
-    )
-    return near(shown, ["total_score"], 8)
+    return near(rows.drop("factor_values").withColumn("risk_notes", F.array_join("risk_notes", "; ")),
+                ["total_score", "momentum_score", "flow_score", "risk_score"], 8)
+
+
+@registered("p9_factor_values", " UNION ALL ".join(
+    f"SELECT symbol, '{c}' AS factor_code, {sql.near(f'{c}::DOUBLE', 6)} AS value, {c} IS NULL AS missing_data FROM factors WHERE trade_date = {_EARLY}"
+    for c in fv.ANALYSIS_FACTORS))
+def _(m):
+    """The factor values of each security at the end of the first year, when long look-backs are still missing."""
+    early = stored_factors(m).filter(F.year("trade_date") == 1992)
+    rows = publishing.analyse_securities(m.security.select("symbol"), early).select("symbol", F.inline("factor_values"))
+    return near(rows, ["value"])
 
 
 def violations_sql(column: str) -> str:
@@ -303,33 +332,76 @@ def violations_sql(column: str) -> str:
     return f"array_to_string(list_filter([{', '.join(terms)}], lambda x: x IS NOT NULL), '; ')"
 
 
+def _violations(rows, keys, column, text_of=None):
+    found = publishing.with_wording_violations(rows.select(*keys, column), F.col(column) if text_of is None else text_of, "found")
+    return found.select(*keys, F.array_join("found", "; ").alias("violations"))
+
+
 @registered("p10_wording_documents", f"SELECT doc_id, {violations_sql('text')} AS violations FROM documents")
 def _(m):
-    return m.raw("documents").select("doc_id", F.array_join(publishing.wording_violations("text"), "; ").alias("violations"))
+    return _violations(m.raw("documents"), ["doc_id"], "text")
+
+
+_SPOKEN = "replace(replace(text, 'th', ' Sell'), 'on', 'D:/on')"
 
 
-@registered("p10_wording_conversations", f"SELECT conv_id, turn, {violations_sql('text')} AS violations FROM conversations")
+@registered("p10_wording_conversations", f"SELECT conv_id, turn, {violations_sql(_SPOKEN)} AS violations FROM conversations")
 def _(m):
-    return m.raw("conversations").select("conv_id", "turn", F.array_join(publishing.wording_violations("text"), "; ").alias("violations"))
+    """The turns with words put in that must not be published."""
+    return _violations(m.raw("conversations"), ["conv_id", "turn"], "text", F.expr(_SPOKEN))
 
 
-@registered("p10_wording_pages", f"SELECT page_id, {violations_sql('html')} AS violations FROM pages")
+_SHOWN = "replace(replace(html, 'of the', '目标价'), 'ad 1', 'raw_payload')"
+
+
+@registered("p10_wording_pages", f"SELECT page_id, {violations_sql(_SHOWN)} AS violations FROM pages")
 def _(m):
-    return m.raw("pages").select("page_id", F.array_join(publishing.wording_violations("html"), "; ").alias("violations"))
+    return _violations(m.raw("pages"), ["page_id"], "html", F.expr(_SHOWN))
 
 
 def _bundles(m):
+    """Payloads of every pool date, the pool of the date before as the previous version."""
     states = market.market_status(m.calendar, m.prices, m.industry_daily, m.classification)
-    return publishing.daily_bundles(states, all_pools(m))
+    found = materialise(all_pools(m), "pools")
+    successors = date_successors(m.calendar)
+    changes = pools.with_previous_version(pools.pool_history(found, successors), found, successors)
+    return publishing.daily_bundles(publishing.market_payloads(states), publishing.candidate_payloads(found, changes))
+
+
+#: Day of the year modulo 6 -> what is done to the bundle, and what the check has to say.
+_DAMAGE = {
+    0: "", 1: "missing section: sectors", 2: "unsupported candidate_pool schema_version", 3: "prohibited wording: sell",
+    4: "bundle_hash mismatch", 5: "missing section: candidate_pool_metadata; unsupported candidate_pool schema_version",
+}
+
+
+def _damaged(bundles):
+    kind = F.dayofyear("trade_date") % 6
+    pool, market_status = F.col("candidate_pool"), F.col("market_status")
+    version = pool["candidate_pool_metadata"].withField("schema_version", F.lit("candidate_pool_v000"))
+    nothing = lambda path: F.lit(None).cast(bundles.select(path).schema[0].dataType)
+    before = bundles.withColumns({
+        "market_status": F.when(kind == 1, market_status.withField("sectors", nothing("market_status.sectors")))
+        .when(kind == 3, market_status.withField("structural_risks", F.array(F.lit("Sell everything")))).otherwise(market_status),
+        "candidate_pool": F.when(kind == 2, pool.withField("candidate_pool_metadata", version))
+        .when(kind == 5, pool.withField("candidate_pool_metadata", nothing("candidate_pool.candidate_pool_metadata"))).otherwise(pool),
+    })
+    hashed = publishing.with_bundle_hash(before)
+    meta = F.col("bundle_metadata")
+    return hashed.withColumn("bundle_metadata", F.when(kind == 4, meta.withField("bundle_id", F.lit("other"))).otherwise(meta))
 
 
 @registered("p11_payload_checks", f"""
-SELECT p.trade_date, s.status, n AS stock_count, '' AS errors FROM (SELECT trade_date, count(*) AS n FROM pools GROUP BY 1) p
-JOIN states s ON p.trade_date = s.trade_date""")
+SELECT p.trade_date, s.status, newly_added, removed, total,
+  CASE dayofyear(p.trade_date) % 6 {" ".join(f"WHEN {k} THEN {text(v)}" for k, v in _DAMAGE.items())} END AS errors
+FROM (SELECT trade_date, CAST(count(*) FILTER (WHERE change_status = 'newly_added') AS INTEGER) AS newly_added,
+  CAST(count(*) FILTER (WHERE change_status = 'removed') AS INTEGER) AS removed, CAST(count(*) FILTER (WHERE change_status <> 'removed') AS INTEGER) AS total
+  FROM poolchanges GROUP BY 1) p JOIN states s ON p.trade_date = s.trade_date WHERE total > 0""")
 def _(m):
-    return _bundles(m).select(
-        "trade_date", F.col("market_status.status").alias("status"),
-        F.size("candidate_pool.top_stocks").cast("bigint").alias("stock_count"), F.array_join("errors", "; ").alias("errors"),
+    """Bundles of all dates, five in six of them damaged in one way each."""
+    return publishing.with_bundle_errors(_damaged(_bundles(m))).select(
+        "trade_date", "market_status.market_status_metadata.status", "candidate_pool.summary.newly_added",
+        "candidate_pool.summary.removed", "candidate_pool.summary.total", F.array_join("errors", "; ").alias("errors"),
     )
 
 
@@ -342,19 +414,15 @@ def _(m):
     return near(near(publishing.latest_quotes(watched, m.prices), ["last_price"], 4), ["change_percent"])
 
 
-_FINGERPRINT = """sha256('{"trade_date":"' || strftime(trade_date, '%Y-%m-%d') || '","top_stocks":[' || string_agg('{"rank":' || rank || ',"symbol":"' || symbol || '"}', ',' ORDER BY rank) || ']}')"""
-
-
-@registered("p13_unpublished", f"""
-SELECT trade_date, bundle_hash FROM (SELECT trade_date, {_FINGERPRINT} AS bundle_hash FROM pools GROUP BY trade_date)
-WHERE trade_date > DATE '2001-06-30'""")
+@registered("p13_unpublished", """
+SELECT DISTINCT trade_date, trade_date > DATE '2001-06-30' AS is_new FROM pools
+WHERE trade_date > DATE '2001-06-30' OR trade_date = (SELECT min(trade_date) FROM pools)""")
 def _(m):
-    """Pools up to a date count as published; the rest is still to be sent."""
-    item = F.struct("rank", "symbol")
-    payload = all_pools(m).groupBy("trade_date").agg(F.array_sort(F.collect_list(item)).alias("top_stocks"))
-    hashed = materialise(
-        payload.withColumn("bundle_hash", publishing.fingerprint(["trade_date", "top_stocks"])).select("trade_date", "bundle_hash"),
-        "bundle-hashes",
+    """Bundles up to a date were published, the first of them with another content since; the rest is new."""
+    last = F.lit("2001-06-30").cast("date")
+    bundles = materialise(publishing.with_bundle_hash(_bundles(m)), "bundles").select("trade_date", "bundle_metadata.bundle_hash")
+    first = bundles.agg(F.min("trade_date").alias("d")).scalar()
+    published = bundles.filter(F.col("trade_date") <= last).withColumn(
+        "bundle_hash", F.when(F.col("trade_date") == first, F.sha2("bundle_hash", 256)).otherwise(F.col("bundle_hash"))
     )
-    published = hashed.filter(F.col("trade_date") <= F.lit("2001-06-30").cast("date"))
-    return publishing.unpublished(hashed, published)
+    return publishing.unpublished(bundles, published).select("trade_date", (F.col("trade_date") > last).alias("is_new"))

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.columns import rolling
 from ..operators import evaluation, factors, indicators, portfolio, signals, trades
-from ..operators.ranking import average_rank, group_count
 from ..plans import research
-from ..plans.runtime import materialise
+from ..plans.promotion import Workspace
+from ..plans.runtime import materialise, new_path
+from ..sources import artifacts
 from ..sources.weekly_bars import MarketTables
 from . import sql
 from .registry import near, registered, signed_log
@@ -80,12 +81,29 @@ def _(m):
     return near(indicators.price_indicators(stock_history(m)).select("symbol", "trade_date", "vol_20"), ["vol_20"])
 
 
+_FALLING_SQL = """10000.0::DOUBLE / (row_number() OVER (PARTITION BY symbol ORDER BY trade_date) + 0.5::DOUBLE * (close - floor(close)))
+  + CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY trade_date) % 50 = 0 THEN 9000.0::DOUBLE ELSE 0.0::DOUBLE END"""
+
+
 @registered("h10_downside_volatility", f"SELECT {R}, {near_all(['downside_vol_20'])} FROM priceind")
 def _(m):
     rows = indicators.price_indicators(stock_history(m)).select("symbol", "trade_date", "downside_vol_20")
     return near(rows, ["downside_vol_20"])
 
 
+@registered("h10_downside_of_falling", f"""
+SELECT symbol, trade_date, CASE WHEN count(moved) OVER w >= 20 THEN floor((stddev_samp(moved) OVER w) * 1e8 + 0.5001) / 1e8 END AS downside_vol_20
+FROM (SELECT symbol, trade_date, CASE WHEN moved < 0 THEN moved END AS moved FROM (SELECT symbol, trade_date, adj / lag(adj) OVER s - 1 AS moved
+  FROM (SELECT symbol, trade_date, {_FALLING_SQL} AS adj FROM prices WHERE asset_type <> 'index') WINDOW s AS (PARTITION BY symbol ORDER BY trade_date)))
+WINDOW w AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
+def _(m):
+    """Prices that fall with every row but for some days: whole windows of losses occur."""
+    place = F.row_number().over(Window.partitionBy("symbol").orderBy("trade_date"))
+    falling = F.lit(10000.0) / (place + F.lit(0.5) * (F.col("close") - F.floor("close"))) + F.when(place % 50 == 0, 9000.0).otherwise(0.0)
+    rows = stock_history(m).withColumn("adj_close", falling)
+    return near(indicators.price_indicators(rows).select("symbol", "trade_date", "downside_vol_20"), ["downside_vol_20"], 8)
+
+
 def _flow_query(key, names):
     @registered(key, f"SELECT {R}, {near_all(names)} FROM flowind")
     def _(m):
@@ -116,7 +134,7 @@ def _(m):
 
 @lru_cache
 def factor_run(m: MarketTables) -> DataFrame:
-    return factors.daily_factors(m.prices, m.flow, m.security, group_rows=m.cross_section_rows)
+    return factors.daily_factors(m.prices, m.flow, m.security)
 
 
 @lru_cache
@@ -140,9 +158,7 @@ def _(m):
 
 @registered("i2_rank_scores", f"SELECT {R}, {', '.join(sql.near('s_' + c, 8) + ' AS score_' + c for c, _ in sql.SCORED)} FROM ranks")
 def _(m):
-    ranked = factors.wide_average_ranks(
-        assembled(m), factors.RANKED_INPUTS, group_rows=m.cross_section_rows
-    )
+    ranked = factors.wide_average_ranks(assembled(m), factors.RANKED_INPUTS)
     names = [f"score_{c}" for c, _ in sql.SCORED]
     return near(
         ranked.select("symbol", "trade_date", *[
@@ -257,7 +273,7 @@ SELECT place AS factor_rank, symbol, name, trade_date AS signal_date, recommend_
   TRUE AS pass_macd_golden_cross, TRUE AS pass_close_profit_ratio, TRUE AS pass_exclude_st, TRUE AS factor_pass, {near_all(SIGNAL, 5)}
 FROM rankedsignals JOIN successors USING (trade_date)""")
 def _(m):
-    rows = signals.pass_table(signal_rows(m), signals.date_successors(m.calendar), m.cross_section_rows)
+    rows = signals.pass_table(signal_rows(m), signals.date_successors(m.calendar))
     return near(rows.drop("factor_value", "reason"), SIGNAL, 5)
 
 
@@ -268,26 +284,32 @@ def _(m):
     )
 
 
-def _report_union(m):
-    """The tables of the research report, one row per table."""
-    rows = signal_rows(m)
-    made = trades.signal_trades(rows, m.prices, 20, 10)
-    measured = portfolio.trade_metrics(made)
-    ranked = signals.explained_ranking(rows, signals.date_successors(m.calendar), 10)
-    entry = lambda section, frame: frame.agg(
-        F.lit(section).alias("section"), F.count(F.lit(1)).alias("row_count")
-    )
-    return (
-        entry("passing", rows).unionByName(entry("ranking", ranked)).unionByName(entry("trades", made))
-        .unionByName(measured.select(F.lit("signal_dates").alias("section"), F.col("signal_dates").alias("row_count")))
-    )
-
-
-@registered("j6_research_report", """
-SELECT 'passing' AS section, count(*) AS row_count FROM signals UNION ALL SELECT 'ranking', count(*) FROM rankedsignals WHERE place <= 10
-UNION ALL SELECT 'trades', count(*) FROM trades UNION ALL SELECT 'signal_dates', count(DISTINCT trade_date) FROM trades""")
+@registered("j6_research_report", f"""
+SELECT 'factor_results' AS part, trade_date AS day, symbol, place::DOUBLE AS figure FROM rankedsignals
+UNION ALL SELECT 'ranking_results', trade_date, symbol, place::DOUBLE FROM rankedsignals WHERE place <= 10
+UNION ALL SELECT 'backtest_trades', trade_date, symbol, {sql.near('forward_return')} FROM trades
+UNION ALL SELECT 'backtest_metrics', NULL, 'trade_count', count(*)::DOUBLE FROM trades
+UNION ALL SELECT 'backtest_metrics', NULL, 'signal_dates', count(DISTINCT trade_date)::DOUBLE FROM trades""")
 def _(m):
-    return _report_union(m)
+    """The report of all dates written as files and read back."""
+    rows = materialise(signal_rows(m), "signals")
+    successors = signals.date_successors(m.calendar)
+    report = research.Report(
+        signals.pass_table(rows, successors), signals.explained_ranking(rows, successors, 10),
+        research.measure(signal_trades(m), m.prices, 20),
+    )
+    ws = Workspace(m.spark, new_path(m.spark, "reports"))
+    research.write_report(ws, "report", report)
+    back = lambda name, schema, form="csv": artifacts.read_result(m.spark, ws.root, "report", name, schema, form)
+    passing = back("factor_results", report.passing.schema).select(
+        F.lit("factor_results").alias("part"), F.col("signal_date").alias("day"), "symbol", F.col("factor_rank").cast("double").alias("figure"))
+    ranking = back("ranking_results", report.ranking.schema).select(
+        F.lit("ranking_results"), "signal_date", "symbol", F.col("rank").cast("double"))
+    made = near(back("backtest_trades", report.backtest.trades.schema), ["forward_return"]).select(
+        F.lit("backtest_trades"), "trade_date", "symbol", "forward_return")
+    measured = back("backtest_metrics", "trade_count bigint, signal_dates bigint", "json").select(F.inline(F.array(*[
+        F.struct(F.lit("backtest_metrics"), F.lit(None).cast("date"), F.lit(c), F.col(c).cast("double")) for c in ("trade_count", "signal_dates")])))
+    return passing.union(ranking).union(made).union(measured)
 
 
 # --- K ------------------------------------------------------------------------
@@ -491,7 +513,7 @@ def _(m):
 
 @registered("m2_rank_ic", f"SELECT factor, trade_date, sample_count, {near_all(['rank_ic'])} FROM icbydate")
 def _(m):
-    return near(evaluation.ic_by_date(pairs(m), m.cross_section_rows).drop("ic"), ["rank_ic"])
+    return near(evaluation.ic_by_date(pairs(m)).drop("ic"), ["rank_ic"])
 
 
 @registered("m3_group_returns", f"""
@@ -499,7 +521,7 @@ SELECT factor, "group", {sql.near('avg(forward_return)')} AS avg_forward_return,
 FROM (SELECT *, CAST(least(greatest(floor(({sql.average_rank_sql('value', 'factor, trade_date')} - 1) / count(*) OVER (PARTITION BY factor, trade_date) * 5), 0), 4) AS BIGINT) AS "group"
   FROM evaluated) GROUP BY 1, 2""")
 def _(m):
-    return near(evaluation.group_returns(pairs(m), 5, m.cross_section_rows), ["avg_forward_return"])
+    return near(evaluation.group_returns(pairs(m), 5), ["avg_forward_return"])
 
 
 @registered("m4_coverage", f"""
@@ -524,7 +546,7 @@ _SUMMARY = ["mean_ic", "icir", "mean_rank_ic", "rank_icir"]
 SELECT factor, date_count, {near_all(_SUMMARY)} FROM (SELECT factor, avg(ic) AS mean_ic, avg(ic) / nullif(stddev_samp(ic), 0) AS icir,
   avg(rank_ic) AS mean_rank_ic, avg(rank_ic) / nullif(stddev_samp(rank_ic), 0) AS rank_icir, count(*) AS date_count FROM icbydate GROUP BY 1)""")
 def _(m):
-    return near(evaluation.ic_summary(evaluation.ic_by_date(pairs(m), m.cross_section_rows)), _SUMMARY)
+    return near(evaluation.ic_summary(evaluation.ic_by_date(pairs(m))), _SUMMARY)
 
 
 # m7, the evaluation of a stored run, is registered with the publishing queries.
