@@ -37,6 +37,7 @@ _WORDS = frozenset(
     "nav navbar navigation breadcrumb breadcrumbs toolbar footer foot header masthead share sharing social related recommended "
     "comment comments reply replies respond disqus pagination pager skip copyright disclaimer contentinfo complementary search "
     "form toc tags".split())
+_TITLING = frozenset(("header", "masthead"))
 _HIDDEN = re.compile(r"""(?i)(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*["']?true""")
 _NAMED = re.compile(r"""(?i)(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
@@ -48,15 +49,18 @@ _RAW = frozenset("script style textarea title iframe noscript template".split())
 _ENDS = {"li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "td", "th": "td", "option": "option"}
 
 
-def _marked(attributes: str) -> bool:
-    """Whether class, id or role hold a word of what stands apart, or the element is hidden."""
+def _marked(attributes: str, inside: bool) -> bool:
+    """Whether class, id or role hold a word of what stands apart, or the element is hidden.
+
+    The header of a marked article is part of it."""
     if not attributes or attributes.isspace():
         return False
     if _HIDDEN.search(attributes):
         return True
     for match in _NAMED.finditer(attributes):
         value = match[2] or match[3] or match[4] or ""
-        if any(word.lower() in _WORDS for word in _WORD.findall(value)):
+        words = {word.lower() for word in _WORD.findall(value)} & _WORDS
+        if words - _TITLING if inside else words:
             return True
     return False
 
@@ -95,7 +99,7 @@ class _Lines:
             self._close_before(name)
         if name in _VOID or attributes.endswith("/") and name not in _BLOCKS:
             return
-        marked = name not in ("html", "body") and _marked(attributes)
+        marked = name not in ("html", "body") and _marked(attributes, self.state()[1])
         article = name in ("article", "main") and not marked
         if article:  # an advert that is never closed does not swallow the article
             while self.stack and self.stack[-1][1] and self.stack[-1][0] not in ("article", "main"):

@@ -93,6 +93,10 @@ TEXT = "A title &amp; more\nFirst   paragraph with <b>bold</b> words&nbsp;and a
     ("<div><h1>Plain page without an article element</h1><p>It has a first paragraph of some length.</p><p>Short.</p></div>",
      "Plain page without an article element\nIt has a first paragraph of some length.\nShort."),
     ("<main><p>a &lt b &am c</p></main>", "a < b &am c"),
+    ("<article class='post'><header class='post-header'><h1>Kept</h1></header><div class='share-bar'>Share</div><p>Text.</p>"
+     "<div class='notice'>Note</div><section id='comments'><article class='comment'><p>No.</p></article></section></article>", "Kept\nText."),
+    ("<div class='ad'>Never closed <article><p>Kept.</p></article>", "Kept."),
+    ("<article><table><tr><td>a<td>b</table><dl><dt>c<dd>d</dl><p hidden>x</p></article>", "a\nb\nc\nd"),
     ("<article></article>", ""),
     ("", ""),
 ])
