@@ -96,12 +96,17 @@ def merge_into_current(
         offending = sorted({c for f in facts for c in f["null_columns"]})
         if offending:
             raise ValueError("non-nullable columns contain nulls: " + ", ".join(offending))
-        curated.record_partitions(ws.spark, ws.root, name, "replacing", [(f["partition"], None, None) for f in facts])
+        known = curated.recorded_partitions(ws.spark, ws.root, name)
+        announced = {f["partition"] for f in facts}
+        if not known and current is not None:  # a table older than the records: all of it has to be counted
+            known = {p: {"state": "replacing"} for p in _partitions(current, name)}
+            announced |= set(known)
+        curated.record_partitions(ws.spark, ws.root, name, "replacing", [(p, None, None) for p in sorted(announced)])
         if parts:
             curated.overwrite_partitions(kept, ws.root, name)
         else:
             curated.overwrite_table(kept, ws.root, name)
-        rows, checksum = _recorded_after(ws, name, facts)
+        rows, checksum = _recorded_after(ws, name, facts, known)
     overlap = {c: sum(f[c] for f in facts) for c in ("incoming_rows", "incoming_duplicate_keys", "overlap_keys")}
     version_id = f"{name}_{uuid.uuid4().hex[:12]}"
     edges = batches.select(
@@ -116,21 +121,22 @@ def merge_into_current(
     return {"dataset_id": name, "curated_version_id": version_id, **overlap}
 
 
-def _recorded_after(ws: Workspace, name: str, facts: list) -> tuple[int, int]:
+def _partitions(rows: DataFrame, name: str) -> list[str]:
+    found = rows.select(curated.partition_of(TABLES[name]).alias("p")).distinct()
+    return [r["p"] for r in found.collect()]
+
+
+def _recorded_after(ws: Workspace, name: str, facts: list, known: dict[str, dict]) -> tuple[int, int]:
     """Count and checksum of the whole table from its partition records, brought up to date.
 
-    Partitions without a sound record (a promotion failed while it replaced them, or the
-    table is older than the records) are counted from their rows.
+    Every partition is announced before it is touched, so `known` names all of them. Those
+    that were announced without a later record are counted from their rows.
     """
     fresh = {f["partition"]: (f["partition"], f["row_count"], f["checksum"]) for f in facts}
-    known = curated.recorded_partitions(ws.spark, ws.root, name)
-    sound = {p for p, r in known.items() if r["state"] != "replacing"} | set(fresh)
-    partition = curated.partition_of(TABLES[name])
+    stale = [p for p, r in known.items() if r["state"] == "replacing" and p not in fresh]
     current = ws.current(name)
-    there = [] if current is None else current.select(partition.alias("p")).distinct().collect()
-    stale = [r["p"] for r in there if r["p"] not in sound]
-    if stale:
-        rows = conform(current.filter(partition.isin(stale)), TABLES[name])
+    if stale and current is not None:
+        rows = conform(current.filter(curated.partition_of(TABLES[name]).isin(stale)), TABLES[name])
         fresh |= {f["partition"]: (f["partition"], f["row_count"], f["checksum"]) for f in curated.partition_facts(rows, name).collect()}
     curated.record_partitions(ws.spark, ws.root, name, "replaced", list(fresh.values()))
     others = [(r["row_count"], r["checksum"]) for p, r in known.items() if p not in fresh and r["state"] != "replacing"]

@@ -297,7 +297,7 @@ def _(m):
     return rows.withColumns(joined).select("trade_date", "status", "strongest", "weakest", "sector_summary", *joined)
 
 
-_EARLY = "(SELECT max(trade_date) FROM factors WHERE year(trade_date) = 1992)"
+_EARLY = "(SELECT max(trade_date) FROM factors WHERE year(trade_date) = (SELECT min(year(trade_date)) FROM factors))"
 _ASKED = f"(SELECT symbol FROM security UNION SELECT {sql._symbol('c_custkey')} FROM customer)"
 
 
@@ -320,7 +320,8 @@ def _(m):
     for c in fv.ANALYSIS_FACTORS))
 def _(m):
     """The factor values of each security at the end of the first year, when long look-backs are still missing."""
-    early = stored_factors(m).filter(F.year("trade_date") == 1992)
+    run = stored_factors(m)
+    early = run.filter(F.year("trade_date") == run.agg(F.min(F.year("trade_date")).alias("y")).scalar())
     rows = publishing.analyse_securities(m.security.select("symbol"), early).select("symbol", F.inline("factor_values"))
     return near(rows, ["value"])
 
