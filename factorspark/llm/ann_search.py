@@ -27,12 +27,12 @@ from .block_search import best, clean_vectors, every_of, result, side
 from .common import hashed_share, uniform, vectors
 
 SAMPLE_ROWS = 4096
-PARTITION_ROWS = 2048
+PARTITION_ROWS = 1024
 MOST_PARTITIONS = 128
 BLOCK_ROWS = 16384
 BLOCK_QUERIES = 8192
 NEIGHBOURS = 10
-RECALL = 0.96
+RECALL = 0.94
 
 
 def neighbour_graph(sample: np.ndarray, k: int) -> np.ndarray:

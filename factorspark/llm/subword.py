@@ -173,15 +173,20 @@ class Model:
 
 
 def fit(features: Features, samples: list[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, dim: int = 12,
-        epochs: int = 8, rate: float = 40.0, batch: int = 16, seed: int = 11, rejected: float = 0.001) -> Model:
-    """SGD over the samples; every fifth is held back to calibrate temperature and rejection."""
+        epochs: int = 8, rate: float = 40.0, batch: int = 16, seed: int = 11, rejected: float = 0.001,
+        least_steps: int = 1500) -> Model:
+    """SGD over the samples; every fifth is held back to calibrate temperature and rejection.
+
+    Classes weigh the same, however many samples each has; few samples are gone through more often."""
     kinds, y = np.unique(classes, return_inverse=True)
+    weight_of = len(y) / (len(kinds) * np.bincount(y))
     rng = np.random.default_rng(seed)
     back = np.arange(len(samples)) % 5 == 4
     train = np.flatnonzero(~back if (~back).any() else back)
     embedding = rng.normal(0, 0.1, (features.buckets, dim)).astype(np.float32)
     layer = rng.normal(0, 0.3, (dim, len(kinds))).astype(np.float32)
     bias = np.zeros(len(kinds), np.float32)
+    epochs = max(epochs, -(-least_steps * batch // max(1, len(train))))
     steps = max(1, epochs * -(-len(train) // batch))
     step = 0
     for _ in range(epochs):
@@ -193,17 +198,16 @@ def fit(features: Features, samples: list[tuple[np.ndarray, np.ndarray]], classe
             labels = y[[i for i in chosen if len(samples[i][0])]]
             if not parts:
                 continue
-            ids = np.concatenate([p[0] for p in parts])
-            weights = np.concatenate([p[1] / p[1].sum() for p in parts])
-            starts = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])[:-1]])
-            hidden = np.add.reduceat(embedding[ids] * weights[:, None], starts, axis=0)
+            weights = [p[1] / p[1].sum() for p in parts]
+            hidden = np.stack([w @ embedding[p[0]] for p, w in zip(parts, weights)])
             error = softmax(hidden @ layer + bias)
             error[np.arange(len(labels)), labels] -= 1
+            error *= weight_of[labels][:, None]
             back_hidden = (error @ layer.T).astype(np.float32)
             layer -= (size / 100 / len(parts)) * (hidden.T @ error).astype(np.float32)
             bias -= (size / 400 / len(parts)) * error.sum(axis=0).astype(np.float32)
-            lengths = [len(p[0]) for p in parts]
-            np.add.at(embedding, ids, -(size / len(parts)) * weights[:, None] * np.repeat(back_hidden, lengths, axis=0))
+            for part, w, slope in zip(parts, weights, back_hidden):  # the buckets of one text are distinct
+                embedding[part[0]] -= np.outer(w, (size / len(parts)) * slope)
     table = embedding @ layer
     held = [i for i in np.flatnonzero(back) if len(samples[i][0])]
     temperature, threshold = 1.0, 0.0
