@@ -129,11 +129,12 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     per_row = done.spans.groupBy("number").agg(ordered.alias("found"))
     found = F.coalesce("found", F.array().cast(per_row.schema["found"].dataType))
     count = lambda test: F.size(F.filter("found", test)).cast("long")
+    of_kind = lambda order: lambda x: x["order"] == order
     joined = F.array_join(F.transform("found", lambda x: x["shown"]), ",")
     base = F.array_join(F.transform(F.filter("found", lambda x: x["order"] < len(BASE)), lambda x: x["shown"]), ",")
     rows = done.rows.select(F.col(done.number).alias("number"), F.col(id_col).alias(id_col))
     return rows.join(per_row, "number", "left").withColumn("found", found).select(
-        id_col, *(count(lambda x, k=k: x["order"] == k).alias(f"n_{kind}") for k, kind in enumerate(BASE)),
+        id_col, *(count(of_kind(order)).alias(f"n_{kind}") for order, kind in enumerate(BASE)),
         F.sha2(base, 256).alias("base_sha256"), joined.alias("spans"),
         count(lambda x: x["live"]).alias("n_live"), count(lambda x: ~x["live"] & (x["owners"] > max_owners)).alias("n_copied"))
 
