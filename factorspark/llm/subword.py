@@ -58,11 +58,13 @@ class Features:
             if order in self.orders:
                 yield order, self._bucket(rolled + np.uint32(order * 0x3C6EF35F & 0xFFFFFFFF))
 
-    def word_grams(self, data: np.ndarray):
-        """(start, end, bucket) of words, pairs of words, and repeats of the word before."""
-        spaced = np.concatenate([[True], self.table[data] == 32, [True]])
-        edge = np.flatnonzero(spaced[1:] != spaced[:-1])
-        starts, ends = edge[0::2], edge[1::2]
+    def word_grams(self, data: np.ndarray, texts: np.ndarray):
+        """(start, end, bucket) of words, pairs of words, and repeats of the word before; `texts` are where texts start."""
+        inside = np.concatenate([[False], self.table[data] != 32, [False]])
+        border = np.zeros(len(data) + 1, bool)
+        border[texts] = True
+        starts = np.flatnonzero(inside[1:] & (~inside[:-1] | border))
+        ends = np.flatnonzero(inside[:-1] & (~inside[1:] | border))
         if not len(starts):
             none = np.zeros(0, np.int64)
             return none, none, none.astype(np.int32)
@@ -119,7 +121,7 @@ def counts(features: Features, data: np.ndarray, offsets: np.ndarray):
             for order, bucket in features.grams(part):
                 total += np.bincount(bucket[: own[0]], minlength=features.buckets)
             if features.words:
-                at, _, bucket = features.word_grams(part)
+                at, _, bucket = features.word_grams(part, np.zeros(1, int))
                 total += np.bincount(bucket[at < own[0]], minlength=features.buckets)
         ids = np.flatnonzero(total)
         out.append((ids.astype(np.int32), total[ids].astype(np.float32)))
@@ -142,7 +144,7 @@ def scores(features: Features, table: np.ndarray, data: np.ndarray, offsets: np.
                 sums[which[some], c] += running[cuts[1::2]] - running[cuts[0::2]]
             number[which[some]] += (stop - starts)[some]
         if features.words:
-            at, to, bucket = features.word_grams(part)
+            at, to, bucket = features.word_grams(part, starts)
             of = np.searchsorted(starts, at, "right") - 1
             fits = (to <= ends[of]) & (at < own[of])
             of, bucket = of[fits], bucket[fits]
