@@ -1,11 +1,14 @@
 """Main text of HTML pages by line-block distribution.
 
 Markup is stripped into lines, one per block element. A line weighs as many characters as it
-has outside links; lines of menus, headers, footers, sidebars, notices, adverts, forms and
-comments weigh nothing, and where a page marks its article, so do lines outside it. The
-weights of `window` lines in a row are summed. Text surges where that sum reaches the
-threshold (or the page's largest sum, if that is less) and dives where it falls to zero;
-the lines between are kept, without those that belong to a menu or the like.
+has outside links, if these are most of it; lines of menus, headers, footers, sidebars,
+notices, adverts, forms and comments weigh nothing. An <article> or <main> is a weight, not a
+choice: the larger the share of the page's text that such elements hold, the more their lines
+weigh and the less all others; at a share near one, any of their lines reaches the threshold by
+itself. The weights of `window` lines in a row are summed, on one side of their borders. Text
+surges where that sum reaches the threshold (or the page's largest sum, if that is less) and
+dives where it falls to zero or at a border; the lines between are kept, without those that
+belong to a menu or the like.
 
 Defined results: null or empty html gives an empty text; tags that are never closed end with
 their parent; equal pages give equal texts; extra columns are ignored; an empty table gives
@@ -169,28 +172,27 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     if not page:
         return ""
     lines = page_lines(page)
-    marked = any(inside and not apart for _, _, apart, inside in lines)
-    weights = []
-    for text, linked, apart, inside in lines:
-        if apart or (marked and not inside):
-            weights.append(0)
-        elif marked:
-            weights.append(max(1, len(text)))
-        else:
-            weights.append(len(text) - linked if 2 * linked < len(text) else 0)
-    sums = [sum(weights[i: i + window]) for i in range(len(weights))]
-    level = min(1 if marked else surge, max(sums, default=0))
+    weights = [0.0 if apart or 2 * linked >= len(text) else float(len(text) - linked) for text, linked, apart, _ in lines]
+    within = sum(weight for weight, line in zip(weights, lines) if line[3])
+    share = within / sum(weights) if within else 0.0
+    weights = [weight * (1 + (surge - 1) * share if line[3] else 1 - share) for weight, line in zip(weights, lines)]
+    ends = [at for at in range(1, len(lines)) if lines[at][3] != lines[at - 1][3]] + [len(lines)]
+    sums: list[float] = []
+    for end in ends:
+        sums += [sum(weights[i: min(i + window, end)]) for i in range(len(sums), end)]
+    level = min(surge, max(sums, default=0))
     kept: list[str] = []
     at = 0
-    while at < len(lines) and level > 0:
-        if weights[at] and sums[at] >= level:  # surge
-            while at < len(lines) and sums[at] > 0:  # until it dives
-                text, _, apart, inside = lines[at]
-                if not apart and (inside or not marked):
-                    kept.append(text)
+    for end in ends:
+        while at < end and level > 0:
+            if weights[at] and sums[at] >= level:  # surge
+                while at < end and sums[at] > 0:  # until it dives
+                    text, _, apart, _ = lines[at]
+                    if not apart:
+                        kept.append(text)
+                    at += 1
+            else:
                 at += 1
-        else:
-            at += 1
     return "\n".join(kept)
 
 

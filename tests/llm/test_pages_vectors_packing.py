@@ -104,6 +104,20 @@ def test_pages_give_their_article(body, wanted):
     assert html_extract.main_text(PAGE.replace("{body}", body)) == wanted
 
 
+LONG = "A long main text that stands in a plain element of the page and goes on for quite a while. " * 4
+
+
+def test_lengths_and_links_decide_on_marked_pages():
+    """A teaser in an article does not hide the text; links in an article and few words beside it weigh little."""
+    page = f"<div><p>{LONG}</p><p>{LONG}</p></div><article><p>Teaser.</p><p><a href='x'>Read more</a></p></article>"
+    assert html_extract.main_text(PAGE.replace("{body}", page)) == f"{LONG.strip()}\n{LONG.strip()}"
+    links = "".join(f"<li><a href='/{i}'>Another story of the day, number {i}</a></li>" for i in range(5))
+    page = f"<main><h1>Hi</h1><p>{LONG}</p><p>B.</p><ul>{links}</ul></main>"
+    assert html_extract.main_text(PAGE.replace("{body}", page)) == f"Hi\n{LONG.strip()}\nB."
+    page = f"<div>Some words above the article, of no great length</div><article><p>{LONG}</p><p>C.</p></article><div>And below</div>"
+    assert html_extract.main_text(PAGE.replace("{body}", page)) == f"{LONG.strip()}\nC."
+
+
 def test_extraction_of_a_table(spark):
     rows = [(1, "u", None, 1, "x"), (2, None, "", 1, "x"), (None, "u", "<p>loose text that has no end", 1, "x"), (3, "u", "<", 1, "x"),
             (4, "u", "<script>never closed <p>x", 1, "x"), (4, "u", "<article><p>" + "word " * 50_000, 1, "x"), (5, "u", "<a <b x='>'", 1, "x")]
