@@ -51,17 +51,25 @@ class Encoder(dict):
     The vocabulary is a byte-level BPE file of the `tokenizers` library, applied by the faster
     `tiktoken`, which gives the same ids (tested). A single space between two characters that
     are no white space always starts a token run, so the parts between such spaces are encoded
-    on their own, and frequent ones kept.
+    on their own, and frequent ones kept. With `added`, strings of the file's added tokens become
+    their ids, as the library has it by default; without, they are ordinary text, as it has it
+    with `encode_special_tokens`.
     """
 
     _SPACE = re.compile(r"(?<!\s) (?!\s)")
     _ODD = re.compile(r"[^\S \n]| [ \n]|\n ")
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         super().__init__()
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
-        byte_of, special = _byte_of(), {t["content"] for t in content.get("added_tokens", ())}
+        tokens = content.get("added_tokens", ())
+        if any(t[kind] for t in tokens for kind in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that depend on what stands beside them are not supported")
+        byte_of, special = _byte_of(), {t["content"] for t in tokens}
+        self._added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in tokens if added}
+        # The longest is tried first.
+        self._borders = re.compile("|".join(map(re.escape, sorted(self._added, key=len, reverse=True)))) if self._added else None
         ranks = {bytes(byte_of[c] for c in token): number for token, number in content["model"]["vocab"].items() if token not in special}
         self._encoding = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -77,6 +85,13 @@ class Encoder(dict):
         return found
 
     def encode(self, text: str) -> bytes:
+        out, at = [], 0
+        for match in self._borders.finditer(text) if self._borders else ():
+            out += (self._plain(text[at: match.start()]), self._added[match[0]])
+            at = match.end()
+        return b"".join((*out, self._plain(text[at:] if at else text)))
+
+    def _plain(self, text: str) -> bytes:
         first, *rest = self._SPACE.split(text) if self._ODD.search(text) else text.split(" ")
         return self._ids(first) + b"".join(map(self.__getitem__, rest))
 
@@ -96,7 +111,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     end = np.array([END], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(path), TaskContext.get().partitionId()
+        encoder, part = Encoder(path, added=True), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in batches:
             rows: list[tuple] = []

@@ -188,6 +188,24 @@ def test_packing_of_odd_rows(spark):
     assert packing.cuts(16, 16) == [(0, 16)] and packing.cuts(33, 16) == [(0, 1), (1, 16), (17, 16)] and packing.cuts(32, 16) == [(0, 16), (16, 16)]
 
 
+ADDED_ENCODER, DEFAULT_TOKENIZER = packing.Encoder(VOCABULARY, added=True), Tokenizer.from_file(VOCABULARY)
+
+
+@given(st.lists(PARTS | st.just("<|endoftext|>"), max_size=30).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_ids_are_those_of_the_default_tokenizer(text):
+    assert np.frombuffer(ADDED_ENCODER.encode(text), "<u4").tolist() == DEFAULT_TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_takes_added_tokens_as_the_library_does(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y <|endoftext|", "a  <|endoftext|>  b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pack(docs, VOCABULARY).collect()}
+    ids = [np.array([*DEFAULT_TOKENIZER.encode(t, add_special_tokens=False).ids, 0], "<u4") for t in texts]
+    assert ids[0].tolist() == [64, 220, 50256, 275, 0]
+    assert rows == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)}
+
+
 @given(st.lists(st.integers(0, 500), min_size=24, max_size=24))
 @settings(max_examples=40, deadline=None)
 def test_solution_covers_the_histogram_exactly(demand):
