@@ -8,9 +8,13 @@ sample: the fewest that find the wanted share of its true neighbours. Partitions
 are split into salted blocks, each query visiting all of them, and many queries into blocks
 as well, so no block grows with the data.
 
-Defined results: see `clean_vectors` for rows that take no part; equal distances go to the
-smaller id; extra columns are ignored; an empty table gives no rows; fewer than k candidates
-give all that were probed, and all rows are probed where there is one partition.
+Defined results: see `clean_vectors` for rows that take no part; a row meets the rows of its
+own width, and those of another width than most (the smaller on a tie) all meet each other;
+repeated ids are rows of their own, and a row never finds itself; a row with a null id is
+found, last among ties, and never asks; equal distances go to the smaller id; extra columns
+are ignored; an empty table gives no rows; a query whose partitions hold fewer than k rows
+searches all, and fewer than k candidates give all; all rows are probed where there is one
+partition.
 """
 
 from __future__ import annotations
@@ -19,11 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.runtime import materialise
-from .block_search import best, clean_vectors, every_of, result, side
+from .block_search import best, clean_vectors, hits, joined, meet, side
 from .common import hashed_share, uniform, vectors
 
 SAMPLE_ROWS = 4096
@@ -126,81 +129,96 @@ def fit_router(sample: np.ndarray, parts: int, k: int = NEIGHBOURS, recall: floa
     return Router(router.hidden, router.hidden_bias, router.output, router.output_bias, min(parts, probes))
 
 
+def _distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact distances in double precision, scaled where squares would overflow or vanish."""
+    apart = rows - query
+    most = float(np.abs(apart).max()) if apart.size else 0.0
+    if 1e-100 < most < 1e140 or most == 0:
+        return np.sqrt((apart**2).sum(axis=1))
+    scale = 2.0 ** -np.frexp(np.where(np.isfinite(most), most, 1.7e308))[1]
+    return np.sqrt((((rows * scale) - (query * scale)) ** 2).sum(axis=1)) / scale
+
+
 def _nearest(block: pa.Table, k: int) -> pa.Table:
     """The k nearest candidates of each query of a block by exact distance."""
-    query_ids, queries = side(block, True)
-    ids, rows = side(block, False)
-    out: list[tuple] = []
-    if len(query_ids) and len(ids):
-        squares = (rows**2).sum(axis=1)
-        for start in range(0, len(query_ids), 64):
+    asking, queries = side(block, True)
+    candidates, rows = side(block, False)
+    at, places, scores = [], [], []
+    if asking.num_rows and candidates.num_rows:
+        numbers = candidates.column("number").to_numpy()
+        own_numbers = asking.column("number").to_numpy()
+        wide = max(float(np.abs(rows).max()), float(np.abs(queries).max())) > 1e140
+        squares = (rows**2).sum(axis=1) if not wide else None
+        for start in range(0, len(queries), 64):
             some = queries[start: start + 64]
-            own = (some**2).sum(axis=1)
-            far = own[:, None] + squares - 2 * some @ rows.T
+            own = (some**2).sum(axis=1) if not wide else None
+            far = own[:, None] + squares - 2 * some @ rows.T if not wide else None
             for i in range(len(some)):
-                other = ids != query_ids[start + i]
-                rough = np.where(other, far[i], np.inf)
+                other = numbers != own_numbers[start + i]
+                rough = np.where(other, _distances(rows, some[i]) if wide else far[i], np.inf)
                 wanted = min(k, int(other.sum()))
                 if not wanted:
                     continue
                 # The product is off by rounding; whatever could be among the nearest is measured again.
-                slack = 1e-9 * (own[i] + squares.max())
-                close = np.flatnonzero(rough <= np.partition(rough, wanted - 1)[wanted - 1] + slack)
-                exact = np.sqrt(((rows[close] - some[i]) ** 2).sum(axis=1))
-                kept = np.lexsort((ids[close], exact))[:wanted]
-                out.append((np.full(wanted, query_ids[start + i]), ids[close][kept], exact[kept]))
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return result(*(np.concatenate(c) for c in zip(*out)) if out else none)
+                slack = 0.0 if wide else 1e-9 * (own[i] + squares.max())
+                close = np.flatnonzero(other & (rough <= np.partition(rough, wanted - 1)[wanted - 1] + slack))
+                exact = _distances(rows[close], some[i])
+                kept = np.argsort(exact, kind="stable")[:wanted]
+                at.append(start + i)
+                places.append(close[kept])
+                scores.append(exact[kept])
+    return hits(asking, at, candidates, places, score=pa.array(joined(scores, np.float64)))
 
 
 def nearest(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = NEIGHBOURS,
             sample_rows: int = SAMPLE_ROWS, partition_rows: int = PARTITION_ROWS, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score) of the rows whose id `every` divides, in all rows."""
     rows = clean_vectors(table, id_col, vector_col, zero=False)
-    number = rows.count()
+    usual = rows.groupBy("width").count().orderBy(F.desc("count"), "width").first()
+    width, number = (usual["width"], usual["count"]) if usual else (0, 0)
     parts = 1
     while 2 * parts * partition_rows <= number and parts < MOST_PARTITIONS:
         parts *= 2
     router = None
     if parts > 1:
-        drawn = rows.where(uniform(F.lit(9), "id") < hashed_share(number, sample_rows)).orderBy("id").toArrow().column("vector")
-        sample = np.asarray(drawn.combine_chunks().flatten(), np.float64).reshape(len(drawn), -1)
-        router = fit_router(np.unique(sample, axis=0), parts, k, recall)
-    is_query = F.col("id") % every == 0
+        drawn = rows.where((F.col("width") == width) & (uniform(F.lit(9), "number") < hashed_share(number, sample_rows)))
+        drawn = drawn.orderBy("number").toArrow().column("vector")
+        sample = np.unique(np.asarray(drawn.combine_chunks().flatten(), np.float64).reshape(-1, width), axis=0)
+        router = fit_router(sample, parts, k, recall) if len(sample) > parts else None
+    is_query = F.coalesce(F.col("id") % every == 0, F.lit(False))
+    kind = dict(rows.dtypes)["id"]
 
     def filed(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if router is None:
-                home = np.zeros(batch.num_rows, np.int32)
-                probes = [[0]] * batch.num_rows
-            else:
-                width = len(batch.column("vector")[0])
-                ranked = router.ranked(vectors(batch.column("vector"), width), router.probes).astype(np.int32)
-                home, probes = ranked[:, 0], ranked.tolist()
+            own = batch.column("width").to_numpy() == width
+            home = np.zeros(batch.num_rows, np.int32)
+            probes = [[0]] * batch.num_rows
+            if router is not None and own.any():
+                ranked = router.ranked(vectors(batch.column("vector").filter(pa.array(own)), width), router.probes).astype(np.int32)
+                home[own] = ranked[:, 0]
+                for place, some in zip(np.flatnonzero(own), ranked.tolist()):
+                    probes[place] = some
             asks = batch.column("asks").to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("vector"), pa.array(home, pa.int32()),
-                 pa.array([p if a else [] for p, a in zip(probes, asks)], pa.list_(pa.int32()))],
-                ["id", "vector", "home", "probes"])
-
-    marked = materialise(rows.select("id", "vector", is_query.alias("asks")).mapInArrow(
-        filed, "id long, vector array<double>, home int, probes array<int>"), "ann-filed")
-    # One line per partition: how many salted blocks it needs.
-    sizes = {r["home"]: r["count"] for r in marked.groupBy("home").count().collect()}
-    asked = marked.where(F.size("probes") > 0).count()
-    query_blocks = max(1, -(-asked // BLOCK_QUERIES))
-    salts = {home: max(1, -(-count // BLOCK_ROWS)) for home, count in sizes.items()}
-    salt_of = F.element_at(F.create_map(*(F.lit(x) for pair in (salts or {0: 1}).items() for x in pair)), F.col("home"))
-    draw = F.xxhash64(F.lit(17), "id")
-    candidates = marked.select(
-        "id", "vector", "home", F.pmod(draw, salt_of).cast("long").alias("salt"),
-        every_of(query_blocks).alias("asking"), F.lit(False).alias("query"))
-    queries = (
-        marked.where(F.size("probes") > 0).withColumn("home", F.explode("probes")).where(salt_of.isNotNull())
-        .select("id", "vector", "home", every_of(salt_of).alias("salt"),
-                F.pmod(draw, F.lit(query_blocks)).cast("long").alias("asking"), F.lit(True).alias("query")))
-    found = candidates.unionByName(queries).groupBy("home", "salt", "asking").applyInArrow(
-        lambda block: _nearest(block, k), "query_id long, vec_id long, score double")
-    return best(found, k, descending=False)
+                [*batch.columns[:4], pa.array(home, pa.int32()), pa.array([p if a else [] for p, a in zip(probes, asks)], pa.list_(pa.int32()))],
+                ["number", "id", "vector", "width", "home", "probes"])
+
+    marked = materialise(rows.select("number", "id", "vector", "width", is_query.alias("asks")).mapInArrow(
+        filed, f"number long, id {kind}, vector array<double>, width int, home int, probes array<int>"), "ann-filed")
+    candidates = marked.select("number", "id", "vector", "width", "home")
+    queries = marked.where(F.size("probes") > 0).select("number", "id", "vector", "width", F.explode("probes").alias("home"))
+    schema = f"query_number long, query_id {kind}, vec_number long, vec_id {kind}, score double"
+    nearest_of = lambda block: _nearest(block, k)
+    found = meet(candidates, queries, ["width", "home"], nearest_of, schema, BLOCK_ROWS, BLOCK_QUERIES)
+    if router is None:
+        return best(found, k, descending=False)
+    # A query whose partitions hold fewer than k rows asks all of its width.
+    found = materialise(found, "ann-found")
+    reached = found.groupBy("query_number").agg(F.count(F.lit(1)).alias("reached")).where(F.col("reached") >= k)
+    short = materialise(marked.where(F.size("probes") > 0).join(reached, F.col("number") == F.col("query_number"), "left_anti")
+                        .where(F.col("width") == width).select("number", "id", "vector", "width"), "ann-short")
+    if short.isEmpty():
+        return best(found, k, descending=False)
+    again = meet(candidates.drop("home"), short, ["width"], nearest_of, schema, BLOCK_ROWS, BLOCK_QUERIES)
+    found = found.join(short.select(F.col("number").alias("query_number")), "query_number", "left_anti")
+    return best(found.select(again.columns).unionByName(again), k, descending=False)

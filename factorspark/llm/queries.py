@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_search, classify, html_extract, mixing, packing, secret_scan, simhash_dedup, statements, topk_search, url_filter
+from . import (ann_search, centroid_clusters, classify, hard_negatives, html_extract,
+               mixing, packing, personal_data, secret_scan, simhash_dedup, statements, topk_search, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-STATEMENTS: dict[str, str] = {"op1_secret_scan": statements.SECRETS, "op10_maxscore_topk": statements.TOP_K}
+STATEMENTS: dict[str, str] = {
+    "op1_secret_scan": statements.SECRETS, "op10_maxscore_topk": statements.TOP_K,
+    "op12_centroid_clusters": statements.CLUSTERS, "op13_hard_negatives": statements.HARD_NEGATIVES,
+}
 
 
 def registered(key: str):
@@ -75,3 +79,19 @@ def neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @registered("op10_maxscore_topk")
 def top_products(spark: SparkSession, folder: str) -> DataFrame:
     return topk_search.top_k(_table(spark, folder, "embeddings"))
+
+
+@registered("op11_personal_data")
+def personal(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return personal_data.report(docs, personal_data.fitted(docs))
+
+
+@registered("op12_centroid_clusters")
+def clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return centroid_clusters.report(_table(spark, folder, "embeddings"))
+
+
+@registered("op13_hard_negatives")
+def hard_negatives_of(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.mine(_table(spark, folder, "embeddings"), relabel=hard_negatives.next_of_ten)

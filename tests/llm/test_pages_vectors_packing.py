@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry_points
 import corpus_pipeline
 from check import normalised
-from factorspark.llm import ann_search, classify, html_extract, packing, topk_search, url_filter
+from factorspark.llm import classify, html_extract, packing, url_filter
 
 FOLDER = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -219,74 +219,7 @@ def test_solution_covers_the_histogram_exactly(demand):
     assert (covered == demand).all()
 
 
-def vector_rows():
-    rng = np.random.default_rng(7)
-    rows = [(i, rng.normal(size=8).round(2).tolist(), 1, 0.5) for i in range(3000)]
-    rows += [(i, rows[100][1], 1, 0.5) for i in range(3000, 3400)]  # a vector that many rows share
-    rows += [(4000, None, 1, 0.5), (4100, [0.0] * 8, 1, 0.5), (4200, [None] + [1.0] * 7, 1, 0.5), (4300, [float("nan")] * 8, 1, 0.5),
-             (4400, [float("inf")] * 8, 1, 0.5), (4500, [1.0] * 3, 1, 0.5), (None, [1.0] * 8, 1, 0.5), (100, rows[100][1], 1, 0.5), (4600, [], 1, 0.5)]
-    return rows
-
-
-@pytest.fixture(scope="module")
-def vectors(spark):
-    return spark.createDataFrame(vector_rows(), "vec_id long, embedding array<float>, query int, score double")
-
-
-def usable(zero):
-    rows = {}
-    for i, v, *_ in vector_rows():
-        if i is None or not v or len(v) != 8 or any(x is None or not math.isfinite(x) for x in v) or (not zero and not any(v)):
-            continue
-        rows[i] = np.array(v, np.float32).astype(float)
-    return rows
-
-
-def test_probed_partitions_hold_the_neighbours(vectors):
-    rows = usable(zero=False)
-    ids, matrix = np.array(sorted(rows)), np.array([rows[i] for i in sorted(rows)])
-    found = defaultdict(list)
-    for r in ann_search.nearest(vectors, partition_rows=256).collect():
-        found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
-    assert set(found) == {i for i in rows if i % 100 == 0}
-    hit = total = 0
-    for query, got in found.items():
-        got.sort()
-        assert [g[0] for g in got] == list(range(1, 11))
-        far = np.sqrt(((matrix - rows[query]) ** 2).sum(axis=1))
-        assert [(g[2], g[1]) for g in got] == sorted((g[2], g[1]) for g in got)
-        for _, vec, score in got:
-            assert vec != query and score == pytest.approx(np.sqrt(((rows[vec] - rows[query]) ** 2).sum()), abs=1e-12)
-        best = [ids[i] for i in np.lexsort((ids, far)) if ids[i] != query][:10]
-        hit += len(set(best) & {g[1] for g in got})
-        total += 10
-    assert hit / total >= 0.9
-
-
-@pytest.mark.parametrize("block_rows", [65536, 300])
-def test_top_k_equals_all_products(vectors, block_rows):
-    rows = {i: np.floor(1024 * v).astype(int) for i, v in usable(zero=True).items()}
-    ids, matrix = np.array(sorted(rows)), np.array([rows[i] for i in sorted(rows)])
-    wanted = set()
-    for query in rows:
-        if query % 100 == 0:
-            scores = matrix @ rows[query]
-            order = [i for i in np.lexsort((ids, -scores)) if ids[i] != query][:10]
-            wanted |= {(query, rank, int(ids[i]), int(scores[i])) for rank, i in enumerate(order, 1)}
-    got = topk_search.top_k(vectors, block_rows=block_rows, block_queries=7).collect()
-    assert {tuple(r) for r in got} == wanted and len(got) == len(wanted)
-
-
-def test_searches_of_few_rows(spark):
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    assert [tuple(r)[:3] for r in ann_search.nearest(table).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
-    assert [tuple(r) for r in topk_search.top_k(table).orderBy("rank").collect()] == [(0, 1, 1, 1024 * 1024), (0, 2, 2, 512 * 1024)]
-    for search in (ann_search.nearest, topk_search.top_k):
-        assert search(table.limit(0)).count() == 0 and search(table.where("vec_id = 0")).count() == 0
-
-
-@pytest.mark.parametrize("key", ["op1_secret_scan", "op10_maxscore_topk"])
+@pytest.mark.parametrize("key", ["op1_secret_scan", "op10_maxscore_topk", "op12_centroid_clusters", "op13_hard_negatives"])
 def test_statements(spark, key):
     connection = duckdb.connect()
     for name in ("documents", "embeddings"):
