@@ -261,10 +261,27 @@ def _identity(shown: str, rng: random.Random) -> str:
     return rng.choice((packed, " ".join(packed[i: i + 4] for i in range(0, len(packed), 4))))
 
 
+def _invented(kind: int, rng: random.Random) -> str | None:
+    """A span of a base kind, with other words and numbers."""
+    word = lambda: "".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
+    digits = lambda n: "".join(str(rng.randint(0, 9)) for _ in range(n))
+    if kind == 0:
+        local = rng.choice((word(), f"{word()}.{word()}", f"{word()}_{digits(2)}", f"{word()}{digits(3)}"))
+        return f"{local}@{rng.choice(('', word() + '.'))}{word()}.{rng.choice(('com', 'org', 'net', 'de', 'co.uk', 'info'))}"
+    if kind == 1:
+        return ".".join(str(rng.randint(0, 255)) for _ in range(4))
+    if kind == 2:
+        body = digits(rng.choice((14, 15, 15, 15)))
+        return body + next(str(d) for d in range(10) if luhn(body + str(d)))
+    return f"+{rng.choice(('1', '49', '33', '34'))} ({digits(3)}) {digits(3)}-{digits(4)}" if kind == 3 else None
+
+
 def _rewritten(kind: int, shown: str, rng: random.Random) -> tuple[str, str, str, str]:
     """(name of the kind, what stands before, another form, what stands behind) of a base span.
 
     A number may keep its form and lose its place: right beside another number no base detector finds it."""
+    if rng.random() < 0.5:  # and other data than the texts happen to hold
+        shown = _invented(kind, rng) or shown
     digits = "".join(c for c in shown if c.isdigit())
     if kind == 4:
         return "id_like", "", _identity(shown, rng), ""
