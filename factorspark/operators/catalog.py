@@ -6,7 +6,7 @@ lists inside one row, so a version fed by any number of batches stays distribute
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.columns import short_hash
@@ -66,13 +66,33 @@ def list_runs(batches: DataFrame, newest: int) -> DataFrame:
     return shown.withColumn("total_runs", total.scalar())
 
 
-def run_lineage(batches: DataFrame, version_batches: DataFrame, snapshot_versions: DataFrame) -> DataFrame:
-    """batch -> versions that contain it -> snapshots that contain those versions."""
+def version_chains(versions: DataFrame) -> DataFrame:
+    """(curated_version_id, dataset_id, chain, place): versions of one chain grow out of each other, in order.
+
+    A version without predecessor (the first one, an import) starts a chain. The window runs over the versions of a
+    dataset, one row per promotion."""
+    in_time = Window.partitionBy("dataset_id").orderBy("created_at", "curated_version_id")
+    starts = F.when(F.col("predecessor_id").isNull(), 1).otherwise(0)
+    return versions.select(
+        "curated_version_id", "dataset_id", F.sum(starts).over(in_time).alias("chain"), F.row_number().over(in_time).alias("place"))
+
+
+def cumulative_batches(version_batches: DataFrame, versions: DataFrame) -> DataFrame:
+    """(batch_id, curated_version_id) of every version that contains a batch: the one it was merged into and all that grew out of it."""
+    chains = version_chains(versions)
+    first = (
+        version_batches.select("batch_id", "curated_version_id").join(chains, "curated_version_id")
+        .groupBy("batch_id", "dataset_id", "chain").agg(F.min("place").alias("first_")))
     return (
-        batches.select("batch_id")
-        .join(version_batches.select("batch_id", "curated_version_id"), "batch_id")
-        .join(snapshot_versions.select("curated_version_id", "snapshot_id"), "curated_version_id", "left")
-    )
+        chains.join(first, ["dataset_id", "chain"]).filter(F.col("place") >= F.col("first_"))
+        .select("batch_id", "curated_version_id"))
+
+
+def run_lineage(batches: DataFrame, version_batches: DataFrame, versions: DataFrame, snapshot_versions: DataFrame) -> DataFrame:
+    """batch -> versions that contain it, later ones included -> snapshots that contain those versions."""
+    wanted = version_batches.join(batches.select("batch_id"), "batch_id", "left_semi")
+    return cumulative_batches(wanted, versions).join(
+        snapshot_versions.select("curated_version_id", "snapshot_id"), "curated_version_id", "left")
 
 
 def inspect_version(version: DataFrame, actual: DataFrame) -> DataFrame:

@@ -36,15 +36,19 @@ def list_runs(ws: Workspace, limit: int = 20) -> DataFrame:
 
 
 def inspect_run(ws: Workspace, batch_id: str) -> DataFrame:
-    """The batch with the versions that contain it and the snapshots that contain those."""
+    """The batch with the versions that contain it, later ones included, and the snapshots that contain those."""
     batch = _metadata(ws, "data_batches").filter(F.col("batch_id") == batch_id)
-    edges = _metadata(ws, "version_batches")
+    if batch.isEmpty():
+        raise ValueError(f"batch not found: {batch_id}")
+    edges, versions = ws.metadata("version_batches"), ws.metadata("curated_versions")
+    if edges is None or versions is None:  # nothing promoted yet
+        return batch.withColumns({c: F.lit(None).cast("string") for c in ("curated_version_id", "snapshot_id")})
     snapshots = ws.metadata("snapshot_manifests")
     if snapshots is None:
         members = edges.select("curated_version_id", F.lit(None).cast("string").alias("snapshot_id")).limit(0)
     else:
         members = catalog.inspect_snapshot(snapshots).select("curated_version_id", "snapshot_id")
-    return batch.join(catalog.run_lineage(batch, edges, members), "batch_id", "left")
+    return batch.join(catalog.run_lineage(batch, edges, versions, members), "batch_id", "left")
 
 
 def inspect_snapshot(ws: Workspace, snapshot_id: str) -> DataFrame:

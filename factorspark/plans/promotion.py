@@ -7,9 +7,9 @@ import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
-from ..operators.catalog import next_number, snapshot_manifest
+from ..operators.catalog import inspect_snapshot, next_number, snapshot_manifest
 from ..operators.enforcement import add_lineage, conform, missing_required
 from ..operators.merging import coalescing_merge, only_known_keys, overlap_of, with_version_status
 from ..operators.quality import promotion_warnings, report, table_issues
@@ -17,7 +17,8 @@ from ..operators.raw_mapping import map_raw, suspension_events
 from ..sources import curated_tables as curated
 from ..sources import raw_batches as raw
 from ..sources.schemas import RAW_TARGET, SUPPLEMENTAL, TABLES
-from .runtime import materialise, scratch
+from .locking import table_lock
+from .runtime import filesystem, materialise, remove, scratch
 
 
 @dataclass(frozen=True)
@@ -41,6 +42,9 @@ class Workspace:
         rows = self.metadata("curated_versions")
         return None if rows is None else with_version_status(rows)
 
+    def version(self, name: str, version_id: str) -> DataFrame:
+        return curated.read_version(self.spark, self.root, name, version_id)
+
 
 def _now() -> str:
     return datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
@@ -65,23 +69,26 @@ def land_batch(ws: Workspace, source: str, dataset: str, frame: DataFrame, as_of
 
 
 def merge_into_current(
-    ws: Workspace, name: str, incoming: DataFrame, order: list[str], batches: DataFrame, as_of_date: str, noted: dict
+    ws: Workspace, name: str, incoming: DataFrame, order: list[str], batches: DataFrame, as_of_date: str, noted: dict,
+    known_only: bool = False,
 ) -> dict:
-    """Coalescing merge into the current table, touching only partitions with new rows.
-
-    The merged partitions are written to the shared folder first: the table cannot be
-    read and replaced in one job, and a lost executor must not find half of it gone.
-    Rows, checksum and overlap come from one pass over them. `batches` (batch_id,
-    position) are recorded as lineage.
-
-    A promotion that failed anywhere can be run again: the merge is idempotent, partitions
-    are announced before they are replaced, and announced ones without a later record
-    are counted anew.
+    """Coalescing merge into the current table, writing only partitions with new rows.
+
+    One writer at a time: the table's lock is held from reading the current version to naming
+    the next. The merged partitions go into new folders; overlap and nulls are observed while
+    they are written, rows and checksum come from one pass over them. Nothing that a reader or
+    a snapshot sees is changed, and a promotion that failed anywhere leaves no version and can
+    be run again. `batches` (batch_id, position) are recorded as lineage. With `known_only`,
+    rows whose key the table lacks are left out.
     """
     table = TABLES[name]
     key, parts = list(table.key), list(table.partitions)
-    with scratch(ws.spark):
-        current = ws.current(name)
+    with table_lock(ws.spark, ws.root, name), scratch(ws.spark):
+        predecessor = curated.active_version(ws.spark, ws.root, name)
+        listed = curated.version_partitions(ws.spark, ws.root, predecessor) if predecessor else {}
+        current = ws.version(name, predecessor) if predecessor else None
+        if known_only:
+            incoming = only_known_keys(incoming, current, key)
         # the batch is parsed once: its partitions and its rows are read below
         shaped = materialise(declared_columns(incoming, name), f"incoming-{name}")
         touched = current
@@ -91,57 +98,59 @@ def merge_into_current(
         absent = missing_required(merged, table)
         if absent:
             raise ValueError("missing columns: " + ", ".join(absent))
-        kept = materialise(conform(merged, table, keep=["in_", "had_"]), f"merged-{name}")
-        facts = curated.partition_facts(kept, name, *overlap_of()).collect()
-        offending = sorted({c for f in facts for c in f["null_columns"]})
-        if offending:
-            raise ValueError("non-nullable columns contain nulls: " + ", ".join(offending))
-        known = curated.recorded_partitions(ws.spark, ws.root, name)
-        announced = {f["partition"] for f in facts}
-        if not known and current is not None:  # a table older than the records: all of it has to be counted
-            known = {p: {"state": "replacing"} for p in _partitions(current, name)}
-            announced |= set(known)
-        curated.record_partitions(ws.spark, ws.root, name, "replacing", [(p, None, None) for p in sorted(announced)])
-        if parts:
-            curated.overwrite_partitions(kept, ws.root, name)
-        else:
-            curated.overwrite_table(kept, ws.root, name)
-        rows, checksum = _recorded_after(ws, name, facts, known)
-    overlap = {c: sum(f[c] for f in facts) for c in ("incoming_rows", "incoming_duplicate_keys", "overlap_keys")}
-    version_id = f"{name}_{uuid.uuid4().hex[:12]}"
-    edges = batches.select(
-        F.lit(version_id).alias("curated_version_id"), F.lit(name).alias("dataset_id"), "batch_id", F.col("position").cast("int"),
-    )
-    curated.append_metadata(edges, ws.root, "version_batches")
-    notes = json.dumps({**noted, "last_promote_overlap": overlap}, sort_keys=True)
-    record = curated.version_record(
-        ws.spark, name, version_id, curated.table_path(ws.root, name), as_of_date, rows, checksum, notes
-    )
-    curated.append_metadata(record, ws.root, "curated_versions")
+        commit = uuid.uuid4().hex
+        overlap = _write_counted(ws, name, conform(merged, table, keep=["in_", "had_"]), commit)
+        facts = curated.partition_facts(curated.read_commit(ws.spark, ws.root, name, commit), name).collect()
+        fresh = {
+            f["partition"]: {"folder": curated.folder_of(name, commit, f["partition"]), "row_count": f["row_count"], "checksum": f["checksum"]}
+            for f in facts
+        }
+        version_id = f"{name}_{uuid.uuid4().hex[:12]}"
+        edges = batches.select(
+            F.lit(version_id).alias("curated_version_id"), F.lit(name).alias("dataset_id"), "batch_id", F.col("position").cast("int"),
+        )
+        curated.append_metadata(edges, ws.root, "version_batches")
+        notes = json.dumps({**noted, "last_promote_overlap": overlap}, sort_keys=True)
+        partitions = {**listed, **fresh} if parts else fresh
+        curated.record_version(ws.spark, ws.root, name, version_id, as_of_date, partitions, predecessor, notes)
     return {"dataset_id": name, "curated_version_id": version_id, **overlap}
 
 
-def _partitions(rows: DataFrame, name: str) -> list[str]:
-    found = rows.select(curated.partition_of(TABLES[name]).alias("p")).distinct()
-    return [r["p"] for r in found.collect()]
-
-
-def _recorded_after(ws: Workspace, name: str, facts: list, known: dict[str, dict]) -> tuple[int, int]:
-    """Count and checksum of the whole table from its partition records, brought up to date.
-
-    Every partition is announced before it is touched, so `known` names all of them. Those
-    that were announced without a later record are counted from their rows.
-    """
-    fresh = {f["partition"]: (f["partition"], f["row_count"], f["checksum"]) for f in facts}
-    stale = [p for p, r in known.items() if r["state"] == "replacing" and p not in fresh]
-    current = ws.current(name)
-    if stale and current is not None:
-        rows = conform(current.filter(curated.partition_of(TABLES[name]).isin(stale)), TABLES[name])
-        fresh |= {f["partition"]: (f["partition"], f["row_count"], f["checksum"]) for f in curated.partition_facts(rows, name).collect()}
-    curated.record_partitions(ws.spark, ws.root, name, "replaced", list(fresh.values()))
-    others = [(r["row_count"], r["checksum"]) for p, r in known.items() if p not in fresh and r["state"] != "replacing"]
-    whole = [(count, checksum) for _, count, checksum in fresh.values()] + others
-    return sum(count for count, _ in whole), sum(int(checksum) for _, checksum in whole)
+def _write_counted(ws: Workspace, name: str, rows: DataFrame, commit: str) -> dict:
+    """Write the rows as new folders, counting their overlap on the way; refused, and removed, if a required column has nulls."""
+    must = [c for c in TABLES[name].columns if c in TABLES[name].required]
+    seen = Observation(f"{name}-{commit}")
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in must]
+    curated.write_commit(rows, ws.root, name, commit, seen, *overlap_of(), *nulls)
+    found = seen.get
+    offending = sorted(c for c in must if found[f"null_{c}"])
+    if offending:
+        remove(ws.spark, f"{curated.table_path(ws.root, name)}/{curated.COMMIT}={commit}")
+        raise ValueError("non-nullable columns contain nulls: " + ", ".join(offending))
+    return {c: found[c] or 0 for c in ("incoming_rows", "incoming_duplicate_keys", "overlap_keys")}
+
+
+def remove_unreferenced(ws: Workspace, name: str) -> list[str]:
+    """Delete the folders that neither the current version nor a snapshot lists; returns them."""
+    with table_lock(ws.spark, ws.root, name):
+        active = curated.active_version(ws.spark, ws.root, name)
+        if active is None:
+            return []
+        listed = ws.metadata("version_partitions").filter(F.col("dataset_id") == name)
+        kept = ws.spark.createDataFrame([(active,)], "curated_version_id string")
+        snapshots = ws.metadata("snapshot_manifests")
+        if snapshots is not None:
+            kept = kept.unionByName(inspect_snapshot(snapshots).select("curated_version_id")).distinct()
+        used = {r["folder"] for r in listed.join(kept, "curated_version_id", "left_semi").select("folder").distinct().collect()}
+        base = curated.table_path(ws.root, name)
+        depth = len(TABLES[name].partitions)
+        store, place = filesystem(ws.spark, f"{base}/{curated.COMMIT}=*" + "/*=*" * depth)
+        prefix = store.makeQualified(ws.spark._jvm.org.apache.hadoop.fs.Path(base)).toString() + "/"
+        found = [status.getPath().toString().removeprefix(prefix) for status in store.globStatus(place) or []]
+        unused = sorted(folder for folder in found if folder not in used)
+        for folder in unused:
+            remove(ws.spark, f"{base}/{folder}")
+    return unused
 
 
 def declared_columns(frame: DataFrame, name: str) -> DataFrame:
@@ -185,19 +194,17 @@ def promote_recorded(ws: Workspace, dataset: str, batches: DataFrame, day: str,
     landed = raw.read_recorded(ws.spark, ws.raw_root, batches)
     carried = ["source", "batch_id", "position"]
 
-    def merge(mapped: list[DataFrame], name: str) -> dict:
+    def merge(mapped: list[DataFrame], name: str, known_only: bool = False) -> dict:
         rows = raw.stack_batches(mapped).withColumnsRenamed({"batch_id": "source_batch_id", "position": "position_order"})
         ready = add_lineage(rows, TABLES[name], "", "", day, stamp)
-        return merge_into_current(ws, name, ready, ["position_order"], batches.select("batch_id", "position"), day, noted)
+        return merge_into_current(ws, name, ready, ["position_order"], batches.select("batch_id", "position"), day, noted, known_only)
 
     name = RAW_TARGET[dataset]
     mapped = [map_raw(rows, dataset, carried) for rows in landed]
-    if dataset in SUPPLEMENTAL or dataset == "suspend_d":
-        mapped = [only_known_keys(rows, ws.current(name), ["symbol", "trade_date"]) for rows in mapped]
     if dataset == "suspend_d":
         results = [merge([suspension_events(rows, carried) for rows in landed], "risk_events")]
-        return results if ws.current(name) is None else [merge(mapped, name), *results]
-    return [merge(mapped, name)]
+        return results if ws.current(name) is None else [merge(mapped, name, known_only=True), *results]
+    return [merge(mapped, name, known_only=dataset in SUPPLEMENTAL)]
 
 
 #: Tasks of a provider run: each fetched one batch.
@@ -263,15 +270,20 @@ def import_csv(ws: Workspace, name: str, path: str, source: str = "manual_csv",
     absent = missing_required(ready, table)
     if absent:
         raise ValueError("missing columns: " + ", ".join(absent))
-    written = curated.overwrite_table(ready, ws.root, name)
-    facts = [(f["partition"], f["row_count"], f["checksum"]) for f in curated.partition_facts(written, name).collect()]
-    curated.record_partitions(ws.spark, ws.root, name, "whole", facts)
-    record = curated.version_record(
-        ws.spark, name, f"{name}_{uuid.uuid4().hex[:12]}", curated.table_path(ws.root, name), as_of_date or stamp[:10],
-        sum(f[1] for f in facts), sum(int(f[2]) for f in facts),
-    )
-    curated.append_metadata(record, ws.root, "curated_versions")
-    return written
+    shaped = conform(ready, table)
+    commit = uuid.uuid4().hex
+    day = as_of_date or stamp[:10]
+    with table_lock(ws.spark, ws.root, name):
+        _write_counted(ws, name, shaped.withColumns({"in_": F.lit(1), "had_": F.lit(False)}), commit)
+        facts = curated.partition_facts(curated.read_commit(ws.spark, ws.root, name, commit), name).collect()
+        partitions = {
+            f["partition"]: {"folder": curated.folder_of(name, commit, f["partition"]), "row_count": f["row_count"], "checksum": f["checksum"]}
+            for f in facts
+        }
+        version_id = f"{name}_{uuid.uuid4().hex[:12]}"
+        # no predecessor: what was promoted before is not in the new table
+        curated.record_version(ws.spark, ws.root, name, version_id, day, partitions, None)
+    return ws.version(name, version_id)
 
 
 def check_quality(ws: Workspace, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -287,7 +299,7 @@ def check_quality(ws: Workspace, names: list[str] | None = None) -> tuple[DataFr
         "dataset_id string, check_name string, column_name string, detail bigint, severity string",
     )
     for name in present:
-        table_rows = ws.spark.read.parquet(active[name]["path"])
+        table_rows = ws.version(name, active[name]["curated_version_id"])
         issues = issues.unionByName(table_issues(table_rows, TABLES[name], active[name]["row_count"]))
     if present:
         issues = issues.unionByName(promotion_warnings(

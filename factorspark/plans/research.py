@@ -11,7 +11,7 @@ from ..functions import fixed_values as fv
 from ..operators import evaluation, factors, market, pools, portfolio, publishing, signals, trades
 from ..operators.publishing import analyse_securities
 from ..sources import artifacts
-from ..sources.curated_tables import snapshot_paths
+from ..sources.curated_tables import read_snapshot
 from .promotion import Workspace
 from .runtime import materialise, prepare
 
@@ -29,12 +29,12 @@ class Inputs:
 
 
 def snapshot_inputs(ws: Workspace, snapshot_id: str) -> Inputs:
+    """The tables as they were when the snapshot was made, whatever was promoted since."""
     prepare(ws.spark)
-    paths = snapshot_paths(ws.metadata("snapshot_manifests"), snapshot_id, REQUIRED)
-    read = lambda name: ws.spark.read.parquet(paths[name])
-    prices = read("daily_prices")
-    calendar = read("trading_calendar") if "trading_calendar" in paths else prices.select("trade_date")
-    return Inputs(prices, read("capital_flow_or_chip"), read("security_master"), calendar)
+    tables = read_snapshot(ws.spark, ws.root, snapshot_id, REQUIRED)
+    prices = tables["daily_prices"]
+    calendar = tables.get("trading_calendar", prices.select("trade_date"))
+    return Inputs(prices, tables["capital_flow_or_chip"], tables["security_master"], calendar)
 
 
 # --- strategy 001 ---------------------------------------------------------------

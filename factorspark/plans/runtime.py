@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,26 +40,42 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[context.applicationId]
 
 
-#: Innermost last: the paths made inside each open `scratch`.
-_SCRATCH: list[list[str]] = []
+#: The paths made inside the open `scratch` of this job. Each thread, and each call of a
+#: stream's batch function, has its own, so jobs that run at once do not see each other's.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+def filesystem(spark: SparkSession, path: str):
+    """(file system, path) of the store that holds `path`."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    store, place = filesystem(spark, path)
+    store.delete(place, True)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Paths made inside are removed at the end; nothing read from them may leave it."""
-    _SCRATCH.append([])
+    """Paths made inside, in this thread, are removed at the end; nothing read from them may leave it.
+
+    Callers of research jobs wrap the job and the writing of its result in it."""
+    paths: list[str] = []
+    token = _SCRATCH.set(paths)
     try:
         yield
     finally:
-        for path in _SCRATCH.pop():
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _SCRATCH.reset(token)
+        for path in paths:
+            remove(spark, path)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    if _SCRATCH:
-        _SCRATCH[-1].append(path)
+    paths = _SCRATCH.get()
+    if paths is not None:
+        paths.append(path)
     return path
 
 

@@ -1,10 +1,13 @@
-"""Curated Parquet tables."""
+"""Curated Parquet tables.
 
-from __future__ import annotations
+A version of a table is a list of folders, one per date partition, that are written once and
+never changed. A promotion writes new folders for the partitions it touches and a new list;
+the newest listed version is the current table, and snapshots keep reading the older ones.
+"""
 
-import time
+from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.enforcement import conform, validate
@@ -16,23 +19,82 @@ def table_path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/curated/{name}"
 
 
+COMMIT = "commit_"
+#: The folders of a version, relative to the table; they replace nothing and are never replaced.
+VERSION_PARTITION = (
+    "curated_version_id string, dataset_id string, partition string, folder string, row_count bigint, checksum string"
+)
+VERSION_RECORD = (
+    "curated_version_id string, dataset_id string, schema_version_id string, version_type string, path string, as_of_date string, "
+    "row_count bigint, checksum string, notes string, predecessor_id string, created_at timestamp"
+)
+
+
+def active_version(spark: SparkSession, root: str, name: str) -> str | None:
+    """The id of the newest recorded version."""
+    versions = read_metadata(spark, root, "curated_versions")
+    if versions is None:
+        return None
+    newest = F.max(F.struct("created_at", "curated_version_id"))["curated_version_id"]
+    return versions.filter(F.col("dataset_id") == name).agg(newest.alias("v")).first()["v"]
+
+
+def version_partitions(spark: SparkSession, root: str, version_id: str) -> dict[str, dict]:
+    """partition -> folder, rows and checksum (a month or so each)."""
+    rows = read_metadata(spark, root, "version_partitions")
+    if rows is None:
+        return {}
+    return {r["partition"]: r.asDict() for r in rows.filter(F.col("curated_version_id") == version_id).collect()}
+
+
+def read_folders(spark: SparkSession, root: str, name: str, folders: list[str]) -> DataFrame:
+    """The rows of some folders of a table; their partitions prune."""
+    base = table_path(root, name)
+    rows = spark.read.option("basePath", base).parquet(*(f"{base}/{folder}" for folder in folders))
+    return rows.select(*[c for c in TABLES[name].columns if c in rows.columns])
+
+
+def read_version(spark: SparkSession, root: str, name: str, version_id: str) -> DataFrame:
+    """The rows of one version, whatever was promoted since."""
+    folders = sorted({p["folder"] for p in version_partitions(spark, root, version_id).values()})
+    if folders:
+        return read_folders(spark, root, name, folders)
+    return spark.createDataFrame([], TABLES[name].schema)
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    """The current table with its declared schema, or None when it was never written."""
+    """The current version of the table, or None when it was never written."""
+    version_id = active_version(spark, root, name)
+    return None if version_id is None else read_version(spark, root, name, version_id)
+
+
+def write_commit(frame: DataFrame, root: str, name: str, commit: str, seen: Observation, *measures: Column) -> None:
+    """New folders for the rows; nobody sees them before a version lists them.
+
+    `measures` are taken by the tasks that write, of which Spark counts one for each part even if some run again."""
     table = TABLES[name]
-    try:
-        rows = spark.read.parquet(table_path(root, name))
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
-    return rows.select(*[c for c in table.columns if c in rows.columns])
+    measured = _gathered(frame, table).observe(seen, *measures)
+    _writer(measured.select(*table.columns), table).mode("errorifexists").parquet(f"{table_path(root, name)}/{COMMIT}={commit}")
 
 
-def _writer(frame: DataFrame, table: CuratedTable):
+def read_commit(spark: SparkSession, root: str, name: str, commit: str) -> DataFrame:
+    folder = f"{COMMIT}={commit}"
+    return spark.read.schema(TABLES[name].schema).parquet(f"{table_path(root, name)}/{folder}").select(*TABLES[name].columns)
+
+
+def folder_of(name: str, commit: str, partition: str) -> str:
+    """The folder of a partition (as `partition_of` writes it) of a commit."""
+    values = partition.split("/") if TABLES[name].partitions else []
+    return "/".join([f"{COMMIT}={commit}", *(f"{c}={v}" for c, v in zip(TABLES[name].partitions, values))])
+
+
+def _gathered(frame: DataFrame, table: CuratedTable) -> DataFrame:
     """One partition's rows meet in few files; a month with most rows is split."""
-    if not table.partitions:
-        return frame.write
-    return frame.hint("rebalance", *table.partitions).write.partitionBy(*table.partitions)
+    return frame.hint("rebalance", *table.partitions) if table.partitions else frame
+
+
+def _writer(frame: DataFrame, table: CuratedTable):
+    return frame.write.partitionBy(*table.partitions) if table.partitions else frame.write
 
 
 def overwrite_table(frame: DataFrame, root: str, name: str) -> DataFrame:
@@ -40,18 +102,10 @@ def overwrite_table(frame: DataFrame, root: str, name: str) -> DataFrame:
     table = TABLES[name]
     shaped = conform(frame, table)
     validate(shaped, table)
-    _writer(shaped, table).mode("overwrite").option("partitionOverwriteMode", "static").parquet(table_path(root, name))
+    _writer(_gathered(shaped, table), table).mode("overwrite").option("partitionOverwriteMode", "static").parquet(table_path(root, name))
     return frame.sparkSession.read.schema(table.schema).parquet(table_path(root, name)).select(*table.columns)
 
 
-def overwrite_partitions(frame: DataFrame, root: str, name: str) -> None:
-    """Replace only the year/month partitions `frame` has rows for."""
-    table = TABLES[name]
-    _writer(frame.select(*table.columns), table).mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).parquet(table_path(root, name))
-
-
 def partition_of(table: CuratedTable) -> Column:
     """The partition of a row as text; an unpartitioned table is one partition."""
     return F.concat_ws("/", *table.partitions) if table.partitions else F.lit("")
@@ -78,46 +132,17 @@ def fingerprint(frame: DataFrame, name: str) -> tuple[int, int]:
     return totals(partition_facts(frame, name).collect())
 
 
-PARTITION_RECORD = (
-    "dataset_id string, partition string, row_count bigint, checksum string, state string, recorded_ns bigint"
-)
-
-
-def record_partitions(spark: SparkSession, root: str, name: str, state: str, facts: list[tuple]) -> None:
-    """`facts`: (partition, rows, checksum). A record replaces the earlier ones of its partition.
-
-    'replacing' is written before a partition is touched, 'replaced' after it; 'whole' starts
-    the table anew.
-    """
-    now = time.time_ns()
-    rows = [(name, partition, count, checksum, state, now) for partition, count, checksum in facts]
-    append_metadata(spark.createDataFrame(rows, PARTITION_RECORD), root, "partition_records")
-
-
-def recorded_partitions(spark: SparkSession, root: str, name: str) -> dict[str, dict]:
-    """The newest record of each partition (a month or so each)."""
-    rows = read_metadata(spark, root, "partition_records")
-    if rows is None:
-        return {}
-    rows = rows.filter(F.col("dataset_id") == name)
-    since = rows.agg(F.max(F.when(F.col("state") == "whole", F.col("recorded_ns"))).alias("n")).scalar()
-    newest = rows.filter(F.col("recorded_ns") >= F.coalesce(since, F.lit(0))).groupBy("partition").agg(
-        F.max_by(F.struct("row_count", "checksum", "state"), "recorded_ns").alias("newest")
-    )
-    return {r["partition"]: r["newest"].asDict() for r in newest.collect()}
-
-
-def version_record(
-    spark: SparkSession, name: str, version_id: str, path: str, as_of_date: str, row_count: int, checksum: int,
-    notes: str | None = None,
-) -> DataFrame:
-    """The version row of a written table."""
-    row = (version_id, name, f"{name}_v001", "current", path, as_of_date, row_count, str(checksum), notes)
-    return spark.createDataFrame(
-        [row],
-        "curated_version_id string, dataset_id string, schema_version_id string, version_type string, path string, "
-        "as_of_date string, row_count bigint, checksum string, notes string",
-    ).withColumn("created_at", F.current_timestamp())
+def record_version(
+    spark: SparkSession, root: str, name: str, version_id: str, as_of_date: str, partitions: dict[str, dict],
+    predecessor: str | None, notes: str | None = None,
+) -> None:
+    """List the folders of a version, then name it: the second makes it the current one."""
+    listed = [(version_id, name, p, f["folder"], f["row_count"], f["checksum"]) for p, f in sorted(partitions.items())]
+    append_metadata(spark.createDataFrame(listed, VERSION_PARTITION), root, "version_partitions")
+    rows, checksum = totals(list(partitions.values()))
+    record = (version_id, name, f"{name}_v001", "current", table_path(root, name), as_of_date, rows, str(checksum), notes, predecessor, None)
+    version = spark.createDataFrame([record], VERSION_RECORD).withColumn("created_at", F.current_timestamp())
+    append_metadata(version, root, "curated_versions")
 
 
 def append_metadata(rows: DataFrame, root: str, name: str) -> None:
@@ -133,12 +158,12 @@ def read_metadata(spark: SparkSession, root: str, name: str) -> DataFrame | None
         raise
 
 
-def snapshot_paths(snapshots: DataFrame, snapshot_id: str, required: list[str]) -> dict[str, str]:
-    """dataset -> path of one manifest (at most one entry per curated table)."""
+def snapshot_entries(snapshots: DataFrame, snapshot_id: str, required: list[str]) -> dict[str, dict]:
+    """dataset -> version id, rows and checksum of one manifest (at most one entry per curated table)."""
     from ..operators.catalog import inspect_snapshot
 
     entries = inspect_snapshot(snapshots.filter(F.col("snapshot_id") == snapshot_id))
-    found = {r["dataset_id"]: r["path"] for r in entries.select("dataset_id", "path").collect()}
+    found = {r["dataset_id"]: r.asDict() for r in entries.select("dataset_id", "curated_version_id", "row_count", "checksum").collect()}
     if not found:
         raise ValueError(f"snapshot not found: {snapshot_id}")
     absent = [name for name in required if name not in found]
@@ -147,6 +172,19 @@ def snapshot_paths(snapshots: DataFrame, snapshot_id: str, required: list[str])
     return found
 
 
+def read_snapshot(spark: SparkSession, root: str, snapshot_id: str, required: list[str]) -> dict[str, DataFrame]:
+    """dataset -> rows as they were when the snapshot was made.
+
+    The listed folders have to add up to the recorded rows and checksum; a manifest that lost a folder is an error."""
+    out = {}
+    for name, entry in snapshot_entries(read_metadata(spark, root, "snapshot_manifests"), snapshot_id, required).items():
+        listed = version_partitions(spark, root, entry["curated_version_id"])
+        if totals(list(listed.values())) != (entry["row_count"], int(entry["checksum"])):
+            raise ValueError(f"snapshot {snapshot_id}: the folders of {name} are not the recorded ones")
+        out[name] = read_version(spark, root, name, entry["curated_version_id"])
+    return out
+
+
 def count_only(spark: SparkSession, path: str) -> DataFrame:
     """Row count; the scan reads no column."""
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("row_count"))

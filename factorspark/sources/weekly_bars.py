@@ -389,6 +389,7 @@ class MarketTables:
     @cached_property
     def versions(self) -> DataFrame:
         version = F.col("curated_version_id")
+        earlier = Window.partitionBy("dataset_id").orderBy("created_at", "curated_version_id")
         return self.version_batches.groupBy("curated_version_id", "dataset_id", F.col("retrieved_at").alias("created_at")).agg(
             F.sum("row_count").alias("row_count"), F.count(F.lit(1)).alias("batch_count")
         ).withColumns(
@@ -396,6 +397,9 @@ class MarketTables:
                 "schema_version_id": F.concat("dataset_id", F.lit("_v001")),
                 "path": F.concat(F.lit("/curated/"), version), "checksum": F.sha2(version, 256),
                 "as_of_date": F.col("created_at").cast("string"),
+                # the table is imported anew at the start of a month
+                "predecessor_id": F.when(
+                    F.date_trunc("month", F.lag("created_at").over(earlier)) == F.date_trunc("month", "created_at"), F.lag(version).over(earlier)),
             }
         )
 

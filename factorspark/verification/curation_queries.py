@@ -145,13 +145,25 @@ def _(m):
     return near(head, ["close"], 4)
 
 
-@registered("a06_snapshot_scan", f"SELECT symbol, trade_date, {near_all(BAR, 4)} FROM merged")
+_IMPORTED = "SELECT count(*) FROM merged"
+
+
+@registered("a06_snapshot_scan", f"SELECT symbol, trade_date, {near_all(BAR, 4)}, ({_IMPORTED}) AS recorded_rows, true AS matches FROM merged")
 def _(m):
+    """A snapshot after two more promotions, the first of which changes every close: its rows, count and checksum are the old ones."""
     ws = workspace(m)
     _import(ws, m)
     snapshot_id = promotion.create_snapshot(ws, DAY)
-    paths = curated_tables.snapshot_paths(ws.metadata("snapshot_manifests"), snapshot_id, ["daily_prices"])
-    return near(m.spark.read.parquet(paths["daily_prices"]).select(*KEY, *BAR), BAR, 4)
+    changed = m.raw_daily.filter(F.col("batch_id") == "batch_F").withColumn("close", F.col("close").cast("double") + 1).select(*RAW_COLUMNS)
+    for rows in (changed, m.raw_daily.filter(F.col("batch_id") == "batch_O").select(*RAW_COLUMNS)):
+        batch = promotion.land_batch(ws, "lines", "daily_prices", rows, DAY)
+        promotion.promote_batch(ws, "lines", "daily_prices", batch_id=batch)
+    entry = curated_tables.snapshot_entries(ws.metadata("snapshot_manifests"), snapshot_id, ["daily_prices"])["daily_prices"]
+    rows = curated_tables.read_snapshot(m.spark, ws.root, snapshot_id, ["daily_prices"])["daily_prices"]
+    shaped = enforcement.conform(rows, TABLES["daily_prices"])
+    matches = curated_tables.fingerprint(shaped, "daily_prices") == (entry["row_count"], int(entry["checksum"]))
+    shown = rows.select(*KEY, *BAR, F.lit(entry["row_count"]).alias("recorded_rows"), F.lit(matches).alias("matches"))
+    return near(shown, BAR, 4)
 
 
 def _import(ws, m):
@@ -580,9 +592,14 @@ def _(m):
 
 
 @registered("f5_run_lineage", """
-SELECT b.batch_id, curated_version_id, snapshot_id FROM versionbatches b LEFT JOIN snapshotversions s USING (curated_version_id)""")
+SELECT batch_id, contains.version AS curated_version_id, snapshot_id FROM versionbatches b JOIN (
+  WITH RECURSIVE grown(ancestor, version) AS (
+    SELECT curated_version_id, curated_version_id FROM versions
+    UNION ALL SELECT ancestor, v.curated_version_id FROM grown JOIN versions v ON v.predecessor_id = grown.version)
+  SELECT * FROM grown) contains ON contains.ancestor = b.curated_version_id
+LEFT JOIN snapshotversions s ON s.curated_version_id = contains.version""")
 def _(m):
-    return catalog.run_lineage(m.batches, m.version_batches, m.snapshot_versions)
+    return catalog.run_lineage(m.batches, m.version_batches, m.versions, m.snapshot_versions)
 
 
 @registered("f6_inspect_version", """
@@ -810,17 +827,17 @@ def _(m):
 
 
 @registered("s1_stream_lineage", f"""
-SELECT * FROM (VALUES ('one', '{_PREFIX}_001', 1), ('one', '{_PREFIX}_002', 2), ('all', '{_PREFIX}_001', 1), ('all', '{_PREFIX}_002', 1)) v(setting, batch_id, version)
+SELECT * FROM (VALUES ('one', '{_PREFIX}_001', 2), ('one', '{_PREFIX}_002', 2), ('all', '{_PREFIX}_001', 1), ('all', '{_PREFIX}_002', 1)) v(setting, batch_id, version)
 JOIN (SELECT count(*) AS row_count FROM merged) ON true WHERE version = 2 OR setting = 'all'
 UNION ALL SELECT 'one', '{_PREFIX}_001', 1, count(*) FROM batcho""")
 def _(m):
-    """Which versions each streamed batch went into, with the recorded rows."""
+    """Which versions hold each streamed batch, with the recorded rows."""
     parts = []
     for setting, count in (("one", 1), ("all", None)):
         ws = _streamed(m, count)
         order = F.dense_rank().over(Window.orderBy("created_at")).cast("int").alias("version")
         versions = ws.versions().select("curated_version_id", "row_count", order)
-        parts.append(catalog.run_lineage(ws.metadata("data_batches"), ws.metadata("version_batches"), ws.spark.createDataFrame(
-            [], "snapshot_id string, curated_version_id string")).join(versions, "curated_version_id").select(
+        parts.append(catalog.run_lineage(ws.metadata("data_batches"), ws.metadata("version_batches"), ws.metadata("curated_versions"),
+            ws.spark.createDataFrame([], "snapshot_id string, curated_version_id string")).join(versions, "curated_version_id").select(
             F.lit(setting).alias("setting"), "batch_id", "version", "row_count"))
     return parts[0].unionByName(parts[1])

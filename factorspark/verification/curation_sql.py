@@ -33,7 +33,9 @@ SELECT concat('batch_', o_orderkey) AS batch_id, o_orderpriority AS source, {tex
 FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)"""
 PARTS["versionbatches"] = "SELECT *, concat(dataset_id, '_', strftime(retrieved_at, '%Y%m%d')) AS curated_version_id FROM batches"
 PARTS["versions"] = """
-SELECT curated_version_id, dataset_id, retrieved_at AS created_at, sum(row_count)::BIGINT AS row_count, count(*) AS batch_count FROM versionbatches GROUP BY 1, 2, 3"""
+SELECT *, CASE WHEN date_trunc('month', lag(created_at) OVER t) = date_trunc('month', created_at) THEN lag(curated_version_id) OVER t END AS predecessor_id
+FROM (SELECT curated_version_id, dataset_id, retrieved_at AS created_at, sum(row_count)::BIGINT AS row_count, count(*) AS batch_count FROM versionbatches GROUP BY 1, 2, 3)
+WINDOW t AS (PARTITION BY dataset_id ORDER BY created_at, curated_version_id)"""
 PARTS["snapshotversions"] = "SELECT concat('snapshot_', strftime(created_at, '%Y%m'), '01_001') AS snapshot_id, curated_version_id FROM versions"
 PARTS["activeversions"] = """
 SELECT *, CASE WHEN row_number() OVER (PARTITION BY dataset_id ORDER BY created_at DESC, curated_version_id DESC) = 1 THEN 'active' ELSE 'inactive' END AS status FROM versions"""

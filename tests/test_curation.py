@@ -1,3 +1,4 @@
+import time
 from datetime import date
 
 import pytest
@@ -212,9 +213,9 @@ def test_run_takes_batches_of_different_columns(spark, workspace):
     assert {r.symbol: r.close for r in workspace.current("daily_prices").collect()} == {"A.SH": 1.0, "B.SH": 2.0}
 
 
-@pytest.mark.parametrize("broken", ["partition_records", "version_batches", "curated_versions"])
+@pytest.mark.parametrize("broken", ["version_batches", "version_partitions", "curated_versions"])
 def test_failed_promotion_can_be_run_again(spark, workspace, monkeypatch, broken):
-    """Failure between the replaced partitions and any of the records that follow them."""
+    """Failure between the written folders and any of the records that follow them."""
     def land(day, close):
         return promotion.land_batch(workspace, "tushare", "daily_prices", daily(spark, ("A.SH", day, close)), "2026-04-28")
 
@@ -222,11 +223,9 @@ def test_failed_promotion_can_be_run_again(spark, workspace, monkeypatch, broken
     promotion.promote_batch(workspace, "tushare", "daily_prices")
     lost = land("20260428", 2.0)
     append = curated_tables.append_metadata
-    written = []
 
     def failing(rows, root, name):
-        written.append(name)
-        if name == broken and (name != "partition_records" or written.count(name) == 2):
+        if name == broken:
             raise OSError("lost")
         append(rows, root, name)
 
@@ -234,7 +233,8 @@ def test_failed_promotion_can_be_run_again(spark, workspace, monkeypatch, broken
     with pytest.raises(OSError):
         promotion.promote_batch(workspace, "tushare", "daily_prices", batch_id=lost)
     monkeypatch.setattr(curated_tables, "append_metadata", append)
-    land("20260529", 3.0)  # another month first: the lost one is counted from its rows
+    assert [r.close for r in workspace.current("daily_prices").collect()] == [1.0]  # nothing of it is seen
+    land("20260529", 3.0)
     promotion.promote_batch(workspace, "tushare", "daily_prices")
     promotion.promote_batch(workspace, "tushare", "daily_prices", batch_id=lost)
     active = workspace.versions().filter("status = 'active'").first()
@@ -243,6 +243,137 @@ def test_failed_promotion_can_be_run_again(spark, workspace, monkeypatch, broken
     assert active.row_count == 3 and all(r.passed for r in promotion.check_quality(workspace)[1].collect())
 
 
+def promoted(spark, workspace, *rows, dataset="daily_prices"):
+    batch = promotion.land_batch(workspace, "tushare", dataset, daily(spark, *rows), "2026-04-28")
+    promotion.promote_batch(workspace, "tushare", dataset, batch_id=batch)
+    return batch
+
+
+def test_snapshots_stay_as_they_were(spark, workspace):
+    """Two promotions over the same month after a snapshot; then everything nobody lists is removed."""
+    promoted(spark, workspace, ("A.SH", "20260427", 1.0), ("A.SH", "20260331", 0.5))
+    snapshot = promotion.create_snapshot(workspace, "2026-04-28")
+    promoted(spark, workspace, ("A.SH", "20260427", 2.0))
+    promoted(spark, workspace, ("A.SH", "20260427", 3.0), ("B.SH", "20260427", 4.0))
+    frozen = lambda: {(r.symbol, r.trade_date.month): r.close for r in curated_tables.read_snapshot(
+        spark, workspace.root, snapshot, ["daily_prices"])["daily_prices"].collect()}
+    now = lambda: {(r.symbol, r.trade_date.month): r.close for r in workspace.current("daily_prices").collect()}
+    before = {("A.SH", 4): 1.0, ("A.SH", 3): 0.5}
+    assert frozen() == before and now() == {("A.SH", 4): 3.0, ("B.SH", 4): 4.0, ("A.SH", 3): 0.5}
+    removed = promotion.remove_unreferenced(workspace, "daily_prices")
+    assert len(removed) == 1 and "trade_month=4" in removed[0]  # the second version's april
+    assert frozen() == before and now() == {("A.SH", 4): 3.0, ("B.SH", 4): 4.0, ("A.SH", 3): 0.5}
+    assert promotion.remove_unreferenced(workspace, "daily_prices") == []
+    entry = curated_tables.snapshot_entries(workspace.metadata("snapshot_manifests"), snapshot, ["daily_prices"])["daily_prices"]
+    rows = enforcement.conform(workspace.version("daily_prices", entry["curated_version_id"]), TABLES["daily_prices"])
+    assert curated_tables.fingerprint(rows, "daily_prices") == (entry["row_count"], int(entry["checksum"]))
+
+
+def test_a_snapshot_that_lost_a_folder_is_refused(spark, workspace):
+    promoted(spark, workspace, ("A.SH", "20260427", 1.0), ("A.SH", "20260331", 0.5))
+    snapshot = promotion.create_snapshot(workspace, "2026-04-28")
+    listed = workspace.metadata("version_partitions").filter("partition = '2026/3'").collect()
+    path = f"{workspace.root}/metadata/version_partitions"
+    spark.createDataFrame(listed, curated_tables.VERSION_PARTITION).write.mode("overwrite").parquet(path)
+    with pytest.raises(ValueError, match="not the recorded ones"):
+        curated_tables.read_snapshot(spark, workspace.root, snapshot, ["daily_prices"])
+
+
+def test_lineage_grows_with_the_versions(spark, workspace, tmp_path):
+    """Both batches lead to the snapshot made after the second; an import starts anew."""
+    from factorspark.plans import browse
+
+    first = promoted(spark, workspace, ("A.SH", "20260427", 1.0))
+    second = promoted(spark, workspace, ("B.SH", "20260428", 2.0))
+    snapshot = promotion.create_snapshot(workspace, "2026-04-28")
+    seen = lambda batch: sorted((r.snapshot_id or "") for r in browse.inspect_run(workspace, batch).collect())
+    assert seen(first) == ["", snapshot] and seen(second) == [snapshot]
+    path = manual_csv(spark, tmp_path / "anew", [("C.SH", "2026-04-28", "stock")], "symbol string, trade_date string, asset_type string")
+    promotion.import_csv(workspace, "daily_prices", path)
+    later = promotion.create_snapshot(workspace, "2026-04-29")
+    third = promoted(spark, workspace, ("D.SH", "20260428", 2.0))
+    promoted(spark, workspace, ("D.SH", "20260428", 3.0))
+    last = promotion.create_snapshot(workspace, "2026-04-30")
+    assert seen(first) == ["", snapshot] and seen(second) == [snapshot] and later not in seen(third)
+    assert seen(third) == ["", last]
+    with pytest.raises(ValueError, match="not found"):
+        browse.inspect_run(workspace, "nothing_001")
+
+
+def test_two_streams_into_one_table(spark, workspace):
+    """Prices and factors of the same month, promoted by two streams at once; each has to find its own scratch files."""
+    days = [f"202604{d:02d}" for d in range(1, 3)]
+    promoted(spark, workspace, *((s, d, 1.0) for d in days for s in ("A.SH", "B.SH")))
+    for i, day in enumerate(days):
+        promotion.land_batch(workspace, "tushare", "daily_prices", daily(spark, ("A.SH", day, 2.0 + i), ("C.SH", day, 5.0)), "2026-04-28")
+        factors = spark.createDataFrame([(s, day, 7.0 + i) for s in ("A.SH", "B.SH")], "ts_code string, trade_date string, adj_factor double")
+        promotion.land_batch(workspace, "tushare", "adj_factor", factors, "2026-04-28")
+    streams = [promote_stream(workspace, d, f"{workspace.root}/checkpoint-{d}", "2026-04-28 16:00:00", 1) for d in ("daily_prices", "adj_factor")]
+    for stream in streams:
+        stream.awaitTermination()
+    rows = {(r.symbol, r.trade_date.day): (r.close, r.adj_factor) for r in workspace.current("daily_prices").collect()}
+    assert {k: v for k, v in rows.items() if k[0] != "C.SH"} == {
+        (s, i + 1): (2.0 + i if s == "A.SH" else 1.0, 7.0 + i) for i in range(2) for s in ("A.SH", "B.SH")}
+    assert {k[1] for k in rows if k[0] == "C.SH"} == {1, 2}
+    chain = workspace.versions().orderBy("created_at").collect()
+    assert [v.predecessor_id for v in chain] == [None, *(v.curated_version_id for v in chain[:-1])]
+
+
+def test_locks_wait_and_are_taken_over(spark, workspace):
+    from threading import Thread
+
+    from factorspark.plans.locking import table_lock
+    from factorspark.plans.runtime import filesystem
+
+    order = []
+
+    def hold(name):
+        with table_lock(spark, workspace.root, "daily_prices"):
+            order.append(("in", name))
+            time.sleep(0.3)
+            order.append(("out", name))
+
+    threads = [Thread(target=hold, args=(i,)) for i in range(3)]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    assert [o[0] for o in order] == ["in", "out"] * 3 and all(a[1] == b[1] for a, b in zip(order[::2], order[1::2]))
+    store, place = filesystem(spark, f"{workspace.root}/locks/daily_prices")
+    store.createNewFile(place)  # left by a job that is gone
+    with pytest.raises(TimeoutError):
+        with table_lock(spark, workspace.root, "daily_prices", wait=0.5):
+            pass
+    store.setTimes(place, int((time.time() - 1000) * 1000), -1)
+    with table_lock(spark, workspace.root, "daily_prices", wait=5):
+        assert store.exists(place)
+    assert not store.exists(place)
+
+
+def test_scratch_belongs_to_its_thread(spark):
+    """A opens, B opens, A ends: the files of B are still there."""
+    from threading import Event, Thread
+
+    from factorspark.plans.runtime import materialise, scratch
+
+    opened, ended, counts = Event(), Event(), []
+
+    def second():
+        with scratch(spark):
+            rows = materialise(spark.range(7), "second")
+            opened.set()
+            ended.wait(30)
+            counts.append(rows.count())
+
+    thread = Thread(target=second)
+    with scratch(spark):
+        thread.start()
+        opened.wait(60)
+    ended.set()
+    thread.join()
+    assert counts == [7]
+
+
 def test_checksum_tells_repeats_and_nulls(spark):
     def checksum(*rows):
         frame = spark.createDataFrame(rows, "a string, b string")
@@ -311,9 +442,9 @@ def test_csv_import_snapshot_and_numbers(spark, workspace, tmp_path):
     entries = catalog.inspect_snapshot(manifests.filter(F.col("snapshot_id") == second)).collect()
     assert [(e.dataset_id, e.details_row_count if hasattr(e, "details_row_count") else e.row_count) for e in entries] == [("daily_prices", 2)]
     with pytest.raises(ValueError):
-        curated_tables.snapshot_paths(manifests, second, ["security_master"])
+        curated_tables.snapshot_entries(manifests, second, ["security_master"])
     with pytest.raises(ValueError):
-        curated_tables.snapshot_paths(manifests, "snapshot_none", [])
+        curated_tables.snapshot_entries(manifests, "snapshot_none", [])
     assert catalog.latest_snapshot(manifests).first().snapshot_id == second
 
 
