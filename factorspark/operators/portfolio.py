@@ -12,13 +12,18 @@ from ..functions.columns import by_symbol, growth, ratio
 from ..functions.fixed_values import DEFAULT_BENCHMARK, TRADING_DAYS_PER_YEAR
 from .indicators import adjust_prices
 from .ranking import top_per_group
+from .selection import MOST_ROWS, exact_median
 from .signals import candidate_order
 from .trades import forward_returns
 
 
-def trade_metrics(trades: DataFrame, group: list[str] = ()) -> DataFrame:
+def trade_metrics(trades: DataFrame, group: list[str] = (), most_rows: int = MOST_ROWS) -> DataFrame:
+    """Measures of the trades of each group; `trades` is read more than once.
+
+    Where a group has more than `most_rows` trades, medians are selected over range parts, else found inside the aggregate;
+    both are exact."""
     result = F.col("forward_return")
-    return trades.groupBy(*group).agg(
+    measures = [
         F.count(F.lit(1)).alias("trade_count"),
         F.countDistinct("trade_date").alias("signal_dates"),
         F.avg(result).alias("avg_forward_return"),
@@ -27,7 +32,19 @@ def trade_metrics(trades: DataFrame, group: list[str] = ()) -> DataFrame:
         F.max(result).alias("best_trade_return"),
         F.min(result).alias("worst_trade_return"),
         F.stddev_samp(result).alias("return_std"),
-    )
+    ]
+    largest = trades.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if largest is None or largest <= most_rows:
+        return trades.groupBy(*group).agg(*measures)
+    rest = trades.groupBy(*group).agg(*[m for i, m in enumerate(measures) if i != 3])
+    middle = exact_median(trades, "forward_return", list(group), most_rows=most_rows).withColumnsRenamed(
+        {"median": "median_forward_return", **{c: f"{c}_m" for c in group}})
+    on = F.lit(True)
+    for c in group:
+        on = on & F.col(c).eqNullSafe(F.col(f"{c}_m"))
+    joined = rest.join(middle, on, "left") if group else rest.withColumn("median_forward_return", middle.select("median_forward_return").scalar())
+    return joined.select(*group, "trade_count", "signal_dates", "avg_forward_return", "median_forward_return", "win_rate",
+                         "best_trade_return", "worst_trade_return", "return_std")
 
 
 def portfolio_returns(trades: DataFrame, group: list[str] = ()) -> DataFrame:

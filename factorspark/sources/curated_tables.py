@@ -8,9 +8,9 @@ the newest listed version is the current table, and snapshots keep reading the o
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..operators.enforcement import conform, validate
+from ..plans.runtime import filesystem
 from .raw_batches import content_checksum
 from .schemas import TABLES, CuratedTable
 
@@ -150,12 +150,10 @@ def append_metadata(rows: DataFrame, root: str, name: str) -> None:
 
 
 def read_metadata(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(f"{root.rstrip('/')}/metadata/{name}")
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
+    """A metadata table, or None when nothing of it was recorded."""
+    path = f"{root.rstrip('/')}/metadata/{name}"
+    store, place = filesystem(spark, path)
+    return spark.read.parquet(path) if store.exists(place) else None
 
 
 def snapshot_entries(snapshots: DataFrame, snapshot_id: str, required: list[str]) -> dict[str, dict]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as fv
 from ..operators import market, pools, publishing
+from ..operators.asof import as_of
 from ..operators.signals import date_successors
 from ..plans import research
 from ..plans.runtime import materialise, new_path
@@ -415,6 +416,21 @@ def _(m):
     return near(near(publishing.latest_quotes(watched, m.prices), ["last_price"], 4), ["change_percent"])
 
 
+@registered("p12_quotes_as_of", f"""
+SELECT w.symbol, w.as_of_date, q.trade_date AS quote_date, {sql.near('q.close', 4)} AS last_price, {sql.near('q.pct_change')} AS change_percent
+FROM (SELECT DISTINCT {sql._symbol('o_custkey')} AS symbol, CAST(o_orderdate AS DATE) AS as_of_date FROM orders) w
+ASOF LEFT JOIN (SELECT symbol, trade_date, close, pct_change FROM prices) q ON w.symbol = q.symbol AND w.as_of_date >= q.trade_date""")
+def _(m):
+    """Every date on which a customer ordered, with the last quote of their security at or before it."""
+    watched = m.raw("orders").select(
+        security_symbol("o_custkey").alias("symbol"), F.col("o_orderdate").cast("date").alias("as_of_date")).distinct()
+    quotes = m.prices.select("symbol", "trade_date", "close", "pct_change")
+    rows = as_of(watched, quotes).select(
+        "symbol", "as_of_date", F.col("found.trade_date").alias("quote_date"), F.col("found.close").alias("last_price"),
+        F.col("found.pct_change").alias("change_percent"))
+    return near(near(rows, ["last_price"], 4), ["change_percent"])
+
+
 @registered("p13_unpublished", """
 SELECT DISTINCT trade_date, trade_date > DATE '2001-06-30' AS is_new FROM pools
 WHERE trade_date > DATE '2001-06-30' OR trade_date = (SELECT min(trade_date) FROM pools)""")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import fixed_values as fv
 from ..functions.columns import rolling
 from ..operators import evaluation, factors, indicators, portfolio, signals, trades
+from ..operators.selection import exact_median
 from ..plans import research
 from ..plans.promotion import Workspace
 from ..plans.runtime import materialise, new_path
@@ -37,20 +38,17 @@ def _(m):
     return near(adjusted(m).select("symbol", "trade_date", "adj_close", "adj_open"), ["adj_close", "adj_open"], 4)
 
 
-def _indicator(key: str, name: str, expression, digits: int = 6):
+def _indicator(key: str, name: str, digits: int = 6):
     @registered(key, f"SELECT {R}, {near_all([name], digits)} FROM priceind")
     def _(m):
-        return near(stock_history(m).select("symbol", "trade_date", expression().alias(name)), [name], digits)
+        return near(indicators.price_indicators(stock_history(m)).select("symbol", "trade_date", name), [name], digits)
 
 
-_indicator("h02_daily_return", "daily_return", lambda: indicators.change_over("adj_close", 1))
-_indicator("h06_ma_strength", "ma_strength",
-           lambda: F.col("adj_close") / rolling(F.avg, F.col("adj_close"), 20) - F.lit(1.0))
-_indicator("h07_avg_amount", "avg_amount_20", lambda: rolling(F.avg, F.col("amount"), 20), 3)
-_indicator("h08_turnover_stability", "turnover_stability",
-           lambda: rolling(F.stddev_samp, F.col("amount"), 20) / rolling(F.avg, F.col("amount"), 20))
-_indicator("h11_distance_from_high", "max_drawdown_60",
-           lambda: F.col("adj_close") / rolling(F.max, F.col("adj_close"), 60) - F.lit(1.0))
+_indicator("h02_daily_return", "daily_return")
+_indicator("h06_ma_strength", "ma_strength")
+_indicator("h07_avg_amount", "avg_amount_20", 3)
+_indicator("h08_turnover_stability", "turnover_stability")
+_indicator("h11_distance_from_high", "max_drawdown_60")
 
 
 @registered("h03_momentum", f"SELECT {R}, {near_all(['mom_20', 'mom_60'])} FROM priceind")
@@ -379,6 +377,21 @@ def _(m):
     return near(portfolio.trade_metrics(signal_trades(m)), TRADE_MEASURES)
 
 
+@registered("l1_selected_medians", """
+SELECT 'all' AS setting, CAST(NULL AS VARCHAR) AS symbol, median(close) AS median_close FROM prices WHERE close IS NOT NULL
+UNION ALL SELECT 'symbol', symbol, median(close) FROM prices WHERE close IS NOT NULL GROUP BY symbol
+UNION ALL SELECT 'rounded', CAST(NULL AS VARCHAR), median(floor(close / 1000)) FROM prices WHERE close IS NOT NULL""")
+def _(m):
+    """Medians by selection: of all rows over many tasks, of many groups, and of values that most rows share."""
+    rows = m.prices.select("symbol", "close")
+    everything = exact_median(rows, "close", most_rows=100).select(
+        F.lit("all").alias("setting"), F.lit(None).cast("string").alias("symbol"), F.col("median").alias("median_close"))
+    each = exact_median(rows, "close", ["symbol"], parts=4, most_rows=20).select(F.lit("symbol").alias("setting"), "symbol", F.col("median").alias("median_close"))
+    shared = exact_median(rows.withColumn("close", F.floor(F.col("close") / 1000).cast("double")), "close", most_rows=100)
+    return everything.unionByName(each).unionByName(
+        shared.select(F.lit("rounded").alias("setting"), F.lit(None).cast("string").alias("symbol"), F.col("median").alias("median_close")))
+
+
 @registered("l2_portfolio_returns", f"""
 SELECT trade_date, {near_all(['portfolio_return'])}, array_to_string(symbols, ',') AS symbols FROM portfolio""")
 def _(m):
