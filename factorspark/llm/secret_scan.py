@@ -2,8 +2,8 @@
 
 Four detectors run over each whole text; the first three are the base. Hashes of the found
 values are counted by distinct documents and distinct owners over the corpus. A value that
-more than `max_owners` owners hold is a widely copied example; one that few hold and that
-looks random is a live credential. Base spans are always reported; a span of the fourth
+more than `max_owners` owners or more than `max_documents` documents hold is a widely copied
+example; one that few hold and that looks random is a live credential. Base spans are always reported; a span of the fourth
 detector only if it is live and overlaps no base span.
 
 Defined results: a null text is empty and has no span; a null owner counts as one owner, a
@@ -40,6 +40,8 @@ _DETECTORS = (
     ("hex", _LONG_HEX, HEX, 0), ("owned", _LONG_BARE, _LONG_BARE, 0),
 )
 MASK = "[SECRET]"
+MAX_OWNERS = 3
+MAX_DOCUMENTS = 50
 
 
 def looks_live(value: Column, least: int = 16, variety: int = 8) -> Column:
@@ -76,8 +78,8 @@ class Scan:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-         max_owners: int = 3, keep: list[str] | None = None) -> Scan:
-    """Spans (number, kind, order, start, end, owners, documents, live) of every document."""
+         max_owners: int = MAX_OWNERS, max_documents: int = MAX_DOCUMENTS, keep: list[str] | None = None) -> Scan:
+    """Spans (number, kind, order, start, end, owners, documents, live, copied) of every document."""
     keep = [id_col] if keep is None else keep
     number, owner, document, *found = private(docs, "row_number_", "owner_", "document_", *(f"found_{k}" for k in KINDS))
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -114,18 +116,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
         .groupBy("hash").agg(F.sum("documents").alias("documents"), F.count(F.lit(1)).alias("owners")), "secret-owners")
     spans = (
         candidates.join(owners, "hash")
-        .withColumn("live", F.col("random") & (F.col("owners") <= max_owners))
+        .withColumn("copied", (F.col("owners") > max_owners) | (F.col("documents") > max_documents))
+        .withColumn("live", F.col("random") & ~F.col("copied"))
         .where(base | F.col("live"))
-        .select("number", "kind", "order", "start", "end", "owners", "documents", "live"))
+        .select("number", "kind", "order", "start", "end", "owners", "documents", "live", "copied"))
     return Scan(rows, spans, number)
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-                  max_owners: int = 3) -> DataFrame:
-    """One row per document: counts, the spans of all kinds and a hash of the base ones."""
-    done = scan(docs, id_col, text_col, owner_col, max_owners)
+                  max_owners: int = MAX_OWNERS, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+    """One row per document: counts, the spans of all kinds, a hash of the base ones, and the greatest frequencies of their values."""
+    done = scan(docs, id_col, text_col, owner_col, max_owners, max_documents)
     shown = F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string"))
-    ordered = F.array_sort(F.collect_list(F.struct("start", "order", "end", shown.alias("shown"), "live", "owners")))
+    ordered = F.array_sort(F.collect_list(F.struct("start", "order", "end", shown.alias("shown"), "live", "copied", "owners", "documents")))
     per_row = done.spans.groupBy("number").agg(ordered.alias("found"))
     found = F.coalesce("found", F.array().cast(per_row.schema["found"].dataType))
     count = lambda test: F.size(F.filter("found", test)).cast("long")
@@ -136,13 +139,15 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(per_row, "number", "left").withColumn("found", found).select(
         id_col, *(count(of_kind(order)).alias(f"n_{kind}") for order, kind in enumerate(BASE)),
         F.sha2(base, 256).alias("base_sha256"), joined.alias("spans"),
-        count(lambda x: x["live"]).alias("n_live"), count(lambda x: ~x["live"] & (x["owners"] > max_owners)).alias("n_copied"))
+        count(lambda x: x["live"]).alias("n_live"), count(lambda x: x["copied"]).alias("n_copied"),
+        F.coalesce(F.array_max(F.transform("found", lambda x: x["owners"])), F.lit(0)).alias("most_owners"),
+        F.coalesce(F.array_max(F.transform("found", lambda x: x["documents"])), F.lit(0)).alias("most_documents"))
 
 
 def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-                 max_owners: int = 3) -> DataFrame:
+                 max_owners: int = MAX_OWNERS, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """All documents with every reported span replaced by MASK; spans that overlap become one."""
-    done = scan(docs, id_col, text_col, owner_col, max_owners, keep=docs.columns)
+    done = scan(docs, id_col, text_col, owner_col, max_owners, max_documents, keep=docs.columns)
     by_start = Window.partitionBy("number").orderBy("start", "order", "end")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(F.col("start") >= F.coalesce(reach, F.lit(0)), 1).otherwise(0)

@@ -31,18 +31,22 @@ placed AS MATERIALIZED (
 candidates AS MATERIALIZED (
     SELECT * FROM placed p WHERE ord < 3 OR NOT EXISTS (
         SELECT 1 FROM placed b WHERE b.ord < 3 AND b.number = p.number AND b.start < p.stop AND b.stop > p.start)),
-owners AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners FROM candidates GROUP BY value),
+counted AS (
+    SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT (coalesce(source, chr(0)), coalesce(doc_id::VARCHAR, 'none'))) AS documents
+    FROM candidates GROUP BY value),
+owners AS (SELECT *, owners > 3 OR documents > 50 AS copied FROM counted),
 spans AS (
-    SELECT number, ord, start, kind || ':' || start || ':' || stop AS shown, random AND owners <= 3 AS live, owners
-    FROM candidates JOIN owners USING (value) WHERE ord < 3 OR (random AND owners <= 3)),
+    SELECT number, ord, start, kind || ':' || start || ':' || stop AS shown, random AND NOT copied AS live, copied, owners, documents
+    FROM candidates JOIN owners USING (value) WHERE ord < 3 OR (random AND NOT copied)),
 per_row AS (
     SELECT number, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,
            string_agg(shown, ',' ORDER BY start, ord) FILTER (ord < 3) AS base, string_agg(shown, ',' ORDER BY start, ord) AS spans,
-           count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live AND owners > 3) AS n_copied
+           count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_copied, max(owners) AS most_owners, max(documents) AS most_documents
     FROM spans GROUP BY number)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-       coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+       coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
+       coalesce(most_owners, 0) AS most_owners, coalesce(most_documents, 0) AS most_documents
 FROM docs LEFT JOIN per_row USING (number)
 """
 

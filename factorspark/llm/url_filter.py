@@ -2,7 +2,11 @@
 
 A url is a set of tokens (scheme, host parts, words of the path, names of query fields). The
 labelled urls carry one item more, their label; FP-growth over all urls finds token sets that
-imply it. A mined rule holds if its support and its confidence reach their thresholds, where
+imply it. Only tokens that enough labelled urls hold can be in a rule, and tokens that the very
+same urls hold are one item, as a rule with any of them holds where a rule with all of them
+does: the words of one long url, or of a template, so do not multiply into all their subsets.
+Of the rules that hold, those that contain another are left out; they match no further url.
+A mined rule holds if its support and its confidence reach their thresholds, where
 confidence is the share of *all* urls with the tokens that carry the label: a set that many
 unlabelled urls share proves nothing. Rules are filed under their rarest token; a url probes
 that index with its tokens and a hit is checked in full.
@@ -14,13 +18,16 @@ table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.runtime import materialise
 
 ALLOW, BLOCK = "allow", "block"
 LABEL = "label=block"
+LEAST_ROWS = 2
 RULES = (
     (ALLOW, "com", "/"), (BLOCK, "example.com", "/en/"), (ALLOW, "www.example.com", "/en/"),
     (BLOCK, "net", "/es/"), (BLOCK, "net", "/fr/"),
@@ -63,10 +70,34 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(has, F.array_distinct(F.concat(scheme, parts, folders, fields))).otherwise(F.array().cast("array<string>"))
 
 
-def mined_rules(urls: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8) -> DataFrame:
-    """(filed_under, tokens, confidence) from rows (tokens, blocked)."""
-    items = F.when(F.col("blocked"), F.array_append("tokens", F.lit(LABEL))).otherwise(F.col("tokens"))
-    found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(urls.select(items.alias("items")))
+def merged_items(urls: DataFrame, least: int) -> DataFrame:
+    """(token, item) of the tokens that `least` labelled rows (tokens, blocked) hold; tokens of the very same rows share an item.
+
+    Two sums of independent 64-bit hashes over the rows of a token, and their number, tell equal sets of rows. There are at
+    most as many such tokens as all labelled rows hold, divided by `least`."""
+    rows = urls.withColumn("row_", F.monotonically_increasing_id())
+    share = lambda salt: F.sum(F.xxhash64(F.lit(salt), "row_").cast("decimal(20,0)"))
+    held = rows.select("row_", "blocked", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(
+        F.count_if("blocked").alias("labelled"), F.struct(F.count(F.lit(1)), share(1), share(2)).alias("rows_")).where(F.col("labelled") >= least)
+    return held.withColumn("item", F.min("token").over(Window.partitionBy("rows_"))).select("token", "item")
+
+
+def mined_rules(urls: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """(filed_under, tokens, confidence) from stored rows (tokens, blocked): the rules that contain no other rule.
+
+    A rule needs the support of `least_rows` labelled rows at least, however few rows there are."""
+    number = urls.count()
+    least = max(least_rows, math.ceil(min_support * number - 1e-9))
+    items = materialise(merged_items(urls, least), "url-items")
+    # Each labelled row with its items; those without any say nothing.
+    mapped = urls.withColumn("row_", F.monotonically_increasing_id()).select("row_", "blocked", F.explode("tokens").alias("token")).join(items, "token")
+    baskets = mapped.groupBy("row_").agg(F.max("blocked").alias("blocked"), F.collect_set("item").alias("items"))
+    baskets = materialise(baskets.select(F.when(F.col("blocked"), F.array_append("items", F.lit(LABEL))).otherwise(F.col("items")).alias("items")), "url-baskets")
+    baskets_number = baskets.count()
+    if not baskets_number:
+        return urls.sparkSession.createDataFrame([], "filed_under string, tokens array<string>, confidence double")
+    share = max(0.0, (least - 0.5) / baskets_number)
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, share), minConfidence=min_confidence).fit(baskets)
     rules = found.associationRules.where(F.array_contains("consequent", LABEL)).select(
         F.array_sort("antecedent").alias("tokens"), "confidence")
     # A rule is filed under the token that the fewest urls hold.
@@ -74,7 +105,12 @@ def mined_rules(urls: DataFrame, min_support: float = 0.01, min_confidence: floa
     rarest = (
         rules.select("tokens", F.explode("tokens").alias("token")).join(held, "token")
         .groupBy("tokens").agg(F.min_by("token", F.struct("freq", "token")).alias("filed_under")))
-    return materialise(rules.join(rarest, "tokens").select("filed_under", "tokens", "confidence"), "url-rules")
+    rules = materialise(rules.join(rarest, "tokens").select("filed_under", "tokens", "confidence"), "url-rules")
+    inner = rules.select("filed_under", F.col("tokens").alias("needs"))
+    larger = (
+        rules.select("tokens", F.explode("tokens").alias("filed_under")).join(inner, "filed_under")
+        .where((F.size("needs") < F.size("tokens")) & (F.size(F.array_except("needs", "tokens")) == 0)).select("tokens").distinct())
+    return materialise(rules.join(larger, "tokens", "left_anti"), "url-rules")
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, labels: DataFrame | None = None,
@@ -95,6 +131,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     else:
         labelled = parsed.join(labels.groupBy(F.col("id").alias("page_id")).agg(F.max("blocked").alias("blocked")), "page_id", "left")
         labelled = labelled.select("tokens", F.coalesce("blocked", F.lit(False)).alias("blocked"))
+    labelled = materialise(labelled, "url-labelled")
     index = mined_rules(labelled, min_support, min_confidence).withColumnRenamed("tokens", "needs")
     probes = parsed.where("listed IS NULL").select("number", "tokens", F.explode("tokens").alias("filed_under"))
     hits = (

@@ -79,6 +79,16 @@ def test_ownership_decides_on_bare_values(spark, odd):
     assert {(r["n_assign"], r["n_live"], r["n_copied"]) for r in secret_scan.secret_report(assigned).collect()} == {(1, 0, 1)}
 
 
+def test_documents_of_one_hot_source_decide_too(spark):
+    """A value in many documents of one owner is copied; one in few is live."""
+    rows = [(i, f"see {KEY} and token={KEY}x", "hot") for i in range(60)] + [(100 + i, f"token={KEY}y", "hot") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(r["doc_id"] < 100, r["spans"].count("owned"), r["n_live"], r["n_copied"], r["most_owners"], r["most_documents"])
+           for r in secret_scan.secret_report(docs).collect()}
+    assert got == {(True, 0, 0, 1, 1, 60), (False, 0, 1, 0, 1, 50)}
+    assert {r["n_live"] for r in secret_scan.secret_report(docs, max_documents=60).where("doc_id < 100").collect()} == {2}
+
+
 def test_masking_replaces_spans_alone(odd, empty):
     masked = secret_scan.mask_secrets(odd)
     assert masked.columns == odd.columns and masked.count() == len(ODD)
