@@ -2,13 +2,16 @@
 
 Markup is stripped into lines, one per block element. A line weighs as many characters as it
 has outside links, if these are most of it; lines of menus, headers, footers, sidebars,
-notices, adverts, forms and comments weigh nothing. An <article> or <main> is a weight, not a
-choice: the larger the share of the page's text that such elements hold, the more their lines
-weigh and the less all others; at a share near one, any of their lines reaches the threshold by
-itself. The weights of `window` lines in a row are summed, on one side of their borders. Text
-surges where that sum reaches the threshold (or the page's largest sum, if that is less) and
-dives where it falls to zero or at a border; the lines between are kept, without those that
-belong to a menu or the like.
+notices, adverts, forms and comments weigh nothing. The threshold follows from the page: half
+the length of the line that a character of the page is in on average, at most `surge`. Text
+surges at a line that reaches the threshold by itself, so that a short line does not ride on
+the long one behind it, and goes on while the sum over the next `window` lines holds another
+such line; it dives at the last of them, or where the paragraphs beside it in the same element
+end. The lines between are kept, without those that belong to a menu or the like. Elements add
+a bounded bonus: a heading weighs `surge` characters more; a line in an <article> or <main> that
+number times the share of the page's text that such elements hold, and a line outside as much
+less, so that short lines at the ends of an article stay, those of a mere card do not, and long
+text counts wherever it stands.
 
 Defined results: null or empty html gives an empty text; tags that are never closed end with
 their parent; equal pages give equal texts; extra columns are ignored; an empty table gives
@@ -40,6 +43,7 @@ _WORDS = frozenset(
     "nav navbar navigation breadcrumb breadcrumbs toolbar footer foot header masthead share sharing social related recommended "
     "comment comments reply replies respond disqus pagination pager skip copyright disclaimer contentinfo complementary search "
     "form toc tags".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TITLING = frozenset(("header", "masthead"))
 _HIDDEN = re.compile(r"""(?i)(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*["']?true""")
 _NAMED = re.compile(r"""(?i)(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -69,13 +73,15 @@ def _marked(attributes: str, inside: bool) -> bool:
 
 
 class _Lines:
-    """Lines of a page: text, characters in links, whether apart, whether in a marked article."""
+    """Lines of a page: text, characters in links, whether apart, whether in a marked article, whether a heading."""
 
     def __init__(self) -> None:
-        self.lines: list[tuple[str, int, bool, bool]] = []
+        self.lines: list[tuple[str, int, bool, bool, bool, int]] = []
         self.pieces: list[str] = []
         self.linked: list[str] = []
         self.stack: list[tuple[str, bool, bool]] = []  # name, apart, in article
+        self.numbers: list[int] = []  # of the elements on the stack, and more behind them
+        self.opened = 0
 
     def state(self) -> tuple[bool, bool]:
         return self.stack[-1][1:] if self.stack else (False, False)
@@ -90,9 +96,18 @@ class _Lines:
             text = " ".join(html.unescape("".join(self.pieces)).split())
             if text:
                 in_links = len(" ".join(html.unescape(" ".join(self.linked)).split())) if self.linked else 0
-                self.lines.append((text, in_links, *self.state()))
+                self.lines.append((text, in_links, *self.state(), any(name in _HEADINGS for name, _, _ in self.stack), self._family()))
             self.pieces, self.linked = [], []
 
+    def _family(self) -> int:
+        """A number that the paragraphs of one element share; 0 for other lines."""
+        for at in range(len(self.stack) - 1, 0, -1):
+            if self.stack[at][0] == "p":
+                return self.numbers[at - 1]
+            if self.stack[at][0] in _BLOCKS:
+                break
+        return 0
+
     def open(self, name: str, attributes: str) -> None:
         if name == "br":
             self.text(" ")
@@ -109,6 +124,8 @@ class _Lines:
                 self.stack.pop()
         apart, inside = self.state()
         apart = apart or name in _SILENT or name in _APART or marked or (name == "header" and not inside)
+        self.opened += 1
+        self.numbers[len(self.stack):] = [self.opened]
         self.stack.append((name, apart, inside or article))
 
     def _close_before(self, name: str) -> None:
@@ -130,7 +147,7 @@ class _Lines:
                 return  # a stray closing tag of an inline element
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
+def page_lines(page: str) -> list[tuple[str, int, bool, bool, bool, int]]:
     """The lines of a page, see _Lines."""
     out, at = _Lines(), 0
     lower = None
@@ -172,28 +189,26 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     if not page:
         return ""
     lines = page_lines(page)
-    weights = [0.0 if apart or 2 * linked >= len(text) else float(len(text) - linked) for text, linked, apart, _ in lines]
-    within = sum(weight for weight, line in zip(weights, lines) if line[3])
-    share = within / sum(weights) if within else 0.0
-    weights = [weight * (1 + (surge - 1) * share if line[3] else 1 - share) for weight, line in zip(weights, lines)]
-    ends = [at for at in range(1, len(lines)) if lines[at][3] != lines[at - 1][3]] + [len(lines)]
-    sums: list[float] = []
-    for end in ends:
-        sums += [sum(weights[i: min(i + window, end)]) for i in range(len(sums), end)]
-    level = min(surge, max(sums, default=0))
-    kept: list[str] = []
-    at = 0
-    for end in ends:
-        while at < end and level > 0:
-            if weights[at] and sums[at] >= level:  # surge
-                while at < end and sums[at] > 0:  # until it dives
-                    text, _, apart, _ = lines[at]
-                    if not apart:
-                        kept.append(text)
-                    at += 1
-            else:
-                at += 1
-    return "\n".join(kept)
+    lengths = [0 if apart or 2 * linked >= len(text) else len(text) - linked for text, linked, apart, *_ in lines]
+    if not any(lengths):
+        return ""
+    level = min(surge, sum(n * n for n in lengths) / sum(lengths) / 2)
+    share = sum(n for n, line in zip(lengths, lines) if line[3]) / sum(lengths)
+    bonus = lambda inside, heading: surge * (1 if heading and (inside or not share) else share if inside else -share)
+    weights = [max(0, n + bonus(*line[3:5])) if n else 0 for n, line in zip(lengths, lines)]
+    kept: list[int] = []
+    beside = lambda at, last: lines[at][5] and lines[at][5] == lines[last][5] and weights[at]
+    for at, weight in enumerate(weights):
+        if weight >= level:  # a surge, or text that goes on
+            first = at
+            if kept and at - kept[-1] <= window:
+                first = kept[-1] + 1
+            while first > 0 and (not kept or kept[-1] < first - 1) and beside(first - 1, first):
+                first -= 1
+            kept += range(first, at + 1)
+        elif kept and kept[-1] == at - 1 and beside(at, at - 1):
+            kept.append(at)
+    return "\n".join(lines[at][0] for at in kept if not lines[at][2])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -148,6 +148,25 @@ def test_lengths_and_links_decide_on_marked_pages():
     assert html_extract.main_text(PAGE.replace("{body}", page)) == f"{LONG.strip()}\nC."
 
 
+LONG = "A paragraph that is long enough to be the text of a page, with many words in it and an end."
+
+
+@pytest.mark.parametrize("body, wanted", [
+    # no element says which lines are the text
+    (f"<div class='top'>Site name and slogan</div><div><p>{LONG}</p><p>{LONG}</p></div><div class='bottom'><p>Copyright Somebody 2020</p><p>All rights</p></div>",
+     [LONG, LONG]),
+    (f"<div>Home</div><div>About us</div><h1>The title</h1><div>{LONG}</div><div>Short.</div><div>{LONG}</div><div>Top</div>", ["The title", LONG, "Short.", LONG]),
+    # an article that is a mere card does not outweigh the long text outside
+    (f"<article><p>A card.</p></article><div>{LONG}</div><div>{LONG}</div>", [LONG, LONG]),
+    ("<div>one</div><div>two lines</div>", ["two lines"]),
+    ("<div><a href='x'>all links</a></div>", []),
+    # a gap of more lines than the window ends the text
+    (f"<div>{LONG}</div>" + "<div>x</div>" * 5 + f"<div>{LONG}</div>", [LONG, LONG]),
+])
+def test_lengths_find_the_text_without_marks(body, wanted):
+    assert html_extract.main_text(f"<html><body>{body}</body></html>").split("\n") == (wanted or [""])
+
+
 def test_extraction_of_a_table(spark):
     rows = [(1, "u", None, 1, "x"), (2, None, "", 1, "x"), (None, "u", "<p>loose text that has no end", 1, "x"), (3, "u", "<", 1, "x"),
             (4, "u", "<script>never closed <p>x", 1, "x"), (4, "u", "<article><p>" + "word " * 50_000, 1, "x"), (5, "u", "<a <b x='>'", 1, "x")]
