@@ -20,6 +20,8 @@ from __future__ import annotations
 import json
 import math
 import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -113,6 +115,14 @@ class Encoder(dict):
         return self._ids(first) + b"".join(map(self.__getitem__, rest))
 
 
+def shared_encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker. What is shipped by value has no lasting module of its own."""
+    held = sys.modules.setdefault("_packing_encoders", types.ModuleType("_packing_encoders")).__dict__
+    if path not in held:
+        held[path] = Encoder(path, added=True)
+    return held[path]
+
+
 def cuts(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document; only the first may be shorter than a full one."""
     first = length % capacity or capacity
@@ -128,7 +138,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     end = np.array([END], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(path, added=True), TaskContext.get().partitionId()
+        encoder, part = shared_encoder(path), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in batches:
             rows: list[tuple] = []
