@@ -5,10 +5,13 @@ bits, one 32-bit half differs in at most one bit. So there is a tree for each ha
 fingerprint is looked up there within distance 1. A node of a tree has a vantage point and a
 radius: what lies within goes inside, the rest outside. By the triangle inequality a search
 needs a side only if its distance to the vantage point, changed by the search distance,
-reaches that side. The trees are built from a bounded share of the fingerprints; their leaves
-are the shards. Each fingerprint lives in one shard of each tree and visits the others that
-its ball overlaps, where the side within searches for nothing outside, so that each pair meets
-once. Shards compare exactly, and give only a spanning forest of their links.
+reaches that side. The driver builds two trees of at most ROOT_LEAVES leaves from at most
+ROOT_SAMPLE fingerprints, whatever the corpus; their leaves are the shards. Each fingerprint
+lives in one shard of each tree and visits the others that its ball overlaps, where the side
+within searches for nothing outside, so that each pair meets once. Shards that hold many rows
+get a tree of their own, built by a task from a sample of theirs of the same bound, and their
+rows are routed on in chunks, until a shard is small or no tree divides it. Shards compare
+exactly, and give only a spanning forest of their links.
 
 Where many fingerprints share a half, a node measures all 64 bits instead and searches within
 distance 3.
@@ -21,6 +24,7 @@ rows.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -40,6 +44,10 @@ SEED = 42
 REACH = 3
 LEAF_ROWS = 4096
 SAMPLE_PER_LEAF = 16
+ROOT_LEAVES = 1024
+ROOT_SAMPLE = ROOT_LEAVES * SAMPLE_PER_LEAF
+LARGE = 4  # a shard of more than this many times the rows of a leaf is routed on
+CHUNK_ROWS = 8192
 HALVES = (np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF))
 WHOLE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -116,10 +124,22 @@ class Tree:
                 break
         return found
 
-    def route(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, leaf, whether it lives there) of every stay and visit."""
+    def packed(self) -> bytes:
+        """The nodes alone, which a task reads without this class."""
+        return pickle.dumps((self.mask, self.nodes, self.leaves, self.root))
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Tree:
+        tree = cls.__new__(cls)
+        tree.mask, tree.nodes, tree.leaves, tree.root = pickle.loads(data)
+        return tree
+
+    def route(self, prints: np.ndarray, lives: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, whether it lives there) of every stay and visit.
+
+        Rows that only visit the whole tree visit every leaf that their ball overlaps."""
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        todo = [(self.root, np.arange(len(prints)), np.ones(len(prints), bool))]
+        todo = [(self.root, np.arange(len(prints)), lives)]
         while todo:
             at, rows, lives = todo.pop()
             if not len(rows):
@@ -173,33 +193,96 @@ def _shard_links(prints: np.ndarray, lives: np.ndarray, reach: int = REACH) -> t
     return prints[linked], prints[root[linked]]
 
 
-def links(prints: DataFrame, reach: int = REACH, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """Edges (a, b) that connect all distinct fingerprints `print` at most `reach` bits apart."""
+STAY = "half int, shard long, parent_rows long, print long, lives boolean"
+
+
+def _stays(own: np.ndarray, rows: np.ndarray, lives: np.ndarray, half: int, shard: np.ndarray, parent_rows: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(rows), half, np.int32)), pa.array(shard.astype(np.int64)),
+         pa.array(np.full(len(rows), parent_rows, np.int64)), pa.array(own[rows].view(np.int64)), pa.array(lives)],
+        ["half", "shard", "parent_rows", "print", "lives"])
+
+
+def _first_stays(prints: DataFrame, leaf_rows: int, root_leaves: int) -> DataFrame:
+    """The rows STAY of the shards of two trees that the driver builds from a sample of fixed size."""
     number = prints.count()
-    leaves = -(-number // leaf_rows)
+    leaves = min(root_leaves, -(-number // leaf_rows))
     sample = prints.where(uniform(F.lit(1), "print") < hashed_share(number, leaves * SAMPLE_PER_LEAF)).select("print")
-    drawn = np.sort(np.asarray(sample.toArrow().column(0).to_numpy(), np.int64)).view(np.uint64)
+    drawn = np.sort(np.asarray(sample.limit(2 * ROOT_SAMPLE).toArrow().column(0).to_numpy(), np.int64)).view(np.uint64)
     rng = np.random.default_rng(5)
-    masks = HALVES if leaves > 1 else (WHOLE,)
-    trees = [Tree(mask, drawn, leaves, rng) for mask in masks]
+    trees = [Tree(mask, drawn, leaves, rng) for mask in (HALVES if leaves > 1 else (WHOLE,))]
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column(0).to_numpy().view(np.uint64)
-            first = 0
-            for tree in trees:
-                rows, leaf, lives = tree.route(own)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[rows].view(np.int64)), pa.array((leaf + first).astype(np.int32)), pa.array(lives)],
-                    ["print", "shard", "lives"])
-                first += tree.leaves
+            for half, tree in enumerate(trees):
+                rows, leaf, lives = tree.route(own, np.ones(len(own), bool))
+                yield _stays(own, rows, lives, half, leaf, number)
+
+    return prints.select("print").mapInArrow(routed, STAY)
+
+
+def _routed_on(large: DataFrame, masks: tuple, leaf_rows: int) -> DataFrame:
+    """The rows STAY of large shards, with their counted `rows_`, in the shards of a tree for each of these.
+
+    A tree is built from a sample of at most about ROOT_SAMPLE rows; the rows go through in chunks of
+    bounded size, so that no task holds a shard."""
+    leaves = F.least(F.lit(ROOT_LEAVES), F.ceil(F.col("rows_") / F.lit(leaf_rows)))
+    drawn = large.where(uniform(F.lit(2), "shard", "print") < leaves * F.lit(SAMPLE_PER_LEAF) / F.col("rows_"))
+
+    def built(key: tuple, sample: pd.DataFrame) -> pd.DataFrame:
+        half, shard, rows = key
+        rng = np.random.default_rng(shard & 0x7FFFFFFF)
+        tree = Tree(masks[half], sample["print"].to_numpy().view(np.uint64), min(ROOT_LEAVES, -(-rows // leaf_rows)), rng)
+        return pd.DataFrame({"half": [half], "shard": [shard], "tree": [tree.packed()]})
+
+    trees = drawn.groupBy("half", "shard", "rows_").applyInPandas(built, "half int, shard long, tree binary")
+    chunk = F.floor(uniform(F.lit(3), "print") * F.ceil(F.col("rows_") / F.lit(CHUNK_ROWS)))
+    chunks = large.groupBy("half", "shard", "rows_", chunk.alias("chunk_")).agg(
+        F.collect_list("print").alias("prints"), F.collect_list("lives").alias("lives"))
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                half, shard, count, prints, lives, tree = (column[row] for column in batch.columns)
+                half, shard = half.as_py(), shard.as_py()
+                own = prints.values.to_numpy().view(np.uint64)
+                home = lives.values.to_numpy(zero_copy_only=False)
+                # A shard too small to be drawn from stays one.
+                whole = Tree.unpacked(tree.as_py()) if tree.is_valid else Tree(masks[half], own[:0], 1, np.random.default_rng(0))
+                rows, leaf, stays = whole.route(own, home)
+                names = np.array([xxhash.xxh64_intdigest(f"{shard}:{i}") for i in range(whole.leaves)], np.uint64).view(np.int64)
+                yield _stays(own, rows, stays, half, names[leaf], count.as_py())
+
+    return (
+        chunks.join(trees, ["half", "shard"], "left").select("half", "shard", "rows_", "prints", "lives", "tree")
+        .mapInArrow(routed, STAY))
+
+
+def links(prints: DataFrame, reach: int = REACH, leaf_rows: int = LEAF_ROWS, root_leaves: int = ROOT_LEAVES) -> DataFrame:
+    """Edges (a, b) that connect all distinct fingerprints `print` at most `reach` bits apart."""
+    stays = materialise(_first_stays(prints, leaf_rows, root_leaves), "simhash-stays")
+    done = []
+    while True:
+        # A shard of more than three quarters of the rows it came from is not divided again: so this ends.
+        sizes = stays.groupBy("half", "shard", "parent_rows").agg(F.count(F.lit(1)).alias("rows_"))
+        again = sizes.where((F.col("rows_") > LARGE * leaf_rows) & (F.col("rows_") <= 0.75 * F.col("parent_rows")))
+        again = materialise(again.select("half", "shard", "rows_"), "simhash-large")
+        if again.isEmpty():
+            done.append(stays)
+            break
+        done.append(stays.join(again, ["half", "shard"], "left_anti"))
+        stays = materialise(_routed_on(stays.join(again, ["half", "shard"]), HALVES, leaf_rows), "simhash-stays")
 
     def linked(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
         a, b = _shard_links(shard["print"].to_numpy().view(np.uint64), shard["lives"].to_numpy(bool), reach)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    stays = prints.select("print").mapInArrow(routed, "print long, shard int, lives boolean")
-    return stays.groupBy("shard").applyInPandas(linked, "a long, b long")
+    columns = ["half", "shard", "print", "lives"]
+    whole = done[0].select(columns)
+    for part in done[1:]:
+        whole = whole.unionByName(part.select(columns))
+    return whole.groupBy("half", "shard").applyInPandas(linked, "a long, b long")
 
 
 def _grouped(marked: DataFrame, reach: int, leaf_rows: int) -> DataFrame:

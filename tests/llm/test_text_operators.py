@@ -185,9 +185,9 @@ def test_simhash_equals_all_pairs(documents, leaf_rows):
     assert kept == set(wanted.tolist())
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_trees_lose_no_link(spark, seed):
-    """Random prints, dense clusters, chains, and many that share a half."""
+@pytest.mark.parametrize("seed, root_leaves", [(1, 1024), (2, 1024), (3, 2), (4, 5)])
+def test_trees_lose_no_link(spark, seed, root_leaves):
+    """Random prints, dense clusters, chains, and many that share a half; few leaves make shards that are routed on."""
     rng = np.random.default_rng(seed)
     centres = rng.integers(0, 2**64, 40, np.uint64)
     prints = [rng.integers(0, 2**64, 500, np.uint64), centres]
@@ -198,7 +198,7 @@ def test_trees_lose_no_link(spark, seed):
     prints = np.unique(np.concatenate([*prints, [np.uint64(0)]]))
     wanted = linked(prints, np.arange(len(prints)))
     table = spark.createDataFrame(pd.DataFrame({"print": prints.view(np.int64)}))
-    roots = components.components(simhash_dedup.links(table, leaf_rows=64)).toPandas()
+    roots = components.components(simhash_dedup.links(table, leaf_rows=64, root_leaves=root_leaves)).toPandas()
     place = {int(p): i for i, p in enumerate(prints.view(np.int64))}
     label = np.arange(len(prints))
     groups = defaultdict(list)
