@@ -133,3 +133,9 @@ PASS_COLUMNS = [
     "close_profit_ratio", "pass_close_profit_ratio", "return_20d", "pass_exclude_st", "factor_pass",
     "factor_value", "reason",
 ]
+
+# Dataset -> column of the price table that proves a date is covered
+PRICE_COVERAGE_FIELDS = {
+    "adj_factor": "adj_factor", "daily_basic": "turnover_rate",
+    "stk_limit": "limit_up", "suspend_d": "is_suspended",
+}

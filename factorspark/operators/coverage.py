@@ -31,13 +31,8 @@ def calendar_union(*calendars: DataFrame) -> DataFrame:
 def price_coverage(prices: DataFrame) -> DataFrame:
     """(dataset, trade_date) for the datasets that land in daily_prices, from one pass."""
     stock = F.coalesce(F.col("asset_type"), F.lit("stock")) == "stock"
-    # Dataset -> column that proves a date is covered
-    fields = {
-        "adj_factor": "adj_factor", "daily_basic": "turnover_rate",
-        "stk_limit": "limit_up", "suspend_d": "is_suspended",
-    }
     seen = {"daily_prices": F.max(stock.cast("int"))}
-    seen |= {d: F.max((stock & F.col(c).isNotNull()).cast("int")) for d, c in fields.items() if c in prices.columns}
+    seen |= {d: F.max((stock & F.col(c).isNotNull()).cast("int")) for d, c in fv.PRICE_COVERAGE_FIELDS.items() if c in prices.columns}
     return _covered(prices, seen)
 
 

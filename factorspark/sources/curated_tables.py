@@ -47,11 +47,16 @@ def version_partitions(spark: SparkSession, root: str, version_id: str) -> dict[
     return {r["partition"]: r.asDict() for r in rows.filter(F.col("curated_version_id") == version_id).collect()}
 
 
-def read_folders(spark: SparkSession, root: str, name: str, folders: list[str]) -> DataFrame:
-    """The rows of some folders of a table; their partitions prune."""
+def read_folders(spark: SparkSession, root: str, name: str, folders: list[str], *more: Column) -> DataFrame:
+    """The rows of some folders of a table (and `more` columns of its files); their partitions prune."""
     base = table_path(root, name)
     rows = spark.read.option("basePath", base).parquet(*(f"{base}/{folder}" for folder in folders))
-    return rows.select(*[c for c in TABLES[name].columns if c in rows.columns])
+    return rows.select(*[c for c in TABLES[name].columns if c in rows.columns], *more)
+
+
+def own_folder() -> Column:
+    """The folder a row was read from, as versions list it."""
+    return F.regexp_extract(F.col("_metadata.file_path"), f"({COMMIT}=[^/]+(?:/[^/=]+=[^/]+)*)/[^/]+$", 1)
 
 
 def read_version(spark: SparkSession, root: str, name: str, version_id: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.columns import compact_date, short_hash
-from ..operators import catalog, coverage, enforcement, merging, quality
+from ..operators import catalog, coverage, date_masks, enforcement, merging, quality
 from ..operators.raw_mapping import map_raw, missing_expected_fields, suspension_events
 from ..plans import promotion
 from ..plans.runtime import materialise, new_path
@@ -716,6 +716,35 @@ def _(m):
     return coverage.missing_dates(_all_days(m), _WANTED, _covered(m), "1995-01-01", "1999-12-31")
 
 
+_HELD = """(SELECT 'daily_prices' AS dataset, symbol, trade_date FROM prices WHERE asset_type = 'stock'
+UNION SELECT 'adj_factor', symbol, trade_date FROM prices WHERE asset_type = 'stock' AND adj_factor IS NOT NULL
+UNION SELECT 'daily_basic', symbol, trade_date FROM prices WHERE asset_type = 'stock' AND turnover_rate IS NOT NULL
+UNION SELECT 'stk_limit', symbol, trade_date FROM prices WHERE asset_type = 'stock' AND limit_up IS NOT NULL
+UNION SELECT 'suspend_d', symbol, trade_date FROM prices WHERE asset_type = 'stock' AND is_suspended IS NOT NULL
+UNION SELECT 'moneyflow_dc', symbol, trade_date FROM flow WHERE main_net_inflow IS NOT NULL)"""
+
+
+def _held_masks(m):
+    """Masks of three overlapping parts of the prices and of the flow, combined."""
+    year = F.year("trade_date")
+    parts = [m.prices.filter(year <= 1995), m.prices.filter(year.between(1994, 1996)), m.prices.filter(year > 1996)]
+    return date_masks.combined(*map(date_masks.price_masks, parts), date_masks.flow_masks(m.flow))
+
+
+@registered("g5_covered_by_masks", f"SELECT DISTINCT dataset, trade_date FROM {_HELD}")
+def _(m):
+    return date_masks.covered_dates(_held_masks(m))
+
+
+@registered("g7_missing_by_symbol", f"""
+SELECT d.dataset, s.symbol, c.trade_date FROM (SELECT DISTINCT symbol FROM security WHERE status = 'active') s, (SELECT trade_date FROM {_ALL_DAYS}) c,
+  (VALUES ('daily_prices'), ('stk_limit'), ('moneyflow_dc')) d(dataset) WHERE c.trade_date >= DATE '1995-01-01' AND NOT EXISTS
+  (SELECT 1 FROM {_HELD} h WHERE h.dataset = d.dataset AND h.symbol = s.symbol AND h.trade_date = c.trade_date)""")
+def _(m):
+    wanted = ["daily_prices", "stk_limit", "moneyflow_dc"]
+    return date_masks.missing_by_symbol(_all_days(m), wanted, coverage.active_symbols(m.security), _held_masks(m), "1995-01-01")
+
+
 @registered("g8_sync_start", f"""
 SELECT coalesce((SELECT min(trade_date) FROM {_ALL_DAYS} WHERE trade_date > b.behind), (SELECT max(trade_date) FROM {_ALL_DAYS})) AS start_date
 FROM (SELECT min(last) AS behind FROM (SELECT dataset, max(trade_date) AS last FROM (SELECT * FROM {_COVERED} UNION ALL SELECT 'orders', day FROM rawcalendar WHERE is_open) GROUP BY 1)) b""")

@@ -4,9 +4,9 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from factorspark.operators import catalog, coverage, enforcement, merging, quality
+from factorspark.operators import catalog, coverage, date_masks, enforcement, merging, quality
 from factorspark.operators.raw_mapping import map_raw, missing_expected_fields
-from factorspark.plans import promotion
+from factorspark.plans import date_masks as mask_plans, promotion
 from factorspark.plans.sync import plan_sync
 from factorspark.sources import curated_tables, raw_batches
 from factorspark.sources.schemas import RAW_TARGET, TABLES
@@ -552,6 +552,49 @@ def test_sync_plan_lists_missing_dates(spark):
         plan_sync(calendar, tables, ["nothing"])
 
 
+def test_date_masks_equal_a_rescan(spark):
+    """First and last days of months, nulls in every column, repeated rows, a symbol and a month without rows."""
+    rows = [("A", "2026-01-01", 1.0), ("A", "2026-01-31", None), ("A", "2026-01-31", None), ("A", "2026-03-31", 2.0), ("B", "2026-01-31", 1.0),
+            ("B", None, 1.0), (None, "2026-01-02", 1.0), ("X", "1969-12-31", 1.0)]
+    prices = spark.createDataFrame([(s, d and date.fromisoformat(d), "stock", f) for s, d, f in rows] + [("I", date(2026, 1, 2), "index", 1.0)],
+                                   "symbol string, trade_date date, asset_type string, adj_factor double")
+    masks = date_masks.price_masks(prices)
+    days = [date(2026, 1, 1), date(2026, 1, 31), date(2026, 2, 2), date(2026, 3, 31)]
+    calendar = spark.createDataFrame([(d,) for d in [*days, days[0], None]], "trade_date date")
+    symbols = spark.createDataFrame([("A",), ("B",), ("C",), ("C",), (None,)], "symbol string")
+    again = date_masks.combined(masks, masks)  # parts may repeat
+    got = date_masks.missing_by_symbol(calendar, ["daily_prices", "adj_factor"], symbols, again).collect()
+    held = {("daily_prices", s, d) for s, d, _ in rows} | {("adj_factor", s, d) for s, d, f in rows if f is not None}
+    wanted = [(n, s, d) for n in ("daily_prices", "adj_factor") for s in "ABC" for d in days if (n, s, d.isoformat()) not in held]
+    assert sorted(map(tuple, got)) == sorted(wanted)
+    late = date_masks.missing_by_symbol(calendar, ["adj_factor"], symbols, masks, "2026-01-31", "2026-02-28").collect()
+    assert sorted(map(tuple, late)) == sorted(w for w in wanted if w[0] == "adj_factor" and date(2026, 1, 31) <= w[2] <= date(2026, 2, 28))
+    rescan = {tuple(r) for r in coverage.price_coverage(prices.filter("symbol is not null")).collect()}
+    assert {tuple(r) for r in date_masks.covered_dates(masks).collect()} == rescan
+    assert date_masks.missing_by_symbol(calendar.limit(0), ["adj_factor"], symbols, masks).count() == 0
+    assert date_masks.missing_by_symbol(calendar, ["adj_factor"], symbols, masks.limit(0)).count() == 3 * len(days)
+
+
+def test_date_masks_follow_the_versions(spark, workspace):
+    """Only folders that are new since the last time are read; older versions keep their masks."""
+    held = lambda version=None: sorted(
+        (r.symbol, r.trade_date.month, r.trade_date.day) for r in mask_plans.read(workspace, "daily_prices", version).filter("dataset = 'daily_prices'")
+        .select("symbol", F.explode(date_masks._dates(F.col("days"))).alias("trade_date")).collect())
+    assert held() == []
+    promoted(spark, workspace, ("A.SH", "20260427", 1.0), ("A.SH", "20260331", 0.5))
+    first = curated_tables.active_version(spark, workspace.root, "daily_prices")
+    assert len(mask_plans.record(workspace, "daily_prices")) == 2 and mask_plans.record(workspace, "daily_prices") == []
+    promoted(spark, workspace, ("B.SH", "20260428", 2.0))
+    april = mask_plans.record(workspace, "daily_prices")
+    assert len(april) == 1 and "trade_month=4" in april[0]
+    assert held() == [("A.SH", 3, 31), ("A.SH", 4, 27), ("B.SH", 4, 28)]
+    assert held(first) == [("A.SH", 3, 31), ("A.SH", 4, 27)]
+    calendar = spark.createDataFrame([(date(2026, 4, 27),), (date(2026, 4, 28),)], "trade_date date")
+    symbols = spark.createDataFrame([("A.SH",), ("B.SH",)], "symbol string")
+    missing = mask_plans.missing_by_symbol(workspace, "daily_prices", calendar, ["daily_prices"], symbols).collect()
+    assert sorted((r.symbol, r.trade_date.day) for r in missing) == [("A.SH", 28), ("B.SH", 27)]
+
+
 def test_benchmarks_cover_a_date_only_together(spark):
     rows = spark.createDataFrame(
         [("a", date(2026, 4, 27), "index"), ("a", date(2026, 4, 28), "index"), ("b", date(2026, 4, 28), "index")],
