@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import catalog
+from ..sources.schemas import TABLES
+from . import symbol_files
 from .promotion import Workspace
 
 
@@ -16,7 +18,9 @@ def _metadata(ws: Workspace, name: str) -> DataFrame:
 
 
 def preview_curated(ws: Workspace, dataset: str, symbol=None, start=None, end=None, columns=None, limit: int = 20) -> DataFrame:
-    frame = ws.current(dataset)
+    """Newest rows first; of one symbol only the files are opened that can hold it (see `symbol_files`)."""
+    by_symbol = bool(symbol) and dataset in TABLES and "symbol" in TABLES[dataset].columns
+    frame = symbol_files.rows_of(ws, dataset, [symbol]) if by_symbol else ws.current(dataset)
     if frame is None:
         raise ValueError(f"no current curated version found for dataset: {dataset}")
     return catalog.preview(frame, dataset, ws.current("security_master"), symbol, start, end, columns, limit)

@@ -1,59 +1,34 @@
-"""Masks of held dates, kept beside the versions of a curated table.
-
-The folders of a version never change, so each is read for its masks once, in the first job after
-the promotion that made it; a version's masks are those of the folders it lists. Masks are
-written to a new folder and then named, so a job that failed leaves nothing that is read, and
-masks recorded twice change nothing. Entries of folders no version lists are ignored.
-"""
+"""Masks of held dates, kept as notes on the folders of a curated table."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from ..operators import date_masks
 from ..sources import curated_tables as curated
+from . import folder_notes
 from .promotion import Workspace
 
+KIND = "date_masks"
 MASKS_OF = {"daily_prices": date_masks.price_masks, "capital_flow_or_chip": date_masks.flow_masks}
-RECORD = "dataset_id string, folder string, path string"
-
-
-def _recorded(ws: Workspace, name: str) -> dict[str, str]:
-    """folder -> where its masks lie (one entry per folder of the table)."""
-    rows = ws.metadata("date_masks")
-    return {} if rows is None else {r["folder"]: r["path"] for r in rows.filter(F.col("dataset_id") == name).collect()}
-
-
-def _folders(ws: Workspace, name: str, version_id: str | None) -> list[str]:
-    version_id = version_id or curated.active_version(ws.spark, ws.root, name)
-    return sorted({p["folder"] for p in curated.version_partitions(ws.spark, ws.root, version_id).values()}) if version_id else []
 
 
 def record(ws: Workspace, name: str, version_id: str | None = None) -> list[str]:
     """Take the masks of the folders of a version (the current one) that have none yet; returns these folders."""
-    known = _recorded(ws, name)
-    fresh = [folder for folder in _folders(ws, name, version_id) if folder not in known]
-    if not fresh:
-        return []
-    path = f"date_masks/{name}-{uuid.uuid4().hex}"
-    rows = curated.read_folders(ws.spark, ws.root, name, fresh, curated.own_folder().alias("folder"))
-    MASKS_OF[name](rows, ["folder"]).write.mode("errorifexists").parquet(f"{ws.root.rstrip('/')}/{path}")
-    named = ws.spark.createDataFrame([(name, f, path) for f in fresh], RECORD)
-    curated.append_metadata(named, ws.root, "date_masks")
-    return fresh
+    def take(fresh: list[str]) -> DataFrame:
+        return MASKS_OF[name](curated.read_folders(ws.spark, ws.root, name, fresh, curated.own_folder().alias("folder")), ["folder"])
+
+    return folder_notes.record(ws, KIND, name, folder_notes.folders_of(ws, name, version_id), take)
 
 
 def read(ws: Workspace, name: str, version_id: str | None = None) -> DataFrame:
     """(dataset, symbol, month, days) of a version (the current one); folders without masks get theirs first."""
+    version_id = version_id or curated.active_version(ws.spark, ws.root, name)
     record(ws, name, version_id)
-    known, folders = _recorded(ws, name), _folders(ws, name, version_id)
-    paths = sorted({f"{ws.root.rstrip('/')}/{known[f]}" for f in folders})
-    if not paths:
+    masks, _ = folder_notes.read(ws, KIND, name, folder_notes.folders_of(ws, name, version_id))
+    if masks is None:
         return ws.spark.createDataFrame([], "dataset string, symbol string, month date, days int")
-    listed = ws.spark.createDataFrame([(f,) for f in folders], "folder string")
-    return date_masks.combined(ws.spark.read.parquet(*paths).join(listed, "folder", "left_semi").drop("folder"))
+    return date_masks.combined(masks.drop("folder"))
 
 
 def missing_by_symbol(ws: Workspace, name: str, calendar: DataFrame, datasets: list[str], symbols: DataFrame, start=None, end=None) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import evaluation, factors, market, pools, portfolio, publishin
 from ..operators.publishing import analyse_securities
 from ..sources import artifacts
 from ..sources.curated_tables import read_snapshot
+from . import symbol_files
 from .promotion import Workspace
 from .runtime import materialise, prepare
 
@@ -229,5 +230,5 @@ def refresh_quotes(ws: Workspace, symbols: list[str], trade_date: str | None = N
     """Newest stored quote of each watched symbol."""
     watched = list(dict.fromkeys(s for s in symbols if s))[:limit]
     watch_list = ws.spark.createDataFrame([(s,) for s in watched], "symbol string")
-    return publishing.latest_quotes(watch_list, ws.current("daily_prices"), trade_date)
+    return publishing.latest_quotes(watch_list, symbol_files.rows_of(ws, "daily_prices", watched), trade_date)
 

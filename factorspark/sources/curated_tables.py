@@ -59,6 +59,11 @@ def own_folder() -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), f"({COMMIT}=[^/]+(?:/[^/=]+=[^/]+)*)/[^/]+$", 1)
 
 
+def own_file() -> Column:
+    """The file a row was read from, relative to the table."""
+    return F.regexp_extract(F.col("_metadata.file_path"), f"({COMMIT}=[^/]+/.+)$", 1)
+
+
 def read_version(spark: SparkSession, root: str, name: str, version_id: str) -> DataFrame:
     """The rows of one version, whatever was promoted since."""
     folders = sorted({p["folder"] for p in version_partitions(spark, root, version_id).values()})
@@ -76,10 +81,11 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
 def write_commit(frame: DataFrame, root: str, name: str, commit: str, seen: Observation, *measures: Column) -> None:
     """New folders for the rows; nobody sees them before a version lists them.
 
-    `measures` are taken by the tasks that write, of which Spark counts one for each part even if some run again."""
+    Files are sorted by the table's key, so that parts of a month hold ranges of symbols. `measures` are taken by the tasks that write, of which Spark counts one for each part even if some run again."""
     table = TABLES[name]
     measured = _gathered(frame, table).observe(seen, *measures)
-    _writer(measured.select(*table.columns), table).mode("errorifexists").parquet(f"{table_path(root, name)}/{COMMIT}={commit}")
+    laid_out = measured.select(*table.columns).sortWithinPartitions(*table.partitions, *table.key)
+    _writer(laid_out, table).mode("errorifexists").parquet(f"{table_path(root, name)}/{COMMIT}={commit}")
 
 
 def read_commit(spark: SparkSession, root: str, name: str, commit: str) -> DataFrame:

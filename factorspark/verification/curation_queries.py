@@ -8,7 +8,7 @@ from ..functions import fixed_values as fv
 from ..functions.columns import compact_date, short_hash
 from ..operators import catalog, coverage, date_masks, enforcement, merging, quality
 from ..operators.raw_mapping import map_raw, missing_expected_fields, suspension_events
-from ..plans import promotion
+from ..plans import promotion, symbol_files as symbol_file_plans
 from ..plans.runtime import materialise, new_path
 from ..sources import curated_tables, raw_batches
 from ..sources.schemas import RAW_TARGET, TABLES
@@ -618,6 +618,21 @@ def _(m):
     return near(rows, ["pct_change", "close"], 4)
 
 
+@registered("f7_rows_of_symbols", f"""
+SELECT symbol, trade_date, {near_all(BAR, 4)} FROM merged
+WHERE symbol IN (SELECT min(symbol) FROM merged UNION ALL SELECT max(symbol) FROM merged)""")
+def _(m):
+    """Two promoted batches, entries taken after the first: of two symbols the rows of the files that can hold them."""
+    ws = workspace(m)
+    _landed_batches(m, ws)
+    promotion.promote_batch(ws, "lines", "daily_prices", batch_id=f"{_PREFIX}_001")
+    symbol_file_plans.record(ws, "daily_prices")
+    promotion.promote_batch(ws, "lines", "daily_prices", batch_id=f"{_PREFIX}_002")
+    symbol_file_plans.record(ws, "daily_prices")
+    ends = ws.current("daily_prices").agg(F.min("symbol").alias("first"), F.max("symbol").alias("last")).first()
+    return near(symbol_file_plans.rows_of(ws, "daily_prices", [ends["first"], ends["last"]]).select(*KEY, *BAR), BAR, 4)
+
+
 @registered("f8_short_hash", """
 SELECT batch_id, CASE WHEN length(h) > 16 THEN substr(h, 1, 12) || '...' ELSE h END AS shown FROM (SELECT batch_id, concat(source, ' of ', customer) AS h FROM batches)""")
 def _(m):
