@@ -60,6 +60,110 @@ def macd_of_symbols(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[
         yield _averages(places == 1, prices)
 
 
+def _days(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[tuple[pa.Array, ...]]:
+    """Batches of rows sorted by (day, key), the place in the day first -> the columns of one whole day at a time."""
+    waiting: list[tuple[pa.Array, ...]] = []
+
+    def whole():
+        return tuple(pa.concat_arrays(c) for c in zip(*waiting))
+
+    for batch in batches:
+        at = 0
+        for start in np.flatnonzero(batch[0].to_numpy(zero_copy_only=False) == 1):
+            if start > at:
+                waiting.append(tuple(c[at:start] for c in batch))
+            if waiting:
+                yield whole()
+            waiting, at = [], start
+        if len(batch[0]) > at:
+            waiting.append(tuple(c[at:] for c in batch))
+    if waiting:
+        yield whole()
+
+
+def _doubles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, which of them are not null); a NaN is a value, as in Spark the largest."""
+    return column.fill_null(0.0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _mean_ranks(values: np.ndarray) -> np.ndarray:
+    """1..n, equal values share their mean rank."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    first = np.ones(len(values), bool)
+    first[1:] = (ordered[1:] != ordered[:-1]) & ~(np.isnan(ordered[1:]) & np.isnan(ordered[:-1]))
+    starts = np.flatnonzero(first)
+    shared = (starts + 1 + np.append(starts[1:], len(values))) / 2.0
+    ranks = np.empty(len(values))
+    ranks[order] = shared[np.cumsum(first) - 1]
+    return ranks
+
+
+def _ordinals(values: np.ndarray) -> np.ndarray:
+    """1..n, equal values in the order of the rows."""
+    ranks = np.empty(len(values))
+    ranks[np.argsort(values, kind="stable")] = np.arange(1.0, len(values) + 1)
+    return ranks
+
+
+def mean_ranks_of_days(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """place in the day, whether the key of the row before comes again, values... ->
+    per value its mean rank in the day (r0...) and the number of values (n0...).
+
+    A key that comes more than once has the largest of its ranks.
+    """
+    for _, repeated, *columns in _days(batches):
+        again = repeated.to_numpy(zero_copy_only=False)
+        found: dict[str, pa.Array] = {}
+        for i, column in enumerate(columns):
+            values, held = _doubles(column)
+            ranks = np.full(len(values), np.nan)
+            ranks[held] = _mean_ranks(values[held])
+            if again.any():
+                ranks = np.fmax.reduceat(ranks, np.flatnonzero(~again))[np.cumsum(~again) - 1]
+            found[f"r{i}"] = pa.array(ranks, pa.float64(), mask=np.isnan(ranks))
+            found[f"n{i}"] = pa.array(np.full(len(values), held.sum(), "int64"))
+        yield pa.StructArray.from_arrays([found[f"{c}{i}"] for c in "rn" for i in range(len(columns))],
+                                         names=[f"{c}{i}" for c in "rn" for i in range(len(columns))])
+
+
+def _pearson(x: np.ndarray, y: np.ndarray) -> float | None:
+    if x.min() == x.max() or y.min() == y.max():
+        return None
+    x, y = x - x.mean(), y - y.mean()
+    spread = np.sqrt((x * x).sum()) * np.sqrt((y * y).sum())
+    return None if spread == 0 else float((x * y).sum() / spread)
+
+
+def day_figures(factors: list[str], fewest: int, ic: bool, groups: int | None):
+    """Whole days (place, day, return, factors...) -> per factor its correlations and the return sums of its groups."""
+    kinds = {"factor": pa.string(), "trade_date": pa.date32(), "group": pa.int64(), "sample_count": pa.int64(),
+             "ic": pa.float64(), "rank_ic": pa.float64(), "return_sum": pa.float64()}
+
+    def of_factor(values, returns):
+        n = len(values)
+        if ic and n >= fewest:
+            yield None, n, _pearson(values, returns), _pearson(_ordinals(values), _ordinals(returns)), None
+        if groups and n:
+            share = np.floor((_mean_ranks(values) - 1.0) / n * groups)
+            group = np.clip(share, 0, groups - 1).astype("int64")
+            counts, sums = np.bincount(group, minlength=groups), np.bincount(group, returns, minlength=groups)
+            yield from ((g, int(counts[g]), None, None, float(sums[g])) for g in np.flatnonzero(counts).tolist())
+
+    def run(batches):
+        with np.errstate(all="ignore"):
+            for _, day, returned, *columns in _days(tuple(b.columns) for b in batches):
+                returns, _ = _doubles(returned)
+                rows = []
+                for factor, column in zip(factors, columns):
+                    values, held = _doubles(column)
+                    rows += [(factor, day[0].as_py(), *row) for row in of_factor(values[held], returns[held])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
+
+    return run
+
+
 def pair_moments(columns: list[str]):
     """Batches -> one row per column pair with counts, means and centred sums.
 

@@ -8,7 +8,7 @@ from ..functions import fixed_values as fv
 from ..functions.columns import is_st_name, unit_clip
 from .enforcement import default_factor_inputs, normalise_flow, normalise_prices
 from .indicators import adjust_prices, flow_indicators, price_indicators, stocks_only, with_macd
-from .ranking import wide_average_ranks
+from .ranking import crowded_days, wide_average_ranks
 
 # Weights of the scores. A minus marks "smaller is better".
 SCORE_WEIGHTS = {
@@ -104,14 +104,14 @@ def exclusion_reason() -> Column:
     )
 
 
-def score(assembled: DataFrame) -> DataFrame:
+def score(assembled: DataFrame, crowded: list | None = None) -> DataFrame:
     """Ranks use every row of the date, also the ones excluded.
 
-    What does not depend on a rank is settled first, so that fewer columns are stored.
+    What does not depend on a rank is settled first, so that fewer columns are exchanged.
     """
     settled = assembled.withColumns({"exclusion_reason": exclusion_reason(), "chip_score": chip_score()})
     wanted = [c for c in settled.columns if c in fv.FACTOR_COLUMNS]
-    ranked = wide_average_ranks(settled.select(*wanted), RANKED_INPUTS)
+    ranked = wide_average_ranks(settled.select(*wanted), RANKED_INPUTS, crowded=crowded)
     return (
         composite_scores(ranked)
         .withColumn("tradable_flag", F.col("exclusion_reason") == "none")
@@ -120,6 +120,7 @@ def score(assembled: DataFrame) -> DataFrame:
     )
 
 
-def daily_factors(prices, flow, security, start=None, end=None) -> DataFrame:
-    """The whole factor run."""
-    return score(assemble(prices, flow, security, start, end))
+def daily_factors(prices, flow, security, start=None, end=None, crowded: list | None = None) -> DataFrame:
+    """The whole factor run. A date has as many rows as it has stock prices, which are cheap to count."""
+    crowded = crowded_days(stocks_only(normalise_prices(prices))) if crowded is None else crowded
+    return score(assemble(prices, flow, security, start, end), crowded)

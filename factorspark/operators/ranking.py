@@ -1,6 +1,8 @@
-"""Cross-sectional ranks, one plan for every size.
+"""Cross-sectional ranks.
 
-A window would rank a group inside one task, however large the group. Here rows are
+Many columns ranked per day: the wide rows meet once by day, a task sorts the columns of one
+day after the other, and nothing is stored or joined. Days of more than DAY_ROWS rows, and all
+ranks of long rows, go the way of any size: rows are
 range-partitioned on (group, value, tie-break), which splits a group with most of the
 rows, and a value shared by a third of them, over tasks:
 
@@ -14,11 +16,13 @@ rows, and a value shared by a third of them, over tasks:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..functions.arrow_tasks import mean_ranks_of_days
 from ..plans.runtime import materialise
 
 PART_ROWS = 250_000
+DAY_ROWS = 2_000_000  # a day of so many rows is ranked by one task: 16 MB a column
 
 
 def _laid_out(rows: DataFrame, group: list[str], value: str, tie_break: list[str]) -> DataFrame:
@@ -74,10 +78,51 @@ def long_average_rank(
     )
 
 
-def wide_average_ranks(frame: DataFrame, columns: list[str], day: str = "trade_date", key: str = "symbol") -> DataFrame:
-    """Adds <column>__rank and <column>__n for each column, ranked per date.
+def crowded_days(rows: DataFrame, day: str = "trade_date") -> list:
+    """Days of more than DAY_ROWS rows: at most one per DAY_ROWS rows of the table."""
+    counted = rows.groupBy(day).agg(F.count(F.lit(1)).alias("rows_"))
+    return [r[0] for r in counted.filter((F.col("rows_") > DAY_ROWS) & F.col(day).isNotNull()).collect()]
 
-    Only (key, date, factor, value) goes through the sort: the wide rows wait in storage."""
+
+def split_days(rows: DataFrame, crowded: list, day: str = "trade_date") -> tuple[DataFrame, DataFrame | None]:
+    """(rows of the other days, rows of the crowded days if there are any)."""
+    if not crowded:
+        return rows.filter(F.col(day).isNotNull()), None
+    hit = F.col(day).isin(crowded)
+    return rows.filter(~hit), rows.filter(hit)
+
+
+def day_layout(rows: DataFrame, day: str, key: str) -> DataFrame:
+    """Each day's rows in one task in order of `key`, place_ 1 at its start."""
+    placed = rows.withColumn("place_", F.row_number().over(Window.partitionBy(day).orderBy(key)))
+    return placed.sortWithinPartitions(day, key)  # the window's own order: no further sort
+
+
+def wide_average_ranks(
+    frame: DataFrame, columns: list[str], day: str = "trade_date", key: str = "symbol", crowded: list | None = None
+) -> DataFrame:
+    """Adds <column>__rank and <column>__n for each column, ranked per date. A row without a key has no rank.
+
+    `crowded` are the days to rank over many tasks, if the caller can count them at less cost than from `frame`."""
+    rows, large = split_days(frame, crowded_days(frame, day) if crowded is None else crowded, day)
+    result = T.StructType(
+        [T.StructField(f"r{i}", T.DoubleType()) for i in range(len(columns))]
+        + [T.StructField(f"n{i}", T.LongType()) for i in range(len(columns))]
+    )
+    ranks = F.arrow_udf(mean_ranks_of_days, result).asNondeterministic()
+    again = F.coalesce(F.col(key) == F.lag(key).over(Window.partitionBy(day).orderBy(key)), F.lit(False))
+    ranked = day_layout(rows.withColumn("again_", again), day, key).withColumn(
+        "ranks_", ranks("place_", "again_", *[F.col(c).cast("double") for c in columns]))
+    found = ranked.select(
+        *frame.columns,
+        *[F.when(F.col(key).isNotNull(), F.col(f"ranks_.r{i}")).alias(f"{c}__rank") for i, c in enumerate(columns)],
+        *[F.col(f"ranks_.n{i}").alias(f"{c}__n") for i, c in enumerate(columns)],
+    )
+    return found if large is None else found.unionByName(_stored_average_ranks(large, columns, day, key))
+
+
+def _stored_average_ranks(frame: DataFrame, columns: list[str], day: str, key: str) -> DataFrame:
+    """Days of any size. Only (key, date, factor, value) goes through the sort: the wide rows wait in storage."""
     base = materialise(frame, "cross-section")
     ranked = long_average_rank(unpivot(base, columns, [key, day]), ["factor", day], "value", [key], stored=True)
     chosen = [F.col("factor") == F.lit(c) for c in columns]

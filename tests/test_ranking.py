@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -71,3 +73,45 @@ def test_top_per_group_limits_before_the_shuffle(spark):
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert {r["g"]: r["count"] for r in top.groupBy("g").count().collect()} == {"hot": 3, "b": 3, "c": 3}
+
+
+def shared_files(spark):
+    return sorted(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+
+
+def odd_cross_section(spark):
+    """Ties, nulls, a NaN, both zeros, a key that comes twice with two values, rows without key or date."""
+    generator = np.random.default_rng(11)
+    days = [None, "2026-01-01", "2026-01-02", "2026-01-05"]
+    rows = [
+        (None if i % 41 == 0 else f"S{i % 150}", days[generator.integers(0, 4)],
+         None if i % 7 == 0 else float(generator.integers(-2, 9)), -0.0 if i % 5 == 0 else 0.0 if i % 3 == 0 else float("nan") if i % 11 == 0 else float(i))
+        for i in range(400)
+    ]
+    return spark.createDataFrame(rows, "symbol string, trade_date string, x double, y double")
+
+
+@pytest.mark.parametrize("batch", ["7", "10000"])
+def test_day_ranks_equal_the_ranks_of_crowded_days(spark, monkeypatch, batch):
+    frame = odd_cross_section(spark)
+    shown = lambda rows: sorted(map(repr, rows.select(*sorted(rows.columns)).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        by_day = shown(ranking.wide_average_ranks(frame, ["x", "y"]))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(ranking, "DAY_ROWS", 99)
+    assert 0 < len(ranking.crowded_days(frame)) < 3
+    assert shown(ranking.wide_average_ranks(frame, ["x", "y"])) == by_day
+    monkeypatch.setattr(ranking, "DAY_ROWS", 0)
+    assert shown(ranking.wide_average_ranks(frame, ["x", "y"])) == by_day
+
+
+def test_day_ranks_store_nothing_and_exchange_the_wide_rows_once(spark):
+    frame = odd_cross_section(spark)
+    before = shared_files(spark)
+    ranked = ranking.wide_average_ranks(frame, ["x", "y"])
+    assert ranked.count() == frame.filter("trade_date IS NOT NULL").count()
+    assert shared_files(spark) == before
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
