@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import fixed_values as fv
 from ..operators import evaluation, factors, market, pools, portfolio, publishing, signals, trades
 from ..operators.publishing import analyse_securities
+from ..operators.ranking import crowded_days
 from ..sources import artifacts
 from ..sources.curated_tables import read_snapshot
 from . import symbol_files
@@ -134,14 +135,15 @@ def compute_daily_factors(
 
 
 def evaluate_factors(run: DataFrame, prices: DataFrame, forward_days: int = 20, groups: int = 5) -> dict[str, DataFrame]:
-    """Evaluation tables of a factor run; the paired long rows are written once."""
+    """Evaluation tables of a stored factor run; one pass over the paired rows gives all figures per date."""
     if groups < 2:
         raise ValueError("groups must be >= 2")
-    pairs = materialise(evaluation.paired(run, prices, forward_days), "factor-pairs")
-    by_date = evaluation.ic_by_date(pairs, stored=True)
+    pairs = evaluation.paired(run, prices, forward_days, wide=True)
+    figures = materialise(evaluation.figures_by_day(pairs, groups=groups, crowded=crowded_days(run)), "factor-figures")
+    by_date = evaluation.ic_of(figures)
     return {
         "ic_by_date": by_date,
-        "group_returns": evaluation.group_returns(pairs, groups, stored=True),
+        "group_returns": evaluation.group_returns_of(figures),
         "coverage": evaluation.coverage(run),
         "correlation": evaluation.correlation_matrix(run),
         "summary": evaluation.ic_summary(by_date),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import fixed_values as fv
 from ..functions.columns import rolling
 from ..operators import evaluation, factors, indicators, portfolio, signals, trades
+from ..operators.ranking import crowded_days
 from ..operators.selection import exact_median
 from ..plans import research
 from ..plans.promotion import Workspace
@@ -130,9 +131,15 @@ def _(m):
 
 # --- I ------------------------------------------------------------------------
 
+@lru_cache
+def crowded(m: MarketTables) -> list:
+    """Days of very many stock prices, hence of very many factor rows and pairs."""
+    return crowded_days(indicators.stocks_only(m.prices))
+
+
 @lru_cache
 def factor_run(m: MarketTables) -> DataFrame:
-    return factors.daily_factors(m.prices, m.flow, m.security)
+    return factors.daily_factors(m.prices, m.flow, m.security, crowded=crowded(m))
 
 
 @lru_cache
@@ -156,7 +163,7 @@ def _(m):
 
 @registered("i2_rank_scores", f"SELECT {R}, {', '.join(sql.near('s_' + c, 8) + ' AS score_' + c for c, _ in sql.SCORED)} FROM ranks")
 def _(m):
-    ranked = factors.wide_average_ranks(assembled(m), factors.RANKED_INPUTS)
+    ranked = factors.wide_average_ranks(assembled(m), factors.RANKED_INPUTS, crowded=crowded(m))
     names = [f"score_{c}" for c, _ in sql.SCORED]
     return near(
         ranked.select("symbol", "trade_date", *[
@@ -515,8 +522,9 @@ def _(m):
 
 # --- M ------------------------------------------------------------------------
 
-def pairs(m: MarketTables, days: int = 20) -> DataFrame:
-    return evaluation.paired(factor_run(m), m.prices, days)
+def pairs(m: MarketTables, days: int = 20, wide: bool = False) -> DataFrame:
+    return evaluation.paired(factor_run(m), m.prices, days, wide=wide)
+
 
 
 @registered("m1_ic_by_date", f"SELECT factor, trade_date, sample_count, {near_all(['ic'])} FROM icbydate")
@@ -526,7 +534,7 @@ def _(m):
 
 @registered("m2_rank_ic", f"SELECT factor, trade_date, sample_count, {near_all(['rank_ic'])} FROM icbydate")
 def _(m):
-    return near(evaluation.ic_by_date(pairs(m)).drop("ic"), ["rank_ic"])
+    return near(evaluation.ic_by_date(pairs(m, wide=True), crowded=crowded(m)).drop("ic"), ["rank_ic"])
 
 
 @registered("m3_group_returns", f"""
@@ -534,7 +542,7 @@ SELECT factor, "group", {sql.near('avg(forward_return)')} AS avg_forward_return,
 FROM (SELECT *, CAST(least(greatest(floor(({sql.average_rank_sql('value', 'factor, trade_date')} - 1) / count(*) OVER (PARTITION BY factor, trade_date) * 5), 0), 4) AS BIGINT) AS "group"
   FROM evaluated) GROUP BY 1, 2""")
 def _(m):
-    return near(evaluation.group_returns(pairs(m), 5), ["avg_forward_return"])
+    return near(evaluation.group_returns(pairs(m, wide=True), 5, crowded=crowded(m)), ["avg_forward_return"])
 
 
 @registered("m4_coverage", f"""
@@ -559,7 +567,7 @@ _SUMMARY = ["mean_ic", "icir", "mean_rank_ic", "rank_icir"]
 SELECT factor, date_count, {near_all(_SUMMARY)} FROM (SELECT factor, avg(ic) AS mean_ic, avg(ic) / nullif(stddev_samp(ic), 0) AS icir,
   avg(rank_ic) AS mean_rank_ic, avg(rank_ic) / nullif(stddev_samp(rank_ic), 0) AS rank_icir, count(*) AS date_count FROM icbydate GROUP BY 1)""")
 def _(m):
-    return near(evaluation.ic_summary(evaluation.ic_by_date(pairs(m))), _SUMMARY)
+    return near(evaluation.ic_summary(evaluation.ic_by_date(pairs(m, wide=True), crowded=crowded(m))), _SUMMARY)
 
 
 # m7, the evaluation of a stored run, is registered with the publishing queries.

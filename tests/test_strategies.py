@@ -1,3 +1,4 @@
+import os
 from datetime import date, timedelta
 
 import numpy as np
@@ -337,6 +338,36 @@ def test_evaluation_does_not_depend_on_the_parts(factor_run, factor_inputs, monk
     assert found[0][1].sample_count.tolist() == found[1][1].sample_count.tolist()
 
 
+def test_wide_pairs_give_the_figures_of_long_pairs(spark, monkeypatch):
+    """Ties, nulls, a constant factor and a date with too few pairs; nothing is stored for wide rows."""
+    rows = [
+        (f"S{i:02d}", date(2026, 1, 1 + i % 3) if i < 60 else date(2026, 1, 9), ((i * 7) % 11 - 5) / 8,
+         None if i % 6 == 0 else float(i % 4), 1.0, float((i * 37) % 101))
+        for i in range(62)
+    ]
+    wide = spark.createDataFrame(rows, "symbol string, trade_date date, forward_return double, a double, b double, c double")
+    long = ranking.unpivot(wide, ["a", "b", "c"], ["symbol", "trade_date", "forward_return"])
+    folder = spark.conf.get("spark.checkpoint.dir")
+
+    def found(pairs):
+        ic = {(r.factor, r.trade_date): (r.ic, r.rank_ic, r.sample_count) for r in evaluation.ic_by_date(pairs).collect()}
+        groups = {(r.factor, r.group): (r.avg_forward_return, r.sample_count) for r in evaluation.group_returns(pairs, 5).collect()}
+        return ic, groups
+
+    expected = found(long)
+    before = sorted(os.listdir(folder))
+    seen = [found(wide)]
+    assert sorted(os.listdir(folder)) == before
+    monkeypatch.setattr(ranking, "DAY_ROWS", 2)
+    seen.append(found(wide))
+    for figures in seen:
+        for got, right in zip(figures, expected):
+            assert got.keys() == right.keys()
+            for key, values in right.items():
+                assert [v is None for v in got[key]] == [v is None for v in values]
+                assert [v for v in got[key] if v is not None] == pytest.approx([v for v in values if v is not None], abs=1e-12)
+
+
 def test_evaluation_rejects_bad_settings(factor_run, factor_inputs):
     _, run = factor_run
     with pytest.raises(ValueError):
