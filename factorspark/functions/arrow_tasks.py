@@ -99,10 +99,11 @@ def _mean_ranks(values: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def _ordinals(values: np.ndarray) -> np.ndarray:
-    """1..n, equal values in the order of the rows."""
+def _ordinals(values: np.ndarray, *ties: np.ndarray) -> np.ndarray:
+    """1..n, equal values by `ties`, then in the order of the rows."""
+    order = np.lexsort((*ties[::-1], values)) if ties else np.argsort(values, kind="stable")
     ranks = np.empty(len(values))
-    ranks[np.argsort(values, kind="stable")] = np.arange(1.0, len(values) + 1)
+    ranks[order] = np.arange(1.0, len(values) + 1)
     return ranks
 
 
@@ -136,14 +137,17 @@ def _pearson(x: np.ndarray, y: np.ndarray) -> float | None:
 
 
 def day_figures(factors: list[str], fewest: int, ic: bool, groups: int | None):
-    """Whole days (place, day, return, factors...) -> per factor its correlations and the return sums of its groups."""
+    """Whole days (place, again, day, return, factors...) -> per factor its correlations and the return sums of its groups."""
     kinds = {"factor": pa.string(), "trade_date": pa.date32(), "group": pa.int64(), "sample_count": pa.int64(),
              "ic": pa.float64(), "rank_ic": pa.float64(), "return_sum": pa.float64()}
 
-    def of_factor(values, returns):
+    def of_factor(values, returns, key):
         n = len(values)
         if ic and n >= fewest:
-            yield None, n, _pearson(values, returns), _pearson(_ordinals(values), _ordinals(returns)), None
+            places = _ordinals(values)
+            # a key that comes twice has one return: its rows follow each other as their values do
+            ties = (key, places) if (key[1:] == key[:-1]).any() else ()
+            yield None, n, _pearson(values, returns), _pearson(places, _ordinals(returns, *ties)), None
         if groups and n:
             share = np.floor((_mean_ranks(values) - 1.0) / n * groups)
             group = np.clip(share, 0, groups - 1).astype("int64")
@@ -152,12 +156,13 @@ def day_figures(factors: list[str], fewest: int, ic: bool, groups: int | None):
 
     def run(batches):
         with np.errstate(all="ignore"):
-            for _, day, returned, *columns in _days(tuple(b.columns) for b in batches):
+            for _, again, day, returned, *columns in _days(tuple(b.columns) for b in batches):
                 returns, _ = _doubles(returned)
+                key = np.cumsum(~again.to_numpy(zero_copy_only=False))
                 rows = []
                 for factor, column in zip(factors, columns):
                     values, held = _doubles(column)
-                    rows += [(factor, day[0].as_py(), *row) for row in of_factor(values[held], returns[held])]
+                    rows += [(factor, day[0].as_py(), *row) for row in of_factor(values[held], returns[held], key[held])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
 

@@ -51,7 +51,7 @@ def figures_by_day(
     rows, large = split_days(pairs, crowded_days(pairs) if crowded is None else crowded)
     columns = [c for c in pairs.columns if c not in ("symbol", "trade_date", "forward_return")]
     found = day_layout(rows, "trade_date", "symbol").select(
-        "place_", "trade_date", *[F.col(c).cast("double").alias(c) for c in ("forward_return", *columns)]
+        "place_", "again_", "trade_date", *[F.col(c).cast("double").alias(c) for c in ("forward_return", *columns)]
     ).mapInArrow(day_figures(columns, MIN_PAIRS, ic, groups), _FIGURES)
     if large is None:
         return found

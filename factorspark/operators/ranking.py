@@ -93,8 +93,10 @@ def split_days(rows: DataFrame, crowded: list, day: str = "trade_date") -> tuple
 
 
 def day_layout(rows: DataFrame, day: str, key: str) -> DataFrame:
-    """Each day's rows in one task in order of `key`, place_ 1 at its start."""
-    placed = rows.withColumn("place_", F.row_number().over(Window.partitionBy(day).orderBy(key)))
+    """Each day's rows in one task in order of `key`: place_ is 1 at its start, again_ marks the key of the row before."""
+    order = Window.partitionBy(day).orderBy(key)
+    again = F.coalesce(F.col(key) == F.lag(key).over(order), F.lit(False))
+    placed = rows.withColumns({"place_": F.row_number().over(order), "again_": again})
     return placed.sortWithinPartitions(day, key)  # the window's own order: no further sort
 
 
@@ -110,8 +112,7 @@ def wide_average_ranks(
         + [T.StructField(f"n{i}", T.LongType()) for i in range(len(columns))]
     )
     ranks = F.arrow_udf(mean_ranks_of_days, result).asNondeterministic()
-    again = F.coalesce(F.col(key) == F.lag(key).over(Window.partitionBy(day).orderBy(key)), F.lit(False))
-    ranked = day_layout(rows.withColumn("again_", again), day, key).withColumn(
+    ranked = day_layout(rows, day, key).withColumn(
         "ranks_", ranks("place_", "again_", *[F.col(c).cast("double") for c in columns]))
     found = ranked.select(
         *frame.columns,

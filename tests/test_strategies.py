@@ -368,6 +368,17 @@ def test_wide_pairs_give_the_figures_of_long_pairs(spark, monkeypatch):
                 assert [v for v in got[key] if v is not None] == pytest.approx([v for v in values if v is not None], abs=1e-12)
 
 
+def test_rows_of_a_repeated_key_follow_their_values(spark):
+    """A key that comes twice has one return; its two rows are placed by their values, as for long pairs."""
+    day = date(2026, 1, 5)
+    rows = [("A", day, 0.1, 5.0), ("A", day, 0.1, 1.0), ("B", day, 0.2, 3.0), ("C", day, -0.1, 2.0), ("C", day, -0.1, 9.0)]
+    for given in (rows, rows[::-1]):
+        wide = spark.createDataFrame(given, "symbol string, trade_date date, forward_return double, a double")
+        got = evaluation.ic_by_date(wide).first()
+        assert got.sample_count == 5
+        assert got.rank_ic == pytest.approx(np.corrcoef([4, 1, 3, 2, 5], [4, 3, 5, 1, 2])[0, 1])
+
+
 def test_evaluation_rejects_bad_settings(factor_run, factor_inputs):
     _, run = factor_run
     with pytest.raises(ValueError):
