@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import by_symbol, growth
+from ..plans.runtime import materialise
 from .indicators import adjust_prices
 from .ranking import top_per_group
 from .signals import candidate_order
@@ -70,8 +71,11 @@ def score_order():
 
 
 def factor_trades(factors: DataFrame, prices: DataFrame, rebalance: str, top: int) -> DataFrame:
+    """The best of each date are few: written once, they tell which dates and whose prices are needed."""
+    dates = rebalance_dates(factors, rebalance)
     tradable = factors.filter(F.coalesce("tradable_flag", F.lit(False)))
-    chosen = tradable.join(rebalance_dates(factors, rebalance), "trade_date", "left_semi")
-    best = top_per_group(chosen, ["trade_date"], score_order(), top, "place")
-    exits = forward_returns(prices, holding_days_of(rebalance))
+    best = materialise(top_per_group(tradable, ["trade_date"], score_order(), top, "place"), "best-of-dates").join(
+        dates, "trade_date", "left_semi")
+    held = prices.join(best.select("symbol").distinct(), "symbol", "left_semi")  # whole histories
+    exits = forward_returns(held, holding_days_of(rebalance))
     return best.join(exits, ["symbol", "trade_date"], "left").filter(F.col("forward_return").isNotNull())

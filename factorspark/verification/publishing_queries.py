@@ -104,7 +104,8 @@ PARTS["lastpools"] = "SELECT * FROM poolchanges WHERE trade_date = (SELECT max(t
 SELECT place AS rank, symbol, name, trade_date, {near_all(['total_score', *SCORES], 8)}, exclusion_reason FROM (
   SELECT *, row_number() OVER (ORDER BY total_score DESC, symbol) AS place FROM factors WHERE tradable_flag AND trade_date = (SELECT max(trade_date) FROM factors)) WHERE place <= 20""")
 def _(m):
-    return near(research.rank_candidate_002(stored_factors(m)), ["total_score", *SCORES], 8)
+    run = stored_factors(m, ["name", "total_score", *SCORES, "exclusion_reason"])
+    return near(research.rank_candidate_002(run), ["total_score", *SCORES], 8)
 
 
 def all_pools(m) -> DataFrame:
@@ -125,7 +126,7 @@ def history(m) -> DataFrame:
 
 def _last_two(m) -> tuple[DataFrame, DataFrame]:
     """Pools of the newest date and of the one before it."""
-    run = stored_factors(m)
+    run = stored_factors(m, ["name", "industry", "total_score", *SCORES, "exclusion_reason"])
     newest = run.agg(F.max("trade_date").alias("d")).scalar()
     before = date_successors(m.calendar)
     dated = pools.pool_rows(run, 10).select("trade_date", "symbol", "rank").join(before, "trade_date", "left")
@@ -298,6 +299,7 @@ def _(m):
     return rows.withColumns(joined).select("trade_date", "status", "strongest", "weakest", "sector_summary", *joined)
 
 
+ANALYSED = ["name", "industry", "market_segment", "exclusion_reason", *fv.ANALYSIS_FACTORS]
 _EARLY = "(SELECT max(trade_date) FROM factors WHERE year(trade_date) = (SELECT min(year(trade_date)) FROM factors))"
 _ASKED = f"(SELECT symbol FROM security UNION SELECT {sql._symbol('c_custkey')} FROM customer)"
 
@@ -311,7 +313,7 @@ SELECT a.symbol, f.name, f.industry, f.market_segment AS market, coalesce(tradab
 FROM {_ASKED} a LEFT JOIN (SELECT * FROM factors WHERE trade_date = (SELECT max(trade_date) FROM factors)) f ON a.symbol = f.symbol""")
 def _(m):
     asked = m.security.select("symbol").union(m.raw("customer").select(security_symbol("c_custkey")))
-    rows = publishing.analyse_securities(asked, stored_factors(m))
+    rows = publishing.analyse_securities(asked, stored_factors(m, ANALYSED))
     return near(rows.drop("factor_values").withColumn("risk_notes", F.array_join("risk_notes", "; ")),
                 ["total_score", "momentum_score", "flow_score", "risk_score"], 8)
 
@@ -321,7 +323,7 @@ def _(m):
     for c in fv.ANALYSIS_FACTORS))
 def _(m):
     """The factor values of each security at the end of the first year, when long look-backs are still missing."""
-    run = stored_factors(m)
+    run = stored_factors(m, ANALYSED)
     early = run.filter(F.year("trade_date") == run.agg(F.min(F.year("trade_date")).alias("y")).scalar())
     rows = publishing.analyse_securities(m.security.select("symbol"), early).select("symbol", F.inline("factor_values"))
     return near(rows, ["value"])

@@ -348,13 +348,13 @@ def _(m):
     return trades.rebalance_dates(m.raw("orders").select(F.col("o_orderdate").cast("date").alias("trade_date")), "weekly")
 
 
-def stored_factors(m: MarketTables) -> DataFrame:
-    """The factor run written once, for plans that read it more than once."""
-    return materialise(factor_run(m), "factor-run")
+def stored_factors(m: MarketTables, columns: list[str]) -> DataFrame:
+    """The columns of the factor run that a plan reads, all rows, written once for plans that read them more than once."""
+    return materialise(factor_run(m).select("symbol", "trade_date", "tradable_flag", *columns), "factor-run")
 
 
 def factor_trades(m: MarketTables, rebalance: str) -> DataFrame:
-    return trades.factor_trades(stored_factors(m), m.prices, rebalance, 10)
+    return trades.factor_trades(stored_factors(m, ["total_score"]), indicators.stocks_only(m.prices), rebalance, 10)
 
 
 for _rebalance in ("weekly", "daily"):
