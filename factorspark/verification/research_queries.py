@@ -523,7 +523,8 @@ def _(m):
 # --- M ------------------------------------------------------------------------
 
 def pairs(m: MarketTables, days: int = 20, wide: bool = False) -> DataFrame:
-    return evaluation.paired(factor_run(m), m.prices, days, wide=wide)
+    """Factors are of stocks only, so are the prices paired with them."""
+    return evaluation.paired(factor_run(m), indicators.stocks_only(m.prices), days, wide=wide)
 
 
 

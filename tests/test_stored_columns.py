@@ -1,6 +1,7 @@
 """What the plans over a factor run read and write, on small tables."""
 
 from datetime import date, timedelta
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
@@ -47,3 +48,13 @@ def test_stored_run_has_the_columns_read_and_all_rows(spark, monkeypatch):
     stored = research_queries.stored_factors(None, ["name"])
     assert stored.columns == ["symbol", "trade_date", "tradable_flag", "name"]
     assert stored.count() == run.count()
+
+
+def test_pairs_leave_index_prices_out(spark, monkeypatch):
+    prices, run = market(spark)
+    seen = {}
+    monkeypatch.setattr(research_queries, "factor_run", lambda m: run)
+    monkeypatch.setattr(research_queries.evaluation, "paired", lambda factors, prices, days, wide: seen.setdefault("prices", prices))
+    research_queries.pairs(SimpleNamespace(prices=prices))
+    assert seen["prices"].exceptAll(prices.filter("symbol IS NULL OR symbol <> 'IDX'")).isEmpty()
+    assert seen["prices"].count() == prices.count() - len(DAYS)
