@@ -40,6 +40,7 @@ def stocks_only(prices: DataFrame) -> DataFrame:
 def price_indicators(adjusted: DataFrame) -> DataFrame:
     """Momentum, moving-average strength, liquidity and volatility columns."""
     close, amount = F.col("adj_close"), F.col("amount")
+    last_20 = by_symbol().rowsBetween(-19, Window.currentRow)
     base = adjusted.withColumns(
         {
             "daily_return": change_over("adj_close", 1),
@@ -48,16 +49,21 @@ def price_indicators(adjusted: DataFrame) -> DataFrame:
             "ma_strength": growth(close, rolling(F.avg, close, 20)),
             "avg_amount_20": rolling(F.avg, amount, 20),
             "turnover_stability": ratio(rolling(F.stddev_samp, amount, 20), rolling(F.avg, amount, 20)),
-            "max_drawdown_60": growth(close, rolling(F.max, close, 60)),
+            "high_20_": F.max(close).over(last_20),
+            "closes_20_": F.count(close).over(last_20),
         }
     )
     moved = F.col("daily_return")
+    # the high of 60 rows is that of three times 20
+    before = lambda name: [F.col(name), *[F.lag(name, rows).over(by_symbol()) for rows in (20, 40)]]
+    closes = sum((F.coalesce(c, F.lit(0)) for c in before("closes_20_")), F.lit(0))
     return base.withColumns(
         {
             "vol_20": rolling(F.stddev_samp, moved, 20),
             "downside_vol_20": rolling(F.stddev_samp, F.when(moved < 0, moved), 20),
+            "max_drawdown_60": F.when(closes >= 60, growth(close, F.greatest(*before("high_20_")))),
         }
-    )
+    ).drop("high_20_", "closes_20_")
 
 
 def flow_indicators(flow: DataFrame) -> DataFrame:

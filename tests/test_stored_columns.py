@@ -5,7 +5,8 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from factorspark.operators import trades
+from factorspark.functions.columns import growth, rolling
+from factorspark.operators import indicators, trades
 from factorspark.operators.ranking import top_per_group
 from factorspark.verification import research_queries
 
@@ -58,3 +59,16 @@ def test_pairs_leave_index_prices_out(spark, monkeypatch):
     research_queries.pairs(SimpleNamespace(prices=prices))
     assert seen["prices"].exceptAll(prices.filter("symbol IS NULL OR symbol <> 'IDX'")).isEmpty()
     assert seen["prices"].count() == prices.count() - len(DAYS)
+
+
+def test_high_of_sixty_rows_from_three_of_twenty(spark):
+    closes = lambda i: None if i % 41 == 5 else float("nan") if i == 150 else float((i * 37) % 101) - 20.0
+    rows = [(s, date(2020, 1, 1) + timedelta(days=i), closes(i + shift), 1.0) for s, n, shift in (("A", 240, 0), ("B", 61, 7), ("C", 59, 9), ("D", 3, 0))
+            for i in range(n)]
+    rows += [("E", date(2020, 1, 1) + timedelta(days=i), float(i % 13), 1.0) for i in range(130)]
+    adjusted = spark.createDataFrame(rows, "symbol string, trade_date date, adj_close double, amount double")
+    found = indicators.price_indicators(adjusted)
+    wanted = found.withColumn("wanted", growth(F.col("adj_close"), rolling(F.max, F.col("adj_close"), 60)))
+    assert wanted.filter(~F.col("max_drawdown_60").eqNullSafe(F.col("wanted"))).isEmpty()
+    assert wanted.filter("wanted IS NOT NULL").count() > 60
+    assert "-59" not in optimised(found)
