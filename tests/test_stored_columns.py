@@ -10,7 +10,7 @@ from factorspark.operators import indicators, trades
 from factorspark.operators.ranking import top_per_group
 from factorspark.verification import research_queries
 
-DAYS = [date(2024, 1, 1) + timedelta(days=i) for i in range(12)]
+DAYS = [date(2024, 1, 1) + timedelta(days=i) for i in range(20)]
 
 
 def optimised(frame):
@@ -21,7 +21,7 @@ def market(spark):
     names = ["A", "B", "C", "D", None]
     prices = [(s, d, 10.0 + 3 * i + (i + 1) * ((j * 7) % 5), 1.0, "stock" if i else None)
               for i, s in enumerate(names) for j, d in enumerate(DAYS)] + [("IDX", d, 5.0, 1.0, "index") for d in DAYS]
-    prices += prices[24:27]  # some rows of C come twice
+    prices += prices[40:43]  # some rows of C come twice
     run = [(s, d, None if s == "B" and j == 3 else ((i * 5 + j * 3) % 7) / 7, s != "D" if j % 4 else None)
            for i, s in enumerate(names) for j, d in enumerate(DAYS)] + [("A", None, 9.0, True)]
     return (
