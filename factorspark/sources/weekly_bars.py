@@ -6,7 +6,9 @@ sums are exact decimals, so a bar is the same on any cluster.
 
 Shipments are combined per (supplier, week) before the shuffle, so a supplier
 that holds most of lineitem costs one small row per task and week. Index and
-industry bars are rolled up from those bars, not from lineitem again.
+industry bars meet the few columns of supplier first and are combined per
+(index, week) in the same way: a task sends a row per index and week, not one
+per bar.
 """
 
 from __future__ import annotations
@@ -58,9 +60,6 @@ def _curated_target() -> Column:
     return F.create_map(*pairs)[F.col("dataset_name")]
 
 
-_SUMS = ["amount_", "volume_", "open_amount_", "open_volume_", "inflow_", "profit_volume_"]
-
-
 class MarketTables:
     """The curated tables of one scale-factor folder, all lazy."""
 
@@ -71,32 +70,39 @@ class MarketTables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cached_property
+    def shipments(self) -> DataFrame:
+        return self.raw("lineitem").withColumn("trade_date", F.date_trunc("week", "l_shipdate").cast("date"))
+
+    @staticmethod
+    def _traded() -> list[Column]:
+        """The sums of a bar that stocks, indexes and industries have."""
+        price, quantity = F.col("l_extendedprice"), F.col("l_quantity")
+        opening = F.col("l_linestatus") == "O"
+        return [
+            F.sum(_hundredths(price)).alias("amount_"),
+            F.sum(_hundredths(quantity)).alias("volume_"),
+            F.sum(F.when(opening, _hundredths(price))).alias("open_amount_"),
+            F.sum(F.when(opening, _hundredths(quantity))).alias("open_volume_"),
+            F.max(price / quantity).alias("high"),
+            F.min(price / quantity).alias("low"),
+        ]
+
     @cached_property
     def partial_bars(self) -> DataFrame:
         """(l_suppkey, trade_date) with exact partial sums."""
         price, quantity = F.col("l_extendedprice"), F.col("l_quantity")
-        opening = F.col("l_linestatus") == "O"
         signed = (
             F.when(F.col("l_returnflag") == "N", price)
             .when(F.col("l_returnflag") == "R", -price)
             .otherwise(F.lit(0.0))
         )
-        return (
-            self.raw("lineitem")
-            .withColumn("trade_date", F.date_trunc("week", "l_shipdate").cast("date"))
-            .groupBy("l_suppkey", "trade_date")
-            .agg(
-                F.sum(_hundredths(price)).alias("amount_"),
-                F.sum(_hundredths(quantity)).alias("volume_"),
-                F.sum(F.when(opening, _hundredths(price))).alias("open_amount_"),
-                F.sum(F.when(opening, _hundredths(quantity))).alias("open_volume_"),
-                F.sum(_hundredths(signed)).alias("inflow_"),
-                F.sum(F.when(F.col("l_discount") >= 0.02, _hundredths(quantity)).otherwise(F.lit(0))).alias("profit_volume_"),
-                F.max(price / quantity).alias("high"),
-                F.min(price / quantity).alias("low"),
-                F.max("l_tax").alias("max_tax_"),
-                F.max("l_quantity").alias("max_quantity_"),
-            )
+        return self.shipments.groupBy("l_suppkey", "trade_date").agg(
+            *self._traded(),
+            F.sum(_hundredths(signed)).alias("inflow_"),
+            F.sum(F.when(F.col("l_discount") >= 0.02, _hundredths(quantity)).otherwise(F.lit(0))).alias("profit_volume_"),
+            F.max("l_tax").alias("max_tax_"),
+            F.max("l_quantity").alias("max_quantity_"),
         )
 
     @staticmethod
@@ -128,14 +134,10 @@ class MarketTables:
     def _rolled_up(self, dimension: DataFrame, code: Column, code_name: str) -> DataFrame:
         suppliers = self.raw("supplier").select("s_suppkey", "s_nationkey")
         return (
-            self.partial_bars.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+            self.shipments.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
             .join(dimension, F.col("s_nationkey") == F.col("n_nationkey"))
             .groupBy(code.alias(code_name), "trade_date")
-            .agg(
-                *[F.sum(c).alias(c) for c in _SUMS[:4]],
-                F.max("high").alias("high"),
-                F.min("low").alias("low"),
-            )
+            .agg(*self._traded())
             .select(code_name, "trade_date", *self._bar_columns())
         )
 
