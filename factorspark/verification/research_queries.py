@@ -133,8 +133,11 @@ def _(m):
 
 @lru_cache
 def crowded(m: MarketTables) -> list:
-    """Days of very many stock prices, hence of very many factor rows and pairs."""
-    return crowded_days(indicators.stocks_only(m.prices))
+    """Days of very many stock prices, hence of very many factor rows and pairs.
+
+    A bar has a shipment at least, so bars are counted only in weeks of very many shipments."""
+    busy = crowded_days(m.shipments)
+    return crowded_days(indicators.stocks_only(m.prices).filter(F.col("trade_date").isin(busy))) if busy else []
 
 
 @lru_cache

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from factorspark.operators import indicators, ranking
 from factorspark.sources.weekly_bars import MarketTables
 
 LINES = ("l_suppkey bigint, l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
@@ -52,3 +53,19 @@ def test_indexes_and_industries_do_not_send_a_row_per_bar(market):
         wanted = [tuple(r) for r in _by_bars(market, code).select(*columns).collect()]
         assert sorted(found, key=str) == sorted(wanted, key=str) and len(found) > 12
         assert "Aggregate [l_suppkey" not in rolled._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_days_are_counted_by_bars_only_in_weeks_of_many_shipments(market, monkeypatch):
+    from factorspark.verification import research_queries
+
+    prices = market.prices
+    for most in (4, 5, 6, 60):
+        monkeypatch.setattr(ranking, "DAY_ROWS", most)
+        fresh = MarketTables(market.spark, market.folder)
+        assert sorted(research_queries.crowded(fresh)) == sorted(ranking.crowded_days(indicators.stocks_only(prices)))
+    monkeypatch.setattr(ranking, "DAY_ROWS", 4)
+    assert research_queries.crowded(MarketTables(market.spark, market.folder))
+    monkeypatch.setattr(ranking, "DAY_ROWS", 1000)
+    quiet = MarketTables(market.spark, market.folder)
+    quiet.__dict__["prices"] = None  # not needed
+    assert research_queries.crowded(quiet) == []
